@@ -30,11 +30,23 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A text can be cut here without changing its pieces.
 SEAM = re.compile(r"(?<=\S) (?=[A-Za-z])")
 SEGMENT = 1 << 20
-CACHE = 800_000
+CACHE = 1_500_000
 LONG = 64
 IDS = np.dtype("<u4")
 
 
+class Pieces(dict):
+    """Ids by piece; unknown pieces are noted in ``new``, once each, and given as None."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.new.append(piece)
+        self[piece] = None
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -49,7 +61,12 @@ class Encoder:
         self.library = Tokenizer.from_str(text)
         self.rule, self.lower = self._rule(json.loads(text))
         self.special = [t["content"] for t in json.loads(text).get("added_tokens") or []]
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces()
+        # Vocabulary entries that begin (byte rule) or end (word rule) a piece.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if self.lower else token.startswith("Ġ")
 
     @staticmethod
     def _rule(config: dict) -> tuple[re.Pattern | None, bool]:
@@ -67,28 +84,72 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> bytes:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; plain words go through the library as one text."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()] if self.rule is BYTE_RULE else new
+        got: dict[str, bytes] = {}
+        if words:
+            ids = np.array(self.library.encode_batch_fast(["".join(words) if self.rule is BYTE_RULE else " ".join(words)], add_special_tokens=False)[0].ids, IDS)
+            edges = np.flatnonzero(self.edge[ids])
+            edges = np.r_[edges, len(ids)] if self.rule is BYTE_RULE else np.r_[0, edges + 1]
+            if len(edges) == len(words) + 1:
+                data, at = ids.tobytes(), (edges * 4).tolist()
+                got = {p: data[i:j] for p, i, j in zip(words, at, at[1:], strict=False)}
+        rest = [p for p in new if p not in got]
+        got.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return got
+
+    def _look_up(self, batch: list[list[str]]) -> list[bytes]:
+        """Ids of each list of pieces; what is new in the batch is learned at once."""
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        missing = [p for p in set(pieces) if p not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list(set(pieces))
-        got = {p: array("I", e.ids).tobytes() for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        cache.update((p, b) for p, b in got.items() if len(p) <= LONG)
-        return b"".join([cache.get(p) if p in cache else got[p] for p in pieces])
-
-    def encode(self, text: str) -> bytes:
-        if self.rule is None or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole(text)
+        found = [list(map(cache.__getitem__, pieces)) for pieces in batch]
+        if cache.new:
+            got = self._learn(cache.new)
+            cache.new = []
+            for pieces, row in zip(batch, found, strict=True):
+                for i in [i for i, ids in enumerate(row) if ids is None]:
+                    row[i] = got[pieces[i]]
+            cache.update(got)
+            for p in got:
+                if len(p) > LONG:
+                    del cache[p]
+            if len(cache) > CACHE:
+                cache.clear()
+        return list(map(b"".join, found))
+
+    def _plain(self, text: str) -> bool:
+        return self.rule is not None and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _long(self, text: str) -> bytes:
         if self.lower:
             text = text.lower()
-        if len(text) <= SEGMENT:
-            return self._pieces(self.rule.findall(text))
-        return b"".join(self._pieces(self.rule.findall(text, a, b)) for a, b in segments(text))
+        return b"".join(self._look_up([self.rule.findall(text, a, b)])[0] for a, b in segments(text))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; texts are taken in turns of about ``SEGMENT`` characters."""
+        turn: list[bytes | list[str]] = []
+        held = 0
+
+        def flush() -> Iterator[bytes]:
+            done = iter(self._look_up([t for t in turn if type(t) is list]))
+            for t in turn:
+                yield next(done) if type(t) is list else t
+
+        for text in texts:
+            if not self._plain(text):
+                turn.append(self._whole(text))
+            elif len(text) > SEGMENT:
+                turn.append(self._long(text))
+            else:
+                turn.append(self.rule.findall(text.lower() if self.lower else text))
+            held += len(text)
+            if held >= SEGMENT:
+                yield from flush()
+                turn, held = [], 0
+        yield from flush()
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[int, int]]:
@@ -109,6 +170,6 @@ def encoder(path: str) -> Encoder:
 
 def encode_documents(path: str, texts: Iterable[str | None], end_id: int) -> Iterator[np.ndarray]:
     """Ids of each whole text (null: empty), the end id behind them."""
-    encode, end = encoder(path).encode, np.array([end_id], IDS).tobytes()
-    for text in texts:
-        yield np.frombuffer(encode(text or "") + end, IDS)
+    end = np.array([end_id], IDS).tobytes()
+    for ids in encoder(path).encode_all(text or "" for text in texts):
+        yield np.frombuffer(ids + end, IDS)
