@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import htmltext, mixing, packing, pii, simhash, urlfilter, wavelet
+from . import crosspoly, htmltext, mixing, packing, pii, simhash, urlfilter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pii_surrogates")
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_cross_polytope_nearest")
+def op7_cross_polytope_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.nearest(table(spark, sf_dir, "embeddings"))
