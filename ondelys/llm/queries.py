@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import crosspoly, htmltext, mixing, packing, pii, simhash, toxicity, urlfilter, wavelet
+from . import crosspoly, htmltext, media, mixing, packing, pii, simhash, toxicity, urlfilter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_media_copies")
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.render(table(spark, sf_dir, "embeddings")))
