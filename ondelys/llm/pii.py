@@ -61,21 +61,23 @@ WORD_NAME = r"\p{Lu}[\p{L}\p{M}'’\-]+"
 _NAMES = "|".join(sorted((n for names in FIRST.values() for n in names.split()), key=lambda n: (-len(n), n)))
 _TITLES = "|".join(sorted(TITLES.split(), key=lambda n: (-len(n), n)))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: kind -> pattern.  Each begins only where a run of its own characters begins.
+#: kind -> (characters it begins with, pattern).
 KINDS = {
-    "key": r"(?<![A-Za-z0-9])AKIA[A-Z2-7]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{8,}+",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "mac": r"(?<![0-9A-Fa-f:\-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<!\d)(?:(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|65\d{2})(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))(?!\d)",
-    "ssn": r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+(])(?:\+\d{1,3}[ \-]?(?:\(\d{2,4}\)[ \-]?)?\d{2,4}(?:[ \-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}([\-.])\d{3}\1\d{4})(?!\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {WORD_NAME}(?: {WORD_NAME}){{0,2}}|(?:{_NAMES}) {WORD_NAME}(?: {WORD_NAME})?)",
+    "key": ("A", r"AKIA[A-Z2-7]{16}(?![A-Za-z0-9])"),
+    "secret": ("tTpPsSaA", r"(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{8,}+"),
+    "email": (r"A-Za-z0-9._%+\-", r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
+    "ip": ("0-9", rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"),
+    "mac": ("0-9A-Fa-f", r"(?<![:\-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"),
+    "ip6": ("0-9A-Fa-f", r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card": ("2-6", r"(?:(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|65\d{2})(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))(?!\d)"),
+    "ssn": ("0-8", r"(?<!-)(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"),
+    "phone": ("0-9+(", r"(?<![+(_])(?:\+\d{1,3}[ \-]?(?:\(\d{2,4}\)[ \-]?)?\d{2,4}(?:[ \-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"),
+    "iban": ("A-Z", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "name": ("A-ZÀ-ÞΆ-ΫЀ-Я", rf"(?:(?:{_TITLES})\.? {WORD_NAME}(?: {WORD_NAME}){{0,2}}|(?:{_NAMES}) {WORD_NAME}(?: {WORD_NAME})?)"),
 }
-ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: No entity begins inside a run of letters and digits: one look back decides
+#: most places of a text, one look ahead most alternatives at the others.
+ENTITY = r"(?<![0-9A-Za-zÀ-ɏͰ-ӿ])(?:" + "|".join(f"(?=[{first}])(?:{rest})" for first, rest in KINDS.values()) + ")"
 SECRET_PREFIX = r"^[^=:]*[=:]\s*[\"']?"
 
 
@@ -95,7 +97,7 @@ def _literal_map(values: dict[str, str]) -> Column:
 def _kind(entity: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in KINDS if k != "name"]):
-        out = F.when(entity.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
+        out = F.when(entity.rlike(f"^(?:{KINDS[kind][1]})$"), kind).otherwise(out)
     return out
 
 
@@ -267,7 +269,10 @@ def replace_entities(docs: DataFrame, key: str = KEY, added: str = "n_entities")
     columns = docs.columns
     has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
     found = F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
-    texts = docs.where(has).select(F.sha2("text", 256).alias("of"), found.alias("found")).groupBy("of").agg(F.first("found").alias("found"))
+    # Working columns get names that no column of the input has.
+    row = F.struct(*[docs[c] for c in columns]).alias("row")
+    touched = stage(docs.where(has).select(row, F.sha2("text", 256).alias("key_of"), found.alias("found")), "pii-texts")
+    texts = touched.select(F.col("key_of").alias("of"), "found").groupBy("of").agg(F.first("found").alias("found"))
     texts = stage(texts.select("of", F.explode(_atoms(F.col("found"), first)).alias("atom")), "pii-atoms")
     split = texts.select(F.substring_index("atom", "|", 1).alias("kind"), F.expr("substring(atom, instr(atom, '|') + 1)").alias("canon")).distinct()
     atoms = stage(split.where(F.expr(_valid("kind", "canon"))), "pii-entities")
@@ -275,9 +280,6 @@ def replace_entities(docs: DataFrame, key: str = KEY, added: str = "n_entities")
     held = texts.join(known, texts["atom"] == known["known"]).groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("atom", "surrogate"))).alias("held"))
 
     clean = docs.where(~has).select(*columns, F.lit(0).alias(added))
-    # Working columns get names that no column of the input has.
-    row = F.struct(*[docs[c] for c in columns]).alias("row")
-    touched = docs.where(has).select(row, F.sha2("text", 256).alias("key_of"), found.alias("found"))
     touched = touched.join(held, F.col("key_of") == F.col("of"), "left").withColumn("held", F.coalesce("held", F.expr("cast(map() AS map<string, string>)")))
     spelled, rendered = _rendered(F.col("found"), first)
     touched = touched.withColumn("spelled", spelled).withColumn("new", rendered)
