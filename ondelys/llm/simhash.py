@@ -21,8 +21,7 @@ Defined results:
 * null ``doc_id``: gets a fingerprint and the smallest known id of its
   component, null if none is known;
 * repeated rows: each is returned; empty table: empty result;
-* extra columns are ignored by :func:`near_duplicates` and kept by
-  :func:`keep_one`.
+* extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,19 +146,3 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, s
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(ids, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(of, prints["fp"] == of["of"]).select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """Documents with one of each component left: that of the smallest ``doc_id``.
-
-    Of repeated rows with that id one stays.  A row without an id can't be told
-    from others and stays.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), width, radius)
-    chosen = stage(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "kept-ids")
-    repeated = chosen.where("count > 1").select("doc_id")
-    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
