@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondelys.llm import mixing, packing, pii, simhash, toxicity
+from ondelys.llm import mixing, packing, pii, similar, toxicity
 from ondelys.scratch import stage
 from ondelys.shipping import ship
 
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, two bits."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
     ship(spark)
-    return simhash.keep_one(docs, width=5)
+    return similar.keep_one(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
