@@ -2,5 +2,508 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import buffers, clustering, labels, neighbors, scalers, stats, tables
+from ..operators.query import DataSetQuery
+from ..schema import dataset, labelset, series, to_wide
+from ..shipping import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(run):
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return run(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[name] = shipped
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return register
+
+
+def R(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def S(expression: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0.0"
+
+
+def points(t) -> DataFrame:
+    return dataset(t("embeddings"), "vec_id", "vec_id", "embedding")
+
+
+def signal(t) -> DataFrame:
+    return series(t("events"), "user_id", ["ts", "event_id"], "value")
+
+
+def flat(ds: DataFrame, count: int, round_to: int | None = None) -> DataFrame:
+    value = (lambda c: R(c, round_to)) if round_to is not None else (lambda c: c)
+    return ds.select("id", *[value(F.col("point")[i]).alias(f"p{i}") for i in range(count)])
+
+
+POINTS = "pts AS (SELECT vec_id::VARCHAR AS id, vec_id AS pos, embedding::DOUBLE[] AS p, label FROM embeddings)"
+EVENTS = "ev AS (SELECT user_id::VARCHAR AS buffer_id, 0::BIGINT AS chan, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_id FROM events)"
+
+
+@query(
+    "dataset_query_filter_limit",
+    f"WITH {POINTS} SELECT id, p[1] AS p0, p[4] AS p1, p[6] AS p2 FROM pts WHERE (p[1] > 0 AND p[2] <= 0.05) OR p[3] > 0.2 OR p[64] == 0 ORDER BY pos LIMIT 100",
+)
+def _(t):
+    q = DataSetQuery().add_column(5).add_column(0).add_column(3).filter(0, ">", 0).and_(1, "<=", 0.05).or_(2, ">", 0.2).or_(63, "==", 0).limit(100)
+    return flat(q.transform(points(t)), 3)
+
+
+@query(
+    "dataset_query_join",
+    f"WITH {POINTS}, src AS (SELECT * FROM pts WHERE p[1] >= 0 ORDER BY pos LIMIT 200) SELECT id, quality::DOUBLE AS p0, toxic::DOUBLE AS p1, p[2] AS p2, p[3] AS p3 FROM src JOIN labels ON id = doc_id::VARCHAR",
+)
+def _(t):
+    judged = dataset(t("labels"), "doc_id", "doc_id", ["quality", "toxic"])
+    return flat(DataSetQuery().add_range(1, 2).filter(0, ">=", 0).limit(200).transform_join(points(t), judged), 4)
+
+
+@query("missing_ids", f"WITH {POINTS} SELECT id FROM pts WHERE id NOT IN (SELECT doc_id::VARCHAR FROM labels)")
+def _(t):
+    return tables.missing_ids(points(t), dataset(t("labels"), "doc_id", "doc_id", ["quality"]))
+
+
+@query("common_ids", f"WITH {POINTS} SELECT id FROM pts WHERE id IN (SELECT doc_id::VARCHAR FROM labels)")
+def _(t):
+    return tables.common_ids(points(t), dataset(t("labels"), "doc_id", "doc_id", ["quality"])).select("id")
+
+
+def _accounts(t):
+    return dataset(t("customer"), "c_custkey", "c_custkey", ["c_acctbal"]), dataset(t("supplier"), "s_suppkey", "s_suppkey", ["s_acctbal"])
+
+
+for _name, _overwrite in (("merge_keep", False), ("merge_overwrite", True)):
+    _first = "coalesce(s_acctbal, c_acctbal)" if _overwrite else "c_acctbal"
+
+    @query(
+        _name,
+        f"""SELECT c_custkey::VARCHAR AS id, {_first} AS p0 FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
+            UNION ALL SELECT s_suppkey::VARCHAR, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""",
+    )
+    def _(t, overwrite=_overwrite):
+        return flat(tables.merge(*_accounts(t), overwrite), 1)
+
+
+@query("get_ids", "SELECT vec_id::VARCHAR AS id, vec_id::VARCHAR AS label FROM embeddings")
+def _(t):
+    return tables.ids(points(t)).select("id", "label")
+
+
+@query("delete_point", f"WITH {POINTS} SELECT id, pos - (pos > 7)::BIGINT AS pos FROM pts WHERE id <> '7'")
+def _(t):
+    return tables.delete(points(t), "7").select("id", "pos")
+
+
+@query("upsert_point", f"WITH {POINTS} SELECT id, CASE WHEN id = '3' THEN 0.5 ELSE p[1] END AS p0 FROM pts UNION ALL SELECT 'new', 0.25")
+def _(t):
+    updated = tables.put(points(t), "3", [0.5] * 64)
+    return flat(tables.put(updated, "new", [0.25] * 64), 1)
+
+
+@query("to_wide_filter", f"WITH {POINTS} SELECT id, pos, p[1] AS a, p[2] AS b FROM pts WHERE p[1] > p[2]")
+def _(t):
+    return to_wide(points(t), ["a", "b"]).where("a > b")
+
+
+KNN = f"""WITH {POINTS}, q AS (SELECT * FROM pts WHERE pos < 10),
+near AS (SELECT q.id AS query, pts.id, pts.pos, pts.p, pts.label, list_distance(q.p, pts.p) AS distance,
+         row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.p, pts.p), pts.pos) AS rank FROM q, pts)"""
+
+
+def _ten(t):
+    """The stated queries: the first ten points."""
+    return points(t).where("pos < 10")
+
+
+@query("knn", f"{KNN} SELECT query, rank::INTEGER AS rank, id, {S('distance')} AS distance FROM near WHERE rank <= 10")
+def _(t):
+    return neighbors.nearest(points(t), _ten(t), 10).withColumn("distance", R("distance"))
+
+
+@query("knn_radius", f"{KNN} SELECT query, rank::INTEGER AS rank, id, {S('distance')} AS distance FROM near WHERE distance < 1.1 AND rank <= 50")
+def _(t):
+    return neighbors.nearest(points(t), _ten(t), 50, 1.1).withColumn("distance", R("distance"))
+
+
+@query(
+    "knn_lookup",
+    f"{KNN} SELECT query, (row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER AS rank, id, quality::DOUBLE AS quality FROM near JOIN labels ON id = doc_id::VARCHAR WHERE rank <= 10",
+)
+def _(t):
+    judged = dataset(t("labels"), "doc_id", "doc_id", ["quality"])
+    return neighbors.lookup(neighbors.nearest(points(t), _ten(t), 10), judged).select("query", "rank", "id", F.col("point")[0].alias("quality"))
+
+
+WEIGHTED = f"""{KNN}, top AS (SELECT *, max((distance < 2.220446049250313e-16)::INT) OVER (PARTITION BY query) AS exact FROM near WHERE rank <= 5),
+w AS (SELECT *, CASE WHEN exact = 1 THEN (distance < 2.220446049250313e-16)::INT::DOUBLE ELSE 1 / greatest(distance, 2.220446049250313e-16) END AS w FROM top)"""
+
+
+@query(
+    "knn_classify",
+    f"""{WEIGHTED}, v AS (SELECT query, label, sum(w) AS vote, min(rank) AS first FROM w GROUP BY ALL)
+    SELECT query AS id, label::VARCHAR AS label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY vote DESC, first) = 1""",
+)
+def _(t):
+    return neighbors.classify(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label"), _ten(t), 5)
+
+
+@query("knn_regress", f"{WEIGHTED} SELECT query AS id, {S('sum(w * label) / sum(w)')} AS p0 FROM w GROUP BY query")
+def _(t):
+    return flat(neighbors.regress(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"]), _ten(t), 5), 1, 6)
+
+
+SEVEN = ["mean", "std", "skewness", "kurtosis", "low", "mid", "high"]
+
+
+def _stats_sql(source: str, low: int, mid: int, high: int) -> str:
+    """Seven statistics of (buffer_id, chan, ord, value) rows."""
+    at = lambda p: f"list_sort(list(value))[(round_even({p} / 100.0 * (count(*) - 1), 0))::INT + 1]"
+    return f"""SELECT buffer_id, chan, ord AS "order", {S("avg(value)", 7)} AS mean, {S("stddev_pop(value)", 7)} AS std,
+      {S("avg(z ** 3)", 4)} AS skewness, {S("avg(z ** 4)", 4)} AS kurtosis, {S(at(low))} AS low, {S(at(mid))} AS mid, {S(at(high))} AS high
+      FROM (SELECT *, (value - avg(value) OVER k) / CASE WHEN stddev_pop(value) OVER k = 0 THEN 1 ELSE stddev_pop(value) OVER k END AS z
+            FROM {source} WINDOW k AS (PARTITION BY buffer_id, chan, ord)) GROUP BY ALL"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("buffer_id", "chan", "order", *[R(s, 7 if s in ("mean", "std") else 4 if s in ("skewness", "kurtosis") else 6).alias(s) for s in SEVEN])
+
+
+@query("buf_stats", f"WITH {EVENTS}, x AS (SELECT *, 0 AS ord FROM ev) {_stats_sql('x', 10, 50, 90)}")
+def _(t):
+    return _rounded(stats.buf_stats(signal(t), low=10, middle=50, high=90))
+
+
+DIFFS = """d1 AS (SELECT *, value - lag(value) OVER (PARTITION BY buffer_id, chan ORDER BY frame) AS d FROM ev),
+d2 AS (SELECT *, d - lag(d) OVER (PARTITION BY buffer_id, chan ORDER BY frame) AS dd FROM d1),
+x AS (SELECT buffer_id, chan, 0 AS ord, value FROM ev UNION ALL SELECT buffer_id, chan, 1, d FROM d1 WHERE d IS NOT NULL
+      UNION ALL SELECT buffer_id, chan, 2, dd FROM d2 WHERE dd IS NOT NULL)"""
+
+
+@query("buf_stats_deriv", f"WITH {EVENTS}, {DIFFS} {_stats_sql('x', 25, 50, 75)}")
+def _(t):
+    return _rounded(stats.buf_stats(signal(t), 2, 25, 50, 75))
+
+
+@query(
+    "buf_stats_outliers",
+    f"""WITH {EVENTS}, q AS (SELECT buffer_id, chan, list_sort(list(value)) AS s, count(*) AS n FROM ev GROUP BY ALL),
+    f AS (SELECT buffer_id, chan, s[round_even(0.25 * (n - 1), 0)::INT + 1] AS q1, s[round_even(0.75 * (n - 1), 0)::INT + 1] AS q3 FROM q),
+    x AS (SELECT ev.*, 0 AS ord FROM ev JOIN f USING (buffer_id, chan) WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1))
+    {_stats_sql('x', 0, 50, 100)}""",
+)
+def _(t):
+    return _rounded(stats.buf_stats(signal(t), outliers=1.5))
+
+
+@query(
+    "buf_stats_weighted",
+    f"""WITH {EVENTS}, w AS (SELECT *, greatest((event_id % 7) - 1, 0)::DOUBLE AS raw FROM ev),
+    n AS (SELECT *, raw / sum(raw) OVER (PARTITION BY buffer_id, chan) AS weight FROM w),
+    m AS (SELECT *, sum(weight * value) OVER (PARTITION BY buffer_id, chan) AS mu FROM n),
+    s AS (SELECT *, sqrt(sum(weight * (value - mu) ** 2) OVER (PARTITION BY buffer_id, chan)) AS sd FROM m)
+    SELECT buffer_id, chan, {S("any_value(mu)", 7)} AS mean, {S("any_value(sd)", 7)} AS std,
+      {S("sum(weight * ((value - mu) / sd) ** 3)", 4)} AS skewness, {S("sum(weight * ((value - mu) / sd) ** 4)", 4)} AS kurtosis FROM s GROUP BY ALL""",
+)
+def _(t):
+    events = t("events").withColumn("weight", ((F.col("event_id") % 7) - 1).cast("double"))
+    weights = series(events, "user_id", ["ts", "event_id"], "weight").select("buffer_id", "frame", F.col("value").alias("weight"))
+    return _rounded(stats.buf_stats(signal(t), weights=weights)).select("buffer_id", "chan", "mean", "std", "skewness", "kurtosis")
+
+
+ITEMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _items(t) -> DataFrame:
+    lines = t("lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return dataset(lines, "id", F.col("l_orderkey") * 8 + F.col("l_linenumber"), ITEMS)
+
+
+def _scaled(form: str) -> str:
+    return "SELECT concat_ws('-', l_orderkey, l_linenumber) AS id, " + ", ".join(f"{S(form.format(c=c))} AS p{i}" for i, c in enumerate(ITEMS)) + " FROM lineitem"
+
+
+@query("normalize", _scaled("({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 2 - 1"))
+def _(t):
+    items = _items(t)
+    return flat(scalers.Normalize(-1, 1).fit(items).transform(items), 4, 6)
+
+
+@query("standardize", _scaled("({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"))
+def _(t):
+    items = _items(t)
+    return flat(scalers.Standardize().fit(items).transform(items), 4, 6)
+
+
+@query(
+    "robust_scale",
+    "WITH r AS (SELECT "
+    + ", ".join(f"list_sort(list({c})) AS s{i}" for i, c in enumerate(ITEMS))
+    + ", count(*) AS n FROM lineitem), q AS (SELECT "
+    + ", ".join(f"s{i}[round_even({p} / 100.0 * (n - 1), 0)::INT + 1] AS q{i}_{p}" for i in range(4) for p in (20, 50, 80))
+    + " FROM r) SELECT concat_ws('-', l_orderkey, l_linenumber) AS id, "
+    + ", ".join(f"{S(f'({c} - q{i}_50) / (q{i}_80 - q{i}_20)')} AS p{i}" for i, c in enumerate(ITEMS))
+    + " FROM lineitem, q",
+)
+def _(t):
+    items = _items(t)
+    return flat(scalers.RobustScale(20, 80).fit(items).transform(items), 4, 6)
+
+
+@query("scale_inverse", _scaled("{c}").replace("round(", "round(0.0 + "))
+def _(t):
+    items = _items(t)
+    model = scalers.Standardize().fit(items)
+    return flat(model.inverse_transform(model.transform(items)), 4, 6)
+
+
+@query(
+    "column_moments",
+    "SELECT dim, "
+    + ", ".join(f"{S(e, 5)} AS {n}" for n, e in (("min", "min(v)"), ("max", "max(v)"), ("mean", "avg(v)"), ("std", "stddev_pop(v)")))
+    + " FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS dim, {c} AS v FROM lineitem" for i, c in enumerate(ITEMS))
+    + ") GROUP BY dim",
+)
+def _(t):
+    return stats.column_moments(_items(t)).select("dim", *[R(c, 5).alias(c) for c in ("min", "max", "mean", "std")])
+
+
+@query(
+    "running_stats",
+    f"""WITH {EVENTS} SELECT buffer_id, frame, {S('avg(value) OVER w')} AS mean, {S('coalesce(stddev_samp(value) OVER w, 0)')} AS std
+    FROM ev WINDOW w AS (PARTITION BY buffer_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
+)
+def _(t):
+    return stats.running_stats(signal(t), 4).select("buffer_id", "frame", R("mean").alias("mean"), R("std").alias("std"))
+
+
+@query("buf_select", f"WITH {EVENTS}, pick(src, frame) AS (VALUES (4, 0), (0, 1), (4, 2)) SELECT buffer_id, pick.frame::BIGINT AS frame, value FROM ev JOIN pick ON ev.frame = src")
+def _(t):
+    return buffers.select(signal(t), [4, 0, 4]).select("buffer_id", "frame", "value")
+
+
+@query(
+    "buf_select_every",
+    f"""WITH {EVENTS}, n AS (SELECT *, max(frame) OVER (PARTITION BY buffer_id) + 1 AS n FROM ev)
+    SELECT buffer_id, frame // 3 AS frame, value FROM n WHERE frame % 3 = 0 AND frame // 3 < floor(n / 3.0 + 0.5)""",
+)
+def _(t):
+    return buffers.select_every(signal(t), 3).select("buffer_id", "frame", "value")
+
+
+@query("buf_range", f"WITH {EVENTS} SELECT buffer_id, frame - 5 AS frame, value FROM ev WHERE frame >= 5 AND frame < 25")
+def _(t):
+    return buffers.select_range(signal(t), 5, 20).select("buffer_id", "frame", "value")
+
+
+@query("buf_thresh", f"WITH {EVENTS} SELECT buffer_id, frame, CASE WHEN value < 50 THEN 0 ELSE value END AS value FROM ev")
+def _(t):
+    return buffers.thresh(signal(t), 50).select("buffer_id", "frame", "value")
+
+
+@query("buf_scale", f"WITH {EVENTS} SELECT buffer_id, frame, {S('least(greatest(value / 100 * 2 - 1, -1), 1)')} AS value FROM ev")
+def _(t):
+    return buffers.rescale(signal(t), 0, 100, -1, 1, "both").select("buffer_id", "frame", R("value").alias("value"))
+
+
+@query(
+    "buf_flatten",
+    """WITH m AS (SELECT l_orderkey::VARCHAR AS buffer_id, (l_linenumber - 1)::BIGINT AS frame, unnest([0, 1])::BIGINT AS chan, unnest([l_quantity, l_tax]) AS value FROM lineitem)
+    SELECT buffer_id, chan * (max(frame) OVER (PARTITION BY buffer_id) + 1) + frame AS frame, value FROM m""",
+)
+def _(t):
+    lines = t("lineitem").select(F.col("l_orderkey").cast("string").alias("buffer_id"), (F.col("l_linenumber") - 1).cast("long").alias("frame"), F.posexplode(F.array("l_quantity", "l_tax")).alias("chan", "value"))
+    return buffers.flatten(lines.withColumn("chan", F.col("chan").cast("long")), "frames").select("buffer_id", "frame", "value")
+
+
+@query(
+    "buf_compose",
+    f"""WITH {EVENTS}, s AS (SELECT buffer_id, frame + 3 AS frame, value * 0.5 AS s FROM ev)
+    SELECT coalesce(ev.buffer_id, s.buffer_id) AS buffer_id, coalesce(ev.frame, s.frame) AS frame, {S('CASE WHEN s IS NULL THEN value ELSE s + coalesce(value * 0.25, 0) END')} AS value
+    FROM ev FULL JOIN s ON ev.buffer_id = s.buffer_id AND ev.frame = s.frame""",
+)
+def _(t):
+    return buffers.compose(signal(t), signal(t), 0.5, 0.25, 3).select("buffer_id", "frame", R("value").alias("value"))
+
+
+@query("buf_mono", "SELECT l_orderkey::VARCHAR AS buffer_id, (l_linenumber - 1)::BIGINT AS frame, round(sum(l_quantity) + sum(l_tax), 6) + 0.0 AS value FROM lineitem GROUP BY ALL")
+def _(t):
+    lines = t("lineitem").select(F.col("l_orderkey").cast("string").alias("buffer_id"), (F.col("l_linenumber") - 1).cast("long").alias("frame"), F.posexplode(F.array("l_quantity", "l_tax")).alias("chan", "value"))
+    return buffers.mono(lines).select("buffer_id", "frame", R("value").alias("value"))
+
+
+@query("difference", f"WITH {EVENTS}, {DIFFS} SELECT buffer_id, frame - 1 AS frame, {S('d')} AS value FROM d1 WHERE d IS NOT NULL")
+def _(t):
+    return buffers.difference(signal(t)).select("buffer_id", "frame", R("value").alias("value"))
+
+
+@query(
+    "local_peaks",
+    f"""WITH {EVENTS}, n AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM ev WINDOW w AS (PARTITION BY buffer_id ORDER BY frame)),
+    p AS (SELECT buffer_id, frame + 0.5 * (a - b) / (a - 2 * value + b) AS place, value - 0.25 * (a - b) * (0.5 * (a - b) / (a - 2 * value + b)) AS height FROM n WHERE value > a AND value > b AND value > 60)
+    SELECT buffer_id, row_number() OVER (PARTITION BY buffer_id ORDER BY height DESC, place) - 1 AS peak, {S('place')} AS place, {S('height')} AS height FROM p
+    QUALIFY peak < 5""",
+)
+def _(t):
+    return buffers.local_peaks(signal(t), 60.0, 5).select("buffer_id", "peak", R("at").alias("place"), R("height").alias("height"))
+
+
+@query(
+    "running_median",
+    f"""WITH {EVENTS}, z AS (SELECT buffer_id, frame, list(value) OVER (PARTITION BY buffer_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM ev)
+    SELECT buffer_id, frame, list_sort(list_concat(v, list_transform(range(5 - len(v)), lambda x: 0.0)))[3] AS value FROM z""",
+)
+def _(t):
+    return buffers.running_median(signal(t), 5).select("buffer_id", "frame", "value")
+
+
+@query("moving_average", f"WITH {EVENTS} SELECT buffer_id, frame, {S('sum(value) OVER (PARTITION BY buffer_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4')} AS value FROM ev")
+def _(t):
+    return buffers.moving_average(signal(t), 4).select("buffer_id", "frame", R("value").alias("value"))
+
+
+@query("rising_edges", f"WITH {EVENTS}, c AS (SELECT buffer_id, frame, value - 50 AS value, lag(value - 50, 1, 0) OVER (PARTITION BY buffer_id ORDER BY frame) AS p FROM ev) SELECT buffer_id, frame FROM c WHERE value > 0 AND p <= 0")
+def _(t):
+    return buffers.rising_edges(signal(t).withColumn("value", F.col("value") - 50)).select("buffer_id", "frame")
+
+
+@query(
+    "spikes_to_times",
+    f"""WITH {EVENTS}, f AS (SELECT buffer_id, frame * 512 AS onset FROM ev WHERE value > 150)
+    SELECT b.buffer_id, coalesce(row_number() OVER (PARTITION BY b.buffer_id ORDER BY onset) - 1, 0) AS slice, coalesce(onset, -1) AS onset
+    FROM (SELECT DISTINCT buffer_id FROM ev) b LEFT JOIN f USING (buffer_id)""",
+)
+def _(t):
+    return buffers.spikes_to_times(signal(t).withColumn("value", (F.col("value") > 150).cast("double")), 512)
+
+
+MEANS = f"""WITH {POINTS}, m AS (SELECT pos AS cluster, p AS mean FROM pts WHERE pos < 4),
+g AS (SELECT id, pos, p, cluster, list_distance(p, mean) AS d FROM pts, m),
+a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1)"""
+
+
+def _four(t) -> clustering.KMeans:
+    """A model whose means are the first four points."""
+    return clustering.KMeans(4, 1, means=[r["point"] for r in points(t).orderBy("pos").limit(4).collect()])
+
+
+@query("kmeans_predict", f"{MEANS} SELECT id, cluster::INTEGER AS cluster FROM a")
+def _(t):
+    return _four(t).predict(points(t)).select("id", "cluster")
+
+
+@query("kmeans_sizes", f"{MEANS} SELECT cluster::INTEGER AS cluster, count(*) AS count FROM a GROUP BY cluster")
+def _(t):
+    return _four(t).sizes(points(t))
+
+
+@query("kmeans_step", f"{MEANS} SELECT cluster::INTEGER AS cluster, {S('avg(p[1])')} AS p0, {S('avg(p[2])')} AS p1, {S('avg(p[64])')} AS p2 FROM a GROUP BY cluster")
+def _(t):
+    model = _four(t).fit(points(t))
+    spark = t("region").sparkSession
+    return spark.createDataFrame([(i, m[0], m[1], m[63]) for i, m in enumerate(model.means)], "cluster int, p0 double, p1 double, p2 double").select("cluster", R("p0").alias("p0"), R("p1").alias("p1"), R("p2").alias("p2"))
+
+
+@query(
+    "kmeans_transform",
+    f"""{MEANS} SELECT id, {", ".join(f"{S(f'max(d * d) FILTER (cluster = {c})')} AS p{c}" for c in range(4))} FROM g GROUP BY id""",
+)
+def _(t):
+    return flat(_four(t).transform(points(t)), 4, 6)
+
+
+@query(
+    "skmeans_encode",
+    f"""WITH {POINTS}, m AS (SELECT pos AS cluster, p AS mean FROM pts WHERE pos < 4)
+    SELECT id, {", ".join(f"{S(f'max(greatest(list_dot_product(p, mean) - 0.25, 0)) FILTER (cluster = {c})')} AS p{c}" for c in range(4))} FROM pts, m GROUP BY id""",
+)
+def _(t):
+    model = _four(t)
+    return flat(clustering.SKMeans(4, means=model.means).encode(points(t)), 4, 6)
+
+
+X, Y = "x.p", "y.p"
+EPS = "2.220446049250313e-16"
+DISTANCE_SQL = {
+    "manhattan": "list_sum(list_transform(list_zip(x.p, y.p), lambda z: abs(z[1] - z[2])))",
+    "euclidean": "list_distance(x.p, y.p)",
+    "squared_euclidean": "list_distance(x.p, y.p) ** 2",
+    "max": "list_max(list_transform(list_zip(x.p, y.p), lambda z: abs(z[1] - z[2])))",
+    "min": "list_min(list_transform(list_zip(x.p, y.p), lambda z: abs(z[1] - z[2])))",
+    "kl": f"list_sum(list_transform(list_zip(x.p, y.p), lambda z: (z[1] - z[2]) * (ln(greatest(z[1], {EPS})) - ln(greatest(z[2], {EPS})))))",
+    "cosine": "list_cosine_distance(x.p, y.p)",
+    "jensen_shannon": f"""sqrt(greatest(0, list_sum(list_transform(list_zip(x.f, y.f), lambda z: z[1] / x.s * ln(z[1] / x.s / ((z[1] / x.s + z[2] / y.s) / 2))
+      + z[2] / y.s * ln(z[2] / y.s / ((z[1] / x.s + z[2] / y.s) / 2)))) / 2))""",
+}
+for _name, _form in DISTANCE_SQL.items():
+
+    @query(
+        f"distance_{_name}",
+        f"""WITH {POINTS}, e AS (SELECT *, list_transform(p, lambda v: greatest(v, {EPS})) AS f FROM pts), s AS (SELECT *, list_sum(f) AS s FROM e)
+        SELECT y.id, {S(_form)} AS distance FROM s x, s y WHERE x.pos = 0""",
+    )
+    def _(t, name=_name):
+        first = F.array(*[F.lit(v) for v in points(t).where("pos = 0").first()["point"]])
+        return points(t).select("id", R(vectors.distance(name, first, F.col("point"))).alias("distance"))
+
+
+@query(
+    "scalar_functions",
+    f"SELECT event_id, {S('1127.01048 * ln(value / 700 + 1)')} AS mel, {S('69 + 12 * log2(value / 440)')} AS midi, {S(f'20 * log10(greatest(value, {EPS}))')} AS db, {S('pow(10, -value / 20)')} AS amp FROM events",
+)
+def _(t):
+    v = F.col("value")
+    return t("events").select("event_id", R(vectors.hz_to_mel(v)).alias("mel"), R(vectors.hz_to_midi(v)).alias("midi"), R(vectors.amp_to_db(v)).alias("db"), R(vectors.db_to_amp(-v)).alias("amp"))
+
+
+VOCABULARY = "v AS (SELECT event_type AS label, row_number() OVER (ORDER BY min(event_id)) - 1 AS index FROM events GROUP BY event_type)"
+
+
+def _types(t) -> DataFrame:
+    return labelset(t("events"), "event_id", "event_id", "event_type")
+
+
+@query("label_encode", f"WITH {VOCABULARY} SELECT event_id::VARCHAR AS id, index::INTEGER AS index FROM events JOIN v ON event_type = label")
+def _(t):
+    return labels.LabelEncoder.fit(_types(t)).index(_types(t)).select("id", "index")
+
+
+@query("label_onehot", f"WITH {VOCABULARY} SELECT event_id::VARCHAR AS id, (index = 0)::INT::DOUBLE AS p0, (index = 1)::INT::DOUBLE AS p1 FROM events JOIN v ON event_type = label")
+def _(t):
+    return flat(labels.LabelEncoder.fit(_types(t)).one_hot(_types(t)), 2)
+
+
+@query("label_decode", "SELECT event_id::VARCHAR AS id, event_type AS label FROM events")
+def _(t):
+    model = labels.LabelEncoder.fit(_types(t))
+    return model.decode(model.one_hot(_types(t))).select("id", "label")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised embeddings, their nearest neighbours, and what a query keeps of these."""
+    ship(spark)
+    ds = points(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    scaled = scalers.Standardize().fit(ds).transform(ds)
+    near = neighbors.nearest(scaled, scaled.where("pos < 10"), 5)
+    kept = DataSetQuery().add_range(0, 3).filter(0, ">", -1.0).transform(scaled)
+    return near.join(kept.select("id", "point"), "id").select("query", "rank", "id", R("distance").alias("distance"), F.col("point")[0].alias("p0"))
+
+
+QUERIES["flagship"] = flagship
