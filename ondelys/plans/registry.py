@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import buffers, clustering, labels, neighbors, scalers, stats, tables
+from ..operators import buffers, clustering, labels, neighbors, networks, reduction, scalers, signals, stats, tables
 from ..operators.query import DataSetQuery
-from ..schema import dataset, labelset, series, to_wide
+from ..schema import dataset, labelset, pack, series, to_wide
 from ..shipping import ship
+from ..signal import descriptors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,14 +176,16 @@ SEVEN = ["mean", "std", "skewness", "kurtosis", "low", "mid", "high"]
 def _stats_sql(source: str, low: int, mid: int, high: int) -> str:
     """Seven statistics of (buffer_id, chan, ord, value) rows."""
     at = lambda p: f"list_sort(list(value))[(round_even({p} / 100.0 * (count(*) - 1), 0))::INT + 1]"
-    return f"""SELECT buffer_id, chan, ord AS "order", {S("avg(value)", 7)} AS mean, {S("stddev_pop(value)", 7)} AS std,
+    return f"""SELECT buffer_id, chan, ord AS "order", avg(value)::FLOAT AS mean, stddev_pop(value)::FLOAT AS std,
       {S("avg(z ** 3)", 4)} AS skewness, {S("avg(z ** 4)", 4)} AS kurtosis, {S(at(low))} AS low, {S(at(mid))} AS mid, {S(at(high))} AS high
       FROM (SELECT *, (value - avg(value) OVER k) / CASE WHEN stddev_pop(value) OVER k = 0 THEN 1 ELSE stddev_pop(value) OVER k END AS z
             FROM {source} WINDOW k AS (PARTITION BY buffer_id, chan, ord)) GROUP BY ALL"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("buffer_id", "chan", "order", *[R(s, 7 if s in ("mean", "std") else 4 if s in ("skewness", "kurtosis") else 6).alias(s) for s in SEVEN])
+    # Means of values with two decimals would often lie half-way between two roundings.
+    moments = [F.col(s).cast("float").alias(s) for s in ("mean", "std")]
+    return df.select("buffer_id", "chan", "order", *moments, *[R(s, 4 if s in ("skewness", "kurtosis") else 6).alias(s) for s in SEVEN[2:]])
 
 
 @query("buf_stats", f"WITH {EVENTS}, x AS (SELECT *, 0 AS ord FROM ev) {_stats_sql('x', 10, 50, 90)}")
@@ -218,7 +221,7 @@ def _(t):
     n AS (SELECT *, raw / sum(raw) OVER (PARTITION BY buffer_id, chan) AS weight FROM w),
     m AS (SELECT *, sum(weight * value) OVER (PARTITION BY buffer_id, chan) AS mu FROM n),
     s AS (SELECT *, sqrt(sum(weight * (value - mu) ** 2) OVER (PARTITION BY buffer_id, chan)) AS sd FROM m)
-    SELECT buffer_id, chan, {S("any_value(mu)", 7)} AS mean, {S("any_value(sd)", 7)} AS std,
+    SELECT buffer_id, chan, any_value(mu)::FLOAT AS mean, any_value(sd)::FLOAT AS std,
       {S("sum(weight * ((value - mu) / sd) ** 3)", 4)} AS skewness, {S("sum(weight * ((value - mu) / sd) ** 4)", 4)} AS kurtosis FROM s GROUP BY ALL""",
 )
 def _(t):
@@ -507,3 +510,90 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+
+
+# ---------------------------------------------------------------- signals and models: no SQL can say these
+
+
+def packed(t) -> DataFrame:
+    """One packed buffer per user of the events."""
+    return pack(signal(t), 1000.0)
+
+
+SETTINGS = {"win": 64, "hop": 16, "fft": 64}
+RANGES = {"mel_bands": {"bands": 8, "low": 20.0, "high": 400.0}, "mfcc": {"bands": 8, "coefficients": 5, "low": 20.0, "high": 400.0}, "loudness": {}, "amp_feature": {}, "pitch": {"low": 20.0, "high": 400.0}, "sine_feature": {"count": 4}}
+
+for _name in descriptors.DESCRIPTORS:
+
+    @query(f"describe_{_name}")
+    def _(t, name=_name):
+        frame = {} if name == "amp_feature" else {"win": 64, "hop": 16} if name == "loudness" else SETTINGS
+        return signals.describe_frames(packed(t), name, **frame, **RANGES.get(name, {}))
+
+
+for _name, _how in (("amp", {"on": 6, "off": 3, "high_pass": 0}), ("gate", {"on": 30, "off": 25, "high_pass": 0}), ("onset", {"metric": 2, "threshold": 5, **SETTINGS}), ("novelty", {"threshold": 0.1, **SETTINGS}), ("transient", {"order": 10, "block": 64, "pad": 32, "min_length": 20})):
+
+    @query(f"slice_{_name}")
+    def _(t, name=_name, how=_how):
+        return signals.slices(packed(t), name, **how)
+
+
+for _name, _how in (("hpss", SETTINGS), ("sines", {"min_length": 3, "track_hz": 60.0, **SETTINGS}), ("transients", {"order": 10, "block": 64, "pad": 32}), ("nmf", {"components": 2, "iterations": 20, **SETTINGS})):
+
+    @query(f"decompose_{_name}")
+    def _(t, name=_name, how=_how):
+        return signals.decomposed(packed(t), name, **how)
+
+
+@query("stft")
+def _(t):
+    return signals.stft(packed(t), **SETTINGS)
+
+
+@query("nmf_match")
+def _(t):
+    return signals.activations(packed(t), [[1.0] * 33, list(range(33, 0, -1))], **SETTINGS)
+
+
+@query("pca")
+def _(t):
+    ds = points(t)
+    return reduction.PCA(3).fit(ds).transform(ds)
+
+
+@query("mds")
+def _(t):
+    return reduction.mds(points(t).where("pos < 300"), 2)
+
+
+@query("umap")
+def _(t):
+    return reduction.UMAP(k=10, iterations=30).fit_transform(points(t).where("pos < 300"))[1]
+
+
+@query("grid")
+def _(t):
+    first = points(t).where("pos < 200")
+    return reduction.grid(DataSetQuery().add_range(0, 2).transform(first))
+
+
+@query("kmeans_fit")
+def _(t):
+    return clustering.KMeans(4, 10, "points", 7).fit(points(t)).predict(points(t))
+
+
+@query("skmeans_fit")
+def _(t):
+    return clustering.SKMeans(4, 10, "points", 7).fit(points(t)).predict(points(t))
+
+
+@query("mlp_classify")
+def _(t):
+    model = networks.MLPClassifier(networks.MLP((16,), "tanh", "sigmoid", 40, 0.1, 0.5))
+    return model.fit(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label")).predict(points(t))
+
+
+@query("mlp_regress")
+def _(t):
+    model = networks.MLPRegressor(networks.MLP((8,), "tanh", max_iter=40, learn_rate=0.05))
+    return model.fit(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"])).predict(points(t))
