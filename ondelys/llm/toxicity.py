@@ -49,6 +49,8 @@ PRIOR = 0.05
 SURE, CLEAR = 4.0, 1.0
 DRIFT = 0.5
 FOLDS, HELD_OUT = 5, 0
+#: Words whose tokens or score a worker keeps at hand.
+WORDS_KEPT = 200_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -96,7 +98,7 @@ class Scores(dict):
         self.tokens = tokens
 
     def __missing__(self, word: str) -> float | None:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         found = [s for t in tokens_of(word) if (s := self.tokens.get(t)) is not None]
         self[word] = best = max(found) if found else None
@@ -175,7 +177,7 @@ class Tokens(dict):
         self.wanted = wanted
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) > (WORDS_KEPT if self.wanted is not None else WORDS_KEPT // 5):
             self.clear()
         found = tokens_of(word)
         self[word] = out = tuple(found if self.wanted is None else [self.wanted[t] for t in found if t in self.wanted])
@@ -193,7 +195,7 @@ def _count_all(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(tokens.of(text.as_py()))
-                if len(counts) > 500_000:
+                if len(counts) > WORDS_KEPT:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
                     counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
