@@ -21,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stage
 from .bitslice import Leaders, small_stars
 from .components import components
 from .simhash import CHUNK, SEED
+from .urlfilter import build_filter, may_contain
 from .words import split_words
 
 WIDTH = 5
@@ -136,15 +137,19 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     dealt = nodes.select(F.explode("keys").alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
     pairs = stage(dealt.mapInArrow(_candidates_kernel, "a long, b long").where("a <> b").distinct(), "candidates")
 
+    met = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    # Texts stay where they are: a filter of bounded size says which may be asked for, and only their shingles travel.
+    asked = docs.sparkSession.sparkContext.broadcast(build_filter(met))
+
     def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_contain(asked.value, batch.column(2).to_numpy().view(np.uint64)), pa.bool_()))
             sets = [np.unique(shingle_hashes(t.as_py(), width)[0]).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    met = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
     # Repeated ids: any of the rows will do for an id that names its sequence.
-    needed = texts.join(met, F.col("doc_id") == F.col("of"), "left_semi")
-    sets = stage(needed.mapInArrow(shingle_kernel, "node long, shingles binary"), "shingles")
+    hashed = texts.select("doc_id", "text", F.xxhash64("doc_id"))
+    sets = stage(hashed.mapInArrow(shingle_kernel, "node long, shingles binary"), "shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def jaccard_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +163,39 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
 
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(jaccard_kernel, "a long, b long")
     roots = components(links)
-    dropped = roots.where("node <> root").select(F.col("node").alias("gone"))
-    chosen = stage(nodes.select("node").join(dropped, F.col("node") == F.col("gone"), "left_anti"), "kept-ids")
-    repeated = drawn.groupBy("doc_id").count().where("count > 1").select("doc_id").join(chosen, F.col("doc_id") == F.col("node"), "left_semi")
-    repeated = stage(repeated, "repeated-ids")
-    kept = docs.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").select(*docs.columns)
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = roots.where("node <> root").select(F.col("node").alias("gone"))
+    # Ids that need a look: of sequences that go, of repeats, and of texts that equal an earlier one's.
+    chosen = stage(nodes.select("node").join(gone.hint("merge"), F.col("node") == F.col("gone"), "left_anti"), "kept-ids")
+    counted = drawn.groupBy("doc_id").count()
+    special = counted.join(chosen.hint("merge"), F.col("doc_id") == F.col("node"), "left").where("node is null or count > 1")
+    special = stage(special.select(F.col("doc_id").alias("key"), F.col("node").isNotNull().alias("stays")), "special-ids")
+    return _without(docs, special)
+
+
+def _without(docs: DataFrame, special: DataFrame) -> DataFrame:
+    """``docs`` without the special ids that don't stay, and one row of each that does.
+
+    Texts whose id isn't in the filter of special ids pass without a shuffle;
+    the others, and what the filter mistakes for them, are decided exactly.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(build_filter(special.select("key")))
+    columns = docs.columns
+    row = F.struct(*[docs[c] for c in columns])
+
+    def rows(wanted: bool) -> DataFrame:
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                may = may_contain(sent.value, batch.column(1).fill_null(0).to_numpy().view(np.uint64)) & known
+                yield batch.filter(pa.array(may == wanted, pa.bool_()))
+
+        hashed = docs.select(row.alias("row"), F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"))).alias("h"))
+        return hashed.mapInArrow(kernel, hashed.schema)
+
+    sure = rows(False).select(*[F.col("row").getField(c).alias(c) for c in columns])
+    unsure = rows(True).select("row", F.col("row").getField("doc_id").cast("long").alias("id_of_row"))
+    unsure = unsure.join(special.hint("merge"), F.col("id_of_row") == F.col("key"), "left").where("key is null or stays")
+    unsure = unsure.withColumn("n", F.row_number().over(Window.partitionBy("id_of_row", "key").orderBy("id_of_row")))
+    # What the filter mistook keeps all its rows (there is one to an id); a repeated id keeps one.
+    unsure = unsure.where("key is null or n = 1")
+    return sure.unionByName(unsure.select(*[F.col("row").getField(c).alias(c) for c in columns]))
