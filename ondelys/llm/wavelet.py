@@ -57,7 +57,7 @@ class WaveletMatrix:
             counts = np.bitwise_count(packed.view("<u8")).reshape(-1, RANK_BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(packed)
             ranks.append(np.r_[np.uint32(0), np.cumsum(counts, dtype=np.uint32)])
-            low, high = now[~one], now[one]
+            low, high = now.compress(~one), now.compress(one)
             zeros.append(len(low))
             now = np.concatenate((low, high))
         return cls(len(ids), zeros, planes, ranks)
@@ -142,8 +142,8 @@ class WaveletMatrix:
         for b, (zeros, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes), strict=True)):
             one = np.unpackbits(plane, count=self.length, bitorder="little").view(bool)
             before = np.empty_like(now)
-            before[~one] = now[:zeros]
-            before[one] = now[zeros:] | now.dtype.type(1 << b)
+            before[np.flatnonzero(~one)] = now[:zeros]
+            before[np.flatnonzero(one)] = now[zeros:] | now.dtype.type(1 << b)
             now = before
         return now
 
@@ -186,8 +186,8 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, pa.Table, dict]:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode all documents in ascending ``doc_id`` order into shards in ``folder``.
 
-    Returns the manifest (partition, shard, tokens); ids with equal ``doc_id``
-    are ordered by text, a null ``doc_id`` comes first.  Documents are dealt in
+    Returns the manifest (partition, shard, tokens); rows with equal ``doc_id``
+    are ordered by the hash of their text, a null ``doc_id`` comes first.  Documents are dealt in
     ranges of ``doc_id``; a file is written under another name and then moved,
     so a task that runs again replaces equal bytes by equal bytes.
     """
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
     source = docs.select("doc_id", "text")
     kind = source.limit(0).toArrow().schema.field("doc_id").type
-    ordered = source.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return stage(ordered.mapInArrow(kernel, "partition long, shard long, tokens long"), "manifest")
 
 
