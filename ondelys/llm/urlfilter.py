@@ -31,8 +31,8 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 16
 WORDS = 8
-#: Odd multipliers, one per word of a block.
-SALTS = [(2 * i + 1) * 0x9E3779B1 & 0xFFFFFFFF for i in range(WORDS)]
+#: Odd multipliers, one per word of a block: fixed values of the Parquet format's split-block filter.
+SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
