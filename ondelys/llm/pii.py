@@ -11,7 +11,7 @@ surrogate is a function of a secret key, the kind and the canonical form, and
 keeps kind, length, character classes, check digits, script and, for names,
 gender.  Collisions are checked over the whole corpus: a candidate that equals
 another entity's surrogate or any real entity of its kind is drawn again, so
-distinct entities stay distinct.  First names are moved along a keyed cycle of
+distinct entities stay distinct as long as their format has values left.  First names are moved along a keyed cycle of
 the names of their gender and script, which can't collide.
 
 Texts without an entity are passed through as they are and never shuffled.  Of
@@ -28,6 +28,7 @@ an empty table gives an empty result.  The output has the input's columns and
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from ..scratch import stage
 
 #: Stands for the secret; pass your own.
 KEY = "ondelys"
-#: Rounds of drawing before the domain counts as exhausted.
-ROUNDS = 32
+#: Rounds of drawing before a format counts as exhausted.
+ROUNDS = 12
 
 # First names by script and gender: any list works, these are common ones.
 FIRST = {
@@ -63,15 +64,15 @@ _TITLES = "|".join(sorted(TITLES.split(), key=lambda n: (-len(n), n)))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> (characters it begins with, pattern).
 KINDS = {
-    "key": ("A", r"AKIA[A-Z2-7]{16}(?![A-Za-z0-9])"),
+    "key": ("Agsx", r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+)(?![A-Za-z0-9])"),
     "secret": ("tTpPsSaA", r"(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{8,}+"),
     "email": (r"A-Za-z0-9._%+\-", r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
     "ip": ("0-9", rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"),
     "mac": ("0-9A-Fa-f", r"(?<![:\-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"),
-    "ip6": ("0-9A-Fa-f", r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "ip6": ("0-9A-Fa-f", r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"),
     "card": ("2-6", r"(?:(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6011|65\d{2})(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))(?!\d)"),
     "ssn": ("0-8", r"(?<!-)(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"),
-    "phone": ("0-9+(", r"(?<![+(_])(?:\+\d{1,3}[ \-]?(?:\(\d{2,4}\)[ \-]?)?\d{2,4}(?:[ \-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"),
+    "phone": ("0-9+(", r"(?<![+(_])(?:\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)[ \-.]?)?\d{1,4}(?:[ \-.]\d{2,8}){1,5}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"),
     "iban": ("A-Z", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "name": ("A-ZÀ-ÞΆ-ΫЀ-Я", rf"(?:(?:{_TITLES})\.? {WORD_NAME}(?: {WORD_NAME}){{0,2}}|(?:{_NAMES}) {WORD_NAME}(?: {WORD_NAME})?)"),
 }
@@ -131,7 +132,7 @@ def _canonical(kind: Column, entity: Column) -> Column:
 
 def _valid(kind: str, canon: str) -> str:
     card = f"{_luhn(f'left({canon}, length({canon}) - 1)')} = right({canon}, 1)"
-    return f"CASE {kind} WHEN 'card' THEN {card} WHEN 'iban' THEN {_mod97(canon)} = 1 ELSE true END"
+    return f"CASE {kind} WHEN 'card' THEN {card} WHEN 'iban' THEN {_mod97(canon)} = 1 WHEN 'phone' THEN length({canon}) BETWEEN 7 AND 15 ELSE true END"
 
 
 def _words(entity: Column, first: Column) -> Column:
@@ -165,7 +166,7 @@ def _candidates(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
     every = "transform(sequence(1, length(canon)), i -> {})"
     classes = f"CASE WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) WHEN {char} BETWEEN 'a' AND 'z' THEN substring('{lower}', {byte} % 26 + 1, 1) WHEN {char} BETWEEN 'A' AND 'Z' THEN substring('{upper}', {byte} % 26 + 1, 1) ELSE {char} END"
     hexes = f"CASE WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) WHEN {char} BETWEEN 'a' AND 'f' THEN substring('abcdef', {byte} % 6 + 1, 1) WHEN {char} BETWEEN 'A' AND 'F' THEN substring('ABCDEF', {byte} % 6 + 1, 1) ELSE {char} END"
-    base32 = f"CASE WHEN i <= 4 THEN {char} WHEN {char} BETWEEN '2' AND '7' THEN string(2 + {byte} % 6) ELSE substring('{upper}', {byte} % 26 + 1, 1) END"
+    base32 = f"CASE WHEN {char} BETWEEN '2' AND '7' THEN string(2 + {byte} % 6) WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) ELSE substring('{upper}', {byte} % 26 + 1, 1) END"
     table = table.withColumn("classes", F.expr(f"array_join({every.format(classes)}, '')"))
     table = table.withColumn("hexes", F.expr(f"array_join({every.format(hexes)}, '')"))
     octets = "concat_ws('.', CASE WHEN canon LIKE '10.%' THEN '10' WHEN canon LIKE '192.168.%' THEN '192.168' WHEN canon LIKE '127.%' THEN '127' WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN concat('172.', 16 + int(conv(substring(stream, 3, 2), 16, 10)) % 16) ELSE concat(11 + int(conv(substring(stream, 1, 2), 16, 10)) % 89, '.', int(conv(substring(stream, 3, 2), 16, 10))) END, CASE WHEN canon LIKE '10.%' OR canon LIKE '127.%' THEN string(int(conv(substring(stream, 5, 2), 16, 10))) END, string(int(conv(substring(stream, 7, 2), 16, 10))), string(1 + int(conv(substring(stream, 9, 2), 16, 10)) % 254))"
@@ -203,7 +204,7 @@ def _candidates(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
         .when(F.col("kind") == "ssn", F.expr(ssn))
         .when(F.col("kind") == "phone", F.expr(phone))
         .when(F.col("kind") == "iban", F.expr(iban))
-        .when(F.col("kind") == "key", F.expr(f"array_join({every.format(base32)}, '')"))
+        .when(F.col("kind") == "key", F.expr(f"concat(left(canon, 4), substring(if(canon LIKE 'AKIA%', array_join({every.format(base32)}, ''), classes), 5))"))
         .when(F.col("kind").isin("mac", "ip6") | (F.col("kind") == "secret") & F.col("canon").rlike("^[0-9a-f]+$|^[0-9A-F]+$"), F.col("hexes"))
         .when(F.col("kind") == "last", last)
         .otherwise(F.col("classes"))
@@ -225,7 +226,9 @@ def surrogates(atoms: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFr
         pending = stage(drawn.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "pending")
         if pending.isEmpty():
             return done
-    raise ValueError("a kind has no surrogates left of its format")
+    # More entities than their format has values: the last draw stands, as no other could be distinct.
+    warnings.warn("a kind has no distinct surrogates left of its format", stacklevel=2)
+    return done.unionByName(_candidates(pending, key, rounds))
 
 
 def _fill(entity: str, replacement: str, pattern: str, skip: str) -> str:
