@@ -125,3 +125,61 @@ def corpus(buffers: DataFrame, used: tuple[str, ...] = ("pitch", "loudness", "sp
     point = F.array_sort(F.collect_list(F.struct("chan", F.array(*stats.STATS).alias("v"))))
     rows = table.groupBy("buffer_id").agg(F.flatten(F.transform(point, lambda r: r["v"])).alias("point"))
     return rows.select(F.col("buffer_id").alias("id"), F.monotonically_increasing_id().alias("pos"), "point")
+
+
+PAIRED = {
+    "audio_transport": lambda a, b, rate, **s: decompose.audio_transport(a, b, rate, **s),
+    "nmf_cross": lambda a, b, rate, **s: decompose.nmf_cross(a, b, rate, **s),
+}
+
+
+def paired(first: DataFrame, second: DataFrame, how: str, **settings) -> DataFrame:
+    """Packed buffers made of two that share a name and channel: a transport between them, or one rebuilt from the other."""
+    work = PAIRED[how]
+    other = second.select("buffer_id", "chan", F.col("samples").alias("other"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for (_, _, rate, a), b in zip(_channels(batch), batch.column("other"), strict=True):
+                out.append(np.asarray(work(a, np.asarray(b.values.to_numpy(zero_copy_only=False), float), rate, **settings), np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column("buffer_id"), batch.column("chan"), batch.column("sample_rate"), pa.array(out, pa.list_(pa.float32()))], ["buffer_id", "chan", "sample_rate", "samples"])
+
+    both = _input(first).join(other, ["buffer_id", "chan"]).select("buffer_id", "chan", "sample_rate", "samples", "other")
+    return both.mapInArrow(kernel, "buffer_id string, chan long, sample_rate double, samples array<float>")
+
+
+def nmf_seeds(buffers: DataFrame, low: int = 1, high: int = 200, coverage: float = 0.5, method: int = 0, seed: int = 42, **settings) -> DataFrame:
+    """(buffer_id, chan, component, base, activation): starting factors of each channel's magnitudes."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, chan, _, x in _channels(batch):
+                w, h = decompose.nmf_seed(np.abs(spectral.spectrum(x, **settings)), low, high, coverage, method, seed)
+                n = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([chan] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(list(w), pa.list_(pa.float64())), pa.array(list(h.T), pa.list_(pa.float64()))], ["buffer_id", "chan", "component", "base", "activation"])
+
+    return _input(buffers).mapInArrow(kernel, "buffer_id string, chan long, component long, base array<double>, activation array<double>")
+
+
+def from_magnitudes(spectra: DataFrame, length: int, iterations: int = 50, sample_rate: float = 44100.0, seed: int = 42, **settings) -> DataFrame:
+    """Packed buffers whose magnitudes are those of (buffer_id, chan, frame, magnitude), by iterated phases."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        x = decompose.griffin_lim(np.array(table.column("magnitude").to_pylist()), length, iterations, seed=seed, **settings)
+        return pa.table({"buffer_id": table.column("buffer_id").slice(0, 1), "chan": table.column("chan").slice(0, 1), "sample_rate": pa.array([sample_rate]), "samples": pa.array([x.astype(np.float32)], pa.list_(pa.float32()))})
+
+    return spectra.select("buffer_id", "chan", "frame", "magnitude").groupBy("buffer_id", "chan").applyInArrow(work, "buffer_id string, chan long, sample_rate double, samples array<float>")
+
+
+def morphed(activations: DataFrame, source: list[list[float]], target: list[list[float]], length: int, between: float = 0.5, sample_rate: float = 44100.0, **settings) -> DataFrame:
+    """Packed buffers from (buffer_id, chan, frame, features) activations on bases part of the way between two sets."""
+    a, b = np.array(source, float), np.array(target, float)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        x = decompose.nmf_morph(a, b, np.array(table.column("features").to_pylist()), length, between, **settings)
+        return pa.table({"buffer_id": table.column("buffer_id").slice(0, 1), "chan": table.column("chan").slice(0, 1), "sample_rate": pa.array([sample_rate]), "samples": pa.array([x.astype(np.float32)], pa.list_(pa.float32()))})
+
+    return activations.groupBy("buffer_id", "chan").applyInArrow(work, "buffer_id string, chan long, sample_rate double, samples array<float>")

@@ -123,24 +123,19 @@ def _(t):
     return to_wide(points(t), ["a", "b"]).where("a > b")
 
 
-KNN = f"""WITH {POINTS}, q AS (SELECT * FROM pts WHERE pos < 10),
+KNN = f"""WITH {POINTS}, q AS (SELECT * FROM pts),
 near AS (SELECT q.id AS query, pts.id, pts.pos, pts.p, pts.label, list_distance(q.p, pts.p) AS distance,
          row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.p, pts.p), pts.pos) AS rank FROM q, pts)"""
 
 
-def _ten(t):
-    """The stated queries: the first ten points."""
-    return points(t).where("pos < 10")
-
-
 @query("knn", f"{KNN} SELECT query, rank::INTEGER AS rank, id, {S('distance')} AS distance FROM near WHERE rank <= 10")
 def _(t):
-    return neighbors.nearest(points(t), _ten(t), 10).withColumn("distance", R("distance"))
+    return neighbors.nearest(points(t), points(t), 10).withColumn("distance", R("distance"))
 
 
 @query("knn_radius", f"{KNN} SELECT query, rank::INTEGER AS rank, id, {S('distance')} AS distance FROM near WHERE distance < 1.1 AND rank <= 50")
 def _(t):
-    return neighbors.nearest(points(t), _ten(t), 50, 1.1).withColumn("distance", R("distance"))
+    return neighbors.nearest(points(t), points(t), 50, 1.1).withColumn("distance", R("distance"))
 
 
 @query(
@@ -149,7 +144,7 @@ def _(t):
 )
 def _(t):
     judged = dataset(t("labels"), "doc_id", "doc_id", ["quality"])
-    return neighbors.lookup(neighbors.nearest(points(t), _ten(t), 10), judged).select("query", "rank", "id", F.col("point")[0].alias("quality"))
+    return neighbors.lookup(neighbors.nearest(points(t), points(t), 10), judged).select("query", "rank", "id", F.col("point")[0].alias("quality"))
 
 
 WEIGHTED = f"""{KNN}, top AS (SELECT *, max((distance < 2.220446049250313e-16)::INT) OVER (PARTITION BY query) AS exact FROM near WHERE rank <= 5),
@@ -162,12 +157,12 @@ w AS (SELECT *, CASE WHEN exact = 1 THEN (distance < 2.220446049250313e-16)::INT
     SELECT query AS id, label::VARCHAR AS label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY vote DESC, first) = 1""",
 )
 def _(t):
-    return neighbors.classify(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label"), _ten(t), 5)
+    return neighbors.classify(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label"), points(t), 5)
 
 
 @query("knn_regress", f"{WEIGHTED} SELECT query AS id, {S('sum(w * label) / sum(w)')} AS p0 FROM w GROUP BY query")
 def _(t):
-    return flat(neighbors.regress(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"]), _ten(t), 5), 1, 6)
+    return flat(neighbors.regress(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"]), points(t), 5), 1, 6)
 
 
 SEVEN = ["mean", "std", "skewness", "kurtosis", "low", "mid", "high"]
@@ -504,7 +499,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     ds = points(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     scaled = scalers.Standardize().fit(ds).transform(ds)
-    near = neighbors.nearest(scaled, scaled.where("pos < 10"), 5)
+    near = neighbors.nearest(scaled, scaled, 5)
     kept = DataSetQuery().add_range(0, 3).filter(0, ">", -1.0).transform(scaled)
     return near.join(kept.select("id", "point"), "id").select("query", "rank", "id", R("distance").alias("distance"), F.col("point")[0].alias("p0"))
 
@@ -555,6 +550,36 @@ def _(t):
     return signals.activations(packed(t), [[1.0] * 33, list(range(33, 0, -1))], **SETTINGS)
 
 
+def backwards(t) -> DataFrame:
+    return packed(t).withColumn("samples", F.reverse("samples"))
+
+
+@query("audio_transport")
+def _(t):
+    return signals.paired(packed(t), backwards(t), "audio_transport", between=0.5, **SETTINGS)
+
+
+@query("nmf_cross")
+def _(t):
+    return signals.paired(packed(t), backwards(t), "nmf_cross", iterations=3, **SETTINGS)
+
+
+@query("nmf_seed")
+def _(t):
+    return signals.nmf_seeds(packed(t), 1, 4, 0.5, 1, **SETTINGS)
+
+
+@query("griffin_lim")
+def _(t):
+    return signals.from_magnitudes(signals.stft(packed(t), **SETTINGS), 200, 5, 1000.0, **SETTINGS)
+
+
+@query("nmf_morph")
+def _(t):
+    bases = [[1.0] * 33, [float(i) for i in range(33, 0, -1)]]
+    return signals.morphed(signals.activations(packed(t), bases, **SETTINGS), bases, bases[::-1], 200, 0.3, 1000.0, **SETTINGS)
+
+
 @query("pca")
 def _(t):
     ds = points(t)
@@ -563,18 +588,17 @@ def _(t):
 
 @query("mds")
 def _(t):
-    return reduction.mds(points(t).where("pos < 300"), 2)
+    return reduction.mds(points(t), 2)
 
 
 @query("umap")
 def _(t):
-    return reduction.UMAP(k=10, iterations=30).fit_transform(points(t).where("pos < 300"))[1]
+    return reduction.UMAP(k=10, iterations=30).fit_transform(points(t))[1]
 
 
 @query("grid")
 def _(t):
-    first = points(t).where("pos < 200")
-    return reduction.grid(DataSetQuery().add_range(0, 2).transform(first))
+    return reduction.grid(DataSetQuery().add_range(0, 2).transform(points(t)))
 
 
 @query("kmeans_fit")

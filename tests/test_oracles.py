@@ -11,7 +11,7 @@ def test_against_sql(spark, duck, name):
     same(QUERIES[name](spark, str(DATA)), duck, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["describe_mfcc", "describe_pitch", "slice_amp", "slice_onset", "decompose_hpss", "stft", "pca", "kmeans_fit", "flagship"])
+@pytest.mark.parametrize("name", ["describe_mfcc", "describe_pitch", "slice_amp", "slice_onset", "decompose_hpss", "stft", "pca", "kmeans_fit", "flagship", "audio_transport", "nmf_cross", "nmf_seed", "griffin_lim", "nmf_morph"])
 def test_gives_rows(spark, name):
     if not DATA.exists():
         pytest.skip("no test tables here")
