@@ -49,8 +49,12 @@ NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement"
     " advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup login signin form search share sharing social related recommended recommendations comment"
-    " comments disqus discussion reply replies respond widget toolbar pagination pager skip copyright legal disclaimer".split()
+    " comments disqus discussion reply replies respond responses widget toolbar pagination pager skip copyright legal disclaimer"
+    " notification notifications announcement announcements teaser teasers trending outbrain taboola paywall".split()
 )
+#: Furniture by how a name part begins or ends, for names written together.
+NAMED_BEFORE = ("comment", "sidebar", "advert", "cookie", "breadcrumb", "newsletter", "sponsor", "navbar", "navigation", "footer")
+NAMED_BEHIND = ("menu", "navbar", "sidebar", "footer", "subnav", "topnav", "sitenav", "mainnav", "comments", "banner")
 HEADER = frozenset(["header", "topbar"])
 #: A name part before which the furniture is only spoken of.
 ABOUT = frozenset("has with no without".split())
@@ -86,8 +90,8 @@ def _element(parent: Element, name: str, rest: str, names: bool) -> Element:
                 for i, p in enumerate(parts):
                     if i and parts[i - 1] in ABOUT:
                         continue
-                    out = out or p in NAMES
-                    header = header or p in HEADER
+                    out = out or p in NAMES or p.startswith(NAMED_BEFORE) or p.endswith(NAMED_BEHIND)
+                    header = header or p in HEADER or p.endswith("header")
     return Element(parent, name, label, out, header)
 
 

@@ -241,6 +241,8 @@ def test_main_text(spark):
     assert htmltext.extract(PAGE).split("\n\n") == MAIN
     as_article = PAGE.replace('<div class="content">', "<article>").replace("</div></div><form>", "</article></div><form>")
     assert htmltext.extract(as_article).split("\n\n") == MAIN
+    together = PAGE.replace('class="sidebar"', 'class="leftSidebar wide"').replace('id="comments"', 'class="commentlist"').replace('class="advert"', 'class="adverts-inline"')
+    assert htmltext.extract(together).split("\n\n") == MAIN
     for page, want in ((None, ""), ("", ""), ("<p>one", "one"), ("plain &lt;text&gt;", "plain <text>"), ("<a href='x>y", "y"), ("<div" * 3, ""), ("<!-- a", ""), ("<p>a<p>b", "a\n\nb"), ("<article><p>a\xa0 b\n c</p></article>", "a b c")):
         assert htmltext.extract(page) == want, page
     assert len(htmltext.extract("<article>" + "<p>word, word.</p>" * 20000 + "</article>").split("\n\n")) == 20000
