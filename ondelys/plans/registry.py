@@ -526,6 +526,127 @@ for _name in descriptors.DESCRIPTORS:
         return signals.describe_frames(packed(t), name, **frame, **RANGES.get(name, {}))
 
 
+# Short frames, so that SQL can spell out the transform: 16 samples, every 8, no padding.
+SHORT = {"win": 16, "hop": 8, "fft": 16, "padding": "none"}
+FRAMES = f"""{EVENTS}, n AS (SELECT buffer_id, count(*) AS n FROM ev GROUP BY buffer_id),
+fr AS (SELECT buffer_id, frame // 8 - d AS f, frame - (frame // 8 - d) * 8 AS k, value::FLOAT::DOUBLE AS v
+       FROM ev JOIN n USING (buffer_id), (VALUES (0), (1)) t(d) WHERE frame // 8 - d >= 0 AND (frame // 8 - d) * 8 + 16 <= n)"""
+SPECTRA = f"""{FRAMES}, wi AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * k / 16)) AS x FROM fr),
+sp AS (SELECT buffer_id, f, b, sqrt(sum(x * cos(2 * pi() * b * k / 16)) ** 2 + sum(x * sin(2 * pi() * b * k / 16)) ** 2) AS mag FROM wi, range(9) t(b) GROUP BY ALL),
+pr AS (SELECT *, coalesce(lag(mag) OVER (PARTITION BY buffer_id, b ORDER BY f), 0) AS old FROM sp),
+fl AS (SELECT *, greatest(mag, {EPS}) AS m, greatest(old, {EPS}) AS o FROM pr)"""
+
+
+def first_feature(t, name: str, **settings) -> DataFrame:
+    found = signals.describe_frames(packed(t), name, **settings)
+    return found.select("buffer_id", "frame", R(F.col("features")[0], 4).alias("value"))
+
+
+@query("frame_loudness", f"WITH {FRAMES} SELECT buffer_id, f AS frame, {S(f'-0.691 + 10 * log10(avg(v * v) + {EPS})', 5)} AS loudness, {S(f'20 * log10(max(abs(v)) + {EPS})', 5)} AS peak FROM fr GROUP BY ALL")
+def _(t):
+    found = signals.describe_frames(packed(t), "loudness", weighting=False, true_peak=False, win=16, hop=8, padding="none")
+    return found.select("buffer_id", "frame", R(F.col("features")[0], 5).alias("loudness"), R(F.col("features")[1], 5).alias("peak"))
+
+
+@query("stft_magnitude", f"WITH {SPECTRA} SELECT buffer_id, f AS frame, b AS bin, {S('mag', 4)} AS magnitude FROM sp")
+def _(t):
+    found = signals.stft(packed(t), **SHORT).select("buffer_id", "frame", F.posexplode("magnitude").alias("bin", "magnitude"))
+    return found.select("buffer_id", "frame", F.col("bin").cast("long").alias("bin"), R("magnitude", 4).alias("magnitude"))
+
+
+for _metric, _form in ((0, "avg(mag * mag)"), (1, "avg(b * 9 / 8.0 * mag * mag)"), (2, "avg(greatest(mag - old, 0))"), (3, f"avg(ln(greatest(m / o, {EPS})))"), (5, "1 - sum(m * o) / (sqrt(sum(m * m)) * sqrt(sum(o * o)))")):
+
+    @query(f"onset_metric_{_metric}", f"WITH {SPECTRA} SELECT buffer_id, f AS frame, {S(_form, 4)} AS value FROM fl GROUP BY ALL")
+    def _(t, metric=_metric):
+        return first_feature(t, "onset_feature", metric=metric, filter_size=0, **SHORT)
+
+
+@query(
+    "onset_filtered",
+    f"""WITH {SPECTRA}, e AS (SELECT buffer_id, f, avg(greatest(mag - old, 0)) AS v FROM fl GROUP BY ALL),
+    h AS (SELECT *, list(v) OVER (PARTITION BY buffer_id ORDER BY f ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM e)
+    SELECT buffer_id, f AS frame, {S("v - list_sort(list_concat(l, list_transform(range(5 - len(l)), lambda x: 0.0)))[3]", 4)} AS value FROM h""",
+)
+def _(t):
+    return first_feature(t, "onset_feature", metric=2, filter_size=5, **SHORT)
+
+
+@query(
+    "spectral_moments",
+    f"""WITH {SPECTRA}, a AS (SELECT *, b * 500 / 7.0 AS hz, greatest(mag, {EPS}) AS amp FROM sp WHERE b < 8),
+    c AS (SELECT *, sum(amp * hz) OVER w / sum(amp) OVER w AS centre FROM a WINDOW w AS (PARTITION BY buffer_id, f))
+    SELECT buffer_id, f AS frame, {S("any_value(centre)", 4)} AS centroid, {S("sqrt(sum(amp * (hz - centre) ** 2) / sum(amp))", 4)} AS spread,
+      {S("sum(amp * (hz - centre) ** 3) / (sum(amp) * (sum(amp * (hz - centre) ** 2) / sum(amp)) ** 1.5)", 4)} AS skewness,
+      {S("sum(amp * (hz - centre) ** 4) / (sum(amp) * (sum(amp * (hz - centre) ** 2) / sum(amp)) ** 2)", 4)} AS kurtosis,
+      {S("20 * log10(exp(avg(ln(amp))) / avg(amp))", 4)} AS flatness, {S("20 * log10(max(amp) / avg(amp))", 4)} AS crest
+    FROM c GROUP BY buffer_id, f""",
+)
+def _(t):
+    found = signals.describe_frames(packed(t), "spectral_shape", **SHORT)
+    names = ["centroid", "spread", "skewness", "kurtosis", "", "flatness", "crest"]
+    return found.select("buffer_id", "frame", *[R(F.col("features")[i], 4).alias(n) for i, n in enumerate(names) if n])
+
+
+@query(
+    "novelty_curve",
+    f"""WITH {SPECTRA}, v AS (SELECT buffer_id, f, list(mag ORDER BY b) AS m FROM sp GROUP BY ALL),
+    w AS (SELECT *, lag(m, 1) OVER k AS m1, lag(m, 2) OVER k AS m2, exp(-0.5) AS g FROM v WINDOW k AS (PARTITION BY buffer_id ORDER BY f)),
+    s AS (SELECT *, coalesce(list_cosine_similarity(m, m1), 0) AS s12, coalesce(list_cosine_similarity(m1, m2), 0) AS s01, coalesce(list_cosine_similarity(m, m2), 0) AS s02,
+          (m1 IS NOT NULL)::INT AS h1, (m2 IS NOT NULL)::INT AS h2 FROM w)
+    SELECT buffer_id, f AS frame, {S("(g * g + h1 + g * g * h2 + 2 * g * s12 - 2 * g * s01 - 2 * g * g * s02) / (2 * g ** 4 + 1 + 4 * g * g + 2 * g ** 4)", 4)} AS value FROM s""",
+)
+def _(t):
+    return first_feature(t, "novelty_feature", **SHORT)
+
+
+MEL = f"""{SPECTRA}, ed AS (SELECT j, 700 * (exp((1127.01048 * ln(20 / 700.0 + 1) + j * (1127.01048 * ln(400 / 700.0 + 1) - 1127.01048 * ln(20 / 700.0 + 1)) / 7) / 1127.01048) - 1) AS hz FROM range(8) t(j)),
+mf AS (SELECT l.j AS band, b, greatest(0, least((b * 62.5 - l.hz) / (c.hz - l.hz), (h.hz - b * 62.5) / (h.hz - c.hz))) AS w
+       FROM ed l JOIN ed c ON c.j = l.j + 1 JOIN ed h ON h.j = l.j + 2, range(9) t(b)),
+me AS (SELECT buffer_id, f, band, sum(mag * w) AS v FROM sp JOIN mf USING (b) GROUP BY ALL)"""
+
+
+@query("mel_energies", f"WITH {MEL} SELECT buffer_id, f AS frame, band, {S('v', 4)} AS value FROM me")
+def _(t):
+    found = signals.describe_frames(packed(t), "mel_bands", bands=6, low=20.0, high=400.0, normalize=False, **SHORT)
+    return found.select("buffer_id", "frame", F.posexplode("features").alias("band", "v")).select("buffer_id", "frame", F.col("band").cast("long").alias("band"), R("v", 4).alias("value"))
+
+
+@query(
+    "mfcc_values",
+    f"""WITH {MEL} SELECT buffer_id, f AS frame, i AS coefficient,
+    {S("sum(20 * log10(greatest(v, " + EPS + ")) * cos(pi() / 6 * i * (band + 0.5)) * CASE WHEN i = 0 THEN sqrt(1 / 6.0) ELSE sqrt(2 / 6.0) END)", 4)} AS value FROM me, range(4) t(i) GROUP BY ALL""",
+)
+def _(t):
+    found = signals.describe_frames(packed(t), "mfcc", bands=6, coefficients=4, low=20.0, high=400.0, **SHORT)
+    return found.select("buffer_id", "frame", F.posexplode("features").alias("i", "v")).select("buffer_id", "frame", F.col("i").cast("long").alias("coefficient"), R("v", 4).alias("value"))
+
+
+@query(
+    "chroma_values",
+    f"""WITH {SPECTRA}, pi AS (SELECT k, CASE WHEN k = 0 THEN 12 * log2(1000 / 15.0 / 27.5) - 18 ELSE 12 * log2(k * 1000 / 15.0 / 27.5) END AS p FROM range(1, 16) t(k) UNION ALL SELECT 0, 12 * log2(1000 / 15.0 / 27.5) - 18),
+    wd AS (SELECT k AS b, p, greatest(1, coalesce(lead(p) OVER (ORDER BY k) - p, 1)) AS w FROM pi),
+    bu AS (SELECT b, c, exp(-0.5 * (2 * ((p - c + 126) % 12 - 6) / w) ** 2) AS g FROM wd, range(12) t(c)),
+    no AS (SELECT b, c, g / sqrt(sum(g * g) OVER (PARTITION BY b)) AS g FROM bu WHERE b < 9)
+    SELECT buffer_id, f AS frame, c AS chroma, {S("sum(mag * mag * g) / 96", 4)} AS value FROM sp JOIN no USING (b) GROUP BY ALL""",
+)
+def _(t):
+    found = signals.describe_frames(packed(t), "chroma", **SHORT)
+    return found.select("buffer_id", "frame", F.posexplode("features").alias("i", "v")).select("buffer_id", "frame", F.col("i").cast("long").alias("chroma"), R("v", 4).alias("value"))
+
+
+@query(
+    "envelope",
+    f"""WITH RECURSIVE {EVENTS}, lv AS (SELECT buffer_id, frame, greatest(20 * log10(abs(value::FLOAT::DOUBLE)), -144) AS level FROM ev),
+    go AS (SELECT buffer_id, frame, level, -144 + (level + 144) / 4.0 AS fast, -144 + (level + 144) / 10.0 AS slow FROM lv WHERE frame = 0
+      UNION ALL SELECT lv.buffer_id, lv.frame, lv.level,
+        fast + (lv.level - fast) / CASE WHEN lv.level > fast THEN 4.0 ELSE 8.0 END, slow + (lv.level - slow) / CASE WHEN lv.level > slow THEN 10.0 ELSE 50.0 END
+      FROM go JOIN lv ON lv.buffer_id = go.buffer_id AND lv.frame = go.frame + 1)
+    SELECT buffer_id, frame, {S("fast - slow", 4)} AS value FROM go""",
+)
+def _(t):
+    return first_feature(t, "amp_feature", fast_up=4, fast_down=8, slow_up=10, slow_down=50, high_pass=0)
+
+
 for _name, _how in (("amp", {"on": 6, "off": 3, "high_pass": 0}), ("gate", {"on": 30, "off": 25, "high_pass": 0}), ("onset", {"metric": 2, "threshold": 5, **SETTINGS}), ("novelty", {"threshold": 0.1, **SETTINGS}), ("transient", {"order": 10, "block": 64, "pad": 32, "min_length": 20})):
 
     @query(f"slice_{_name}")
