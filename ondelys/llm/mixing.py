@@ -128,11 +128,18 @@ def mix_documents(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed:
         plan.groupBy(F.col("source").alias("c_source")).agg(F.max("epochs").alias("c_epochs"), F.max(F.when(inside, F.col("key"))).alias("c_key")),
         "mix-cuts",
     )
-    joined = docs.withColumn("c_row_key", random_key(F.col("doc_id"), seed)).join(cuts, F.col("source").eqNullSafe(F.col("c_source")))
-    copies = F.col("c_epochs") + F.coalesce((F.col("c_row_key") <= F.col("c_key")).cast("long"), F.lit(0))
-    copies = F.when(word_count(F.col("text")) > 0, copies).otherwise(0)
-    out = joined.withColumn("c_copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    # The row travels as one column, so that no name of the input meets one of ours.
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs["source"].alias("row_source"),
+        random_key(docs["doc_id"], seed).alias("row_key"),
+        (word_count(docs["text"]) > 0).alias("filled"),
+    )
+    copies = F.col("c_epochs") + F.coalesce((F.col("row_key") <= F.col("c_key")).cast("long"), F.lit(0))
+    copies = F.when(F.col("filled"), copies).otherwise(0)
+    joined = rows.join(cuts, F.col("row_source").eqNullSafe(F.col("c_source")))
+    out = joined.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same mix in DuckDB SQL.
