@@ -30,7 +30,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    out = pii.replace_entities(docs, added="pii_entities").select(*docs.columns)
+    count = "n_entities"
+    while count in docs.columns:
+        count += "_"
+    out = pii.replace_entities(docs, added=count).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
