@@ -647,6 +647,26 @@ def _(t):
     return first_feature(t, "amp_feature", fast_up=4, fast_down=8, slow_up=10, slow_down=50, high_pass=0)
 
 
+@query(
+    "amp_slices",
+    f"""WITH RECURSIVE {EVENTS}, lv AS (SELECT buffer_id, frame, greatest(20 * log10(abs(value::FLOAT::DOUBLE)), -144) AS level FROM ev),
+    go AS (SELECT buffer_id, frame, level, -144 + (level + 144) / 4.0 AS fast, -144 + (level + 144) / 10.0 AS slow FROM lv WHERE frame = 0
+      UNION ALL SELECT lv.buffer_id, lv.frame, lv.level,
+        fast + (lv.level - fast) / CASE WHEN lv.level > fast THEN 4.0 ELSE 8.0 END, slow + (lv.level - slow) / CASE WHEN lv.level > slow THEN 10.0 ELSE 50.0 END
+      FROM go JOIN lv ON lv.buffer_id = go.buffer_id AND lv.frame = go.frame + 1),
+    vl AS (SELECT buffer_id, frame, fast - slow AS v FROM go),
+    st AS (SELECT buffer_id, frame, v, v > 1.5 AS det, CASE WHEN v > 1.5 THEN 2 ELSE 0 END AS wait, v > 1.5 AS held FROM vl WHERE frame = 0
+      UNION ALL SELECT buffer_id, frame, v, det, CASE WHEN det THEN 2 ELSE greatest(wait - 1, 0) END, (held OR det) AND NOT v < 0.5
+      FROM (SELECT vl.buffer_id, vl.frame, vl.v, NOT st.held AND vl.v > 1.5 AND st.v < 1.5 AND st.wait = 0 AS det, st.wait, st.held
+            FROM st JOIN vl ON vl.buffer_id = st.buffer_id AND vl.frame = st.frame + 1)),
+    hit AS (SELECT buffer_id, frame FROM st WHERE det)
+    SELECT b.buffer_id, coalesce(row_number() OVER (PARTITION BY b.buffer_id ORDER BY frame) - 1, 0) AS slice, coalesce(frame, -1) AS onset
+    FROM (SELECT DISTINCT buffer_id FROM ev) b LEFT JOIN hit USING (buffer_id)""",
+)
+def _(t):
+    return signals.slices(packed(t), "amp", on=1.5, off=0.5, min_length=2, fast_up=4, fast_down=8, slow_up=10, slow_down=50, high_pass=0).select("buffer_id", "slice", "onset")
+
+
 for _name, _how in (("amp", {"on": 6, "off": 3, "high_pass": 0}), ("gate", {"on": 30, "off": 25, "high_pass": 0}), ("onset", {"metric": 2, "threshold": 5, **SETTINGS}), ("novelty", {"threshold": 0.1, **SETTINGS}), ("transient", {"order": 10, "block": 64, "pad": 32, "min_length": 20})):
 
     @query(f"slice_{_name}")
