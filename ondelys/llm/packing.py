@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..scratch import stage
+from .memory import released
 from .tokenids import encode_documents
 
 CAPACITY = 4096
@@ -88,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         return pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.binary()) for x in raw], names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found, held = [], 0
             for i, ids in enumerate(encode_documents(tokenizer, (t.as_py() for t in batch.column(1)), end_id)):
                 for k, at in enumerate(range(0, len(ids), capacity)):
@@ -118,7 +119,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, OpenBins(capacity, open_bins)
-        for batch in batches:
+        for batch in released(batches):
             sequence, offset = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
             of, lengths = batch.column("group").to_pylist(), batch.column("length").to_pylist()
             for i, (g, n) in enumerate(zip(of, lengths, strict=True)):
@@ -147,7 +148,7 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     schema = StructType([StructField("sequence_id", LongType()), StructField("ids", ArrayType(LongType())), StructField("parts", ArrayType(part))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids = [np.frombuffer(b"".join(p["ids"] for p in row), "<u4").astype(np.int64) for row in batch.column("held").to_pylist()]
             parts = [[{k: p[k] for k in ("doc_id", "piece", "offset", "length")} for p in row] for row in batch.column("held").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.struct([pa.field(f.name, t) for f, t in zip(part.fields, [batch.schema.field("held").type.value_type.field(n).type for n in ("doc_id", "piece", "offset", "length")], strict=True)])))], schema.names)

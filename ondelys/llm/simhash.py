@@ -39,6 +39,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..scratch import stage
 from .bitslice import local_links
 from .components import components
+from .memory import released
 from .words import split_words
 
 SEED = 42
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
@@ -106,7 +107,7 @@ def _links_kernel(radius: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by (key, sub): a group ends where either changes; the last waits for the next batch.
         keys, subs, prints = (np.zeros(0, np.int64) for _ in range(3))
-        for batch in batches:
+        for batch in released(batches):
             k, s, p = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             keys, subs, prints = np.r_[keys, k], np.r_[subs, s], np.r_[prints, p]
             if not len(keys):

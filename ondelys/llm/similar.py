@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..scratch import stage
 from .bitslice import Leaders, small_stars
 from .components import components
+from .memory import released
 from .simhash import CHUNK, SEED
 from .urlfilter import build_filter, may_contain
 from .words import split_words
@@ -123,7 +124,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for t in batch.column(1):
                 hashes, digest = shingle_hashes(t.as_py(), width)
@@ -142,7 +143,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     asked = docs.sparkSession.sparkContext.broadcast(build_filter(met))
 
     def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             batch = batch.filter(pa.array(may_contain(asked.value, batch.column(2).to_numpy().view(np.uint64)), pa.bool_()))
             sets = [np.unique(shingle_hashes(t.as_py(), width)[0]).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
@@ -153,7 +154,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def jaccard_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             near = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -184,7 +185,7 @@ def _without(docs: DataFrame, special: DataFrame) -> DataFrame:
 
     def rows(wanted: bool) -> DataFrame:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
                 may = may_contain(sent.value, batch.column(1).fill_null(0).to_numpy().view(np.uint64)) & known
                 yield batch.filter(pa.array(may == wanted, pa.bool_()))

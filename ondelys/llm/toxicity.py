@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .memory import released
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings that count as tokens.
 BEGINNINGS = (4, 5, 6)
@@ -50,7 +52,7 @@ SURE, CLEAR = 4.0, 1.0
 DRIFT = 0.5
 FOLDS, HELD_OUT = 5, 0
 #: Words whose tokens or score a worker keeps at hand.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -192,7 +194,7 @@ def _count_all(texts: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, tokens = Counter(), Tokens(None)
-        for batch in batches:
+        for batch in released(batches):
             for text in batch.column(0):
                 counts.update(tokens.of(text.as_py()))
                 if len(counts) > WORDS_KEPT:
@@ -214,7 +216,7 @@ def _count_wanted(texts: DataFrame, wanted: dict[str, int]) -> np.ndarray:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size = Tokens(sent.value), len(sent.value) + 1
         table = np.zeros((size, 3), np.int64)
-        for batch in batches:
+        for batch in released(batches):
             for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = np.fromiter(tokens.of(text.as_py()), np.int64)
                 for column in (kind, 2) if kind >= 0 else (2,):
@@ -282,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
     def segment_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.tokens)
-        for batch in batches:
+        for batch in released(batches):
             found = [model.segments(t.as_py(), scores) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in f] for _, f in found], pa.list_(pa.float64()))], ["toxic", "words", "found"])
 
@@ -308,7 +310,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         scores = Scores(model.tokens)
-        for batch in batches:
+        for batch in released(batches):
             evidence = [model.evidence(t.as_py(), scores) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(np.array(evidence, float)))], ["doc_id", "score"])
 
@@ -323,7 +325,7 @@ def keep_clean(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> Data
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         scores = Scores(model.tokens)
-        for batch in batches:
+        for batch in released(batches):
             evidence = [model.evidence(t.as_py(), scores) for t in batch.column(at)]
             yield batch.filter(pa.array(model.probability(np.array(evidence, float)) < threshold, pa.bool_()))
 
@@ -341,7 +343,7 @@ def passages(docs: DataFrame, model: Toxicity) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         scores = Scores(model.tokens)
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words, found = model.segments(text, scores)

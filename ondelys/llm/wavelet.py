@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..scratch import scratch_path, stage
+from .memory import released
 from .tokenids import encode_documents
 
 MAGIC = b"OWM1"
@@ -208,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         fs.create_dir(base, recursive=True)
         partition, shard, done = TaskContext.get().partitionId(), 0, []
         ids, counts, parts, held = [], [], [], 0
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, tokens in zip(batch.column(0).to_pylist(), encode_documents(tokenizer, (t.as_py() for t in batch.column(1)), end_id), strict=True):
                 if held and held + len(tokens) > shard_tokens:
                     done.append(save(fs, base, partition, shard, ids, counts, parts))
@@ -232,7 +233,7 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, kind)
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for content in batch.column(0):
                 matrix, docs, header = read_shard(content.as_py())
                 ids = matrix.decode().astype("<u4")
@@ -276,7 +277,7 @@ def lookup(spark: SparkSession, folder: str, token: int) -> DataFrame:
     """Every occurrence of a token: (partition, shard, position), by rank and select."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for content in batch.column(0):
                 matrix, _, header = read_shard(content.as_py())
                 at = matrix.occurrences(token)
