@@ -5,9 +5,10 @@ similarity of 0.8 leaves (about ten bits of 64, up to twenty), and tables by
 bits can't reach so far.  Here documents meet under ``KEYS`` minimum hashes of
 their shingles: at a similarity of 0.8 all of eight miss with a chance of
 0.2 ** 8.  Under a key fingerprints are compared bit-sliced, with the wide
-radius, and each document joins the first leading one within it, so a group of
-any size gives as many candidates as it has members.  The exact Jaccard
-similarity of the whole shingle sets then decides.
+radius.  What such links reach makes a group, and the shingle sets of a group's
+members meet in one task, or, of a large group, in one for each two of its
+salted parts.  There the exact Jaccard similarity decides every pair within the
+radius that isn't joined already; only links that pass leave the task.
 
 Equal word sequences are folded first.  Documents are nodes by the smallest
 ``doc_id`` of their sequence; see :func:`keep_one` for nulls and repeats.
@@ -25,10 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stage
-from .bitslice import Leaders, small_stars
 from .components import components
 from .memory import released
-from .simhash import CHUNK, SEED
+from .simhash import CHUNK, SEED, _links_kernel
 from .urlfilter import build_filter, may_contain
 from .words import split_words
 
@@ -36,9 +36,11 @@ WIDTH = 5
 SIMILARITY = 0.8
 KEYS = 8
 RADIUS = 20
-ROWS = 1 << 16
-#: Odd multipliers and shifts make further minimum hashes of one hash.
-MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(KEYS)]
+#: Bytes of shingle sets in one part of a group that is salted.
+BLOCK = 1 << 24
+#: Odd multipliers make further minimum hashes of one hash.  They are unrelated to each other: under multiples of one
+#: another the same shingles tend to be the least, and documents that miss one key miss them all.
+MIX = [xxhash.xxh64_intdigest(f"key{k}", SEED) | 1 for k in range(KEYS)]
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, str]:
@@ -74,47 +76,68 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _candidates_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # Sorted by (key, node).  Small groups are taken together, a large one in chunks.
-    keys, nodes, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    open_key, leaders = None, Leaders(RADIUS)
+def exact_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join all pairs within ``RADIUS`` whose exact Jaccard similarity passes.
 
-    def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    Every such pair is tested unless its two are joined already, nearest
+    fingerprints first, so a group of copies takes about one test a member.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, out = np.zeros(len(known), bool), np.arange(len(sets)), []
+    for x in range(1, len(sets)):
+        apart = np.bitwise_count(prints[:x] ^ prints[x])
+        # The similarity of two sets is at most the ratio of their sizes.
+        fits = np.minimum(size[:x], size[x]) >= similarity * np.maximum(size[:x], size[x])
+        near = np.flatnonzero((apart <= RADIUS) & fits)
+        if not len(near):
+            continue
+        near = near[np.argsort(apart[near], kind="stable")]
+        own = ids[start[x] : start[x] + size[x]]
+        mark[own] = True
+        step = 4
+        while len(near):
+            now, near = near[:step], near[step:]
+            both = np.array([np.count_nonzero(mark[ids[start[y] : start[y] + size[y]]]) for y in now.tolist()])
+            for y in now[both >= similarity * (size[x] + size[now] - both)].tolist():
+                if label[y] != label[x]:
+                    out.append((x, y))
+                    label[label == label[y]] = label[x]
+            near = near[label[near] != label[x]]
+            step *= 2
+        mark[own] = False
+    return out
+
+
+def _exact_kernel(similarity: float):
+    # Sorted by (root, p, q): a group ends where any changes.
+    def links(nodes: list[int], prints: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        found = exact_links(np.array(prints, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets], similarity)
+        a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def take(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal keys, nodes, prints, open_key, leaders
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        starts, sizes = edges[:-1], np.diff(edges)
-        closed = len(starts) if final else len(starts) - 1
-        begin = 0
-        if closed and keys[0] == open_key:
-            yield batch_of(*leaders.add(nodes[: sizes[0]], prints[: sizes[0]]))
-            open_key, leaders, begin = None, Leaders(RADIUS), 1
-        s, n = starts[begin:closed], sizes[begin:closed]
-        a, b = small_stars(prints, s, n, RADIUS)
-        yield batch_of(nodes[a], nodes[b])
-        for i, m in zip(s[n > 64].tolist(), n[n > 64].tolist(), strict=True):
-            yield batch_of(*Leaders(RADIUS).add(nodes[i : i + m], prints[i : i + m]))
-        rest = 0 if not closed else (len(keys) if final else int(starts[-1]))
-        keys, nodes, prints = keys[rest:], nodes[rest:], prints[rest:]
-        if len(keys) >= ROWS:  # one open group: only its leaders are kept
-            if open_key != keys[0]:
-                open_key, leaders = keys[0], Leaders(RADIUS)
-            yield batch_of(*leaders.add(nodes, prints))
-            keys, nodes, prints = keys[:0], nodes[:0], prints[:0]
-
-    for batch in batches:
-        keys = np.r_[keys, batch.column("key").to_numpy()]
-        nodes = np.r_[nodes, batch.column("node").to_numpy()]
-        prints = np.r_[prints, batch.column("fp").to_numpy().view(np.uint64)]
-        if len(keys):
-            yield from take(False)
-    if len(keys):
-        yield from take(True)
-
-
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, prints, sets = None, [], [], []
+        for batch in released(batches):
+            for root, p, q, node, fp, held in zip(*[c.to_pylist() for c in batch.columns[:5]], batch.column(5), strict=True):
+                if (root, p, q) != group:
+                    if len(nodes) > 1:
+                        yield links(nodes, prints, sets)
+                    group, nodes, prints, sets = (root, p, q), [], [], []
+                held = held.as_py()
+                if nodes and nodes[-1] == node and sets[-1] == held:  # a repeated row
+                    continue
+                nodes.append(node)
+                prints.append(fp)
+                sets.append(held)
+        if len(nodes) > 1:
+            yield links(nodes, prints, sets)
+
+    return kernel
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest ``doc_id``.
 
     Texts without words are equal to each other.  Of repeated rows with the
@@ -129,40 +152,43 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
             for t in batch.column(1):
                 hashes, digest = shingle_hashes(t.as_py(), width)
                 fp, keys = sketch(hashes)
-                rows.append((digest, _signed(fp), [_signed(k) for k in keys]))
-            digest, fp, keys = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "keys"])
-
-    drawn = stage(texts.mapInArrow(sketch_kernel, "doc_id long, digest string, fp long, keys array<bigint>"), "sketches")
-    nodes = stage(drawn.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).drop("digest"), "nodes")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    pairs = stage(dealt.mapInArrow(_candidates_kernel, "a long, b long").where("a <> b").distinct(), "candidates")
-
-    met = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+                rows.append((digest, _signed(fp), len(np.unique(hashes)), [_signed(k) for k in keys]))
+            digest, fp, size, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "size", "keys"])
+
+    drawn = stage(texts.mapInArrow(sketch_kernel, "doc_id long, digest string, fp long, size long, keys array<bigint>"), "sketches")
+    nodes = drawn.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    nodes = stage(nodes.drop("digest"), "nodes")
+    # Fingerprints that meet under a key and are near, and all that these reach, make a group; none but its members can link.
+    dealt = nodes.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("sub"), "fp").repartition("key").dropDuplicates(["key", "fp"])
+    near = dealt.sortWithinPartitions("key", "fp").mapInArrow(_links_kernel(RADIUS), "a long, b long")
+    roots = components(near).select(F.col("node").alias("of"), "root")
+    placed = nodes.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left").select("node", "size", F.coalesce("root", "fp").alias("root"))
+    placed = stage(placed, "placed")
+    groups = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(8 * F.sum("size") / block).alias("parts")).where("n > 1")
+    # A group too large for a task is salted: each two of its parts meet in one.
+    part = F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))
+    placed = placed.join(groups.select("root", "parts").hint("merge"), "root").withColumn("part", part)
+    others = "filter(sequence(0L, greatest(parts, 1L) - 1), j -> j <> part OR parts <= 1)"
+    placed = stage(placed.select("root", "node", F.expr(f"transform({others}, j -> struct(least(j, part) AS p, greatest(j, part) AS q))").alias("places")), "groups")
+
+    met = placed.select(F.col("node").alias("key")).distinct()
     # Texts stay where they are: a filter of bounded size says which may be asked for, and only their shingles travel.
     asked = docs.sparkSession.sparkContext.broadcast(build_filter(met))
 
     def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             batch = batch.filter(pa.array(may_contain(asked.value, batch.column(2).to_numpy().view(np.uint64)), pa.bool_()))
-            sets = [np.unique(shingle_hashes(t.as_py(), width)[0]).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            hashes = [shingle_hashes(t.as_py(), width)[0] for t in batch.column(1)]
+            prints, sets = [_signed(sketch(h)[0]) for h in hashes], [np.unique(h).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], ["of", "fp", "shingles"])
 
     # Repeated ids: any of the rows will do for an id that names its sequence.
     hashed = texts.select("doc_id", "text", F.xxhash64("doc_id"))
-    sets = stage(hashed.mapInArrow(shingle_kernel, "node long, shingles binary"), "shingles")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-
-    def jaccard_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            near = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(jaccard_kernel, "a long, b long")
+    sets = hashed.mapInArrow(shingle_kernel, "of long, fp long, shingles binary")
+    held = placed.join(sets.hint("merge"), F.col("node") == F.col("of")).select("root", F.explode("places").alias("at"), "node", "fp", "shingles")
+    held = held.select("root", "at.p", "at.q", "node", "fp", "shingles").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
+    links = held.mapInArrow(_exact_kernel(similarity), "a long, b long")
     roots = components(links)
     gone = roots.where("node <> root").select(F.col("node").alias("gone"))
     # Ids that need a look: of sequences that go, of repeats, and of texts that equal an earlier one's.

@@ -147,6 +147,22 @@ def test_similar_keeps_one(spark):
     assert similar.keep_one(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK, 20000])
+def test_similar_star_around_any_id(spark, block):
+    # Variants are near to the original (0.86) and not to each other (0.74).
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    first, texts = [word() for _ in range(200)], []
+    for _ in range(60):
+        c = list(first)
+        for at in rnd.sample(range(0, 200, 8), 3):
+            c[at] = word()
+        texts.append(" ".join(c))
+    texts.insert(rnd.randrange(10, 50), " ".join(first))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in similar.keep_one(docs, block=block).collect()] == [0]
+
+
 def test_leaders_in_chunks_and_small_groups():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 2**63, 5).tolist()
