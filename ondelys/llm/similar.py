@@ -59,7 +59,7 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, st
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, list[int]]:
-    """SimHash fingerprint and minimum hashes."""
+    """SimHash fingerprint and minimum hashes of distinct shingle hashes."""
     if not len(hashes):
         return 0, []
     ones = np.zeros(64, np.int64)
@@ -151,8 +151,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
             rows = []
             for t in batch.column(1):
                 hashes, digest = shingle_hashes(t.as_py(), width)
+                # Distinct shingles, as in the similarity that decides: repeats must not part fingerprints.
+                hashes = np.unique(hashes)
                 fp, keys = sketch(hashes)
-                rows.append((digest, _signed(fp), len(np.unique(hashes)), [_signed(k) for k in keys]))
+                rows.append((digest, _signed(fp), len(hashes), [_signed(k) for k in keys]))
             digest, fp, size, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "size", "keys"])
 
@@ -179,8 +181,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             batch = batch.filter(pa.array(may_contain(asked.value, batch.column(2).to_numpy().view(np.uint64)), pa.bool_()))
-            hashes = [shingle_hashes(t.as_py(), width)[0] for t in batch.column(1)]
-            prints, sets = [_signed(sketch(h)[0]) for h in hashes], [np.unique(h).tobytes() for h in hashes]
+            hashes = [np.unique(shingle_hashes(t.as_py(), width)[0]) for t in batch.column(1)]
+            prints, sets = [_signed(sketch(h)[0]) for h in hashes], [h.tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], ["of", "fp", "shingles"])
 
     # Repeated ids: any of the rows will do for an id that names its sequence.

@@ -163,6 +163,17 @@ def test_similar_star_around_any_id(spark, block):
     assert [r["doc_id"] for r in similar.keep_one(docs, block=block).collect()] == [0]
 
 
+def test_similar_whatever_the_repeats(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(20):
+        body, line = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(12))
+        rows += [(3 * i + k, " ".join([body, *[line] * n])) for k, n in enumerate((1, 20, 40))]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 3))
+
+
 def test_leaders_in_chunks_and_small_groups():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 2**63, 5).tolist()
