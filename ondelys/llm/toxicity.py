@@ -11,9 +11,9 @@ give every segment its significance for the text's length; what the segments
 exceed it by, summed, is the text's evidence, and a logistic curve fitted to
 the training labels turns that into a score.
 
-Bounded: the labelled texts learned from (``max_labelled``, chosen by hash) and
-the tokens kept from them (``max_tokens``).  The prior, the search and the
-scores cover all documents and whole texts.
+Bounded: the labelled texts learned from (``max_labelled``, chosen by hash).
+All their tokens are tested, and every one that passes is kept.  The prior, the
+search and the scores cover all documents and whole texts.
 
 Defined results: a null or empty text has no segment and the lowest score;
 without labels of both kinds no token is learned and all texts share one low
@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from ..scratch import stage
 from .memory import released
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings that count as tokens.
 BEGINNINGS = (4, 5, 6)
 MAX_LABELLED = 200_000
-MAX_TOKENS = 100_000
 #: Toxic training texts in which a token must occur.
 LEAST = 4
 #: Weight of the prior, as a share of the labelled texts.
@@ -190,45 +190,63 @@ class Tokens(dict):
 
 
 def _count_all(texts: DataFrame) -> DataFrame:
-    """(token, n): texts that hold each token, pre-aggregated by task."""
+    """(token, c0, c1): texts of each kind that hold each token, pre-aggregated by task; the empty token counts all texts.
+
+    ``texts``: (text, toxic).
+    """
+
+    def rows(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        found = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array([c[t] for t in found], pa.int64()) for c in counts]], ["token", "c0", "c1"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tokens = Counter(), Tokens(None)
+        counts, tokens = (Counter(), Counter()), Tokens(None)
         for batch in released(batches):
-            for text in batch.column(0):
-                counts.update(tokens.of(text.as_py()))
-                if len(counts) > WORDS_KEPT:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-                    counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+            for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[kind].update(tokens.of(text.as_py()) | {""})
+                if len(counts[0]) + len(counts[1]) > WORDS_KEPT:
+                    yield rows(counts)
+                    counts[0].clear()
+                    counts[1].clear()
+        yield rows(counts)
 
-    return texts.select("text").mapInArrow(kernel, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.select("text", "toxic").mapInArrow(kernel, "token string, c0 long, c1 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("c0", "c1")])
 
 
-def _count_wanted(texts: DataFrame, wanted: dict[str, int]) -> np.ndarray:
-    """(tokens + 1, 3) texts that hold each wanted token; the last row counts texts.
+def _telling(counts: DataFrame, n0: int, n1: int) -> DataFrame:
+    """(token, c0, c1) of the tokens whose rates differ beyond chance."""
+    seen = counts.where((F.col("token") != "") & (F.col("c1") >= LEAST))
+    # A beginning has to tell something beyond the one word that it mostly stands for.
+    begun = F.array(*[F.when(F.length("token") >= n, F.concat(F.lit("^"), F.substring("token", 1, n))) for n in BEGINNINGS])
+    words = seen.where(~F.col("token").startswith("^")).select(F.explode(begun).alias("of"), "c1").where("of is not null")
+    most = words.groupBy("of").agg(F.max("c1").alias("most"))
+    told = seen.join(most, F.col("token") == F.col("of"), "left").select("token", "c0", (F.col("c1") - F.coalesce("most", F.lit(0))).alias("c1"))
 
-    Columns: labelled 0, labelled 1, all.  ``texts``: (text, kind), kind -1
-    without a label.
-    """
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c0, c1 = (batch.column(c).to_numpy().astype(float) for c in (1, 2))
+            yield batch.filter(pa.array(_signed_root(c0, c1, n0, n1) >= SURE, pa.bool_()))
+
+    return told.mapInArrow(kernel, "token string, c0 long, c1 long")
+
+
+def _count_wanted(texts: DataFrame, wanted: dict[str, int]) -> np.ndarray:
+    """Texts that hold each wanted token, and last the number of texts."""
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, size = Tokens(sent.value), len(sent.value) + 1
-        table = np.zeros((size, 3), np.int64)
+        tokens, table = Tokens(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for batch in released(batches):
-            for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = np.fromiter(tokens.of(text.as_py()), np.int64)
-                for column in (kind, 2) if kind >= 0 else (2,):
-                    table[found, column] += 1
-                    table[-1, column] += 1
-        at = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(table[at, m]) for m in range(3)]], ["i", "c0", "c1", "c2"])
+            for text in batch.column(0):
+                table[np.fromiter(tokens.of(text.as_py()), np.int64)] += 1
+            table[-1] += batch.num_rows
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["i", "c"])
 
     # One row for each wanted token at most.
-    got = texts.mapInArrow(kernel, "i long, c0 long, c1 long, c2 long").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2")]).toArrow()
-    out = np.zeros((len(wanted) + 1, 3), np.int64)
-    out[got.column("i").to_numpy()] = np.stack([got.column(c).to_numpy() for c in ("c0", "c1", "c2")], axis=1)
+    got = texts.select("text").mapInArrow(kernel, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(len(wanted) + 1, np.int64)
+    out[got.column("i").to_numpy()] = got.column("c").to_numpy()
     return out
 
 
@@ -244,7 +262,7 @@ def _signed_root(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray
     return np.sign(c1 / n1 - c0 / n0) * np.sqrt(np.maximum(0, 2 * (part(c0, n0, rate) + part(c1, n1, rate))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Toxicity:
     """Learn from the labels outside the held-out fold."""
     # Bounded by max_labelled, so it may be broadcast: texts aren't shuffled.
     chosen = F.broadcast(training_labels(labels, max_labelled).withColumnRenamed("doc_id", "of"))
@@ -253,31 +271,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     # Equal texts count once.
     own = F.broadcast(labelled.groupBy(F.xxhash64("text"), "toxic").agg(F.min("doc_id").alias("of")).select("of", "toxic"))
     labelled = texts.join(own, F.col("doc_id") == F.col("of"))
-    seen = _count_all(labelled.where("toxic = 1")).where(F.col("n") >= LEAST)
-    wanted = {r["token"]: i for i, r in enumerate(seen.orderBy(F.desc("n"), "token").limit(max_tokens).toLocalIterator())}
-    if not wanted:
+    counts = stage(_count_all(labelled), "token-counts")
+    totals = counts.where("token = ''").first()
+    if totals is None or not totals["c0"] or not totals["c1"]:
         return Toxicity()
-    every = texts.join(own, F.col("doc_id") == F.col("of"), "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("kind"))
-    table = _count_wanted(every, wanted)
-    n0, n1, n = table[-1].tolist()
-    names = np.array(list(wanted))
-    c0, c1, background = table[:-1].T.astype(float)
-    if not n0 or not n1:
+    n0, n1 = totals["c0"], totals["c1"]
+    # Bounded by the labelled texts: those that pass, not all that were tested.
+    telling = _telling(counts, n0, n1).orderBy("token").toArrow()
+    names = np.array(telling.column("token").to_pylist(), object)
+    if not len(names):
         return Toxicity()
-    # A beginning has to tell something beyond the one word that it mostly stands for.
-    most = dict.fromkeys(wanted, 0.0)
-    for token, i in wanted.items():
-        for t in tokens_of(token)[1:] if not token.startswith("^") else ():
-            if t in most:
-                most[t] = max(most[t], float(c1[i]))
-    c1 = c1 - np.fromiter(most.values(), float)
+    *background, n = _count_wanted(texts, {t: i for i, t in enumerate(names.tolist())}).tolist()
+    c0, c1 = (telling.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
     weight = PRIOR * (n0 + n1)
-    prior = weight * background / n
-    odds = np.log((c1 + prior) / (n1 + weight - c1 - prior)) - np.log((c0 + prior) / (n0 + weight - c0 - prior))
-    keep = (_signed_root(c0, c1, n0, n1) >= SURE) & (odds >= CLEAR)
+    prior = weight * np.array(background) / n
+    sure = np.log((c1 + prior) / (n1 + weight - c1 - prior)) - np.log((c0 + prior) / (n0 + weight - c0 - prior))
+    keep = sure >= CLEAR
     if not keep.any():
         return Toxicity()
-    sure = odds
     model = Toxicity(dict(zip(names[keep].tolist(), sure[keep].tolist(), strict=True)))
 
     training = labelled.select("text", "toxic")

@@ -1,5 +1,6 @@
 import collections
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -349,3 +350,18 @@ def test_toxicity(spark):
     none = toxicity.fit(docs, judged.where("false"))
     assert {r["score"] < 0.5 for r in toxicity.score(docs, none).collect()} == {True}
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_rare_telling_words_are_kept(spark):
+    # More than 100,000 neutral tokens, each in more toxic texts than the telling word.
+    letters = "abcdefghijklmnopqrstuvwxyzбвгджзиклмнпрстуфхцчшщ"
+    neutral = " ".join(a + b + c for a in letters for b in letters for c in letters)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    texts = [(neutral, 0), (neutral + " aa", 1)] + [(f"{neutral} {letters[k]}", k % 2) for k in range(28)]
+    texts += [(f"ab {letters[k]} ba {letters[k % 7]}" + " vilex" * (k < 14), 1) for k in range(45)]
+    texts += [(f"ba {letters[k]} ab {letters[k % 5]} cd", 0) for k in range(45)]
+    rows = [(i, *t) for i, t in zip(ids, texts, strict=False)]
+    assert len(rows) == len(texts) == 120
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "vilex" in model.tokens
