@@ -5,7 +5,9 @@ aggregated per path, smoothed along the page, fused by multiplication and
 thresholded at their standard deviation: the paths above it are content.  The
 article is the smallest element that holds most of the content found, widened
 to the ``article`` or ``main`` element around it; its blocks are returned in
-page order, without elements that are furniture by tag, role or name.
+page order, without elements that are furniture by tag, role or name.  An
+element that holds most of the content found isn't furniture, whatever its tag
+or name, unless it is beside an ``article`` or ``main`` with content.
 
 Defined results: null or empty html, or a page without text: empty string.
 Unclosed and stray tags, and pages cut off anywhere, are read as browsers
@@ -40,6 +42,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: What a head may hold; anything else begins the body.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes, and where the search for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -66,23 +70,25 @@ MOST = 0.8
 class Element:
     """One element of the page: only what the extraction needs."""
 
-    __slots__ = ("parent", "name", "path", "out", "header", "inside")
+    __slots__ = ("parent", "name", "path", "out", "listed", "header", "inside")
 
-    def __init__(self, parent: Element | None, name: str, label: str, out: bool, header: bool):
+    def __init__(self, parent: Element | None, name: str, label: str, out: bool, listed: bool, header: bool):
         self.parent, self.name = parent, name
         self.path = f"{parent.path}/{label}" if parent else label
         self.out = out or bool(parent and parent.out)
+        #: Furniture by tag or name, itself alone.
+        self.listed = listed
         self.header = header or bool(parent and parent.header)
         self.inside = name in ("article", "main") or bool(parent and parent.inside)
 
 
 def _element(parent: Element, name: str, rest: str, names: bool) -> Element:
-    label, out, header = name, name in FURNITURE, name == "header"
+    label, out, listed, header = name, False, name in FURNITURE, name == "header"
     if rest and not rest.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
         kinds = [found.get("class", ""), found.get("id", "")]
         label = f"{name}.{kinds[0]}" if kinds[0] else name
-        out = out or "hidden" in found or found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true"
+        out = "hidden" in found or found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true"
         out = out or "display:none" in found.get("style", "").replace(" ", "").lower()
         if names and name not in ("html", "body", "main") and name not in HEADINGS:
             for kind in " ".join(kinds).split():
@@ -90,9 +96,9 @@ def _element(parent: Element, name: str, rest: str, names: bool) -> Element:
                 for i, p in enumerate(parts):
                     if i and parts[i - 1] in ABOUT:
                         continue
-                    out = out or p in NAMES or p.startswith(NAMED_BEFORE) or p.endswith(NAMED_BEHIND)
+                    listed = listed or p in NAMES or p.startswith(NAMED_BEFORE) or p.endswith(NAMED_BEHIND)
                     header = header or p in HEADER or p.endswith("header")
-    return Element(parent, name, label, out, header)
+    return Element(parent, name, label, out, listed, header)
 
 
 class Block:
@@ -104,7 +110,7 @@ class Block:
 
 def parse(html: str, names: bool = True) -> list[tuple[Element, list[tuple[Element, str]]]]:
     """Blocks in page order, each the element it is in and its text nodes."""
-    here = Element(None, "", "", False, False)
+    here = Element(None, "", "", False, False, False)
     blocks: list[tuple[Element, list[tuple[Element, str]]]] = []
     parts: list[tuple[Element, str]] = []
     low: str | None = None
@@ -125,6 +131,8 @@ def parse(html: str, names: bool = True) -> list[tuple[Element, list[tuple[Eleme
         if mark < 0:
             mark = size
         if mark > at:
+            if here.name == "head" and not html[at:mark].isspace():
+                close(here)
             parts.append((here, html[at:mark]))
         if mark == size:
             break
@@ -149,6 +157,8 @@ def parse(html: str, names: bool = True) -> list[tuple[Element, list[tuple[Eleme
                     end_block()
                 close(walk)
             continue
+        if here.name == "head" and name not in IN_HEAD:
+            close(here)
         if name == "br":
             parts.append((here, " "))
             continue
@@ -179,16 +189,39 @@ def parse(html: str, names: bool = True) -> list[tuple[Element, list[tuple[Eleme
                 walk = walk.parent
         if name in VOID:
             continue
-        if name in ("body",) and here.name == "head":
-            close(here)
         if not rest.endswith("/") or name in BLOCK:
             here = _element(here, name, rest, names)
     end_block()
     return blocks
 
 
-def _wanted(element: Element) -> bool:
-    if element.out:
+def _listed(element: Element) -> Iterator[Element]:
+    """The element and those around it that are furniture by tag or name."""
+    walk: Element | None = element
+    while walk is not None:
+        if walk.listed:
+            yield walk
+        walk = walk.parent
+
+
+def _freed(nodes: list[tuple[Element, str]]) -> set[Element]:
+    """Elements that hold most of the page's content, though their tag or name is listed."""
+    around = [list(_listed(e)) for e, _ in nodes]
+    if not any(around):
+        return set()
+    size = np.array([len(t.strip()) for _, t in nodes], float)
+    fused, chosen = path_scores([e.path for e, _ in nodes], size, np.array([len(PUNCTUATION.findall(t)) for _, t in nodes], float))
+    weight: dict[Element, float] = {}
+    score = fused * size * chosen
+    for those, x in zip(around, score.tolist(), strict=True):
+        for e in those:
+            weight[e] = weight.get(e, 0.0) + x
+    article = any(take and e.inside and not those for (e, _), take, those in zip(nodes, chosen.tolist(), around, strict=True))
+    return {e for e, x in weight.items() if x >= MOST * score.sum() and (e.inside or not article)}
+
+
+def _wanted(element: Element, freed: set[Element]) -> bool:
+    if element.out or any(e not in freed for e in _listed(element)):
         return False
     if element.header:
         walk, heading = element, False
@@ -265,8 +298,10 @@ def extract(html: str | None) -> str:
         return ""
     for names in (True, False):
         blocks = []
-        for element, parts in parse(html, names):
-            kept = [(e, unescape(t)) for e, t in parts if _wanted(e)]
+        parsed = [(element, [(e, unescape(t)) for e, t in parts if not e.out]) for element, parts in parse(html, names)]
+        freed = _freed([(e, t) for _, parts in parsed for e, t in parts if t and not t.isspace()])
+        for element, parts in parsed:
+            kept = [(e, t) for e, t in parts if _wanted(e, freed)]
             if any(not t.isspace() for _, t in kept):
                 blocks.append((element, kept))
         if blocks:

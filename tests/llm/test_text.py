@@ -280,6 +280,17 @@ def test_main_text(spark):
     assert htmltext.main_text(pages.where("false")).count() == 0
 
 
+def test_main_text_under_furniture_names():
+    body = "".join(f"<p>Paragraph {i} of the article, with text. And more text here, really.</p>" for i in range(8))
+    want = [f"Paragraph {i} of the article, with text. And more text here, really." for i in range(8)]
+    foot = "<div><p>Some other block.</p></div><nav><a href=/>Home</a></nav>"
+    for page in (f"<html><body><form id=aspnetForm><div>{body}</div></form></body></html>", f"<html><head><title>T</title><meta charset=utf-8>{body}", f"<body><section id=discussion>{body}</section>{foot}</body>", f'<body><div class="legal-text">{body}</div>{foot}</body>'):
+        assert htmltext.extract(page).split("\n\n")[:8] == want, page
+    # A long discussion beside the article stays out.
+    page = f"<body><article><p>The article itself, which is short.</p></article><section id=discussion>{body}</section></body>"
+    assert htmltext.extract(page) == "The article itself, which is short."
+
+
 def test_url_filter(spark):
     urls = ["http://Example.ORG/en/12?x", "https://m.example.org/es/1", "http://a.org", "http://a.org/", "x.com/de/", None, "http://x.com/de/#a", "http://x.com/fr/", "ftp://net/", "http://org/q", "http://badexample.org/es/1", "http://ü.com/de/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "again")], "page_id long, url string, verdict string")
