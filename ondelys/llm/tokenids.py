@@ -5,10 +5,11 @@ word with its space, a run of signs) seen many times before.  For the two
 pre-tokenizers whose rule is known here, texts made of plain Latin characters
 are split into the same pieces by array operations on their code points, each
 distinct piece is encoded by the library once, and ids are gathered from the
-pieces.  Pieces are known by a 64-bit hash of their characters, taken from a
-running polynomial, in a table of half a million; two of them share one with a
-chance of about 3e-14 a new piece.  All other texts and tokenizers take the
-library's own path.  Both give equal ids.
+pieces.  Pieces are looked up by a 64-bit hash of their characters, taken from
+a running polynomial, in a table of half a million, and the characters of every
+piece found are compared with those the table holds.  A text with a piece whose
+hash is another's goes whole through the library, as do all texts of other
+characters or tokenizers.  All ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -115,6 +116,8 @@ class PieceTable:
         self.keys, self.entry = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
         self.offset, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.size, self.used = np.zeros(8192, IDS), 0, 0
+        # Characters of the pieces, one after another, and where each begins; the last place ends them.
+        self.chars, self.begin = np.zeros(8192, np.uint16), np.zeros(1025, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if it isn't held."""
@@ -135,11 +138,30 @@ class PieceTable:
             open_, at = open_[on], at[on]
         return out
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """New distinct hashes with their ids, one after another."""
+    def same(self, entry: np.ndarray, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the pieces whose characters follow one another in ``chars`` are those of the entries."""
+        out = self.begin[entry + 1] - self.begin[entry] == sizes
+        first = np.cumsum(sizes) - sizes
+        # Of another length: compared with themselves, as their place in the table may end too early.
+        held = np.where(out, self.begin[entry], 0) - first
+        at = np.repeat(held, sizes)
+        at += np.arange(len(chars))
+        differs = np.take(self.chars, at, mode="clip") != chars
+        if differs.any():
+            out &= ~np.logical_or.reduceat(differs, first)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray, pieces: list[str]) -> None:
+        """New distinct hashes with their ids, one after another, and their characters."""
         n, mask = len(hashes), (1 << SLOTS) - 1
         while self.size + n > len(self.offset):
             self.offset, self.count = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.count, 2 * len(self.count))
+            self.begin = np.resize(self.begin, len(self.offset) + 1)
+        ends = self.begin[self.size] + np.cumsum(np.fromiter(map(len, pieces), np.int64, n))
+        while ends[-1] > len(self.chars):
+            self.chars = np.resize(self.chars, 2 * len(self.chars))
+        self.chars[self.begin[self.size] : ends[-1]] = np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2")
+        self.begin[self.size + 1 : self.size + n + 1] = ends
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
@@ -206,13 +228,13 @@ class Encoder:
             edges = np.flatnonzero(self.edge[ids])
             counts = np.diff(np.r_[0, edges + 1] if self.lower else np.r_[edges, len(ids)])
             if len(counts) == len(words):
-                self.table.add(hashes[plain], ids, counts)
+                self.table.add(hashes[plain], ids, counts, words)
             else:
                 plain[:] = False
         rest = [p for p, ok in zip(pieces, plain.tolist(), strict=True) if not ok]
         if rest:
             found = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-            self.table.add(hashes[~plain], np.array([i for ids in found for i in ids], IDS), np.array([len(ids) for ids in found], np.int64))
+            self.table.add(hashes[~plain], np.array([i for ids in found for i in ids], IDS), np.array([len(ids) for ids in found], np.int64), rest)
 
     def _turn(self, texts: list[str]) -> list[bytes]:
         """Ids of plain texts, all at once."""
@@ -246,12 +268,21 @@ class Encoder:
             place = missing[first]
             self._learn([joined[a:b] for a, b in zip(at[place].tolist(), to[place].tolist(), strict=True)], new)
             entry[missing] = self.table.find(hashes[missing])
+        sizes = to - at
+        chars = points.astype(np.uint16)
+        if self.lower:
+            chars = chars[KIND[points] < SPACE]
+        same = self.table.same(entry, chars, sizes) if len(at) else np.ones(0, bool)
         counts = self.table.count[entry]
         total = np.r_[0, np.cumsum(counts)]
         ids = self.table.ids[np.repeat(self.table.offset[entry] - total[:-1], counts) + np.arange(total[-1])]
         cuts = (total[np.r_[0, np.searchsorted(at, ends)]] * 4).tolist()
         data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if not same.all():
+            for i in np.unique(np.searchsorted(ends, at[~same], "right")).tolist():
+                out[i] = self._whole(texts[i])
+        return out
 
     def _plain(self, text: str) -> bool:
         return self.rule is not None and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -7,16 +8,22 @@ from conftest import DATA, same
 
 from ondelys.llm import mixing, packing, tokenids, wavelet
 from ondelys.llm.queries import ORACLES, QUERIES
+from ondelys.scratch import stage
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["", "  ", "a  b\n\n c's 'T", "naïve İstanbul", "日本語 text", "x" * 200 + " y", "½ ²", "a b", "é", "''s !'s 12 3", "tab\tnew\r\nline", "a" * 5000, None]
 
 
-def tokens(path, text):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def tokens(path, text):
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["op2_mix_sources", "op10_url_filter"])
@@ -118,3 +125,35 @@ def test_token_files(spark, tmp_path):
     assert sorted(g[3] for g in got if g[0] == 3) == sorted(w[3] for w in want if w[0] == 3)
     assert wavelet.lookup(spark, folder, 0).count() == len(rows)
     assert wavelet.token_files(docs.where("false"), BYTES).count() == 0
+
+
+def test_pieces_with_one_hash_keep_their_ids():
+    # Complementary Thue-Morse words share any polynomial hash modulo 2**64.
+    word = [0]
+    while len(word) < 1024:
+        word += [1 - x for x in word]
+    for size in (1024, 2048):
+        one, other = ("".join("ab"[x ^ flip] for x in word) for flip in (0, 1))
+        for name in (WORDS, BYTES):
+            texts = [one, other, f"x {one} {other} y", "plain text", f"{other} {other}"]
+            got = [ids.tolist() for ids in tokenids.encode_documents(name, texts, 7)]
+            assert got == [[*tokens(name, t), 7] for t in texts]
+        word += [1 - x for x in word]
+
+
+def test_pieces_without_ids_are_dealt_over_groups(spark):
+    parts = stage(spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "10L AS length", "1L AS ids_crc32"), "parts")
+    got = [r["n"] for r in packing.pack(parts, 4096, 100, 500).selectExpr("sequence_id >> 40 AS g").groupBy("g").agg({"*": "count"}).toDF("g", "n").collect()]
+    assert len(got) == 6 and max(got) < 1000
+
+
+def test_mix_without_ids_stays_near_its_target(spark):
+    # Source b has a target of a part of its size, and its rows share one id, or none, and one text.
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(None, "w " * 7, "b")] * 30 + [(None, "v " * 3, "b")] * 30 + [(1, f"u{i} x", "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {r["source"]: r["target"] for r in mixing.mix_plan(docs).select("source", "target").distinct().collect()}
+    got = {}
+    for r in mixing.mix_documents(docs).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert all(abs(got.get(s, 0) - t) <= 10 for s, t in targets.items()) and sum(targets.values()) == 400 + 300 + 40
+    assert mixing.mix_plan(docs).count() == len(rows)
