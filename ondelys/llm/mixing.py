@@ -12,8 +12,9 @@ Defined results:
 
 * null or empty text: size 0, nothing taken;
 * null source: a source of its own, last in order;
-* null ``doc_id``: keyed by the empty string; repeated rows and ties of key are
-  ordered by ``doc_id`` and size and share nothing: each row counts by itself;
+* the key is a hash of ``doc_id`` (null: empty) and text; rows equal in both
+  and in source are folded into one with a count, so any number of them stays
+  one row of a range, and taken one after another: each row counts by itself;
 * empty table: empty result;
 * extra columns: ignored by :func:`mix_plan`, kept by :func:`mix_documents`.
 """
@@ -31,9 +32,10 @@ RANGES = 4096
 SEED = "mix-1"
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
+def random_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """Hash-random key: the first 60 bits of an MD5, as 15 hex digits."""
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15)
+    empty = F.lit("")
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), empty), F.lit(":"), F.md5(F.coalesce(text, empty)))), 1, 15)
 
 
 def cyclic_weights(sizes: DataFrame, cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -75,25 +77,13 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
-    """One row per document: size, source_size, target, start, epochs, taken.
-
-    ``weights`` maps (source, source_size) rows to rows with a ``weight``.
-    ``taken`` is exact: the taken words of a source sum to its rounded target,
-    the document on the cut gives its first words only.
-    """
-    skeleton = stage(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            word_count(F.col("text")).alias("size"),
-            random_key(F.col("doc_id"), seed).alias("key"),
-        ),
-        "mix-skeleton",
-    ).withColumn("range", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / F.lit(1 << 24)).cast("int"))
-
-    sums = skeleton.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sums = stage(sums, "mix-sums")
+def _folded_plan(docs: DataFrame, weights, most: int, seed: str, ranges: int) -> DataFrame:
+    """One row per source, key, ``doc_id`` and size, ``n`` documents each, with the words before it."""
+    skeleton = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    folded = skeleton.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    folded = stage(folded, "mix-skeleton").withColumn("range", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / F.lit(1 << 24)).cast("int"))
+    words = F.sum(F.col("size") * F.col("n"))
+    sums = stage(folded.groupBy("source", "range").agg(words.alias("range_size")), "mix-sums")
     targets = source_targets(weights(sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))), most)
 
     # At most `ranges` rows to a source, however large the source is.
@@ -105,40 +95,60 @@ def mix_plan(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: str =
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     return (
-        skeleton.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        folded.withColumn("inner", F.coalesce(words.over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
         .withColumn("start", F.col("offset") + F.col("inner"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("start"))))
-        .select("doc_id", "source", "key", "size", "source_size", "target", "start", "epochs", "rest", "taken")
     )
 
 
+def mix_plan(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
+    """One row per document: size, source_size, target, start, epochs, taken.
+
+    ``weights`` maps (source, source_size) rows to rows with a ``weight``.
+    ``taken`` is exact: the taken words of a source sum to its rounded target,
+    the document on the cut gives its first words only.
+    """
+    each = _folded_plan(docs, weights, most, seed, ranges).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    each = each.withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
+    taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("start")))
+    return each.withColumn("taken", taken).select("doc_id", "source", "key", "size", "source_size", "target", "start", "epochs", "rest", "taken")
+
+
 def mix_documents(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them.
 
     Documents stay whole here: of the document on a source's cut, the whole is
     taken if that ends nearer to the budget.  Only one row per source (its
-    epochs and cut key) meets the texts, so texts aren't shuffled.
+    epochs and cut key) meets the texts, so texts aren't shuffled.  Where equal
+    rows lie on the cut, these alone are counted out.
     """
-    plan = mix_plan(docs, weights, most, seed, ranges)
-    inside = F.col("start") + F.col("size") / 2 <= F.col("rest")
-    cuts = stage(
-        plan.groupBy(F.col("source").alias("c_source")).agg(F.max("epochs").alias("c_epochs"), F.max(F.when(inside, F.col("key"))).alias("c_key")),
-        "mix-cuts",
-    )
+    plan = _folded_plan(docs, weights, most, seed, ranges)
+    # Of n equal documents those are inside whose first half is.
+    fits = F.floor((F.col("rest") - F.col("start") - F.col("size") / 2) / F.col("size")) + 1
+    inside = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), fits.cast("long")))).otherwise(0)
+    last = F.when(inside > 0, F.struct("key", inside.alias("some"), "n"))
+    cuts = plan.groupBy(F.col("source").alias("c_source")).agg(F.max("epochs").alias("c_epochs"), F.max(last).alias("c"))
+    cuts = stage(cuts.select("c_source", "c_epochs", F.col("c.key").alias("c_key"), F.col("c.some").alias("c_some"), (F.col("c.some") < F.col("c.n")).alias("c_parts")), "mix-cuts")
     # The row travels as one column, so that no name of the input meets one of ours.
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         docs["source"].alias("row_source"),
-        random_key(docs["doc_id"], seed).alias("row_key"),
+        random_key(docs["doc_id"], docs["text"], seed).alias("row_key"),
         (word_count(docs["text"]) > 0).alias("filled"),
     )
-    copies = F.col("c_epochs") + F.coalesce((F.col("row_key") <= F.col("c_key")).cast("long"), F.lit(0))
-    copies = F.when(F.col("filled"), copies).otherwise(0)
-    joined = rows.join(cuts, F.col("row_source").eqNullSafe(F.col("c_source")))
-    out = joined.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("copy"))
+    joined = rows.join(cuts, F.col("row_source").eqNullSafe(F.col("c_source"))).where("filled")
+    whole = (F.col("row_key") < F.col("c_key")) | (F.col("row_key") == F.col("c_key")) & ~F.col("c_parts")
+    copies = F.col("c_epochs") + F.coalesce(whole.cast("long"), F.lit(0))
+    out = joined.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("copy")).select("row")
+    if not cuts.where("c_parts").isEmpty():
+        tied = joined.where("row_key = c_key AND c_parts")
+        tied = tied.groupBy("row_source", "c_some", F.sha2(F.to_json("row"), 256).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"))
+        before = Window.partitionBy("row_source").orderBy("same").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("c_some") - F.coalesce(F.sum("n").over(before), F.lit(0))
+        tied = tied.withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), left)))
+        out = out.unionByName(tied.select("row", F.explode(F.array_repeat(F.lit(True), F.col("take").cast("int"))).alias("copy")).select("row"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -146,7 +156,7 @@ def mix_documents(docs: DataFrame, weights=cyclic_weights, most: int = 3, seed:
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS key
+         substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
