@@ -1,23 +1,33 @@
 """Keyed surrogates for personal data, in DataFrame and SQL functions only.
 
-Entities are found by one pattern: e-mail addresses, phone, card, social
-security and bank account numbers, IP and hardware addresses, credentials, and
-person names (a title or a known first name with capitalised words after it).
-Cards must pass the Luhn sum and accounts their check digits.
+Entities are found by one pattern, run once over every text: e-mail addresses,
+phone, card, social security and bank account numbers, IP and hardware
+addresses, credentials, and person names (a title or a known first name with
+capitalised words after it, initials and particles between them allowed; Han
+names before an honorific or after a label).  Cards must pass the Luhn sum and
+accounts their check digits.  A text that names a person is read once more for
+later mentions of any word of its names.  A person without a title whose first
+name isn't listed isn't found.
 
 An entity has a canonical form (lower-case address, digits of a number, each
 word of a name), so that spellings of one entity share a surrogate.  The
 surrogate is a function of a secret key, the kind and the canonical form, and
 keeps kind, length, character classes, check digits, script and, for names,
-gender.  Collisions are checked over the whole corpus: a candidate that equals
-another entity's surrogate or any real entity of its kind is drawn again, so
-distinct entities stay distinct as long as their format has values left.  First names are moved along a keyed cycle of
-the names of their gender and script, which can't collide.
-
-Texts without an entity are passed through as they are and never shuffled.  Of
-texts with one, equal texts are handled once, by the hash of the text, and only
-the entities travel; the hot ones meet their surrogate in a join that is split
-where it is skewed.
+gender.  Its format is a row of places with the values each may take.
+
+Collisions are checked over the whole corpus.  Where a format has values to
+spare, a candidate that equals another entity's surrogate or any real entity of
+its kind is drawn again until none does.  Where entities fill a quarter of it
+or more, its free values and the entities are both put in keyed order and
+matched one to one.  Where too few values are free, the entities' own values
+are turned by one in keyed order (addresses get a number behind their name), so
+distinct entities stay distinct always.  First names are moved along a keyed
+cycle of the names of their gender and script, which can't collide.
+
+Texts without an entity are passed through and never shuffled.  Of texts with
+one, equal texts are handled once, by the hash of the text, and only the
+entities travel, one row each; the hot ones meet their surrogate in a join that
+is split where it is skewed.  The cost of a text grows with its length.
 
 Defined results: null text stays null, with no entity; empty and long texts,
 repeated rows and extra columns are kept as they are but for the replacements;
@@ -28,28 +38,32 @@ an empty table gives an empty result.  The output has the input's columns and
 from __future__ import annotations
 
 import hashlib
-import warnings
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stage
 
 #: Stands for the secret; pass your own.
 KEY = "ondelys"
-#: Rounds of drawing before a format counts as exhausted.
-ROUNDS = 12
+#: Values of a format to an entity, below which values are matched and not drawn.
+SPARE = 4
 
 # First names by script and gender: any list works, these are common ones.
 FIRST = {
-    ("latin", "m"): "James Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth Kevin Brian Edward Timothy Jeffrey Jacob Nicholas Stephen Jonathan Klaus Jürgen Wolfgang Heinrich Friedrich Jacques Guillaume Laurent Mathieu François Javier Miguel Alejandro Fernando Eduardo",
-    ("latin", "f"): "Mary Patricia Jennifer Elizabeth Barbara Jessica Margaret Sandra Ashley Kimberly Emily Michelle Melissa Deborah Stephanie Rebecca Laura Cynthia Kathleen Shirley Angela Pamela Nicole Katherine Samantha Ursula Sabine Brigitte Heike Gudrun Isabelle Chloé Mathilde Amélie Véronique Lucía Carmen Guadalupe Beatriz Mercedes",
+    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Steven Paul Andrew Kenneth George Kevin Brian Edward Peter Timothy Jeffrey Jacob Nicholas Stephen Jonathan Frank Henry Simon Philip Patrick Martin Alexander Benjamin Samuel Eric Klaus Jürgen Wolfgang Heinrich Friedrich Hans Stefan Andreas Jacques Guillaume Laurent Mathieu François Pierre Antoine Javier Miguel Alejandro Fernando Eduardo Carlos José Luis Antonio Juan Pedro Marco Giovanni Ahmed Mohammed",
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Michelle Melissa Deborah Stephanie Rebecca Laura Helen Cynthia Kathleen Shirley Angela Anna Pamela Emma Nicole Katherine Samantha Christine Alice Julia Olivia Sophia Claire Charlotte Victoria Hannah Maria Ursula Sabine Brigitte Heike Gudrun Petra Monika Isabelle Chloé Mathilde Amélie Véronique Sophie Camille Lucía Carmen Guadalupe Beatriz Mercedes Elena Ana Isabel Francesca Giulia Fatima Aisha",
     ("cyrillic", "m"): "Александр Сергей Дмитрий Андрей Алексей Максим Иван Михаил Николай Владимир Павел Роман",
     ("cyrillic", "f"): "Елена Ольга Наталья Анна Мария Татьяна Ирина Светлана Екатерина Юлия Людмила Галина",
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης Βασίλης Χρήστος",
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα",
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señora Señor Sra Sr Signora Signor Господин Госпожа Κύριος Κυρία"
+PARTICLES = "von van der den de del della di da du la le zu bin ibn al"
+#: Common Han family names, characters of given names, and what follows a person's name.
+FAMILIES, GIVEN = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗", "明伟华平文军建国志强海宁安宇晨涛林辉永春"
+HONORIFICS = "先生 女士 小姐 博士 教授 老师 医生 经理"
 #: Syllables of made-up surnames.
 SYLLABLES = {
     "latin": [c + v for c in "b d f g h k l m n p r s t v w z".split() for v in "aeiou"],
@@ -58,9 +72,25 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "n r ck ll nd rt sen ton man ley berg stein".split(), "cyrillic": "н к р ль ч ев ин ский".split(), "greek": "ς ης ος ας ίδης άκης".split()}
 
-WORD_NAME = r"\p{Lu}[\p{L}\p{M}'’\-]+"
-_NAMES = "|".join(sorted((n for names in FIRST.values() for n in names.split()), key=lambda n: (-len(n), n)))
-_TITLES = "|".join(sorted(TITLES.split(), key=lambda n: (-len(n), n)))
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, the longest first, parted by their first letters."""
+    parts = []
+    for first, group in groupby(sorted(set(words)), key=lambda w: w[0]):
+        rests = sorted((w[1:] for w in group), key=lambda w: (-len(w), w))
+        parts.append(f"{first}(?:{'|'.join(rests)})")
+    return "|".join(parts)
+
+
+LETTER = r"[\p{L}\p{M}]"
+#: A capitalised word; a possessive ending isn't part of it.
+WORD_NAME = rf"(?=\p{{Lu}}(?:{LETTER}|['’]{LETTER}{{2}}))\p{{Lu}}{LETTER}*+(?:(?:['’](?!s(?!{LETTER}))|-){LETTER}++)*+"
+GAP = r"[\s\u00A0]{1,3}"
+BETWEEN = rf"{GAP}(?:\p{{Lu}}\.[\s\u00A0]{{0,3}}){{0,2}}(?:(?:{_any_of(PARTICLES.split())}){GAP}){{0,2}}"
+_ALL_NAMES = [n for names in FIRST.values() for n in names.split()]
+_NAMES = _any_of(_ALL_NAMES + [n.upper() for n in _ALL_NAMES])
+_TITLES = _any_of(TITLES.split())
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> (characters it begins with, pattern).
 KINDS = {
@@ -74,11 +104,14 @@ KINDS = {
     "ssn": ("0-8", r"(?<!-)(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"),
     "phone": ("0-9+(", r"(?<![+(_])(?:\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)[ \-.]?)?\d{1,4}(?:[ \-.]\d{2,8}){1,5}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"),
     "iban": ("A-Z", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "name": ("A-ZÀ-ÞΆ-ΫЀ-Я", rf"(?:(?:{_TITLES})\.? {WORD_NAME}(?: {WORD_NAME}){{0,2}}|(?:{_NAMES}) {WORD_NAME}(?: {WORD_NAME})?)"),
+    "han": (FAMILIES, rf"[{FAMILIES}][\u4e00-\u9fff]{{1,2}}(?=\s?(?:{_any_of(HONORIFICS.split())}))|(?<=姓名[:：])[{FAMILIES}][\u4e00-\u9fff]{{1,2}}"),
+    "name": ("A-ZÀ-ÞΆ-ΫЀ-Я", rf"(?:(?:{_TITLES})\.?|(?:{_NAMES})(?!{LETTER})){BETWEEN}{WORD_NAME}(?:{BETWEEN}{WORD_NAME}){{0,2}}"),
 }
+BEFORE = r"(?<![0-9A-Za-zÀ-ɏͰ-ӿ])"
 #: No entity begins inside a run of letters and digits: one look back decides
 #: most places of a text, one look ahead most alternatives at the others.
-ENTITY = r"(?<![0-9A-Za-zÀ-ɏͰ-ӿ])(?:" + "|".join(f"(?=[{first}])(?:{rest})" for first, rest in KINDS.values()) + ")"
+ALTERNATIVES = "|".join(f"(?=[{first}])(?:{rest})" for first, rest in KINDS.values())
+ENTITY = f"{BEFORE}(?:{ALTERNATIVES})"
 SECRET_PREFIX = r"^[^=:]*[=:]\s*[\"']?"
 
 
@@ -97,9 +130,9 @@ def _literal_map(values: dict[str, str]) -> Column:
 
 def _kind(entity: Column) -> Column:
     out = F.lit("name")
-    for kind in reversed([k for k in KINDS if k != "name"]):
+    for kind in reversed([k for k in KINDS if k not in ("name", "han")]):
         out = F.when(entity.rlike(f"^(?:{KINDS[kind][1]})$"), kind).otherwise(out)
-    return out
+    return F.when(entity.rlike(r"^[\u4e00-\u9fff]{2,3}$"), "han").otherwise(out)
 
 
 _DOUBLED = "(CASE WHEN (length({d}) - i) % 2 = 0 THEN int(substring({d}, i, 1)) * 2 - if(int(substring({d}, i, 1)) > 4, 9, 0) ELSE int(substring({d}, i, 1)) END)"
@@ -125,7 +158,7 @@ def _canonical(kind: Column, entity: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(entity, SECRET_PREFIX, ""))
-        .when(kind.isin("key", "name"), entity)
+        .when(kind.isin("key", "name", "han"), entity)
         .otherwise(F.lower(entity))
     )
 
@@ -135,60 +168,88 @@ def _valid(kind: str, canon: str) -> str:
     return f"CASE {kind} WHEN 'card' THEN {card} WHEN 'iban' THEN {_mod97(canon)} = 1 WHEN 'phone' THEN length({canon}) BETWEEN 7 AND 15 ELSE true END"
 
 
-def _words(entity: Column, first: Column) -> Column:
-    """Words of a name that stand for a person but aren't known first names."""
-    return F.filter(F.split(entity, " "), lambda w: ~w.rlike(rf"^(?:{_TITLES})\.?$") & first[F.lower(w)].isNull())
-
-
-def _atoms(entities: Column, first: Column) -> Column:
-    """Distinct ``kind|canonical`` of all that needs a surrogate."""
-
-    def one(entity: Column) -> Column:
-        kind = _kind(entity)
-        canon = _canonical(kind, entity)
-        named = F.transform(_words(entity, first), lambda w: F.concat(F.lit("last|"), F.lower(w)))
-        return F.when(kind == "name", named).otherwise(F.array(F.concat(kind, F.lit("|"), canon)))
-
-    return F.array_distinct(F.flatten(F.transform(entities, one)))
-
-
-def _candidates(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
-    """Surrogate candidates of (kind, canon) rows in a round of drawing."""
-    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-    def stream(of: str, label: str) -> str:
-        return f"array_join(transform(sequence(0, length({of}) div 64), b -> sha2(concat(secret, '|{label}|', kind, '|', {of}, '|', attempt, '|', b), 512)), '')"
-
-    byte = "int(conv(substring(stream, 2 * i - 1, 2), 16, 10))"
-    char = "substring(canon, i, 1)"
-    table = atoms.withColumn("secret", F.lit(key)).withColumn("attempt", F.lit(attempt))
-    table = table.withColumn("stream", F.expr(stream("canon", "s")))
-    every = "transform(sequence(1, length(canon)), i -> {})"
-    classes = f"CASE WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) WHEN {char} BETWEEN 'a' AND 'z' THEN substring('{lower}', {byte} % 26 + 1, 1) WHEN {char} BETWEEN 'A' AND 'Z' THEN substring('{upper}', {byte} % 26 + 1, 1) ELSE {char} END"
-    hexes = f"CASE WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) WHEN {char} BETWEEN 'a' AND 'f' THEN substring('abcdef', {byte} % 6 + 1, 1) WHEN {char} BETWEEN 'A' AND 'F' THEN substring('ABCDEF', {byte} % 6 + 1, 1) ELSE {char} END"
-    base32 = f"CASE WHEN {char} BETWEEN '2' AND '7' THEN string(2 + {byte} % 6) WHEN {char} BETWEEN '0' AND '9' THEN string({byte} % 10) ELSE substring('{upper}', {byte} % 26 + 1, 1) END"
-    table = table.withColumn("classes", F.expr(f"array_join({every.format(classes)}, '')"))
-    table = table.withColumn("hexes", F.expr(f"array_join({every.format(hexes)}, '')"))
-    octets = "concat_ws('.', CASE WHEN canon LIKE '10.%' THEN '10' WHEN canon LIKE '192.168.%' THEN '192.168' WHEN canon LIKE '127.%' THEN '127' WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN concat('172.', 16 + int(conv(substring(stream, 3, 2), 16, 10)) % 16) ELSE concat(11 + int(conv(substring(stream, 1, 2), 16, 10)) % 89, '.', int(conv(substring(stream, 3, 2), 16, 10))) END, CASE WHEN canon LIKE '10.%' OR canon LIKE '127.%' THEN string(int(conv(substring(stream, 5, 2), 16, 10))) END, string(int(conv(substring(stream, 7, 2), 16, 10))), string(1 + int(conv(substring(stream, 9, 2), 16, 10)) % 254))"
-    kept = "if(canon LIKE '6011%', 4, 2)"
-    payload = f"concat(left(canon, {kept}), substring(classes, {kept} + 1, length(canon) - {kept} - 1))"
-    nonzero = "string(1 + int(conv(substring(stream, {0}, 2), 16, 10)) % {1})"
-    ssn = f"concat({nonzero.format(1, 5)}, substring(classes, 2, 2), {nonzero.format(7, 9)}, substring(classes, 5, 1), {nonzero.format(11, 9)}, substring(classes, 7))"
-    from_two = "string(2 + int(conv(substring(stream, {0}, 2), 16, 10)) % 8)"
-    phone = f"CASE WHEN length(canon) = 10 THEN concat({from_two.format(1)}, substring(classes, 2, 2), {from_two.format(7)}, substring(classes, 5)) WHEN length(canon) > 10 THEN concat(left(canon, 2), substring(classes, 3)) ELSE concat(left(canon, 1), substring(classes, 2)) END"
-    blank = "concat(left(canon, 2), '00', substring(classes, 5))"
-    iban = f"concat(left(canon, 2), lpad(string(98 - {_mod97(blank)}), 2, '0'), substring(classes, 5))"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _place(values: str, n: int | str = 0, low: int = 0) -> str:
+    """SQL of one place of a format: one of the characters of ``values``, or with none of them ``low`` and ``n - 1`` numbers after it."""
+    return f"named_struct('a', '{values}', 'lo', {low}, 'n', {n or len(values)})"
+
+
+def _formats(atoms: DataFrame, key: str) -> DataFrame:
+    """(kind, canon) rows with ``slots``, the places of their format, ``capacity``, and ``format``, which names it."""
+    same, digit = "named_struct('a', c, 'lo', 0, 'n', 1)", _place(DIGITS)
+    chars = "regexp_extract_all(canon, '(?s).', 0)"
+
+    def each(cases: str, of: str = chars) -> str:
+        return f"transform({of}, (c, i) -> CASE {cases} END)"
+
+    classes = f"WHEN c BETWEEN '0' AND '9' THEN {digit} WHEN c BETWEEN 'a' AND 'z' THEN {_place(LOWER)} WHEN c BETWEEN 'A' AND 'Z' THEN {_place(UPPER)} ELSE {same}"
+    hexes = f"WHEN c BETWEEN '0' AND '9' THEN {digit} WHEN c BETWEEN 'a' AND 'f' THEN {_place('abcdef')} WHEN c BETWEEN 'A' AND 'F' THEN {_place('ABCDEF')} ELSE {same}"
+    base32 = f"WHEN i < 4 THEN {same} WHEN c BETWEEN '2' AND '7' THEN {_place('234567')} WHEN c BETWEEN '0' AND '9' THEN {digit} ELSE {_place(UPPER)}"
+    phone = f"WHEN length(canon) = 10 AND i IN (0, 3) THEN {_place('23456789')} WHEN length(canon) > 10 AND i < 2 OR length(canon) < 10 AND i < 1 THEN {same} ELSE {digit}"
+    ssn = f"WHEN i = 0 THEN {_place('12345')} WHEN i IN (3, 5) THEN {_place(DIGITS[1:])} ELSE {digit}"
+    card = f"WHEN i < if(canon LIKE '6011%', 4, 2) THEN {same} ELSE {digit}"
+    iban = f"WHEN i < 2 THEN {same} WHEN i < 4 THEN {_place('0')} {classes}"
+    octet, last = _place("", 256), _place("", 254, 1)
+    dot = _place(".")
+    ip = (
+        f"CASE WHEN canon LIKE '192.168.%' THEN array({_place('192.168.', 1)}, {octet}, {dot}, {last})"
+        f" WHEN canon LIKE '10.%' OR canon LIKE '127.%' THEN array(named_struct('a', concat(substring_index(canon, '.', 1), '.'), 'lo', 0, 'n', 1), {octet}, {dot}, {octet}, {dot}, {last})"
+        f" WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN array({_place('172.', 1)}, {_place('', 16, 16)}, {dot}, {octet}, {dot}, {last})"
+        f" ELSE array({_place('', 89, 11)}, {dot}, {octet}, {dot}, {octet}, {dot}, {last}) END"
+    )
+    han = f"WHEN i = 0 THEN {_place(FAMILIES)} ELSE {_place(GIVEN)}"
     # The domain's first label depends on the domain alone; the rest is a reserved name.
     domain = "substring_index(canon, '@', -1)"
-    label = "substring_index(substring_index(canon, '@', -1), '.', 1)"
-    domain_byte = f"int(conv(substring(sha2(concat(secret, '|d|', {domain}, '|', i div 64), 512), 2 * (i % 64) + 1, 2), 16, 10))"
-    label_char = f"substring({label}, i, 1)"
-    new_label = f"array_join(transform(sequence(1, length({label})), i -> CASE WHEN {label_char} BETWEEN '0' AND '9' THEN string({domain_byte} % 10) WHEN {label_char} BETWEEN 'a' AND 'z' THEN substring('{lower}', {domain_byte} % 26 + 1, 1) ELSE {label_char} END), '')"
+    label = f"substring_index({domain}, '.', 1)"
+    draws = f"flatten(transform(sequence(0, length({label}) div 32), b -> regexp_extract_all(sha2(concat(secret, '|d|', {domain}, '|', b), 512), '....', 0)))"
+    new_label = f"array_join(zip_with(regexp_extract_all({label}, '(?s).', 0), slice({draws}, 1, length({label})), (c, d) -> CASE WHEN c BETWEEN '0' AND '9' THEN substring('{DIGITS}', int(conv(d, 16, 10)) % 10 + 1, 1) WHEN c BETWEEN 'a' AND 'z' THEN substring('{LOWER}', int(conv(d, 16, 10)) % 26 + 1, 1) ELSE c END), '')"
     top = f"element_at(array('com', 'net', 'org'), int(conv(left(sha2(concat(secret, '|t|', {domain}), 256), 2), 16, 10)) % 3 + 1)"
-    email = f"concat(left(classes, instr(canon, '@')), {new_label}, '.example.', {top})"
+    slots = (
+        "CASE kind"
+        f" WHEN 'email' THEN {each(classes, chars.replace('canon', "left(canon, instr(canon, '@') - 1)"))}"
+        f" WHEN 'ip' THEN {ip}"
+        f" WHEN 'card' THEN {each(card, chars.replace('canon', 'left(canon, length(canon) - 1)'))}"
+        f" WHEN 'ssn' THEN {each(ssn)}"
+        f" WHEN 'phone' THEN {each(phone)}"
+        f" WHEN 'iban' THEN {each(iban)}"
+        f" WHEN 'han' THEN {each(han)}"
+        f" WHEN 'key' THEN if(canon LIKE 'AKIA%', {each(base32)}, {each('WHEN i < 4 THEN ' + same + ' ' + classes)})"
+        " WHEN 'last' THEN cast(array() AS array<struct<a: string, lo: int, n: int>>)"
+        f" ELSE if(kind IN ('mac', 'ip6') OR canon RLIKE '^[0-9a-f]+$|^[0-9A-F]+$', {each(hexes)}, {each(classes)}) END"
+    )
+    table = atoms.withColumn("secret", F.lit(key)).withColumn("slots", F.expr(slots))
+    table = table.withColumn("domain", F.expr(f"CASE WHEN kind = 'email' THEN concat({new_label}, '.example.', {top}) ELSE '' END")).drop("secret")
+    table = table.withColumn("capacity", F.expr("CASE WHEN kind = 'last' THEN double('infinity') ELSE aggregate(slots, 1D, (s, x) -> s * x.n) END"))
+    return table.withColumn("format", F.md5(F.concat_ws("|", "kind", "domain", F.to_json("slots"))))
+
+
+#: A place's value for a number below its n.
+_VALUE = "CASE WHEN x.n = 1 THEN if(x.a = '', string(x.lo), x.a) WHEN x.a = '' THEN string(x.lo + v) ELSE substring(x.a, v + 1, 1) END"
+
+
+def _finished(table: DataFrame) -> DataFrame:
+    """(kind, canon, format, surrogate): check digits and domain added to ``payload``."""
+    return table.withColumn(
+        "surrogate",
+        F.expr(
+            f"CASE kind WHEN 'card' THEN concat(payload, {_luhn('payload')})"
+            f" WHEN 'iban' THEN concat(left(payload, 2), lpad(string(98 - {_mod97('payload')}), 2, '0'), substring(payload, 5))"
+            " WHEN 'email' THEN concat(payload, '@', domain) ELSE payload END"
+        ),
+    )
+
+
+def _drawn(table: DataFrame, key: str, attempt: int) -> DataFrame:
+    """Surrogate candidates of a round of drawing."""
+    table = table.withColumn("secret", F.lit(key)).withColumn("attempt", F.lit(attempt))
+    draws = "flatten(transform(sequence(0, size(slots) div 32), b -> regexp_extract_all(sha2(concat(secret, '|s|', kind, '|', canon_hash, '|', attempt, '|', b), 512), '....', 0)))"
+    payload = f"array_join(transform(zip_with(slots, slice({draws}, 1, size(slots)), (x, d) -> named_struct('a', x.a, 'lo', x.lo, 'n', x.n, 'v', int(conv(d, 16, 10)) % x.n)), x -> {_VALUE.replace('v)', 'x.v)').replace('v + 1', 'x.v + 1')}), '')"
+    table = table.withColumn("canon_hash", F.sha2("canon", 256)).withColumn("payload", F.expr(payload))
+    # Made-up surnames: more syllables with every round, so the domain never ends.
     script = F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("canon").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     table = table.withColumn("script", script)
-    # Made-up surnames: more syllables with every round, so the domain never ends.
     last = F.lit(None).cast("string")
     for name, syllables in SYLLABLES.items():
         table = table.withColumn("syllables", F.array(*map(F.lit, syllables))).withColumn("endings", F.array(*map(F.lit, ENDINGS[name])))
@@ -197,38 +258,74 @@ def _candidates(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
         ending = f"CASE WHEN canon RLIKE '(ова|ева)$' THEN right(canon, 3) WHEN canon RLIKE '(ов|ев)$' THEN right(canon, 2) WHEN canon RLIKE 'ova$' THEN 'ova' ELSE {end} END"
         table = table.withColumn(f"last_{name}", F.expr(f"concat({body}, {ending})")).drop("syllables", "endings")
         last = F.when(F.col("script") == name, F.col(f"last_{name}")).otherwise(last)
-    surrogate = (
-        F.when(F.col("kind") == "email", F.expr(email))
-        .when(F.col("kind") == "ip", F.expr(octets))
-        .when(F.col("kind") == "card", F.expr(f"concat({payload}, {_luhn(payload)})"))
-        .when(F.col("kind") == "ssn", F.expr(ssn))
-        .when(F.col("kind") == "phone", F.expr(phone))
-        .when(F.col("kind") == "iban", F.expr(iban))
-        .when(F.col("kind") == "key", F.expr(f"concat(left(canon, 4), substring(if(canon LIKE 'AKIA%', array_join({every.format(base32)}, ''), classes), 5))"))
-        .when(F.col("kind").isin("mac", "ip6") | (F.col("kind") == "secret") & F.col("canon").rlike("^[0-9a-f]+$|^[0-9A-F]+$"), F.col("hexes"))
-        .when(F.col("kind") == "last", last)
-        .otherwise(F.col("classes"))
-    )
-    return table.select("kind", "canon", surrogate.alias("surrogate"))
-
-
-def surrogates(atoms: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+    table = table.withColumn("payload", F.when(F.col("kind") == "last", last).otherwise(F.col("payload")))
+    return _finished(table).select("kind", "canon", "surrogate")
+
+
+def _ranked(table: DataFrame, by: Column) -> DataFrame:
+    """``table`` with ``nth``, the place of each row in its format by the keyed order of ``by``, from 0.
+
+    Rows are counted by ranges of the hash first, so a format of any size is
+    dealt over tasks.
+    """
+    table = stage(table.withColumn("order", F.sha2(by, 256)).withColumn("range", F.substring("order", 1, 3)), "pii-order")
+    counts = table.groupBy(F.col("format").alias("f"), F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("rows"))
+    # At most 4,096 ranges to a format.
+    earlier = Window.partitionBy("f").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("f", "r", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("format", "range").orderBy("order")) - 1
+    joined = table.withColumn("inside", inside).join(counts, (F.col("format") == F.col("f")) & (F.col("range") == F.col("r")))
+    return joined.withColumn("nth", F.col("before") + F.col("inside")).drop("order", "range", "f", "r", "before", "inside")
+
+
+def _matched(table: DataFrame, real: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
+    """Surrogates for the entities of crowded formats: free values matched one to one in keyed order."""
+    formats = table.groupBy("format").agg(F.first("kind").alias("kind"), F.first("domain").alias("domain"), F.first("slots").alias("slots"), F.first("capacity").alias("capacity"), F.count(F.lit(1)).alias("n"))
+    chunk = 1 << 16
+    every = formats.withColumn("hi", F.explode(F.expr(f"sequence(0L, (bigint(capacity) - 1) div {chunk})"))).repartition("format", "hi")
+    every = every.withColumn("at", F.explode(F.expr(f"sequence(hi * {chunk}, least(bigint(capacity), (hi + 1) * {chunk}) - 1)")))
+    # The number's digits in the mixed radix of the places.
+    step = "struct(s.left div x.n AS left, concat(s.out, {}) AS out)".format(_VALUE.replace("v)", "int(s.left % x.n))").replace("v + 1", "int(s.left % x.n) + 1"))
+    every = every.withColumn("payload", F.expr(f"aggregate(slots, struct(at AS left, '' AS out), (s, x) -> {step}, s -> s.out)"))
+    free = _finished(every).select("format", "kind", "surrogate").join(real, ["kind", "surrogate"], "left_anti")
+    if done is not None:
+        free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+    free = _ranked(free, F.concat(F.lit(f"{key}|v|"), "format", F.lit("|"), "surrogate"))
+    asking = _ranked(table, F.concat(F.lit(f"{key}|c|"), "format", F.lit("|"), "canon"))
+    asking = stage(asking, "pii-asking")
+    got = asking.join(free.select("format", "nth", "surrogate"), ["format", "nth"], "left")
+    # Too few values: the entities' own, turned by one; addresses get a number.
+    short = stage(got, "pii-matched")
+    lacking = short.where("surrogate IS NULL").select("format").distinct()
+    whole = short.join(lacking, "format", "left_anti").select("kind", "canon", "surrogate")
+    turned = asking.join(lacking, "format").join(formats.select("format", "n"), "format")
+    after = asking.select("format", F.col("nth").alias("next"), F.col("canon").alias("other"))
+    turned = turned.withColumn("next", (F.col("nth") + 1) % F.col("n")).join(after, ["format", "next"])
+    turned = turned.select("kind", "canon", F.when(F.col("kind") == "email", F.expr("concat('x', nth, '@', domain)")).otherwise(F.col("other")).alias("surrogate"))
+    return whole.unionByName(turned)
+
+
+def surrogates(atoms: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate) without collisions, for distinct (kind, canon) rows."""
     real = atoms.select(F.col("kind"), F.col("canon").alias("surrogate"))
-    done, pending = None, atoms
-    for attempt in range(rounds):
-        drawn = stage(_candidates(pending, key, attempt), "drawn")
+    table = stage(_formats(atoms, key), "pii-formats")
+    counts = table.groupBy(F.col("format").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.first("capacity").alias("room"))
+    crowded = stage(counts.where(F.col("room") <= SPARE * F.col("n")).select("f"), "pii-crowded")
+    done, pending, attempt = None, table.join(crowded, F.col("format") == F.col("f"), "left_anti"), 0
+    # At least half of the values are free, so every round leaves half of the entities at most.
+    while not pending.isEmpty():
+        drawn = stage(_drawn(pending, key, attempt), "drawn")
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done, ["kind", "surrogate"], "left_anti")
         won = stage(free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates")
         done = won if done is None else stage(done.unionByName(won), "surrogates")
-        pending = stage(drawn.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "pending")
-        if pending.isEmpty():
-            return done
-    # More entities than their format has values: the last draw stands, as no other could be distinct.
-    warnings.warn("a kind has no distinct surrogates left of its format", stacklevel=2)
-    return done.unionByName(_candidates(pending, key, rounds))
+        pending = stage(pending.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pending")
+        attempt += 1
+    if not crowded.isEmpty():
+        matched = stage(_matched(table.join(crowded, F.col("format") == F.col("f"), "left_semi"), real, done, key), "surrogates")
+        done = matched if done is None else done.unionByName(matched)
+    return real.select("kind", F.lit("").alias("canon"), "surrogate").where("false") if done is None else done
 
 
 def _fill(entity: str, replacement: str, pattern: str, skip: str) -> str:
@@ -237,56 +334,69 @@ def _fill(entity: str, replacement: str, pattern: str, skip: str) -> str:
     return f"aggregate(split({entity}, ''), named_struct('out', '', 'k', 0), (s, c) -> {step}, s -> s.out)"
 
 
-def _rendered(found: Column, first: Column) -> tuple[Column, Column]:
-    """Facts of each entity, given the text's map of surrogates ``held``, and from these (``spelled``) its replacement."""
-
-    def one(entity: Column) -> Column:
-        kind = _kind(entity)
-        canon = _canonical(kind, entity)
-        new = F.element_at(F.col("held"), F.concat(kind, F.lit("|"), canon))
-        spelled = F.struct(entity.alias("e"), new.alias("n"), kind.alias("k"), canon.alias("c"))
-
-        def word(w: Column) -> Column:
-            known = first[F.lower(w)]
-            made = F.initcap(F.element_at(F.col("held"), F.concat(F.lit("last|"), F.lower(w))))
-            chosen = F.coalesce(known, made, w)
-            return F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(chosen)).otherwise(chosen)
+def _rewritten(found: DataFrame, surrogate: DataFrame, key: str) -> DataFrame:
+    """(of, new): the replacement of every entity of a text, in order; ``found``: (of, pos, part, kind, canon, e, made)."""
+    known = surrogate.select(F.col("kind").alias("s_kind"), F.col("canon").alias("s_canon"), "surrogate")
+    met = found.join(known, (F.col("kind") == F.col("s_kind")) & (F.col("canon") == F.col("s_canon")), "left")
+    skip = "(length(regexp_replace(e, '[^0-9]', '')) - length(canon))"
+    new = (
+        "CASE WHEN made IS NOT NULL THEN made WHEN surrogate IS NULL THEN e"
+        " WHEN kind = 'last' THEN if(e = upper(e), upper(surrogate), initcap(surrogate))"
+        f" WHEN kind IN ('card', 'ssn', 'phone') THEN {_fill('e', 'surrogate', '[0-9]', skip)}"
+        f" WHEN kind = 'iban' THEN {_fill('e', 'surrogate', '[A-Z0-9]', '0')}"
+        " WHEN kind = 'secret' THEN concat(left(e, length(e) - length(canon)), surrogate)"
+        " WHEN e = upper(e) AND kind IN ('email', 'mac', 'ip6') THEN upper(surrogate) ELSE surrogate END"
+    )
+    parts = met.select("of", "pos", F.struct("part", F.expr(new).alias("new")).alias("p")).groupBy("of", "pos").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    entities = parts.select("of", F.struct("pos", F.array_join("p.new", "").alias("new")).alias("p"))
+    return entities.groupBy("of").agg(F.sort_array(F.collect_list("p")).alias("p")).select("of", F.col("p.new").alias("new"))
 
-        name = F.array_join(F.transform(F.split(entity, " "), word), " ")
-        return F.struct(spelled.alias("s"), name.alias("w"))
 
-    skip = "(length(regexp_replace(x.s.e, '[^0-9]', '')) - length(x.s.c))"
-    rendered = (
-        "transform(spelled, x -> CASE WHEN x.s.k = 'name' THEN x.w WHEN x.s.n IS NULL THEN x.s.e"
-        f" WHEN x.s.k IN ('card', 'ssn', 'phone') THEN {_fill('x.s.e', 'x.s.n', '[0-9]', skip)}"
-        f" WHEN x.s.k = 'iban' THEN {_fill('x.s.e', 'x.s.n', '[A-Z0-9]', '0')}"
-        " WHEN x.s.k = 'secret' THEN concat(left(x.s.e, length(x.s.e) - length(x.s.c)), x.s.n)"
-        " WHEN x.s.e = upper(x.s.e) AND x.s.k IN ('email', 'mac', 'ip6') THEN upper(x.s.n) ELSE x.s.n END)"
+def _parts(texts: DataFrame, key: str) -> DataFrame:
+    """One row for each entity of each text, of a name one for each word and what stands between: (of, pos, part, kind, canon, e, made)."""
+    first = _literal_map(_first_names(key))
+    each = texts.select("of", F.posexplode("found").alias("pos", "e")).withColumn("kind", _kind(F.col("e")))
+    named = F.col("kind") == "name"
+    pieces = F.regexp_extract_all("e", F.lit(r"[\p{L}\p{M}'’\-]+|[^\p{L}\p{M}'’\-]+"), F.lit(0))
+    each = each.select("of", "pos", "kind", F.posexplode(F.when(named, pieces).otherwise(F.array("e"))).alias("part", "e"))
+    canon = _canonical(F.col("kind"), F.col("e"))
+    known = first[F.lower("e")]
+    turned = "".join(sorted(UPPER, key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest()))
+    made = (
+        F.when(~F.col("e").rlike(r"^\p{L}") | F.col("e").rlike(rf"^(?:{_TITLES})$|^(?:{_any_of(PARTICLES.split())})$"), F.col("e"))
+        .when(F.length("e") == 1, F.translate("e", UPPER, turned))
+        .when(known.isNotNull(), F.when((F.col("e") == F.upper("e")), F.upper(known)).otherwise(known))
     )
-    return F.transform(found, one), F.expr(rendered)
+    return each.select("of", "pos", "part", F.when(named, "last").otherwise(F.col("kind")).alias("kind"), F.when(named, F.lower("e")).otherwise(canon).alias("canon"), "e", F.when(named, made).alias("made"))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, added: str = "n_entities") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, and their number in ``added``."""
-    first = _literal_map(_first_names(key))
     columns = docs.columns
-    has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
-    found = F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
     # Working columns get names that no column of the input has.
     row = F.struct(*[docs[c] for c in columns]).alias("row")
-    touched = stage(docs.where(has).select(row, F.sha2("text", 256).alias("key_of"), found.alias("found")), "pii-texts")
-    texts = touched.select(F.col("key_of").alias("of"), "found").groupBy("of").agg(F.first("found").alias("found"))
-    texts = stage(texts.select("of", F.explode(_atoms(F.col("found"), first)).alias("atom")), "pii-atoms")
-    split = texts.select(F.substring_index("atom", "|", 1).alias("kind"), F.expr("substring(atom, instr(atom, '|') + 1)").alias("canon")).distinct()
-    atoms = stage(split.where(F.expr(_valid("kind", "canon"))), "pii-entities")
-    known = surrogates(atoms, key).select(F.concat("kind", F.lit("|"), "canon").alias("known"), "surrogate")
-    held = texts.join(known, texts["atom"] == known["known"]).groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("atom", "surrogate"))).alias("held"))
-
-    clean = docs.where(~has).select(*columns, F.lit(0).alias(added))
-    touched = touched.join(held, F.col("key_of") == F.col("of"), "left").withColumn("held", F.coalesce("held", F.expr("cast(map() AS map<string, string>)")))
-    spelled, rendered = _rendered(F.col("found"), first)
-    touched = touched.withColumn("spelled", spelled).withColumn("new", rendered)
-    between = F.split(F.col("row.text"), ENTITY, -1)
+    found = F.coalesce(F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0)), F.expr("cast(array() AS array<string>)"))
+    every = stage(docs.select(row, found.alias("found")), "pii-texts")
+    clean = every.where("size(found) = 0").select(*[F.col("row").getField(c).alias(c) for c in columns], F.lit(0).alias(added))
+    touched = every.where("size(found) > 0").select("row", F.sha2("row.text", 256).alias("key_of"), "found")
+    # A text with names is read once more, for later mentions of any word of them.
+    names = F.filter("found", lambda e: _kind(e) == "name")
+    words = F.flatten(F.transform(names, lambda e: F.regexp_extract_all(e, F.lit(WORD_NAME), F.lit(0))))
+    words = F.filter(words, lambda w: ~w.rlike(rf"^(?:{_TITLES})$"))
+    words = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w)))))
+    longest = F.transform(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda x: x["w"])
+    pattern = F.concat(F.lit(f"{BEFORE}(?:{ALTERNATIVES}|(?:"), F.array_join(longest, "|"), F.lit(rf")(?![\p{{L}}\p{{M}}\p{{N}}]))"))
+    touched = touched.withColumn("pattern", F.when(F.size(names) > 0, pattern))
+    again = F.regexp_extract_all(F.col("row.text"), F.col("pattern"), F.lit(0))
+    touched = stage(touched.withColumn("found", F.coalesce(again, F.col("found"))), "pii-touched")
+
+    texts = touched.groupBy(F.col("key_of").alias("of")).agg(F.first("found").alias("found"))
+    parts = stage(_parts(texts, key), "pii-parts")
+    atoms = parts.where("made IS NULL").select("kind", "canon").distinct()
+    atoms = stage(atoms.where(F.expr(_valid("kind", "canon"))), "pii-entities")
+    new = _rewritten(parts, surrogates(atoms, key), key)
+    touched = touched.join(new, F.col("key_of") == F.col("of"), "left")
+    between = F.split(F.col("row.text"), F.coalesce("pattern", F.lit(ENTITY)), -1)
     text = F.array_join(F.flatten(F.zip_with(between, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     replaced = F.expr("size(filter(zip_with(found, new, (a, b) -> a <> b), x -> x))")
     out = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
