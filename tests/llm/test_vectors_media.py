@@ -25,6 +25,72 @@ def test_nearest_against_brute_force(spark):
     assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == 40), key=lambda r: r["rank"])][:19] == list(range(41, 60))
 
 
+def brute_nearest(rows, k, step):
+    """Lists of (vec_id, score) by query."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for q in range(0, max(ids) + 1, step):
+        for own in x[ids == q]:
+            score = (x * own).sum(axis=1)
+            order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
+            out[q] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+def by_query(found):
+    out = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (3000, 14)).astype(float)
+    x[:, 0] = 1.0
+    ids = rng.permutation(3000)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = by_query(crosspoly.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect())
+    want = brute_nearest(rows, 20, 20)
+    assert got.keys() == want.keys()
+    # What is found at all is in the right order; where all true scores are found, so are the smallest ids.
+    full = [q for q in want if [s for _, s in got[q]] == [s for _, s in want[q]]]
+    assert len(full) >= 0.95 * len(want)
+    rough = crosspoly._best_of_block(np.arange(4), x[:4], ids, x, 20, {})
+    for q in range(4):
+        score = x @ x[q]
+        assert rough[1][rough[0] == q].tolist() == ids[np.lexsort((ids, -score))[:20]].tolist()
+    every = by_query(crosspoly.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=10**6).collect())
+    assert every == want
+
+
+@pytest.mark.parametrize("cell", [crosspoly.CELL, 40])
+def test_recall_on_the_given_vectors(spark, cell):
+    from conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    frame = spark.read.parquet(str(DATA / "embeddings.parquet"))
+    rows = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
+    got, want = by_query(crosspoly.nearest(frame, cell=cell).collect()), brute_nearest(rows, 20, 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_cells_grow_with_the_vectors(spark):
+    # Near neighbours: a few probes of many cells find them.
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 16))
+    rows = [(i, (centres[i % 150] + rng.normal(size=16) * 0.15).tolist()) for i in range(4500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    folded = frame.selectExpr("vec_id AS rep", "embedding AS vec", "vec_id AS q")
+    lengths = [np.linalg.norm(v) for _, v in rows]
+    hasher, probes, met = crosspoly.tuned(folded, folded, 16, 4500, max(lengths), True, 20, 4, 16, 0.96, 7)
+    assert hasher.hashes == 2 and met >= 0.96 and probes < hasher.cells_of_table / 10
+    got, want = by_query(crosspoly.nearest(frame, cell=16, chunk=30).collect()), brute_nearest(rows, 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_few_vectors_find_all(spark):
     frame = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
     found = sorted(crosspoly.nearest(frame).collect(), key=lambda r: r["rank"])
