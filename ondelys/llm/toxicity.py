@@ -2,14 +2,18 @@
 
 Tokens are words and their beginnings.  A token's log-odds between toxic and
 other labelled texts have a Dirichlet prior in proportion to its frequency in
-all documents.  Only tokens whose rates differ beyond chance, by the likelihood
-ratio over texts, count; equal texts count once.  Words without a significant token score
-``-DRIFT``.  One linear scan (Ruzzo and Tompa) over a text finds all its
-maximal-scoring segments, the toxic passages.  Under the clean texts' own word
-frequencies segment scores follow an extreme-value law whose rate and constant
-give every segment its significance for the text's length; what the segments
-exceed it by, summed, is the text's evidence, and a logistic curve fitted to
-the training labels turns that into a score.
+all documents.  Tokens whose rates differ beyond chance, by the likelihood
+ratio over texts, tell, in either direction; equal texts count once.  A word
+scores the log-odds of its most telling token, above zero or below, and
+``-DRIFT`` if it has none.  One linear scan (Ruzzo and Tompa) over a text finds
+all its maximal-scoring segments, the toxic passages.  Under the clean texts'
+own word frequencies segment scores follow an extreme-value law whose rate and
+constant give every segment its significance for the text's length; what the
+segments exceed it by, summed, is the text's evidence, and a logistic curve
+fitted to the training labels turns that into a score.
+
+A longer text holds more of all tokens.  One that is rarer in toxic texts must
+therefore be rarer to the word as well as to the text.
 
 Bounded: the labelled texts learned from (``max_labelled``, chosen by hash).
 All their tokens are tested, and every one that passes is kept.  The prior, the
@@ -18,8 +22,8 @@ search and the scores cover all documents and whole texts.
 Defined results: a null or empty text has no segment and the lowest score;
 without labels of both kinds no token is learned and all texts share one low
 score; null labels are ignored, of repeated labels the highest counts; a null
-``doc_id`` is never trained on; repeated rows are scored each; an empty table
-gives an empty result; extra columns are ignored.
+``doc_id`` is never trained on; repeated rows are scored each, and learned from
+once; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,27 +68,25 @@ def tokens_of(word: str) -> list[str]:
     return [word, *[f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]]
 
 
-def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """(first, last, score) of all maximal-scoring segments.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first, last, score) of all maximal-scoring segments of signed scores.
 
-    ``hits``: position and positive score of the scoring words; every other
-    word scores ``-drift``.  Linear: words between hits are taken together.
+    Linear: only words above zero begin or end a segment, those between two of
+    them are taken together.
     """
+    at = np.flatnonzero(scores > 0)
+    total = np.cumsum(scores)[at]
     # Each candidate: first, last, cumulative score before it, cumulative score with it.
     found: list[tuple[int, int, float, float]] = []
     lower: list[int] = []  # of each candidate, the latest one before it that begins lower, or -1
-    total, at = 0.0, -1
-    for position, score in hits:
-        total -= drift * (position - at - 1)
-        first, before = position, total
-        total += score
-        at = position
+    for position, start, end in zip(at.tolist(), (total - scores[at]).tolist(), total.tolist(), strict=True):
+        first, before = position, start
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
                 j = lower[j]
-            if j < 0 or found[j][3] >= total:
-                found.append((first, position, before, total))
+            if j < 0 or found[j][3] >= end:
+                found.append((first, position, before, end))
                 lower.append(j)
                 break
             first, before = found[j][0], found[j][2]
@@ -93,17 +95,18 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 
 
 class Scores(dict):
-    """Score of a word, worked out once: that of its most telling token, or none."""
+    """Score of a word, worked out once: that of its most telling token, or the drift."""
 
     def __init__(self, tokens: dict[str, float]):
         super().__init__()
         self.tokens = tokens
 
-    def __missing__(self, word: str) -> float | None:
+    def __missing__(self, word: str) -> float:
         if len(self) > WORDS_KEPT:
             self.clear()
         found = [s for t in tokens_of(word) if (s := self.tokens.get(t)) is not None]
-        self[word] = best = max(found) if found else None
+        best = max(found, key=abs) if found else -DRIFT
+        self[word] = best = best if best > 0 else min(best, -DRIFT)
         return best
 
 
@@ -117,10 +120,11 @@ class Toxicity:
     bias: float = -1.0986
     slope: float = 1.0
 
-    def segments(self, text: str | None, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
+    def segments(self, text: str | None, scores: Scores) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+        """Scores of the words, and the segments."""
         words = WORD.findall((text or "").lower())
-        found = list(map(scores.__getitem__, words))
-        return len(words), maximal_segments([(i, s) for i, s in enumerate(found) if s])
+        found = np.fromiter(map(scores.__getitem__, words), float, len(words))
+        return found, maximal_segments(found)
 
     def excess(self, score: float, words: int) -> float:
         """By how much a segment exceeds what chance gives in so long a text."""
@@ -128,19 +132,18 @@ class Toxicity:
 
     def evidence(self, text: str | None, scores: Scores) -> float:
         words, found = self.segments(text, scores)
-        return sum(self.excess(s, words) for *_, s in found)
+        return sum(self.excess(s, len(words)) for *_, s in found)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.asarray(evidence, float), -500, 500)))
 
 
-def _extreme_rate(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
+def _extreme_rate(scores: np.ndarray, shares: np.ndarray) -> float:
     """Positive root of the moment equation: E[exp(rate * score)] = 1."""
-    rest = max(1e-12, 1 - shares.sum())
     low, high = 0.0, 1.0
 
     def above(rate: float) -> bool:
-        return float((shares * np.exp(np.minimum(rate * scores, 700))).sum() + rest * np.exp(-rate * drift)) > 1
+        return float((shares * np.exp(np.minimum(rate * scores, 700))).sum()) > 1
 
     while not above(high) and high < 1e3:
         low, high = high, 2 * high
@@ -171,6 +174,23 @@ def training_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Data
     return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
 
 
+def training_texts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(text, toxic) to learn from: each text of a kind once, at most about ``max_labelled``, staged.
+
+    Rows may repeat a labelled id without bound; they are folded by text before
+    the limit, and only the numbers of the rows taken are sent.
+    """
+    # Bounded by max_labelled, so it may be broadcast: texts aren't shuffled.
+    chosen = F.broadcast(training_labels(labels, max_labelled).withColumnRenamed("doc_id", "of"))
+    labelled = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of"))
+    hashed = F.md5(F.coalesce("text", F.lit("")))
+    labelled = stage(labelled.select("text", "toxic", hashed.alias("same"), F.monotonically_increasing_id().alias("row")), "labelled")
+    own = stage(labelled.groupBy("same", "toxic").agg(F.min("row").alias("own")), "labelled-texts")
+    share = min(1.0, max_labelled / max(1, own.count()))
+    own = own.where(F.pmod(F.xxhash64("same"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    return labelled.join(F.broadcast(own.select("own")), F.col("row") == F.col("own"), "left_semi").select("text", "toxic")
+
+
 class Tokens(dict):
     """Tokens of a word that are wanted, as numbers; all its tokens, as they are, if ``wanted`` is None."""
 
@@ -185,14 +205,16 @@ class Tokens(dict):
         self[word] = out = tuple(found if self.wanted is None else [self.wanted[t] for t in found if t in self.wanted])
         return out
 
-    def of(self, text: str | None) -> set:
-        return set(chain.from_iterable(map(self.__getitem__, set(WORD.findall((text or "").lower())))))
+    def of(self, text: str | None) -> tuple[set, int]:
+        """Distinct tokens of a text, and its number of words."""
+        words = WORD.findall((text or "").lower())
+        return set(chain.from_iterable(map(self.__getitem__, set(words)))), len(words)
 
 
 def _count_all(texts: DataFrame) -> DataFrame:
-    """(token, c0, c1): texts of each kind that hold each token, pre-aggregated by task; the empty token counts all texts.
+    """(token, c0, c1): texts of each kind that hold each token, pre-aggregated by task.
 
-    ``texts``: (text, toxic).
+    The empty token counts all texts, ``^`` all words.  ``texts``: (text, toxic).
     """
 
     def rows(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -203,7 +225,10 @@ def _count_all(texts: DataFrame) -> DataFrame:
         counts, tokens = (Counter(), Counter()), Tokens(None)
         for batch in released(batches):
             for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts[kind].update(tokens.of(text.as_py()) | {""})
+                found, words = tokens.of(text.as_py())
+                found.add("")
+                counts[kind].update(found)
+                counts[kind]["^"] += words
                 if len(counts[0]) + len(counts[1]) > WORDS_KEPT:
                     yield rows(counts)
                     counts[0].clear()
@@ -213,21 +238,24 @@ def _count_all(texts: DataFrame) -> DataFrame:
     return texts.select("text", "toxic").mapInArrow(kernel, "token string, c0 long, c1 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("c0", "c1")])
 
 
-def _telling(counts: DataFrame, n0: int, n1: int) -> DataFrame:
-    """(token, c0, c1) of the tokens whose rates differ beyond chance."""
-    seen = counts.where((F.col("token") != "") & (F.col("c1") >= LEAST))
+def _telling(counts: DataFrame, texts: tuple[int, int], words: tuple[int, int]) -> DataFrame:
+    """(token, c0, c1) of the tokens whose rates differ beyond chance, in either direction."""
+    seen = counts.where(~F.col("token").isin("", "^") & ((F.col("c1") >= LEAST) | (F.col("c0") >= LEAST)))
     # A beginning has to tell something beyond the one word that it mostly stands for.
     begun = F.array(*[F.when(F.length("token") >= n, F.concat(F.lit("^"), F.substring("token", 1, n))) for n in BEGINNINGS])
-    words = seen.where(~F.col("token").startswith("^")).select(F.explode(begun).alias("of"), "c1").where("of is not null")
-    most = words.groupBy("of").agg(F.max("c1").alias("most"))
-    told = seen.join(most, F.col("token") == F.col("of"), "left").select("token", "c0", (F.col("c1") - F.coalesce("most", F.lit(0))).alias("c1"))
+    single = seen.where(~F.col("token").startswith("^")).select(F.explode(begun).alias("of"), "c0", "c1").where("of is not null")
+    most = single.groupBy("of").agg(F.max("c0").alias("most0"), F.max("c1").alias("most1"))
+    told = seen.join(most, F.col("token") == F.col("of"), "left").select("token", "c0", "c1", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("most0", "most1")])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c0, c1 = (batch.column(c).to_numpy().astype(float) for c in (1, 2))
-            yield batch.filter(pa.array(_signed_root(c0, c1, n0, n1) >= SURE, pa.bool_()))
+            c0, c1, most0, most1 = (batch.column(i).to_numpy().astype(float) for i in range(1, 5))
+            above = (c1 - most1 >= LEAST) & (_signed_root(c0, c1 - most1, *texts) >= SURE)
+            below = (c0 - most0 >= LEAST) & (_signed_root(c0 - most0, c1, *texts) <= -SURE) & (_signed_root(c0 - most0, c1, *words) <= -SURE)
+            kept = [batch.column(0), pa.array(np.where(above, c0, c0 - most0).astype(np.int64)), pa.array(np.where(above, c1 - most1, c1).astype(np.int64)), pa.array(above)]
+            yield pa.RecordBatch.from_arrays(kept, ["token", "c0", "c1", "above"]).filter(pa.array(above | below, pa.bool_()))
 
-    return told.mapInArrow(kernel, "token string, c0 long, c1 long")
+    return told.mapInArrow(kernel, "token string, c0 long, c1 long, above boolean")
 
 
 def _count_wanted(texts: DataFrame, wanted: dict[str, int]) -> np.ndarray:
@@ -238,7 +266,7 @@ def _count_wanted(texts: DataFrame, wanted: dict[str, int]) -> np.ndarray:
         tokens, table = Tokens(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for batch in released(batches):
             for text in batch.column(0):
-                table[np.fromiter(tokens.of(text.as_py()), np.int64)] += 1
+                table[np.fromiter(tokens.of(text.as_py())[0], np.int64)] += 1
             table[-1] += batch.num_rows
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["i", "c"])
@@ -262,54 +290,64 @@ def _signed_root(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray
     return np.sign(c1 / n1 - c0 / n0) * np.sqrt(np.maximum(0, 2 * (part(c0, n0, rate) + part(c1, n1, rate))))
 
 
+def log_odds(c0: np.ndarray, c1: np.ndarray, prior: np.ndarray, n0: float, n1: float, weight: float) -> np.ndarray:
+    """Log-odds of tokens in ``c1`` of ``n1`` against ``c0`` of ``n0``, with ``prior`` of ``weight`` added to both."""
+    return np.log((c1 + prior) / (n1 + weight - c1 - prior)) - np.log((c0 + prior) / (n0 + weight - c0 - prior))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Toxicity:
     """Learn from the labels outside the held-out fold."""
-    # Bounded by max_labelled, so it may be broadcast: texts aren't shuffled.
-    chosen = F.broadcast(training_labels(labels, max_labelled).withColumnRenamed("doc_id", "of"))
-    texts = docs.select("doc_id", "text")
-    labelled = texts.join(chosen, F.col("doc_id") == F.col("of"))
-    # Equal texts count once.
-    own = F.broadcast(labelled.groupBy(F.xxhash64("text"), "toxic").agg(F.min("doc_id").alias("of")).select("of", "toxic"))
-    labelled = texts.join(own, F.col("doc_id") == F.col("of"))
+    labelled = training_texts(docs, labels, max_labelled)
     counts = stage(_count_all(labelled), "token-counts")
-    totals = counts.where("token = ''").first()
-    if totals is None or not totals["c0"] or not totals["c1"]:
+    totals = {r["token"]: (r["c0"], r["c1"]) for r in counts.where("token IN ('', '^')").collect()}
+    texts, words = totals.get("", (0, 0)), totals.get("^", (0, 0))
+    if not min(texts) or not min(words):
         return Toxicity()
-    n0, n1 = totals["c0"], totals["c1"]
+    n0, n1 = texts
     # Bounded by the labelled texts: those that pass, not all that were tested.
-    telling = _telling(counts, n0, n1).orderBy("token").toArrow()
+    telling = _telling(counts, texts, words).orderBy("token").toArrow()
     names = np.array(telling.column("token").to_pylist(), object)
     if not len(names):
         return Toxicity()
-    *background, n = _count_wanted(texts, {t: i for i, t in enumerate(names.tolist())}).tolist()
+    *background, n = _count_wanted(docs.select("text"), {t: i for i, t in enumerate(names.tolist())}).tolist()
     c0, c1 = (telling.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
+    above = telling.column("above").to_numpy()
     weight = PRIOR * (n0 + n1)
-    prior = weight * np.array(background) / n
-    sure = np.log((c1 + prior) / (n1 + weight - c1 - prior)) - np.log((c0 + prior) / (n0 + weight - c0 - prior))
-    keep = sure >= CLEAR
-    if not keep.any():
+    odds = log_odds(c0, c1, weight * np.array(background) / n, n0, n1, weight)
+    keep = np.where(above, odds >= CLEAR, odds <= -CLEAR)
+    if not (keep & above).any():
         return Toxicity()
-    model = Toxicity(dict(zip(names[keep].tolist(), sure[keep].tolist(), strict=True)))
-
-    training = labelled.select("text", "toxic")
+    model = Toxicity(dict(zip(names[keep].tolist(), odds[keep].tolist(), strict=True)))
 
     def segment_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.tokens)
         for batch in released(batches):
             found = [model.segments(t.as_py(), scores) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in f] for _, f in found], pa.list_(pa.float64()))], ["toxic", "words", "found"])
+            below = [w[w < -DRIFT] for w, _ in found]
+            columns = [pa.array([len(w) for w, _ in found], pa.int64()), pa.array([len(x) for x in below], pa.int64()), pa.array([float(x.sum()) for x in below], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns, pa.array([[s for *_, s in f] for _, f in found], pa.list_(pa.float64()))], ["toxic", "words", "below", "below_sum", "found"])
 
-    # Bounded by max_labelled.
-    got = training.mapInArrow(segment_kernel, "toxic int, words long, found array<double>").toArrow().to_pydict()
-    toxic, words_in = np.array(got["toxic"], float), np.array(got["words"], float)
+    scanned = stage(labelled.mapInArrow(segment_kernel, "toxic int, words long, below long, below_sum double, found array<double>"), "segments")
     # The extreme-value law of clean text: shares of scoring words among its words.
-    clean = [s for found, y in zip(got["found"], toxic, strict=True) if not y for s in found]
-    least, clean_words = float(sure[keep].min()), max(1.0, words_in[toxic == 0].sum())
-    typical = np.quantile(sure[keep], np.linspace(0.05, 0.95, 10))
-    model.rate = _extreme_rate(typical, np.full(10, (len(clean) + 0.5) / 10 / clean_words), DRIFT)
-    model.constant = (sum(s >= least for s in clean) + 0.5) / (clean_words * np.exp(-model.rate * least))
-    evidence = np.array([sum(model.excess(s, w) for s in found) for found, w in zip(got["found"], words_in.tolist(), strict=True)])
-    model.bias, model.slope = _logistic(evidence, toxic)
+    positive = odds[keep & above]
+    least = float(positive.min())
+    clean = scanned.where("toxic = 0").agg(F.sum("words"), F.sum("below"), F.sum("below_sum"), F.sum(F.size("found")), F.sum(F.size(F.filter("found", lambda s: s >= least)))).first()
+    clean_words, below, below_sum, segments, sure = (float(x or 0) for x in clean)
+    clean_words = max(1.0, clean_words)
+    typical, shares = np.quantile(positive, np.linspace(0.05, 0.95, 10)), np.full(10, (segments + 0.5) / 10 / clean_words)
+    lowered = below / clean_words
+    rest = max(1e-12, 1 - shares.sum() - lowered)
+    model.rate = _extreme_rate(np.r_[typical, below_sum / max(1.0, below), -DRIFT], np.r_[shares, lowered, rest])
+    model.constant = (sure + 0.5) / (clean_words * np.exp(-model.rate * least))
+
+    def evidence_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(sum(model.excess(s, n) for s in found)) for n, found in rows], pa.float64())], ["toxic", "evidence"])
+
+    # Two numbers to a labelled text, of which there are max_labelled at most.
+    got = scanned.select("toxic", "words", "found").mapInArrow(evidence_kernel, "toxic int, evidence double").toArrow()
+    model.bias, model.slope = _logistic(got.column("evidence").to_numpy(), got.column("toxic").to_numpy().astype(float))
     return model
 
 
@@ -357,8 +395,8 @@ def passages(docs: DataFrame, model: Toxicity) -> DataFrame:
         for batch in released(batches):
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words, found = model.segments(text, scores)
-                found = [f for f in found if model.excess(f[2], words) > 0]
+                found, segments = model.segments(text, scores)
+                words, found = len(found), [f for f in segments if model.excess(f[2], len(found)) > 0]
                 if not found:
                     continue
                 # Lowering may change a text's length; positions are those of the lowered text then.

@@ -251,10 +251,54 @@ def test_surrogates_stay_distinct(spark):
     got = pii.surrogates(atoms).collect()
     assert len({r["surrogate"] for r in got}) == len({r["canon"] for r in got}) == 20000
     assert not {r["surrogate"] for r in got} & {r["canon"] for r in got}
-    # Ten values for ten entities: no distinct surrogate is left, and the job still ends.
-    few = stage(spark.range(10).selectExpr("'phone' AS kind", "concat('1', id) AS canon"), "atoms")
-    with pytest.warns(UserWarning):
-        assert pii.surrogates(few, rounds=2).count() == 10
+    # Formats that are full, or nearly, or with room for a few draws: all entities stay distinct, and none keeps its own value.
+    few = spark.range(10).selectExpr("'phone' AS kind", "concat('1', id) AS canon")
+    boxes = spark.range(600).selectExpr("'email' AS kind", "concat(char(97 + id div 26), char(97 + id % 26), '@box.test') AS canon")
+    ips = spark.range(32000).selectExpr("'ip' AS kind", "concat('192.168.', id div 250, '.', 1 + id % 250) AS canon")
+    full = stage(few.unionByName(boxes).unionByName(ips), "atoms")
+    got = pii.surrogates(full).collect()
+    assert len(got) == len({(r["kind"], r["canon"]) for r in got}) == len({(r["kind"], r["surrogate"]) for r in got}) == 32610
+    assert all(r["canon"] != r["surrogate"] for r in got)
+    real = {r["canon"] for r in full.collect()}
+    assert not {r["surrogate"] for r in got if r["kind"] != "phone"} & real and {len(r["surrogate"]) for r in got if r["kind"] == "phone"} == {2}
+
+
+def test_pii_names(spark):
+    texts = [
+        "John Smith came. Later Smith left, and so did John.",
+        "JAMES MILLER and Mary A. Miller; Mary Miller's house. Millers stay.",
+        "Dr. Miller spoke; Miller was late.",
+        "Herr Johann von Berg, then Berg. O'Neil? Susan O'Neil. Ms. Anna\u00a0Lee-Jones",
+        "王小明先生到了。姓名：李伟强，王小明先生",
+        "Public License, Of Of The The. Version Mark II",
+        "Smith is a trade here.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.replace_entities(docs).collect()}
+    gone = [["John", "Smith"], ["JAMES", "MILLER", "Mary", "Miller "], ["Miller"], ["Johann", "Berg", "Susan", "Neil", "Anna", "Lee-Jones"], ["王小明", "李伟强"], [], []]
+    for i, words in enumerate(gone):
+        assert not [w for w in words if w in rows[i]["text"]], rows[i]["text"]
+    assert rows[6]["text"] == texts[6] and rows[5]["n_entities"] <= 1
+    first = rows[0]["text"].split()
+    assert first[1].rstrip(".") == first[4] and first[0] == first[9].rstrip(".")
+    # One person, one surname, whatever the case and the ending; another text's Miller is the same.
+    words = rows[1]["text"].replace(";", "").split()
+    assert words[1].lower() == words[5].lower() == words[7].removesuffix("'s").lower() and words[1].isupper() and words[0].isupper()
+    assert rows[2]["text"].split()[1].rstrip(";") == words[5] == rows[2]["text"].split()[3]
+    assert words[3] == words[6] and len(words[4]) == 2 and "von" in rows[3]["text"]
+    han = rows[4]["text"]
+    assert han[:3] == han[-5:-2] and han[3:5] == "先生"
+
+
+def test_pii_of_many_entities(spark):
+    import time
+
+    text = " ".join(f"u{i}@mail.test Dr. Na{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}" for i in range(20000)) + " password=" + "a1" * 40000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in pii.replace_entities(docs).collect()}
+    assert rows[1]["n_entities"] == 40001 and len(rows[1]["text"].split()) == len(text.split()) and time.time() - began < 200
+    assert "@mail.test" not in rows[1]["text"] and rows[2]["text"] is None and rows[3]["text"] == ""
 
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><div class=logo>Site Name</div><nav><a href=/>Home</a></nav></header>
@@ -291,6 +335,26 @@ def test_main_text_under_furniture_names():
     assert htmltext.extract(page) == "The article itself, which is short."
 
 
+def test_main_text_named_among_other_things():
+    body = [f"Paragraph {i} of the article, with text. And more text here, really." for i in range(6)]
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    for kind in ("legal-analysis", "form-of-address", "related-theory"):
+        page = f'<body><article><h1>Title</h1>{paragraphs}<section class="{kind}"><p>A part of the article, under its own name. It has text too.</p></section></article></body>'
+        assert htmltext.extract(page).split("\n\n") == ["Title", *body, "A part of the article, under its own name. It has text too."], kind
+    page = f'<body><article>{paragraphs}<div class="related-links"><a>More</a></div><div class="social-share-fancy"><a>Send</a></div></article></body>'
+    assert htmltext.extract(page).split("\n\n") == body
+    assert htmltext.extract("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "Where x=2 holds."
+
+
+@pytest.mark.parametrize("deep", ["<div>", "<b>", "<div><b>", "<ul><li>", "<div class='a b'>"])
+def test_main_text_of_deep_pages(deep):
+    import time
+
+    began = time.time()
+    text = htmltext.extract(deep * 50000 + "<p>word, and word.</p>" + "</span>" * 50000 + "<hr>" * 1000 + "<p>word, and word.</p>")
+    assert text.split("\n\n") == ["word, and word."] * 2 and time.time() - began < 20
+
+
 def test_url_filter(spark):
     urls = ["http://Example.ORG/en/12?x", "https://m.example.org/es/1", "http://a.org", "http://a.org/", "x.com/de/", None, "http://x.com/de/#a", "http://x.com/fr/", "ftp://net/", "http://org/q", "http://badexample.org/es/1", "http://ü.com/de/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "again")], "page_id long, url string, verdict string")
@@ -330,8 +394,8 @@ def brute_segments(scores):
 def test_maximal_segments():
     rnd = random.Random(0)
     for _ in range(200):
-        scores = [rnd.choice([-0.5, -0.5, -0.5, 1.3, 2.1, 0.77]) for _ in range(rnd.randint(1, 25))]
-        got = toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], 0.5)
+        scores = [rnd.choice([-0.5, -0.5, -1.7, 1.3, 2.1, 0.77]) for _ in range(rnd.randint(1, 25))]
+        got = toxicity.maximal_segments(np.array(scores))
         assert [(a, b, round(s, 6)) for a, b, s in got] == brute_segments(scores)
 
 
@@ -363,6 +427,63 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    import math
+    import re
+
+    rnd = random.Random(17)
+    rows, labels = [], []
+    for i in range(500):
+        toxic = i % 3 == 0
+        words = [rnd.choice("abcdefgh") + rnd.choice("klmnop") for _ in range(rnd.randint(4, 30))]
+        for _ in range(2):
+            words.insert(rnd.randrange(len(words)), rnd.choice(["vilex", "vilest", "foulq"] if toxic and rnd.random() < 0.9 else ["kindly", "thanks"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(3, rows[3][1])] * 40 + [(7, "another text of one id vilex")]
+    docs, judged = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, judged)
+
+    kinds = dict(labels)
+    learned = {(t, kinds[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    split = lambda t: re.findall("[a-z]+", t)
+    tokens = lambda t: {x for w in split(t) for x in [w, *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) >= n)]}
+    n, words = [sum(k == y for _, k in learned) for y in (0, 1)], [sum(len(split(t)) for t, k in learned if k == y) for y in (0, 1)]
+    counts = collections.Counter((x, k) for t, k in learned for x in tokens(t))
+    everywhere = collections.Counter(x for _, t in rows for x in tokens(t))
+
+    def root(a, b, total):
+        part = lambda c, m, r: sum(x * math.log(x / m / q) for x, q in ((c, r), (m - c, 1 - r)) if x)
+        r = (a + b) / sum(total)
+        return math.copysign(math.sqrt(max(0, 2 * (part(a, total[0], r) + part(b, total[1], r)))), b / total[1] - a / total[0])
+
+    want, weight = {}, 0.05 * sum(n)
+    for x in {x for x, _ in counts}:
+        inside = [w for w, _ in counts if x.startswith("^") and not w.startswith("^") and w.startswith(x[1:])]
+        c0, c1 = counts[x, 0], counts[x, 1]
+        most0, most1 = (max((counts[w, k] for w in inside), default=0) for k in (0, 1))
+        if c1 - most1 >= 4 and root(c0, c1 - most1, n) >= 4:
+            c1 -= most1
+        elif c0 - most0 >= 4 and root(c0 - most0, c1, n) <= -4 and root(c0 - most0, c1, words) <= -4:
+            c0 -= most0
+        else:
+            continue
+        prior = weight * everywhere[x] / len(rows)
+        odds = math.log((c1 + prior) / (n[1] + weight - c1 - prior)) - math.log((c0 + prior) / (n[0] + weight - c0 - prior))
+        if abs(odds) >= 1:
+            want[x] = odds
+    assert model.tokens.keys() == want.keys() and all(abs(model.tokens[x] - want[x]) < 1e-9 for x in want)
+    assert min(want.values()) < 0 < max(want.values())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id <> 7"), model).collect()}
+    for i, t in rows[:60]:
+        if i != 7:
+            found = [[want[x] for x in tokens(w) if x in want] for w in split(t)]
+            best = [max(f, key=abs) if f else -0.5 for f in found]
+            segments = brute_segments([b if b > 0 else min(b, -0.5) for b in best])
+            evidence = sum(max(0, model.rate * s - math.log1p(model.constant * len(best))) for *_, s in segments)
+            assert abs(got[i] - 1 / (1 + math.exp(-model.bias - model.slope * evidence))) < 1e-4
+
+
 def test_rare_telling_words_are_kept(spark):
     # More than 100,000 neutral tokens, each in more toxic texts than the telling word.
     letters = "abcdefghijklmnopqrstuvwxyzбвгджзиклмнпрстуфхцчшщ"
