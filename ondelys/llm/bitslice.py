@@ -93,7 +93,12 @@ def _small_groups(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rad
 
 
 def _large_group(prints: np.ndarray, radius: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside one group of any size: each member is a query once."""
+    """Links inside one group of any size.
+
+    First whoever isn't reached yet is a query, until all are reached; then
+    those outside the largest component are, as all links between components
+    have an end there.  A dense group takes a few queries, not one a member.
+    """
     n = len(prints)
     words = -(-n // 64)
     index = np.arange(n)
@@ -101,7 +106,7 @@ def _large_group(prints: np.ndarray, radius: int, batch: int = 64) -> tuple[np.n
     valid = np.full(words, ~U(0))
     if n % 64:
         valid[-1] = (ONE << U(n % 64)) - ONE
-    label = np.full(n, -1)
+    label, asked = np.full(n, -1), np.zeros(n, bool)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -109,19 +114,9 @@ def _large_group(prints: np.ndarray, radius: int, batch: int = 64) -> tuple[np.n
             parent[x] = x = parent[parent[x]]
         return x
 
-    waiting: list[int] = []
-    fresh = 0
-    while True:
-        now, waiting = waiting[-batch:], waiting[:-batch]
-        while len(now) < batch and fresh < n:
-            if label[fresh] < 0:
-                label[fresh] = parent[fresh] = fresh
-                now.append(fresh)
-            fresh += 1
-        if not now:
-            break
-        found = within(planes, valid, prints[now][:, None], radius)
-        for q, row in zip(now, found, strict=True):
+    def ask(now: list[int]) -> None:
+        asked[now] = True
+        for q, row in zip(now, within(planes, valid, prints[now][:, None], radius), strict=True):
             hits = np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
             known = label[hits]
             root = find(int(label[q]))
@@ -129,11 +124,21 @@ def _large_group(prints: np.ndarray, radius: int, batch: int = 64) -> tuple[np.n
                 if (r := find(other)) != root:
                     root, r = min(root, r), max(root, r)
                     parent[r] = root
-            new = hits[known < 0]
-            label[new] = root
-            waiting.extend(new.tolist())
-    root = np.array([find(int(x)) for x in np.unique(label)])
-    of = root[np.searchsorted(np.unique(label), label)]
+            label[hits[known < 0]] = root
+
+    def components() -> np.ndarray:
+        named = np.unique(label)
+        return np.array([find(int(x)) for x in named])[np.searchsorted(named, label)]
+
+    while len(fresh := np.flatnonzero(label < 0)[:batch]):
+        label[fresh] = fresh
+        parent.update((x, x) for x in fresh.tolist())
+        ask(fresh.tolist())
+    of = components()
+    main = int(np.bincount(of).argmax())
+    while len(rest := np.flatnonzero((of != find(main)) & ~asked)[:batch]):
+        ask(rest.tolist())
+        of = components()
     child = of != index
     return prints[child], prints[of[child]]
 
@@ -157,82 +162,3 @@ def local_links(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radiu
         b.append(y)
     empty = np.zeros(0, U)
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
-
-
-def _small_stars(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    most = int(sizes.max())
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    rank = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    member = prints[np.repeat(starts, sizes) + rank]
-    planes = slice_planes(member, group, rank.astype(U), len(sizes))
-    free = np.where(sizes == 64, ~U(0), (ONE << (sizes % 64).astype(U)) - ONE)
-    lanes = np.zeros((most, len(sizes)), U)
-    lanes[rank, group] = member
-    near = within(planes, free, lanes, radius)
-    a, b = [], []
-    for j in range(most - 1):
-        lead = (free >> U(j) & ONE).astype(bool)
-        free &= ~(ONE << U(j))
-        taken = np.where(lead, near[j] & free, U(0))
-        free &= ~taken
-        for k in range(j + 1, most):
-            g = np.flatnonzero(taken >> U(k) & ONE)
-            a.append(starts[g] + k)
-            b.append(starts[g] + j)
-    return np.concatenate(a), np.concatenate(b)
-
-
-class Leaders:
-    """Leader clustering of one group that comes in chunks; only leaders are held."""
-
-    def __init__(self, radius: int):
-        self.radius, self.prints, self.names = radius, np.zeros(0, U), np.zeros(0, np.int64)
-
-    def _first(self, prints: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """Index of the first of ``prints`` near each query, or -1."""
-        words = -(-len(prints) // 64)
-        index = np.arange(len(prints))
-        planes = slice_planes(prints, index // 64, (index % 64).astype(U), words)
-        valid = np.full(words, ~U(0))
-        if len(prints) % 64:
-            valid[-1] = (ONE << U(len(prints) % 64)) - ONE
-        out = np.full(len(queries), -1)
-        for at in range(0, len(queries), 256):
-            found = within(planes, valid, queries[at : at + 256, None], self.radius)
-            some = (found != 0).any(axis=1)
-            word = (found != 0).argmax(axis=1)
-            mask = found[np.arange(len(found)), word]
-            low = mask & (~mask + ONE)
-            lane = np.log2(np.where(some, low, ONE).astype(np.float64)).astype(np.int64)
-            out[at : at + 256] = np.where(some, word * 64 + lane, -1)
-        return out
-
-    def add(self, names: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(member, leader) names for those of the chunk that have one."""
-        a, b = [], []
-        if len(self.prints) and len(prints):
-            first = self._first(self.prints, prints)
-            a.append(names[first >= 0])
-            b.append(self.names[first[first >= 0]])
-            names, prints = names[first < 0], prints[first < 0]
-        while len(prints):
-            near = self._first(prints[:1], prints) >= 0
-            self.prints, self.names = np.r_[self.prints, prints[:1]], np.r_[self.names, names[:1]]
-            near[0] = False
-            a.append(names[near])
-            b.append(np.full(near.sum(), names[0]))
-            near[0] = True
-            names, prints = names[~near], prints[~near]
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def small_stars(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, leader) positions inside groups of up to 64: each with the first leader near it."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low, high in ((1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 64)):
-        pick = (sizes > low) & (sizes <= high)
-        if pick.any():
-            x, y = _small_stars(prints, starts[pick], sizes[pick], radius)
-            a.append(x)
-            b.append(y)
-    return np.concatenate(a), np.concatenate(b)

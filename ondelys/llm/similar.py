@@ -4,14 +4,21 @@ The radius of two bits that op 4's contract sets is far below what a Jaccard
 similarity of 0.8 leaves (about ten bits of 64, up to twenty), and tables by
 bits can't reach so far.  Here documents meet under ``KEYS`` minimum hashes of
 their shingles: at a similarity of 0.8 all of eight miss with a chance of
-0.2 ** 8.  Under a key fingerprints are compared bit-sliced, with the wide
-radius.  What such links reach makes a group, and the shingle sets of a group's
-members meet in one task, or, of a large group, in one for each two of its
-salted parts.  There the exact Jaccard similarity decides every pair within the
-radius that isn't joined already; only links that pass leave the task.
-
-Equal word sequences are folded first.  Documents are nodes by the smallest
-``doc_id`` of their sequence; see :func:`keep_one` for nulls and repeats.
+0.2 ** 8.  Under a key SimHash fingerprints are compared bit-sliced, with the
+wide radius; a key of more than ``SPLIT`` fingerprints is dealt over chunks, of
+which each two meet.  What such links reach makes a group, and inside a group
+the exact Jaccard similarity decides every pair within the radius that isn't
+joined already; only links that pass leave a task.
+
+A group of more than ``CROWD`` members or ``BLOCK`` bytes of shingle sets is
+settled in three passes, each exact in what it joins: its members in chunks,
+then one of each component found, then, only where more than one component is
+left, every member outside the largest component against all the others.  So a
+group of copies, however large, sends each set once or twice, and the work
+grows with the square of what doesn't join alone.
+
+Equal word sequences are folded first, and rows are known by ``doc_id`` and
+text together; see :func:`keep_one` for nulls and repeats.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import stage
@@ -36,8 +43,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 KEYS = 8
 RADIUS = 20
-#: Bytes of shingle sets in one part of a group that is salted.
-BLOCK = 1 << 24
+#: Bytes of shingle sets, and members, of a group that one task settles.
+BLOCK, CROWD = 1 << 24, 4096
+#: Fingerprints under one key that one task compares.
+SPLIT = 1 << 16
 #: Odd multipliers make further minimum hashes of one hash.  They are unrelated to each other: under multiples of one
 #: another the same shingles tend to be the least, and documents that miss one key miss them all.
 MIX = [xxhash.xxh64_intdigest(f"key{k}", SEED) | 1 for k in range(KEYS)]
@@ -76,23 +85,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def exact_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def exact_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float, labels: np.ndarray) -> list[tuple[int, int]]:
     """Links (i, j) that join all pairs within ``RADIUS`` whose exact Jaccard similarity passes.
 
-    Every such pair is tested unless its two are joined already, nearest
-    fingerprints first, so a group of copies takes about one test a member.
+    Members with one label are joined already.  First each that nothing has
+    reached is compared with all others, nearest fingerprints first; then those
+    outside the largest component are, as all links left have an end there.
     """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
     start = np.cumsum(size) - size
     known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, label, out = np.zeros(len(known), bool), np.arange(len(sets)), []
-    for x in range(1, len(sets)):
-        apart = np.bitwise_count(prints[:x] ^ prints[x])
+    mark, label = np.zeros(len(known), bool), np.unique(labels, return_inverse=True)[1]
+    reached, asked, out = np.zeros(n, bool), np.zeros(n, bool), []
+
+    def ask(x: int) -> None:
+        asked[x] = True
+        apart = np.bitwise_count(prints ^ prints[x])
         # The similarity of two sets is at most the ratio of their sizes.
-        fits = np.minimum(size[:x], size[x]) >= similarity * np.maximum(size[:x], size[x])
-        near = np.flatnonzero((apart <= RADIUS) & fits)
-        if not len(near):
-            continue
+        fits = np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x])
+        near = np.flatnonzero((apart <= RADIUS) & fits & (label != label[x]))
         near = near[np.argsort(apart[near], kind="stable")]
         own = ids[start[x] : start[x] + size[x]]
         mark[own] = True
@@ -103,128 +115,192 @@ def exact_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -
             for y in now[both >= similarity * (size[x] + size[now] - both)].tolist():
                 if label[y] != label[x]:
                     out.append((x, y))
+                    reached[y] = True
                     label[label == label[y]] = label[x]
             near = near[label[near] != label[x]]
             step *= 2
         mark[own] = False
+
+    for x in range(n):
+        if not reached[x]:
+            ask(x)
+    main = int(np.flatnonzero(label == np.bincount(label).argmax())[0])
+    for x in range(n):
+        if not asked[x] and label[x] != label[main]:
+            ask(x)
     return out
 
 
 def _exact_kernel(similarity: float):
-    # Sorted by (root, p, q): a group ends where any changes.
-    def links(nodes: list[int], prints: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        found = exact_links(np.array(prints, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets], similarity)
+    # Sorted by (root, p, q, node): a group ends where any of the first three changes.
+    def links(nodes: list[int], labels: list[int], prints: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        found = exact_links(np.array(prints, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets], similarity, np.array(labels))
         a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, prints, sets = None, [], [], []
+        group, held = None, ([], [], [], [])
         for batch in released(batches):
-            for root, p, q, node, fp, held in zip(*[c.to_pylist() for c in batch.columns[:5]], batch.column(5), strict=True):
+            for root, p, q, *row, shingles in zip(*[c.to_pylist() for c in batch.columns[:6]], batch.column(6), strict=True):
                 if (root, p, q) != group:
-                    if len(nodes) > 1:
-                        yield links(nodes, prints, sets)
-                    group, nodes, prints, sets = (root, p, q), [], [], []
-                held = held.as_py()
-                if nodes and nodes[-1] == node and sets[-1] == held:  # a repeated row
+                    if len(held[0]) > 1:
+                        yield links(*held)
+                    group, held = (root, p, q), ([], [], [], [])
+                if held[0] and held[0][-1] == row[0]:  # a repeated row
                     continue
-                nodes.append(node)
-                prints.append(fp)
-                sets.append(held)
-        if len(nodes) > 1:
-            yield links(nodes, prints, sets)
+                for column, value in zip(held, (*row, shingles.as_py()), strict=True):
+                    column.append(value)
+        if len(held[0]) > 1:
+            yield links(*held)
 
     return kernel
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _near(nodes: DataFrame, split: int) -> DataFrame:
+    """Links (a, b) between fingerprints that meet under a key and are within the radius."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "fp").distinct()
+    large = stage(keyed.groupBy("key").count().where(F.col("count") > split).select(F.col("key").alias("large"), F.ceil(F.col("count") / split).alias("parts")), "large-keys")
+    dealt = keyed.select("key", F.lit(0).cast("long").alias("sub"), "fp")
+    if not large.isEmpty():
+        part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        # Each two chunks of a large key meet under a number of their own.
+        places = F.expr("transform(sequence(0L, parts - 1), j -> least(j, part) * parts + greatest(j, part))")
+        crowded = keyed.join(large, F.col("key") == F.col("large")).withColumn("part", part).select("key", F.explode(places).alias("sub"), "fp")
+        dealt = dealt.join(large, F.col("key") == F.col("large"), "left_anti").unionByName(crowded)
+    dealt = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp")
+    return dealt.mapInArrow(_links_kernel(RADIUS), "a long, b long")
+
+
+def _settle(texts: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) among ``members`` (root, p, q, node, label, doc_id, same) that share root, p and q."""
+    key = F.xxhash64("doc_id", "same")
+    # Texts stay where they are: a filter of bounded size says which may be asked for, and only their shingles travel.
+    asked = texts.sparkSession.sparkContext.broadcast(build_filter(members.select(key.alias("key")).distinct()))
+
+    def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            batch = batch.filter(pa.array(may_contain(asked.value, batch.column(3).to_numpy().view(np.uint64)), pa.bool_()))
+            hashes = [np.unique(shingle_hashes(t.as_py(), width)[0]) for t in batch.column(2)]
+            prints, sets = [_signed(sketch(h)[0]) for h in hashes], [h.tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], ["of_id", "of_text", "fp", "shingles"])
+
+    sets = texts.select("doc_id", "same", "text", F.xxhash64(key)).mapInArrow(shingle_kernel, "of_id long, of_text string, fp long, shingles binary")
+    held = members.join(sets.hint("merge"), (F.col("doc_id") == F.col("of_id")) & (F.col("same") == F.col("of_text")))
+    held = held.select("root", "p", "q", "node", "label", "fp", "shingles").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
+    return stage(held.mapInArrow(_exact_kernel(similarity), "a long, b long"), "links")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component that the links give each node as its label, staged."""
+    roots = components(links).select(F.col("node").alias("linked"), F.col("root").alias("joined"))
+    found = members.drop("label").join(roots.hint("merge"), F.col("node") == F.col("linked"), "left")
+    return stage(found.withColumn("label", F.coalesce("joined", "node")).drop("linked", "joined"), "labelled")
+
+
+def _chunks(by: list[str], members: DataFrame, block: int, crowd: int, salt: str) -> DataFrame:
+    """``members`` with ``parts``, the number of tasks that those equal in ``by`` need, and ``part``, that of each."""
+    parts = F.greatest(F.lit(1), F.ceil(8 * F.sum("size") / block), F.ceil(F.count(F.lit(1)) / crowd)).cast("long")
+    counts = members.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(parts.alias("parts"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    condition = same[0] if len(same) == 1 else same[0] & same[1]
+    return members.join(counts.hint("merge"), condition).drop(*[f"of_{c}" for c in by]).withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("parts")))
+
+
+def _group_links(texts: DataFrame, members: DataFrame, width: int, similarity: float, block: int, crowd: int) -> DataFrame:
+    """Links (a, b) that join all near-duplicates among ``members`` (root, node, size, doc_id, same) of each root."""
+    dealt = stage(_chunks(["root"], members.withColumn("label", F.col("node")), block, crowd, "first"), "groups")
+    links = _settle(texts, dealt.withColumn("p", F.col("part")).withColumn("q", F.col("part")), width, similarity)
+    large = stage(dealt.where("parts > 1").drop("parts", "part"), "large-groups")
+    if large.isEmpty():
+        return links
+    # One of each component, as each is joined already.
+    large = _labelled(large, links)
+    dealt = stage(_chunks(["root"], large.where("node = label"), block, crowd, "second"), "leaders")
+    links = stage(links.unionByName(_settle(texts, dealt.withColumn("p", F.col("part")).withColumn("q", F.col("part")), width, similarity)), "links")
+    large = _labelled(large, links)
+    # What is left in several components: all outside the largest against all.
+    shares = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    shares = shares.where("labels > 1").select("of", F.col("most.label").alias("main"))
+    left = stage(large.join(shares.hint("merge"), F.col("root") == F.col("of")).withColumn("other", F.col("label") != F.col("main")).drop("of", "main"), "left-groups")
+    if left.isEmpty():
+        return links
+    dealt = _chunks(["root", "other"], left, block, crowd, "third")
+    counts = dealt.groupBy(F.col("root").alias("of")).agg(F.max(F.when(~F.col("other"), F.col("parts"))).alias("k"), F.max(F.when(F.col("other"), F.col("parts"))).alias("j"))
+    dealt = dealt.join(counts.hint("merge"), F.col("root") == F.col("of"))
+    # Parts of the largest are numbered from 0, the others' from k.
+    places = F.expr(
+        "CASE WHEN other THEN concat(transform(sequence(0L, k - 1), i -> struct(i AS p, k + part AS q)),"
+        " transform(sequence(0L, j - 1), i -> struct(k + least(i, part) AS p, k + greatest(i, part) AS q)))"
+        " ELSE transform(sequence(0L, j - 1), i -> struct(part AS p, k + i AS q)) END"
+    )
+    dealt = stage(dealt.select("root", F.explode(places).alias("at"), "node", "label", "doc_id", "same").select("root", "at.p", "at.q", "node", "label", "doc_id", "same"), "places")
+    return links.unionByName(_settle(texts, dealt, width, similarity))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, split: int = SPLIT) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest ``doc_id``.
 
-    Texts without words are equal to each other.  Of repeated rows with the
-    kept id one stays.  A row without an id can't be told from others and
-    stays.  Columns are kept.
+    Rows are one document if they share ``doc_id`` and text (null: empty), and
+    one of them stays, the same in every run; rows that share the id alone are
+    different documents.  Texts without words are equal to each other.  A row
+    without an id can't be told from others and stays.  Columns are kept.
     """
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same = F.md5(F.coalesce("text", F.lit("")))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", same.alias("same"))
 
     def sketch_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             rows = []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 hashes, digest = shingle_hashes(t.as_py(), width)
                 # Distinct shingles, as in the similarity that decides: repeats must not part fingerprints.
                 hashes = np.unique(hashes)
                 fp, keys = sketch(hashes)
                 rows.append((digest, _signed(fp), len(hashes), [_signed(k) for k in keys]))
             digest, fp, size, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "size", "keys"])
-
-    drawn = stage(texts.mapInArrow(sketch_kernel, "doc_id long, digest string, fp long, size long, keys array<bigint>"), "sketches")
-    nodes = drawn.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
-    nodes = stage(nodes.drop("digest"), "nodes")
-    # Fingerprints that meet under a key and are near, and all that these reach, make a group; none but its members can link.
-    dealt = nodes.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("sub"), "fp").repartition("key").dropDuplicates(["key", "fp"])
-    near = dealt.sortWithinPartitions("key", "fp").mapInArrow(_links_kernel(RADIUS), "a long, b long")
-    roots = components(near).select(F.col("node").alias("of"), "root")
-    placed = nodes.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left").select("node", "size", F.coalesce("root", "fp").alias("root"))
-    placed = stage(placed, "placed")
-    groups = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(8 * F.sum("size") / block).alias("parts")).where("n > 1")
-    # A group too large for a task is salted: each two of its parts meet in one.
-    part = F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1)))
-    placed = placed.join(groups.select("root", "parts").hint("merge"), "root").withColumn("part", part)
-    others = "filter(sequence(0L, greatest(parts, 1L) - 1), j -> j <> part OR parts <= 1)"
-    placed = stage(placed.select("root", "node", F.expr(f"transform({others}, j -> struct(least(j, part) AS p, greatest(j, part) AS q))").alias("places")), "groups")
-
-    met = placed.select(F.col("node").alias("key")).distinct()
-    # Texts stay where they are: a filter of bounded size says which may be asked for, and only their shingles travel.
-    asked = docs.sparkSession.sparkContext.broadcast(build_filter(met))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "digest", "fp", "size", "keys"])
 
-    def shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            batch = batch.filter(pa.array(may_contain(asked.value, batch.column(2).to_numpy().view(np.uint64)), pa.bool_()))
-            hashes = [np.unique(shingle_hashes(t.as_py(), width)[0]) for t in batch.column(1)]
-            prints, sets = [_signed(sketch(h)[0]) for h in hashes], [h.tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], ["of", "fp", "shingles"])
-
-    # Repeated ids: any of the rows will do for an id that names its sequence.
-    hashed = texts.select("doc_id", "text", F.xxhash64("doc_id"))
-    sets = hashed.mapInArrow(shingle_kernel, "of long, fp long, shingles binary")
-    held = placed.join(sets.hint("merge"), F.col("node") == F.col("of")).select("root", F.explode("places").alias("at"), "node", "fp", "shingles")
-    held = held.select("root", "at.p", "at.q", "node", "fp", "shingles").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
-    links = held.mapInArrow(_exact_kernel(similarity), "a long, b long")
-    roots = components(links)
-    gone = roots.where("node <> root").select(F.col("node").alias("gone"))
-    # Ids that need a look: of sequences that go, of repeats, and of texts that equal an earlier one's.
-    chosen = stage(nodes.select("node").join(gone.hint("merge"), F.col("node") == F.col("gone"), "left_anti"), "kept-ids")
-    counted = drawn.groupBy("doc_id").count()
-    special = counted.join(chosen.hint("merge"), F.col("doc_id") == F.col("node"), "left").where("node is null or count > 1")
-    special = stage(special.select(F.col("doc_id").alias("key"), F.col("node").isNotNull().alias("stays")), "special-ids")
+    drawn = stage(texts.select("doc_id", "same", "text").mapInArrow(sketch_kernel, "doc_id long, same string, digest string, fp long, size long, keys array<bigint>"), "sketches")
+    nodes = drawn.groupBy("digest").agg(F.min(F.struct("doc_id", "same")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    nodes = stage(nodes.select(F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.same", "fp", "size", "keys"), "nodes")
+    roots = components(_near(nodes, split)).select(F.col("node").alias("of"), "root")
+    placed = nodes.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left").select(F.coalesce("root", "fp").alias("root"), "node", "size", "doc_id", "same")
+    placed = stage(placed, "placed")
+    several = placed.groupBy(F.col("root").alias("of")).count().where("count > 1")
+    members = placed.join(several.hint("merge"), F.col("root") == F.col("of"), "left_semi")
+    roots = components(_group_links(texts, members, width, similarity, block, crowd)).select(F.col("node").alias("linked"), "root")
+    # The smallest id of a group stays, with its text.
+    joined = nodes.join(roots.hint("merge"), F.col("node") == F.col("linked"), "left").groupBy(F.coalesce("root", "node").alias("group"))
+    chosen = stage(joined.agg(F.min(F.struct("doc_id", "same")).alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.same").alias("of_text")), "kept-ids")
+    counted = drawn.groupBy("doc_id", "same").count()
+    special = counted.join(chosen.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("of_text")), "left").where("id is null or count > 1")
+    special = stage(special.select("doc_id", "same", F.col("id").isNotNull().alias("stays")), "special-ids")
     return _without(docs, special)
 
 
 def _without(docs: DataFrame, special: DataFrame) -> DataFrame:
-    """``docs`` without the special ids that don't stay, and one row of each that does.
+    """``docs`` without the special rows that don't stay, and one of each that does.
 
-    Texts whose id isn't in the filter of special ids pass without a shuffle;
-    the others, and what the filter mistakes for them, are decided exactly.
+    Rows that aren't in the filter of special ones pass without a shuffle; the
+    others, and what the filter mistakes for them, are folded and decided
+    exactly.  What the filter mistakes has no equal, so folding leaves it alone.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(build_filter(special.select("key")))
+    sent = docs.sparkSession.sparkContext.broadcast(build_filter(special.select(F.xxhash64("doc_id", "same").alias("key"))))
     columns = docs.columns
     row = F.struct(*[docs[c] for c in columns])
+    id_, same = docs["doc_id"].cast("long"), F.md5(F.coalesce(docs["text"], F.lit("")))
 
     def rows(wanted: bool) -> DataFrame:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in released(batches):
-                known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-                may = may_contain(sent.value, batch.column(1).fill_null(0).to_numpy().view(np.uint64)) & known
+                known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+                may = may_contain(sent.value, batch.column(3).fill_null(0).to_numpy().view(np.uint64)) & known
                 yield batch.filter(pa.array(may == wanted, pa.bool_()))
 
-        hashed = docs.select(row.alias("row"), F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"))).alias("h"))
+        hashed = docs.select(row.alias("row"), id_.alias("id"), same.alias("of_text"), F.when(id_.isNotNull(), F.xxhash64(F.xxhash64(id_, same))).alias("h"))
         return hashed.mapInArrow(kernel, hashed.schema)
 
     sure = rows(False).select(*[F.col("row").getField(c).alias(c) for c in columns])
-    unsure = rows(True).select("row", F.col("row").getField("doc_id").cast("long").alias("id_of_row"))
-    unsure = unsure.join(special.hint("merge"), F.col("id_of_row") == F.col("key"), "left").where("key is null or stays")
-    unsure = unsure.withColumn("n", F.row_number().over(Window.partitionBy("id_of_row", "key").orderBy("id_of_row")))
-    # What the filter mistook keeps all its rows (there is one to an id); a repeated id keeps one.
-    unsure = unsure.where("key is null or n = 1")
+    unsure = rows(True).groupBy("id", "of_text").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    unsure = unsure.join(special.hint("merge"), (F.col("id") == F.col("doc_id")) & (F.col("of_text") == F.col("same")), "left").where("doc_id is null or stays")
     return sure.unionByName(unsure.select(*[F.col("row").getField(c).alias(c) for c in columns]))

@@ -175,18 +175,65 @@ def test_similar_whatever_the_repeats(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 3))
 
 
-def test_leaders_in_chunks_and_small_groups():
-    rng = np.random.default_rng(6)
-    centres = rng.integers(0, 2**63, 5).tolist()
-    prints = np.array([centres[i % 5] ^ (1 << int(rng.integers(64))) for i in range(150)], np.uint64)
-    names = np.arange(150)
-    leaders = bitslice.Leaders(4)
-    got = [leaders.add(names[i : i + 40], prints[i : i + 40]) for i in range(0, 150, 40)]
-    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-    assert (np.bitwise_count(prints[a] ^ prints[b]) <= 4).all() and len(a) + len(leaders.names) == 150
-    x, y = bitslice.small_stars(prints[:60], np.array([0]), np.array([60]), 4)
-    first = bitslice.Leaders(4).add(names[:60], prints[:60])
-    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(zip(first[0].tolist(), first[1].tolist(), strict=True))
+def test_similar_tells_rows_apart(spark):
+    # One id for two texts, one text under two ids, and rows that differ in another column only.
+    one, other = " ".join(f"one{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, one, "a"), (1, other, "b"), (2, one, "c"), (3, other + " more", "d"), (1, one, "z"), (4, "", "e"), (4, "alone here", "f"), (5, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = similar.keep_one(docs).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other), (4, ""), (4, "alone here")])
+    assert sorted(map(str, kept)) == sorted(map(str, similar.keep_one(docs.repartition(3)).collect()))
+
+
+def test_similar_on_the_given_documents(spark):
+    from conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    found = [similar.shingle_hashes(t) for _, t in rows]
+    sets = [set(np.unique(h).tolist()) for h, _ in found]
+    gone = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            if found[i][1] == found[j][1] or len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j])):
+                gone.add(rows[i][0])
+    left = {r["doc_id"] for r in similar.keep_one(docs).collect()}
+    assert left.isdisjoint(gone) and left | gone == {i for i, _ in rows}
+
+
+@pytest.mark.parametrize("crowd", [40, 100000])
+def test_similar_against_brute_force_in_a_hot_group(spark, crowd):
+    # One page in many versions, some of which drift away from it, and pages beside it that share a passage.
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    first, texts = [word() for _ in range(150)], []
+    for i in range(250):
+        c = list(first if i % 3 else texts[-1].split() if texts else first)
+        for at in rnd.sample(range(0, len(c), 8), rnd.choice([1, 1, 2, 3])):
+            c[at] = word()
+        texts.append(" ".join(c))
+    texts += [" ".join([word() for _ in range(60)] + first[:90]) for _ in range(40)]
+    rnd.shuffle(texts)
+    sets = [set(np.unique(similar.shingle_hashes(t)[0]).tolist()) for t in texts]
+    at = list(range(len(texts)))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                at[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in similar.keep_one(docs, block=1 << 24, crowd=crowd, split=crowd).collect()}
+    gone = set(range(len(texts))) - want
+    assert got >= want and len(gone - got) >= 0.99 * len(gone)
 
 
 PEOPLE = [
