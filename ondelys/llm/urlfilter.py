@@ -3,12 +3,14 @@
 A rule is a host and a path.  It fits its host and every subdomain if the
 url's path starts with the rule's; the longest fitting rule wins, and of equal
 ones ``block``.  Every url is turned into the canonical keys that could be
-listed (each suffix of its host with each path prefix of a length that rules
-have).  A blocked Bloom filter, one cache line of eight 64-bit words to a key,
+listed: each suffix of its host with as many labels as a rule's host has, with
+each path prefix of a length that rules have.  However long a url is, its keys
+are bounded by the rules.  A blocked Bloom filter, one cache line of eight 64-bit words to a key,
 lets the possible ones pass; an exact join with the rules then removes false
 positives.  The filter never exceeds ``FILTER_BYTES``, however long the list,
-so it may be broadcast; the rules themselves are joined, hot keys included, as
-the optimizer's measured sizes allow.
+so it may be broadcast; urls without a possible hit are done then and aren't
+shuffled, and the rules themselves are joined with the others, hot keys
+included, as the optimizer's measured sizes allow.
 
 Defined results: null url, or one without ``://``: host and path empty, no
 rule, ``allow``.  Repeated rows are judged each; an empty table gives an empty
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..scratch import stage
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 16
@@ -76,15 +80,16 @@ def may_contain(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return passed
 
 
-def candidate_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Canonical keys under which a url could be listed; ``lengths`` ascending."""
-    if not host:
+def candidate_keys(host: str, path: str, labels: list[int], lengths: list[int]) -> list[str]:
+    """Canonical keys under which a url could be listed; ``labels`` and ``lengths`` ascending, of the rules' hosts and paths."""
+    if not host or not labels:
         return []
-    suffixes = [host]
-    while "." in host:
-        host = host.split(".", 1)[1]
-        suffixes.append(host)
-    return [s + path[:n] for s in suffixes if s for n in lengths if n <= len(path)]
+    # One label more than any rule has shows that the host goes on.
+    parts = host.rsplit(".", labels[-1])
+    whole = len(parts) <= labels[-1]
+    prefixes = [path[:n] for n in lengths if n <= len(path)]
+    suffixes = [".".join(parts[-n:]) for n in labels if n < len(parts) or n == len(parts) and whole]
+    return [s + p for s in suffixes if s for p in prefixes]
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -93,16 +98,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bytes
     ``rules``: host, path, verdict.  ``default`` is the verdict of a url that
     isn't listed.
     """
-    listed = rules.select(F.concat("host", "path").alias("key"), F.col("verdict").alias("listed_verdict"), F.length("path").alias("path_length")).where("key is not null")
-    # Path lengths are bounded by the longest url a rule holds.
-    lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())
+    listed = rules.select(F.concat("host", "path").alias("key"), F.col("verdict").alias("listed_verdict"), F.length("path").alias("path_length"), F.size(F.split("host", "[.]")).alias("labels")).where("key is not null")
+    # Bounded by the longest url a rule holds.
+    lengths, labels = (sorted(r[0] for r in listed.select(c).distinct().collect()) for c in ("path_length", "labels"))
     spark = pages.sparkSession
     table = spark.sparkContext.broadcast(build_filter(listed.select("key"), most_bytes))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            keys = [candidate_keys(h, p, lengths) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            keys = [candidate_keys(h, p, labels, lengths) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             flat = [k for row in keys for k in row]
             hit = may_contain(table.value, np.array([digest(k.encode(), 42) for k in flat], np.uint64)).tolist() if flat else []
             at, hits = 0, []
@@ -114,12 +119,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bytes
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     schema = StructType([*parsed.schema.fields, StructField("hits", ArrayType(StringType()))])
-    probed = parsed.mapInArrow(kernel, schema).withColumn("row", F.monotonically_increasing_id())
-    possible = probed.select("row", "page_id", "url", "host", "path", F.explode_outer("hits").alias("hit"))
+    probed = stage(parsed.mapInArrow(kernel, schema).withColumn("row", F.monotonically_increasing_id()), "probed")
+    columns = ["page_id", "url", "host", "path"]
+    unlisted = probed.where("size(hits) = 0").select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    possible = probed.where("size(hits) > 0").select("row", *columns, F.explode("hits").alias("hit"))
     joined = possible.join(listed, possible["hit"] == listed["key"], "left")
     best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("n"), F.col("listed_verdict"), F.col("key")))).alias("best")
-    found = joined.groupBy("row", "page_id", "url", "host", "path").agg(best)
-    return found.select("page_id", "url", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))
+    found = joined.groupBy("row", *columns).agg(best)
+    return unlisted.unionByName(found.select(*columns, F.col("best.key").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict")))
 
 
 #: The rules of the registered query.
