@@ -416,6 +416,22 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, rules.where("false")).collect()} == {"allow"}
 
 
+def test_long_urls(spark):
+    import time
+
+    urls = ["http://" + "a." * 30000 + "example.org/es/" + "x" * 30000, "http://" + "org." * 3 + "org/q", "http://.org/q", "http://a..org/q", "http://org./q"]
+    pages = spark.createDataFrame(list(enumerate(urls * 200)), "page_id long, url string")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    began = time.time()
+    got = {r["page_id"] % 5: r["rule"] for r in urlfilter.judge(pages, rules).collect()}
+    assert got == {0: "example.org/es/", 1: "org/", 2: "org/", 3: "org/", 4: None} and time.time() - began < 60
+    for host in ("a.b.c", "c", "b.c", "x.y.a.b.c", ".c", ""):
+        every = [".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)]
+        for labels in ([1], [2], [1, 3], [1, 2, 3, 4, 9]):
+            want = sorted(s for s in every if s and s.count(".") + 1 in labels)
+            assert sorted(urlfilter.candidate_keys(host, "", labels, [0])) == want, (host, labels)
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) AS key")
     table = urlfilter.build_filter(keys)

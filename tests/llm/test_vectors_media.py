@@ -115,6 +115,33 @@ def test_images_decode():
     assert len(media.describe(np.full((40, 40), 9.0))[0]) == 0
 
 
+def test_bad_images_are_unreadable():
+    import struct
+    import zlib
+
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def png(kind, width=9, height=9, body=b"", palette=b""):
+        head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + palette + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+    bomb = zlib.compress(b"\0" * (1 << 24))
+    bad = [png(5, body=b"\0" * 90), png(3, body=b"\0" * 90), png(3, body=b"\0" + b"\7" * 89, palette=chunk(b"PLTE", b"\1\2\3")), png(0, 1 << 30, 1 << 30), png(0, 0, 0), png(0, body=b"\0" * 50)]
+    bad += [png(0, body=b"\0" * 90)[:40], b"\x89PNG\r\n\x1a\n" + b"\xff" * 99, b"P5\n99999 99999\n255\n", b"P5 -4 4 255 ", b"P6\n2 2\n70000\n" + b"a" * 99, b"P5\n# c\n2 2\n255\n", bomb]
+    assert [i for i, b in enumerate(bad) if media.decode(b) is not None] == []
+
+
+def test_corners_grow_with_the_image():
+    large = np.concatenate([np.concatenate([media.scene(i + 10 * j) for i in range(4)]) for j in range(4)], axis=1)
+    place, code = media.describe(large)
+    assert 10 * media.CORNERS < len(place) <= large.size // media.AREA
+    # A sixteenth of a large picture is found in it.
+    part, own = media.describe(media.scene(12))
+    i, j = np.nonzero(np.bitwise_count(code[:, None] ^ own[None]).sum(axis=2) <= media.NEAR)
+    assert media.consensus(place[i], part[j]) >= media.AGREE
+
+
 @pytest.mark.parametrize("how", [1, 2])
 def test_copies_agree_and_others_do_not(how):
     def agreeing(a, b):
@@ -136,3 +163,19 @@ def test_copies(spark):
     right = [rows[i][0] == (i if i % 4 == 3 else i - i % 4) for i in range(40)]
     assert np.mean(right) >= 0.9 and all(rows[i][0] == i for i in range(3, 40, 4))
     assert media.copies(images.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [media.BUCKET, 20])
+def test_copies_in_hot_buckets(spark, bucket):
+    # Versions of one picture, 200 of them, fill their buckets; others with the same box pasted in don't join.
+    vectors = spark.range(200).selectExpr("id * 64 + 63 AS vec_id", "array(1.0f) AS embedding")
+    others = []
+    for i in range(30):
+        grey = media.scene(5000 + i)
+        grey[-20:, -24:] = media.scene(4999)[-20:, -24:]
+        others.append((10**6 + i, bytearray(media.encode_png(grey))))
+        others.append((2 * 10**6 + i, bytearray(media.encode_png(grey[8:, 6:] * 0.9 + 9))))
+    images = media.render(vectors).unionByName(spark.createDataFrame(others, "image_id long, image binary"))
+    rows = {r["image_id"]: r["component_id"] for r in media.copies(images, bucket=bucket).collect()}
+    assert np.mean([rows[i * 64 + 63] == 63 for i in range(200)]) >= 0.95
+    assert np.mean([rows[2 * 10**6 + i] == 10**6 + i for i in range(30)]) >= 0.9
