@@ -8,38 +8,82 @@ generator's stream.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.vectors import dot, norm, squared
+from ..functions.vectors import norm
 from ..schema import DataError
 
+#: Products held at a time.
+CELLS = 1 << 20
 
-def _means(means: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in means])
 
+def _points(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-def _nearest(point: Column, means: list[list[float]]) -> Column:
-    """Index of the nearest mean, ties to the lowest."""
-    gaps = F.transform(_means(means), lambda m: squared(point, m))
-    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
+def _gaps(points: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Squared distances to every mean."""
+    out = np.empty((len(points), len(means)))
+    step = max(1, CELLS // max(1, means.size))
+    for at in range(0, len(points), step):
+        out[at : at + step] = ((points[at : at + step, None] - means[None]) ** 2).sum(axis=2)
+    return out
+
+
+def _with_clusters(ds: DataFrame, means: list[list[float]], spherical: bool) -> DataFrame:
+    """``ds`` with the nearest mean, or the most similar, ties to the lowest; the means are sent, not written into the plan."""
+    sent = ds.sparkSession.sparkContext.broadcast(np.array(means, float))
+    schema = StructType([*ds.schema.fields, StructField("cluster", IntegerType())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points = _points(batch.column("point"))
+                found = (points @ sent.value.T).argmax(axis=1) if spherical else _gaps(points, sent.value).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], schema.names)
+
+    return ds.mapInArrow(kernel, schema)
+
+
+def _mapped(ds: DataFrame, means: list[list[float]], work) -> DataFrame:
+    """(id, pos, point) with ``work`` of the points and means for point; works on streams."""
+    sent = ds.sparkSession.sparkContext.broadcast(np.array(means, float))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(work(_points(batch.column(2)), sent.value)), pa.list_(pa.float64()))], ["id", "pos", "point"])
 
-def _most_similar(point: Column, means: list[list[float]]) -> Column:
-    likeness = F.transform(_means(means), lambda m: dot(point, m))
-    return (F.array_position(likeness, F.array_max(likeness)) - 1).cast("int")
+    return ds.select("id", "pos", "point").mapInArrow(kernel, "id string, pos long, point array<double>")
 
 
 def _update(assigned: DataFrame, means: list[list[float]]) -> list[list[float]]:
-    """Means of the members; an empty cluster keeps its own."""
-    rows = assigned.select("cluster", F.posexplode("point").alias("dim", "v")).groupBy("cluster", "dim").agg(F.avg("v").alias("v")).collect()
+    """Means of the members; an empty cluster keeps its own.  A task sends one sum for each cluster."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = None, np.zeros(len(means), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                points, cluster = _points(batch.column(1)), batch.column(0).to_numpy()
+                total = np.zeros((len(means), points.shape[1])) if total is None else total
+                np.add.at(total, cluster, points)
+                count += np.bincount(cluster, minlength=len(means))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at]), pa.array([] if total is None else list(total[at]), pa.list_(pa.float64()))], ["cluster", "n", "total"])
+
+    parts = assigned.select("cluster", "point").mapInArrow(kernel, "cluster int, n long, total array<double>")
+    sums = parts.select("cluster", "n", F.posexplode("total").alias("dim", "v")).groupBy("cluster", "dim").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
     out = [list(m) for m in means]
-    for r in rows:
+    for r in sums:
         out[r["cluster"]][r["dim"]] = r["v"]
-    if len({r["cluster"] for r in rows}) < len(means):
+    if len({r["cluster"] for r in sums}) < len(means):
         warnings.warn("some clusters are empty", stacklevel=3)
     return out
 
@@ -91,8 +135,7 @@ class KMeans:
         return means
 
     def _assign(self, ds: DataFrame, means: list[list[float]]) -> DataFrame:
-        choose = _most_similar if self.spherical else _nearest
-        return ds.withColumn("cluster", choose(F.col("point"), means))
+        return _with_clusters(ds, means, self.spherical)
 
     def fit(self, ds: DataFrame) -> KMeans:
         """A new model; existing means of the right number are where it starts from."""
@@ -110,14 +153,14 @@ class KMeans:
 
     def predict(self, ds: DataFrame) -> DataFrame:
         """(id, pos, cluster) by the nearest mean."""
-        return ds.select("id", "pos", _nearest(F.col("point"), self.means).alias("cluster"))
+        return _with_clusters(ds.select("id", "pos", "point"), self.means, False).drop("point")
 
     def predict_point(self, point: list[float]) -> int:
         return int(np.argmin(((np.array(self.means) - np.array(point)) ** 2).sum(axis=1)))
 
     def transform(self, ds: DataFrame) -> DataFrame:
         """Squared distances to every mean."""
-        return ds.select("id", "pos", F.transform(_means(self.means), lambda m: squared(F.col("point"), m)).alias("point"))
+        return _mapped(ds, self.means, _gaps)
 
     def sizes(self, ds: DataFrame) -> DataFrame:
         """(cluster, count) with empty clusters."""
@@ -144,5 +187,4 @@ class SKMeans(KMeans):
 
     def encode(self, ds: DataFrame, threshold: float = 0.25) -> DataFrame:
         """max(0, likeness to every mean - threshold); points as they are."""
-        coded = F.transform(_means(self.means), lambda m: F.greatest(dot(F.col("point"), m) - threshold, F.lit(0.0)))
-        return ds.select("id", "pos", coded.alias("point"))
+        return _mapped(ds, self.means, lambda points, means: np.maximum(points @ means.T - threshold, 0.0))

@@ -1,4 +1,4 @@
-"""Dimension reduction: PCA at any size; MDS, UMAP and grids on sets of a stated size at most."""
+"""Dimension reduction: PCA at any size, UMAP to a million points; MDS and grids on sets of a stated size at most."""
 
 from __future__ import annotations
 
@@ -9,12 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
 from ..schema import DATASET, DataError
 from .assignment import assign
 from .neighbors import nearest
 
-#: Points that MDS, UMAP's layout and Grid take: their state is quadratic or local.
+#: Points that MDS takes: its state is quadratic.
 MOST = 5000
 
 
@@ -153,9 +152,66 @@ def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool =
     return _as_dataset(ds, ids, cells[assign(cost)])
 
 
+def neighbour_widths(rows: np.ndarray, k: int) -> np.ndarray:
+    """Widths of the neighbourhoods: by bisection, for ``rows`` of ascending distances, those beyond the first taken from it.
+
+    With it the weights of all neighbours but the first sum to log2(k).
+    """
+    gap = np.maximum(rows - rows[:, :1], 0)[:, 1:]
+    low, high, width = np.zeros(len(rows)), np.full(len(rows), np.inf), np.ones(len(rows))
+    on = np.ones(len(rows), bool)
+    for _ in range(64):
+        total = np.exp(-gap / np.maximum(width, 1e-300)[:, None]).sum(axis=1)
+        on &= np.abs(total - np.log2(k)) >= 1e-5
+        if not on.any():
+            break
+        wide = on & (total > np.log2(k))
+        narrow = on & ~wide
+        high[wide], low[narrow] = width[wide], width[narrow]
+        width = np.where(on, np.where(np.isfinite(high), (low + high) / 2, 2 * width), width)
+    return width
+
+
+def fuzzy_union(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a + b - a * b for a directed graph and its reverse, each way once, by (i, j)."""
+    code, both = np.concatenate([i * n + j, j * n + i]), np.concatenate([w, w])
+    order = np.argsort(code, kind="stable")
+    code, both = code[order], both[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    # An edge and its reverse meet here once or twice.
+    total, product = np.add.reduceat(both, first), np.multiply.reduceat(both, first)
+    twice = np.diff(np.r_[first, len(code)]) == 2
+    code = code[first]
+    return code // n, code % n, np.where(twice, total - product, total)
+
+
+def spectral_start(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int, dims: int, seed: int = 0, rounds: int = 200) -> np.ndarray:
+    """Eigenvectors 1 to ``dims`` of the normalised Laplacian of a sparse graph, by subspace iteration; dense where it is small."""
+    degree = np.maximum(np.bincount(i, w, n), 1e-12)
+    scaled = w / np.sqrt(degree[i] * degree[j])
+    if n <= 1000:
+        dense = np.zeros((n, n))
+        dense[i, j] = scaled
+        return _signed(np.linalg.eigh(np.eye(n) - dense)[1][:, 1 : dims + 1])
+    known = np.sqrt(degree / degree.sum())
+    x = np.random.default_rng(seed).normal(size=(n, dims + 4))
+    for _ in range(rounds):
+        # (I + A) / 2 has the Laplacian's eigenvectors, the smallest first; the first is known.
+        x = (x + np.stack([np.bincount(i, scaled * x[j, c], n) for c in range(x.shape[1])], axis=1)) / 2
+        x -= np.outer(known, known @ x)
+        x, _ = np.linalg.qr(x)
+    image = (x + np.stack([np.bincount(i, scaled * x[j, c], n) for c in range(x.shape[1])], axis=1)) / 2
+    values, turn = np.linalg.eigh(x.T @ image)
+    return _signed(x @ turn[:, np.argsort(-values)[:dims]])
+
+
+#: Points of a layout: its graph of k edges a point and its gradients are held by the driver.
+MOST_LAID_OUT = 1_000_000
+
+
 @dataclass
 class UMAP:
-    """Neighbour graph in Spark, layout by stochastic gradients on the driver."""
+    """Neighbour graph in Spark, kept sparse; layout by stochastic gradients on the driver."""
 
     dims: int = 2
     k: int = 15
@@ -173,37 +229,37 @@ class UMAP:
         best = min(((((1 / (1 + a * x ** (2 * b)) - y) ** 2).sum(), a, b) for a in np.linspace(0.2, 3, 57) for b in np.linspace(0.4, 2, 65)))
         return best[1], best[2]
 
+    def graph(self, ds: DataFrame, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted edges (i, j, w) between places, both ways."""
+        near = nearest(ds, ds, self.k + 1).where("query <> id")
+        rows = near.select("query", "id", "distance", "rank").toArrow()
+        i, j = (np.array([place[x] for x in rows.column(c).to_pylist()], np.int64) for c in ("query", "id"))
+        d, rank = rows.column("distance").to_numpy(), rows.column("rank").to_numpy()
+        order = np.lexsort((rank, d, i))
+        i, j, d = i[order], j[order], d[order]
+        # Among more than k equals a point may not have found itself: k others each.
+        first = np.searchsorted(i, np.arange(len(place)))
+        keep = np.arange(len(i)) - first[i] < self.k
+        table = d[keep].reshape(len(place), self.k)
+        width = neighbour_widths(table, self.k)
+        weight = np.exp(-(table - table[:, :1]) / np.maximum(width, 1e-12)[:, None])
+        return fuzzy_union(i[keep], j[keep], weight.ravel(), len(place))
+
     def fit_transform(self, ds: DataFrame) -> tuple[UMAP, DataFrame]:
-        ids, x = _gathered(ds)
+        rows = ds.select("id", "pos").orderBy("pos").limit(MOST_LAID_OUT + 1).toArrow()
+        ids = rows.column("id").to_pylist()
+        if not ids:
+            raise DataError("the data set is empty")
+        if len(ids) > MOST_LAID_OUT:
+            raise DataError(f"more than {MOST_LAID_OUT} points")
         if self.k >= len(ids):
             raise DataError("more neighbours than other points")
-        place = {n: i for i, n in enumerate(ids)}
-        rows = nearest(ds, ds, self.k + 1).where("query <> id").collect()
-        weights = np.zeros((len(ids), len(ids)))
-        found: dict[int, list] = {}
-        for r in rows:
-            found.setdefault(place[r["query"]], []).append((r["distance"], place[r["id"]]))
-        for i, near in found.items():
-            near = sorted(near)[: self.k]
-            d = np.array([v for v, _ in near])
-            first = d[d > 0].min(initial=0) if (d > 0).any() else 0
-            low, high, sigma = 0.0, np.inf, 1.0
-            for _ in range(64):
-                total = np.exp(-np.maximum(d - first, 0) / sigma).sum()
-                if abs(total - np.log2(self.k)) < 1e-5:
-                    break
-                low, high = (low, sigma) if total > np.log2(self.k) else (sigma, high)
-                sigma = (low + high) / 2 if np.isfinite(high) else sigma * 2
-            weights[i, [j for _, j in near]] = np.exp(-np.maximum(d - first, 0) / max(sigma, 1e-12))
-        weights = weights + weights.T - weights * weights.T
+        i, j, weights = self.graph(ds, {n: at for at, n in enumerate(ids)})
         random = np.random.default_rng(self.seed)
-        degree = np.maximum(weights.sum(axis=1), 1e-12)
-        laplacian = np.eye(len(ids)) - weights / np.sqrt(degree[:, None] * degree[None])
-        y = _signed(np.linalg.eigh(laplacian)[1][:, 1 : self.dims + 1])
+        y = spectral_start(i, j, weights, len(ids), self.dims, self.seed)
         y = 10 * y / max(np.abs(y).max(), 1e-12) + random.normal(0, 1e-4, y.shape)
         a, b = self._curve()
-        i, j = np.nonzero(weights)
-        share = weights[i, j] / weights.max()
+        share = weights / weights.max()
         for epoch in range(self.iterations):
             rate = self.learn_rate * (1 - epoch / self.iterations)
             on = random.random(len(i)) < share
@@ -232,5 +288,3 @@ class UMAP:
         placed = _as_dataset(ds, ids, np.array([self.layout[n] for n in ids]))
         out = regress(self.source, placed, ds, self.k)
         return out.join(ds.select("id", "pos"), "id").select("id", "pos", "point")
-
-

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import DataError, with_ranks
 from ..signal import decompose, descriptors, slicers, spectral
 from . import stats
 
@@ -22,9 +23,26 @@ def _input(buffers: DataFrame) -> DataFrame:
     return buffers.select("buffer_id", "chan", "sample_rate", "samples")
 
 
-def describe_frames(buffers: DataFrame, descriptor: str, **settings) -> DataFrame:
-    """(buffer_id, chan, frame, features) by a descriptor's name."""
+#: Outputs of the descriptors whose outputs can be chosen by name.
+OUTPUTS = {"pitch": ("pitch", "confidence"), "loudness": ("loudness", "peak"), "spectral_shape": ("centroid", "spread", "skewness", "kurtosis", "rolloff", "flatness", "crest")}
+
+
+def describe_frames(buffers: DataFrame, descriptor: str, select: tuple[str, ...] | None = None, **settings) -> DataFrame:
+    """(buffer_id, chan, frame, features) by a descriptor's name; ``select`` names the outputs kept, in their own order.
+
+    A sine feature has frequencies, then magnitudes; either is chosen by name.
+    """
     work = descriptors.DESCRIPTORS[descriptor]
+    if select is not None:
+        names = ("frequency", "magnitude") if descriptor == "sine_feature" else OUTPUTS.get(descriptor)
+        if names is None or not set(select) <= set(names):
+            raise DataError(f"{descriptor} has the outputs {', '.join(names or ())}")
+        whole = work
+
+        def work(x, rate, **settings):  # noqa: F811
+            rows = np.asarray(whole(x, rate, **settings))
+            each = rows.shape[1] // 2 if descriptor == "sine_feature" else 1
+            return rows[:, [c for i, n in enumerate(names) if n in select for c in range(i * each, (i + 1) * each)]]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +142,7 @@ def corpus(buffers: DataFrame, used: tuple[str, ...] = ("pitch", "loudness", "sp
     table = stats.buf_stats(found)
     point = F.array_sort(F.collect_list(F.struct("chan", F.array(*stats.STATS).alias("v"))))
     rows = table.groupBy("buffer_id").agg(F.flatten(F.transform(point, lambda r: r["v"])).alias("point"))
-    return rows.select(F.col("buffer_id").alias("id"), F.monotonically_increasing_id().alias("pos"), "point")
+    return with_ranks(rows.select(F.col("buffer_id").alias("id"), "point"), "id").select("id", "pos", "point")
 
 
 PAIRED = {

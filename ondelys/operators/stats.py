@@ -139,3 +139,8 @@ def column_moments(ds: DataFrame) -> DataFrame:
     return ds.select(F.posexplode("point").alias("dim", "value")).groupBy("dim").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """(dim, n, mean, var) of all rows together from the (dim, n, mean, var) of disjoint parts; population variances."""
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
+    square = F.sum(F.col("n") * (F.col("var") + F.col("mean") * F.col("mean")))
+    return parts.groupBy("dim").agg(n.alias("n"), (total / n).alias("mean"), (square / n - (total / n) * (total / n)).alias("var"))

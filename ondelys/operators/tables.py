@@ -153,8 +153,15 @@ def from_buffer(features: DataFrame, labels: DataFrame | None = None, transpose:
     return rows.join(named, "pos").select("id", "pos", "point")
 
 
+def row_labels(table: DataFrame, labelwise: bool = False) -> DataFrame:
+    """Label set of the rows of a buffer: the position's id, or with ``labelwise`` the id's position."""
+    pos = F.col("pos").cast("string")
+    id_, label = (F.col("id"), pos) if labelwise else (pos, F.col("id"))
+    return table.select(id_.alias("id"), "pos", label.alias("label"))
+
+
 def to_buffer(table: DataFrame, transpose: bool = False) -> DataFrame:
-    """Long frames of a data set: rows are frames, or channels if ``transpose``."""
+    """Long frames of a data set: rows are frames, or channels if ``transpose``; :func:`row_labels` names them."""
     long = table.select("pos", F.posexplode("point").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
     frame, chan = ("dim", "pos") if transpose else ("pos", "dim")
     return long.select(F.lit("0").alias("buffer_id"), F.col(chan).alias("chan"), F.col(frame).alias("frame"), "value")

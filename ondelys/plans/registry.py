@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
 from ..functions import vectors
-from ..operators import buffers, clustering, labels, neighbors, networks, reduction, scalers, signals, stats, tables
+from ..operators import buffers, clustering, kdtree, labels, neighbors, networks, reduction, scalers, signals, stats, tables
 from ..operators.query import DataSetQuery
-from ..schema import dataset, labelset, pack, series, to_wide
+from ..schema import dataset, labelset, pack, series, to_wide, unpack
+from ..schema import width as schema_width
 from ..shipping import ship
 from ..signal import descriptors
+from ..sources import json_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -532,7 +536,8 @@ FRAMES = f"""{EVENTS}, n AS (SELECT buffer_id, count(*) AS n FROM ev GROUP BY bu
 fr AS (SELECT buffer_id, frame // 8 - d AS f, frame - (frame // 8 - d) * 8 AS k, value::FLOAT::DOUBLE AS v
        FROM ev JOIN n USING (buffer_id), (VALUES (0), (1)) t(d) WHERE frame // 8 - d >= 0 AND (frame // 8 - d) * 8 + 16 <= n)"""
 SPECTRA = f"""{FRAMES}, wi AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * k / 16)) AS x FROM fr),
-sp AS (SELECT buffer_id, f, b, sqrt(sum(x * cos(2 * pi() * b * k / 16)) ** 2 + sum(x * sin(2 * pi() * b * k / 16)) ** 2) AS mag FROM wi, range(9) t(b) GROUP BY ALL),
+sc AS (SELECT buffer_id, f, b, sum(x * cos(2 * pi() * b * k / 16)) AS re, -sum(x * sin(2 * pi() * b * k / 16)) AS im FROM wi, range(9) t(b) GROUP BY ALL),
+sp AS (SELECT *, sqrt(re * re + im * im) AS mag FROM sc),
 pr AS (SELECT *, coalesce(lag(mag) OVER (PARTITION BY buffer_id, b ORDER BY f), 0) AS old FROM sp),
 fl AS (SELECT *, greatest(mag, {EPS}) AS m, greatest(old, {EPS}) AS o FROM pr)"""
 
@@ -561,6 +566,29 @@ for _metric, _form in ((0, "avg(mag * mag)"), (1, "avg(b * 9 / 8.0 * mag * mag)"
         return first_feature(t, "onset_feature", metric=metric, filter_size=0, **SHORT)
 
 
+@query("onset_metric_4", f"WITH {SPECTRA}, r AS (SELECT *, greatest((m / o) ** 2, {EPS}) AS r FROM fl) SELECT buffer_id, f AS frame, {S('ln(avg(r - ln(r) - 1))', 4)} AS value FROM r GROUP BY ALL")
+def _(t):
+    # Over silence the ratio has no bound, so its logarithm is compared.
+    found = signals.describe_frames(packed(t), "onset_feature", metric=4, filter_size=0, **SHORT)
+    return found.select("buffer_id", "frame", R(F.log(F.col("features")[0]), 4).alias("value"))
+
+
+# The phase is the real part of the complex arc tangent, as the operator has it.
+_wrap = "CASE WHEN {p} > pi() THEN {p} ELSE {p} + 2 * pi() * (1 + floor((-pi() - {p}) / (2 * pi()))) END"
+PHASES = f"""{SPECTRA}, ph AS (SELECT *, CASE WHEN mag = 0 THEN 0 ELSE 0.5 * atan2(2 * re, 1 - re * re - im * im) END AS t0 FROM fl),
+pp AS (SELECT *, coalesce(lag(t0) OVER k, 0) AS t1, coalesce(lag(t0, 2) OVER k, 0) AS t2 FROM ph WINDOW k AS (PARTITION BY buffer_id, b ORDER BY f)),
+pw AS (SELECT *, (t0 - t1 - (t1 - t2)) AS turn, t1 + (t1 - t2) AS ahead FROM pp),
+pt AS (SELECT *, {_wrap.format(p="turn")} AS d6, {_wrap.format(p="(turn * m)")} AS d7, {_wrap.format(p="ahead")} AS w FROM pw),
+px AS (SELECT *, sqrt((o * cos(w) - re) ** 2 + (o * sin(w) - im) ** 2) AS d8 FROM pt)"""
+
+for _metric, _column in ((6, "d6"), (7, "d7"), (8, "d8"), (9, "d8")):
+
+    @query(f"onset_metric_{_metric}", f"WITH {PHASES} SELECT buffer_id, f AS frame, {S(f'avg({_column})', 3)} AS value FROM px GROUP BY ALL")
+    def _(t, metric=_metric):
+        found = signals.describe_frames(packed(t), "onset_feature", metric=metric, filter_size=0, **SHORT)
+        return found.select("buffer_id", "frame", R(F.col("features")[0], 3).alias("value"))
+
+
 @query(
     "onset_filtered",
     f"""WITH {SPECTRA}, e AS (SELECT buffer_id, f, avg(greatest(mag - old, 0)) AS v FROM fl GROUP BY ALL),
@@ -587,6 +615,16 @@ def _(t):
     return found.select("buffer_id", "frame", *[R(F.col("features")[i], 4).alias(n) for i, n in enumerate(names) if n])
 
 
+@query(
+    "selected_outputs",
+    f"""WITH {SPECTRA}, a AS (SELECT *, b * 500 / 7.0 AS hz, greatest(mag, {EPS}) AS amp FROM sp WHERE b < 8)
+    SELECT buffer_id, f AS frame, {S("sum(amp * hz) / sum(amp)", 4)} AS centroid, {S("20 * log10(exp(avg(ln(amp))) / avg(amp))", 4)} AS flatness FROM a GROUP BY ALL""",
+)
+def _(t):
+    found = signals.describe_frames(packed(t), "spectral_shape", ("flatness", "centroid"), **SHORT)
+    return found.select("buffer_id", "frame", R(F.col("features")[0], 4).alias("centroid"), R(F.col("features")[1], 4).alias("flatness"))
+
+
 @query(
     "novelty_curve",
     f"""WITH {SPECTRA}, v AS (SELECT buffer_id, f, list(mag ORDER BY b) AS m FROM sp GROUP BY ALL),
@@ -742,14 +780,34 @@ def _(t):
     return reduction.grid(DataSetQuery().add_range(0, 2).transform(points(t)))
 
 
-@query("kmeans_fit")
+def _lloyd(rounds: int, spherical: bool) -> str:
+    """SQL of so many rounds from the first four points; means that lose all members keep their place."""
+    unit = "list_transform(p, lambda x: x / sqrt(list_sum(list_transform(p, lambda y: y * y))))" if spherical else "p"
+    near = "list_dot_product(x.p, m.mean) DESC" if spherical else "list_distance(x.p, m.mean)"
+    sql = f"WITH {POINTS}, x AS (SELECT id, pos, {unit} AS p FROM pts), m0 AS (SELECT pos AS cluster, {'p' if not spherical else 'p'} AS mean FROM x WHERE pos < 4)"
+    for r in range(1, rounds + 1):
+        before = f"m{r - 1}"
+        sql += f""", a{r} AS (SELECT x.id, x.p, m.cluster FROM x, {before} m QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY {near}, m.cluster) = 1),
+        d{r} AS (SELECT cluster, i, avg(p[i]) AS v FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+        n{r} AS (SELECT cluster, list(v ORDER BY i) AS mean, sqrt(sum(v * v)) AS size FROM d{r} GROUP BY cluster),
+        m{r} AS (SELECT b.cluster, {"coalesce(list_transform(n.mean, lambda v: v / n.size), b.mean)" if spherical else "coalesce(n.mean, b.mean)"} AS mean FROM {before} b LEFT JOIN n{r} n USING (cluster))"""
+    last = "list_distance(pts.p, m.mean)"
+    return sql + f" SELECT pts.id, m.cluster::INTEGER AS cluster FROM pts, m{rounds} m QUALIFY row_number() OVER (PARTITION BY pts.id ORDER BY {last}, m.cluster) = 1"
+
+
+def _first_means(t, unit: bool) -> list[list[float]]:
+    rows = [r["point"] for r in points(t).orderBy("pos").limit(4).collect()]
+    return [[x / sum(y * y for y in p) ** 0.5 for x in p] for p in rows] if unit else rows
+
+
+@query("kmeans_fit", _lloyd(3, False))
 def _(t):
-    return clustering.KMeans(4, 10, "points", 7).fit(points(t)).predict(points(t))
+    return clustering.KMeans(4, 3, means=_first_means(t, False)).fit(points(t)).predict(points(t)).select("id", "cluster")
 
 
-@query("skmeans_fit")
+@query("skmeans_fit", _lloyd(3, True))
 def _(t):
-    return clustering.SKMeans(4, 10, "points", 7).fit(points(t)).predict(points(t))
+    return clustering.SKMeans(4, 3, means=_first_means(t, True)).fit(points(t)).predict(points(t)).select("id", "cluster")
 
 
 @query("mlp_classify")
@@ -762,3 +820,215 @@ def _(t):
 def _(t):
     model = networks.MLPRegressor(networks.MLP((8,), "tanh", max_iter=40, learn_rate=0.05))
     return model.fit(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"])).predict(points(t))
+
+
+# ---------------------------------------------------------------- verbs, files and trees, each with its SQL
+
+
+@query("add_point", f"WITH {POINTS} SELECT id, pos, p[1] AS p0, p[64] AS p1 FROM pts UNION ALL SELECT 'new', max(pos) + 1, 1.5, 1.5 FROM pts")
+def _(t):
+    more = tables.add(points(t), "new", [1.5] * 64)
+    return more.select("id", "pos", F.col("point")[0].alias("p0"), F.col("point")[63].alias("p1"))
+
+
+@query("update_point", f"WITH {POINTS} SELECT id, CASE WHEN id = '5' THEN 0.25 ELSE p[3] END AS p0 FROM pts")
+def _(t):
+    return flat(tables.update(points(t), "5", [0.25] * 70).withColumn("point", F.slice("point", 3, 1)), 1)
+
+
+@query("get_point", f"WITH {POINTS} SELECT (i - 1)::INTEGER AS dim, p[i] AS value FROM pts, range(1, 65) t(i) WHERE id = '9'")
+def _(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame([tuple(tables.get(points(t), "9"))], ", ".join(f"c{i} double" for i in range(64))).select(F.posexplode(F.array(*[f"c{i}" for i in range(64)])).alias("dim", "value"))
+
+
+@query("set_sizes", f"WITH {POINTS} SELECT count(*) AS rows, 64 AS cols, 0::BIGINT AS cleared FROM pts")
+def _(t):
+    ds = points(t)
+    spark = t("region").sparkSession
+    return spark.createDataFrame([(tables.size(ds), schema_width(ds), tables.size(tables.clear(ds)))], "rows long, cols int, cleared long")
+
+
+def _types_of(t) -> DataFrame:
+    return labelset(t("events"), "event_id", "event_id", "event_type")
+
+
+@query("label_verbs", "SELECT event_id::VARCHAR AS id, CASE WHEN event_id = 4 THEN 'other' ELSE event_type END AS label FROM events WHERE event_id <> 6 UNION ALL SELECT 'x', 'new'")
+def _(t):
+    return tables.delete(tables.put(tables.update(_types_of(t), "4", "other"), "x", "new"), "6").select("id", "label")
+
+
+@query("label_merge", "SELECT event_id::VARCHAR AS id, event_type AS label FROM events UNION ALL SELECT o_orderkey::VARCHAR, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events)")
+def _(t):
+    return tables.merge(_types_of(t), labelset(t("orders"), "o_orderkey", "o_orderkey", "o_orderpriority")).select("id", "label")
+
+
+@query("aligned_positions", f"WITH {POINTS} SELECT id, pos AS pos_a, doc_id AS pos_b FROM pts JOIN labels ON id = doc_id::VARCHAR")
+def _(t):
+    judged = dataset(t("labels"), "doc_id", "doc_id", ["quality"])
+    return tables.positions(points(t), judged)
+
+
+@query("id_sequence", "SELECT range AS pos, 'p-' || (range % 8 + 3) AS id FROM range((SELECT count(*) FROM customer))")
+def _(t):
+    return tables.id_sequence(t("region").sparkSession, t("customer").count(), "p-", 3, 10)
+
+
+@query("to_buffer", f"WITH {POINTS} SELECT '0' AS buffer_id, i - 1 AS chan, pos AS frame, p[i] AS value FROM pts, range(1, 65) t(i)")
+def _(t):
+    return tables.to_buffer(points(t))
+
+
+@query("from_buffer", f"WITH {POINTS} SELECT id, pos, p[1] AS p0, p[64] AS p1 FROM pts")
+def _(t):
+    back = tables.from_buffer(tables.to_buffer(points(t), transpose=True), tables.row_labels(points(t)), transpose=True)
+    return back.select("id", "pos", F.col("point")[0].alias("p0"), F.col("point")[63].alias("p1"))
+
+
+@query("row_labels", f"WITH {POINTS} SELECT id, pos::VARCHAR AS label FROM pts")
+def _(t):
+    return tables.row_labels(points(t), labelwise=True).select("id", "label")
+
+
+@query("buffer_round_trip", f"WITH {EVENTS} SELECT buffer_id, chan, frame, {S('value', 2)} AS value FROM ev")
+def _(t):
+    return unpack(packed(t)).select("buffer_id", "chan", "frame", R("value", 2).alias("value"))
+
+
+@query("stft_round_trip", f"WITH {EVENTS}, n AS (SELECT buffer_id, count(*) AS n FROM ev GROUP BY ALL), e AS (SELECT buffer_id, i AS frame FROM n, range(40) t(i)) SELECT buffer_id, frame, {S('coalesce(value, 0)', 2)} AS value FROM e LEFT JOIN ev USING (buffer_id, frame)")
+def _(t):
+    settings = {"win": 16, "hop": 4, "fft": 16}
+    return unpack(signals.istft(signals.stft(packed(t), **settings), 40, 1000.0, **settings)).select("buffer_id", "frame", R("value", 2).alias("value"))
+
+
+@query("buf_gain", f"WITH {EVENTS} SELECT buffer_id, frame, value * 0.5 AS value FROM ev")
+def _(t):
+    return buffers.gain(signal(t), 0.5).select("buffer_id", "frame", "value")
+
+
+@query(
+    "window_functions",
+    f"""SELECT k AS at, {S("0.5 - 0.5 * cos(2 * pi() * k / 32)", 9)} AS hann, {S("pi() / 32 * sin(2 * pi() * k / 32)", 9)} AS hann_derivative, {S("0.54 - 0.46 * cos(2 * pi() * k / 32)", 9)} AS hamming,
+    {S("0.35875 + (0.14128 + 0.01168 - 0.48829) * cos(2 * pi() * k / 32)", 9)} AS blackman_harris_ref, {S("exp(-((k - 15.5) ** 2) / (2 * 10 ** 2))", 9)} AS gaussian FROM range(32) t(k)""",
+)
+def _(t):
+    kinds = ["hann", "hann_derivative", "hamming", "blackman_harris_ref", "gaussian"]
+    rows = list(zip(range(32), *[vectors.window_function(k, 32) for k in kinds], strict=True))
+    found = t("region").sparkSession.createDataFrame(rows, ", ".join(["at long", *[f"{k} double" for k in kinds]]))
+    return found.select("at", *[R(k, 9).alias(k) for k in kinds])
+
+
+_ACT = "(value - 50) / 50"
+
+
+@query("activation_functions", f"SELECT event_id, {_ACT} AS identity, {S(f'1 / (1 + exp(-{_ACT}))')} AS sigmoid, greatest({_ACT}, 0) AS relu, {S(f'(exp(2 * {_ACT}) - 1) / (exp(2 * {_ACT}) + 1)')} AS tanh FROM events")
+def _(t):
+    x = (F.col("value") - 50) / 50
+    found = {k: f(x) for k, f in vectors.ACTIVATIONS.items()}
+    return t("events").select("event_id", *[(R(c) if k in ("sigmoid", "tanh") else c).alias(k) for k, c in found.items()])
+
+
+def _weight(i: int, j: int) -> float:
+    return ((i * 7 + j * 3) % 11 - 5) / 10
+
+
+@query(
+    "mlp_forward",
+    f"""WITH {POINTS}, h AS (SELECT id, j, tanh(sum(p[i + 1] * (((i * 7 + j * 3) % 11 - 5) / 10.0)) + j / 10.0) AS v FROM pts, range(64) a(i), range(3) b(j) GROUP BY id, j)
+    SELECT id, {S("1 / (1 + exp(-(sum(v * (((j * 7) % 11 - 5) / 10.0)))))")} AS p0, {S("1 / (1 + exp(-(sum(v * (((j * 7 + 3) % 11 - 5) / 10.0)) + 0.1)))")} AS p1 FROM h GROUP BY id""",
+)
+def _(t):
+    model = networks.MLP((3,), "tanh", "sigmoid").start(64, 2)
+    model.weights = [np.array([[_weight(i, j) for j in range(w.shape[1])] for i in range(w.shape[0])]) for w in model.weights]
+    model.biases = [np.arange(len(b)) / 10 for b in model.biases]
+    return flat(json_io.load_model(json_io.dump_model(model)).transform(points(t)), 2, 6)
+
+
+@query("merged_moments", f"SELECT 'all' AS dim, count(*) AS n, {S('avg(l_quantity)')} AS mean, {S('var_pop(l_quantity)')} AS var FROM lineitem")
+def _(t):
+    parts = t("lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"), F.var_pop("l_quantity").alias("var"))
+    return stats.merge_moments(parts.withColumn("dim", F.lit("all"))).select("dim", "n", R("mean").alias("mean"), R("var").alias("var"))
+
+
+@query("catalog_merge", ORACLES["merge_keep"])
+def _(t):
+    held = Catalog()
+    for name, ds in zip(("customers", "suppliers"), _accounts(t), strict=True):
+        held.put(name, ds)
+    return flat(held.call(tables.merge, "customers", "suppliers"), 1)
+
+
+@query("json_dataset", f"WITH {POINTS} SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, p[1] AS p0, p[64] AS p1 FROM pts")
+def _(t):
+    back = json_io.load(t("region").sparkSession, json_io.dump(points(t)))
+    return back.select("id", "pos", F.col("point")[0].alias("p0"), F.col("point")[63].alias("p1"))
+
+
+@query("json_labelset", "SELECT event_id::VARCHAR AS id, event_type AS label FROM events")
+def _(t):
+    return json_io.load(t("region").sparkSession, json_io.dump(_types_of(t))).select("id", "label")
+
+
+def _again(model):
+    """A model written to JSON and read again."""
+    return json_io.load_model(json_io.dump_model(model))
+
+
+@query("json_normalize", ORACLES["normalize"])
+def _(t):
+    items = _items(t)
+    return flat(_again(scalers.Normalize(-1, 1).fit(items)).transform(items), 4, 6)
+
+
+@query("json_standardize", ORACLES["standardize"])
+def _(t):
+    items = _items(t)
+    return flat(_again(scalers.Standardize().fit(items)).transform(items), 4, 6)
+
+
+@query("json_robust_scale", ORACLES["robust_scale"])
+def _(t):
+    items = _items(t)
+    return flat(_again(scalers.RobustScale(20, 80).fit(items)).transform(items), 4, 6)
+
+
+@query("json_kmeans", ORACLES["kmeans_predict"])
+def _(t):
+    return _again(_four(t)).predict(points(t)).select("id", "cluster")
+
+
+@query("json_label_encoder", ORACLES["label_encode"])
+def _(t):
+    return _again(labels.LabelEncoder.fit(_types(t))).index(_types(t)).select("id", "index")
+
+
+TREE = ORACLES["knn"]
+
+
+@query("tree_query", TREE)
+def _(t):
+    found = _again(kdtree.KDTree.fit(points(t))).query(points(t), 10)
+    each = found.select(F.col("id").alias("query"), F.posexplode(F.arrays_zip("ids", "distances")).alias("rank", "n"))
+    return each.select("query", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.ids").alias("id"), R("n.distances").alias("distance"))
+
+
+@query("tree_insert", f"WITH {POINTS}, more AS (SELECT id, pos, p FROM pts UNION ALL SELECT 'new', -1, list_transform(range(64), lambda i: 0.0)) SELECT q.id AS query, arg_min(m.id, struct_pack(d := list_distance(q.p, m.p), s := m.id)) AS id FROM pts q JOIN more m ON q.id <> m.id GROUP BY q.id")
+def _(t):
+    tree = kdtree.KDTree.fit(points(t)).add("new", [0.0] * 64)
+    found = tree.query(points(t), 2).select(F.col("id").alias("query"), F.explode("ids").alias("id"))
+    return found.where("query <> id").groupBy("query").agg(F.first("id").alias("id"))
+
+
+@query("json_knn_classifier", ORACLES["knn_classify"])
+def _(t):
+    model = kdtree.KNNClassifier.fit(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label"), 5)
+    again = _again(model)
+    again.k = 5
+    return again.predict(points(t)).select("id", "label")
+
+
+@query("json_knn_regressor", ORACLES["knn_regress"])
+def _(t):
+    again = _again(kdtree.KNNRegressor.fit(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"]), 5))
+    again.k = 5
+    return again.predict(points(t)).select("id", R(F.col("target")[0]).alias("p0"))

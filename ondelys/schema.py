@@ -36,6 +36,19 @@ def labelset(df: DataFrame, id_col: str, pos_col: str | Column, label_col: str)
     return df.select(F.col(id_col).cast("string").alias("id"), pos.cast("long").alias("pos"), F.col(label_col).cast("string").alias("label"))
 
 
+def with_ranks(table: DataFrame, by: str) -> DataFrame:
+    """``table`` with ``pos``, the rank of ``by`` from 0: sorted by range, then counted, so no task holds more than its range."""
+    from .scratch import stage
+
+    dealt = stage(table.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    # One row to a range.
+    counts = dealt.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_of", "_first", before.alias("_before"))
+    joined = dealt.join(F.broadcast(counts), F.col("_part") == F.col("_of"))
+    return joined.withColumn("pos", F.col("_row") - F.col("_first") + F.col("_before")).drop("_part", "_row", "_of", "_first", "_before")
+
+
 def to_wide(ds: DataFrame, names: list[str]) -> DataFrame:
     """One flat column per dimension, so that filters and pruning reach the files."""
     return ds.select("id", "pos", *[F.col("point")[i].alias(n) for i, n in enumerate(names)])

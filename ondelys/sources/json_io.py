@@ -1,20 +1,23 @@
-"""Data sets, label sets and models as JSON: ``{"cols": n, "data": {id: [...]}}``."""
+"""Data sets, label sets and models as JSON.
+
+Sets are ``{"cols": n, "data": {id: [...]}}``; models have the keys listed at
+each in ``_WRITERS``, by which they are told apart when read.
+"""
 
 from __future__ import annotations
 
-import dataclasses
 import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, labels, networks, reduction, scalers
-from ..schema import DATASET, DataError
+from ..operators import clustering, kdtree, labels, networks, reduction, scalers
+from ..schema import DATASET, DataError, with_ranks
 
 
 def dump(table: DataFrame) -> str:
-    """One JSON text; for sets that fit the driver."""
+    """One JSON text; for sets that fit the driver (:func:`write_json` streams others)."""
     rows = table.orderBy("pos").collect()
     if not rows:
         return ""
@@ -38,6 +41,25 @@ def load(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(n, i, [float(x) for x in v]) for i, (n, v) in enumerate(rows)], DATASET)
 
 
+def write_json(table: DataFrame, path: str) -> None:
+    """One JSON file of a set of any size: the driver holds a partition at a time."""
+    spark, kind = table.sparkSession, "point" if "point" in table.columns else "label"
+    first = table.select(kind).first()
+    cols = 0 if first is None else len(first[0]) if kind == "point" else 1
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(f'{{"cols": {cols}, "data": {{'.encode()))
+        between = ""
+        for r in table.orderBy("pos").toLocalIterator():
+            value = list(r[kind]) if kind == "point" else [r[kind]]
+            out.write(bytearray(f"{between}{json.dumps(r['id'])}: {json.dumps(value)}".encode()))
+            between = ", "
+        out.write(bytearray(b"}}"))
+    finally:
+        out.close()
+
+
 def write_lines(table: DataFrame, path: str) -> None:
     """Sets of any size: one JSON object per row, written by the executors."""
     table.write.mode("overwrite").json(path)
@@ -47,44 +69,118 @@ def read_lines(spark: SparkSession, path: str, label: bool = False) -> DataFrame
     return spark.read.schema("id string, pos long, label string" if label else "id string, pos long, point array<double>").json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A whole JSON file, parsed by the executors; positions are ranks of the ids."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "cols int, data map<string, array<double>>").alias("j"))
-    if not parsed.where("j.data is null or j.cols is null").isEmpty():
+def read_json(spark: SparkSession, path: str, label: bool = False) -> DataFrame:
+    """A whole JSON file, of a label set if ``label``, parsed by an executor; positions are ranks of the ids."""
+    kind = "string" if label else "double"
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"cols int, data map<string, array<{kind}>>").alias("j"))
+    wrong = F.expr("j.data is null or j.cols is null or exists(map_values(j.data), v -> v is null or size(v) <> j.cols)")
+    if not parsed.where(wrong).isEmpty():
         raise DataError("invalid JSON format")
-    rows = parsed.select(F.explode("j.data").alias("id", "point"))
-    ranked = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("pos", F.monotonically_increasing_id())
-    return ranked.select("id", "pos", "point")
+    rows = with_ranks(parsed.select(F.explode("j.data").alias("id", "point")), "id")
+    return rows.select("id", "pos", F.col("point")[0].alias("label")) if label else rows.select("id", "pos", "point")
+
+
+#: Numbers of the activations in a network's file: fixed values.
+ACTIVATIONS = ["identity", "sigmoid", "relu", "tanh"]
+
+
+def _matrix(key: str, values) -> dict:
+    table = np.asarray(values, float)
+    return {key: table.tolist(), "rows": len(table), "cols": table.shape[1] if table.ndim == 2 else 0}
+
+
+def _tree(m: kdtree.KDTree) -> dict:
+    return {"tree": m.children.ravel().tolist(), **_matrix("data", m.points), "ids": m.ids}
 
 
-MODELS = {c.__name__: c for c in (scalers.Normalize, scalers.Standardize, scalers.RobustScale, clustering.KMeans, clustering.SKMeans, labels.LabelEncoder, reduction.PCA, networks.MLP)}
+def _network(m: networks.MLP) -> dict:
+    kinds = [m.activation] * (len(m.weights) - 1) + [m.output]
+    return {"layers": [{"weights": w.tolist(), "biases": b.tolist(), "activation": ACTIVATIONS.index(k), "rows": w.shape[0], "cols": w.shape[1]} for w, b, k in zip(m.weights, m.biases, kinds, strict=True)]}
 
 
-def _plain(value):
-    if isinstance(value, np.ndarray):
-        return {"array": value.tolist()}
-    if isinstance(value, list):
-        return [_plain(v) for v in value]
-    return value
+def _vocabulary(m: labels.LabelEncoder) -> dict:
+    return {"labels": m.labels, "rows": len(m.labels)}
 
 
-def _rich(value):
-    if isinstance(value, dict) and set(value) == {"array"}:
-        return np.array(value["array"])
-    if isinstance(value, list):
-        return [_rich(v) for v in value]
-    return value
+def _umap(m: reduction.UMAP) -> dict:
+    a, b = m._curve()
+    ids = list(m.layout)
+    return {**_matrix("embedding", [m.layout[n] for n in ids]), "tree": _tree(kdtree.KDTree.fit(m.source)), "ids": ids, "a": a, "b": b, "k": m.k}
+
+
+_WRITERS = {
+    kdtree.KDTree: _tree,
+    kdtree.KNNClassifier: lambda m: {"tree": _tree(m.tree), "labels": {"cols": 1, "data": {n: [v] for n, v in m.labels.items()}}},
+    kdtree.KNNRegressor: lambda m: {"tree": _tree(m.tree), "target": {"cols": len(next(iter(m.target.values()), [])), "data": m.target}},
+    clustering.KMeans: lambda m: _matrix("means", m.means),
+    clustering.SKMeans: lambda m: _matrix("means", m.means),
+    scalers.Normalize: lambda m: {"data_min": m.data_min, "data_max": m.data_max, "min": m.low, "max": m.high, "cols": m.cols},
+    scalers.RobustScale: lambda m: {"data_low": m.data_low, "data_high": m.data_high, "median": m.median, "range": [b - a for a, b in zip(m.data_low, m.data_high, strict=True)], "low": m.low, "high": m.high, "cols": m.cols},
+    scalers.Standardize: lambda m: {"mean": m.mean, "std": m.std, "cols": m.cols},
+    reduction.PCA: lambda m: {**_matrix("bases", m.bases), "values": m.values.tolist(), "mean": m.mean.tolist(), "numpoints": m.count},
+    labels.LabelEncoder: _vocabulary,
+    networks.MLP: _network,
+    networks.MLPRegressor: lambda m: _network(m.model),
+    networks.MLPClassifier: lambda m: {"mlp": _network(m.model), "labels": _vocabulary(m.encoder)},
+    reduction.UMAP: _umap,
+}
 
 
 def dump_model(model) -> str:
     """Fitted state of a model; every number keeps its precision."""
-    return json.dumps({"model": type(model).__name__, **{f.name: _plain(getattr(model, f.name)) for f in dataclasses.fields(model)}})
+    return json.dumps(_WRITERS[type(model)](model))
+
+
+def _read_tree(j: dict) -> kdtree.KDTree:
+    points, children = np.array(j["data"], float).reshape(j["rows"], j["cols"]), np.array(j["tree"], np.int64).reshape(-1, 2)
+    if not len(points) == len(children) == len(j["ids"]):
+        raise ValueError("sizes differ")
+    return kdtree.KDTree(list(j["ids"]), points, children)
+
 
+def _read_network(j: dict) -> networks.MLP:
+    layers = j["layers"]
+    kinds = [ACTIVATIONS[x["activation"]] for x in layers]
+    model = networks.MLP(tuple(x["cols"] for x in layers[:-1]), kinds[0], kinds[-1])
+    model.weights = [np.array(x["weights"], float).reshape(x["rows"], x["cols"]) for x in layers]
+    model.biases = [np.array(x["biases"], float) for x in layers]
+    return model
 
-def load_model(text: str):
+
+def _read_umap(j: dict, spark: SparkSession | None) -> reduction.UMAP:
+    tree = _read_tree(j["tree"])
+    source = None if spark is None else spark.createDataFrame([(n, i, p) for i, (n, p) in enumerate(zip(tree.ids, tree.points.tolist(), strict=True))], DATASET)
+    return reduction.UMAP(dims=j["cols"], k=j["k"], source=source, layout=dict(zip(j["ids"], j["embedding"], strict=True)))
+
+
+def load_model(text: str, kind: type | None = None, spark: SparkSession | None = None):
+    """A model from its JSON; ``kind`` tells apart those with equal keys (SKMeans, MLPRegressor), ``spark`` gives a UMAP its points back."""
     try:
-        found = json.loads(text)
-        kind = MODELS[found.pop("model")]
-        return kind(**{k: _rich(v) for k, v in found.items()})
-    except (ValueError, KeyError, TypeError) as e:
+        j = json.loads(text)
+        if "embedding" in j:
+            return _read_umap(j, spark)
+        if "tree" in j and "target" in j:
+            return kdtree.KNNRegressor(_read_tree(j["tree"]), {n: list(v) for n, v in j["target"]["data"].items()})
+        if "tree" in j and "labels" in j:
+            return kdtree.KNNClassifier(_read_tree(j["tree"]), {n: v[0] for n, v in j["labels"]["data"].items()})
+        if "tree" in j:
+            return _read_tree(j)
+        if "mlp" in j:
+            return networks.MLPClassifier(_read_network(j["mlp"]), labels.LabelEncoder(list(j["labels"]["labels"])))
+        if "layers" in j:
+            model = _read_network(j)
+            return networks.MLPRegressor(model) if kind is networks.MLPRegressor else model
+        if "means" in j:
+            return (kind or clustering.KMeans)(k=j["rows"], means=[[float(x) for x in m] for m in j["means"]])
+        if "data_min" in j:
+            return scalers.Normalize(j["min"], j["max"], j["data_min"], j["data_max"])
+        if "median" in j:
+            return scalers.RobustScale(j["low"], j["high"], j["data_low"], j["median"], j["data_high"])
+        if "bases" in j:
+            bases = np.array(j["bases"], float).reshape(j["rows"], j["cols"])
+            return reduction.PCA(bases.shape[1], False, np.array(j["mean"], float), bases, np.array(j["values"], float), j.get("numpoints", 0))
+        if "std" in j:
+            return scalers.Standardize(j["mean"], j["std"])
+        return labels.LabelEncoder(list(j["labels"]))
+    except (ValueError, KeyError, TypeError, IndexError, AttributeError) as e:
         raise DataError("invalid JSON format") from e

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ondelys import schema
+from ondelys.schema import DataError, from_rows
 from ondelys.operators import buffers, clustering, labels, networks, reduction, scalers, signals, stats, tables
 from ondelys.operators.query import DataSetQuery
 from ondelys.sources import audio, json_io
@@ -143,3 +144,120 @@ def test_signals_in_spark(spark, tmp_path):
         f.writeframes((np.sin(i * 0.1) * 32000).astype("<i2").tobytes())
     row = audio.read_audio(spark, str(tmp_path)).first()
     assert row["sample_rate"] == 8000 and len(row["samples"]) == 8000
+
+
+def test_model_files(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from ondelys.operators import clustering, kdtree, networks, reduction, scalers
+
+    ds = from_rows(spark, [(f"p{i}", [float(i), float(i * i % 7), 1.5 * i % 4]) for i in range(24)])
+    named = ds.selectExpr("id", "pos", "IF(pos < 12, 'low', 'high') AS label")
+    tree = kdtree.KDTree.fit(ds)
+    keys = {
+        "tree rows cols data ids": tree,
+        "tree labels": kdtree.KNNClassifier.fit(ds, named),
+        "tree target": kdtree.KNNRegressor.fit(ds, ds),
+        "means rows cols": clustering.KMeans(2, 3, "points", 7).fit(ds),
+        "data_min data_max min max cols": scalers.Normalize(-1.0, 1.0).fit(ds),
+        "data_low data_high median range low high cols": scalers.RobustScale().fit(ds),
+        "mean std cols": scalers.Standardize().fit(ds),
+        "bases rows cols values mean numpoints": reduction.PCA(2).fit(ds),
+        "labels rows": labels.LabelEncoder.fit(named),
+        "mlp labels": networks.MLPClassifier(networks.MLP((3,), "tanh", "sigmoid", 3)).fit(ds, named),
+        "embedding rows cols tree ids a b k": reduction.UMAP(k=4, iterations=3).fit_transform(ds)[0],
+    }
+    for names, model in keys.items():
+        text = json_io.dump_model(model)
+        assert set(json.loads(text)) == set(names.split())
+        back = json_io.load_model(text, spark=spark)
+        assert type(back) is type(model) and json_io.dump_model(back).split('"a"')[0] == text.split('"a"')[0], names
+    network = keys["mlp labels"].model
+    back = json_io.load_model(json_io.dump_model(network))
+    assert np.allclose(back.outputs(np.eye(3))[-1], network.outputs(np.eye(3))[-1])
+    for bad in ("", "[]", "{}", '{"means": 3}', '{"tree": [1], "rows": 1, "cols": 1, "data": [[1]], "ids": []}'):
+        with pytest.raises(DataError):
+            json_io.load_model(bad)
+    json_io.write_json(ds, str(tmp_path / "ds.json"))
+    json_io.write_json(named, str(tmp_path / "ls.json"))
+    rows = json_io.read_json(spark, str(tmp_path / "ds.json")).collect()
+    assert sorted(r["pos"] for r in rows) == list(range(24)) and {r["id"]: r["point"] for r in rows} == {r["id"]: r["point"] for r in ds.collect()}
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["pos"])] == sorted(r["id"] for r in rows)
+    assert {r["id"]: r["label"] for r in json_io.read_json(spark, str(tmp_path / "ls.json"), label=True).collect()} == {r["id"]: r["label"] for r in named.collect()}
+
+
+def test_tree_against_brute_force():
+    import numpy as np
+
+    from ondelys.operators.kdtree import KDTree
+
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(300, 3))
+    points[50:60] = points[50]
+    tree = KDTree.build([str(i) for i in range(300)], points)
+    for q in points[:20]:
+        far = np.sqrt(((points - q) ** 2).sum(axis=1))
+        assert np.allclose([d for _, d in tree.near(q, 5)], np.sort(far)[:5])
+        assert {n for n, _ in tree.near(q, 0, 0.7)} == {str(i) for i in np.flatnonzero(far < 0.7)}
+    grown = tree.add("new", [0.0, 0.0, 0.0])
+    assert grown.near([0.0, 0.0, 0.0], 1) == [("new", 0.0)] and len(tree.ids) == 300
+
+
+@pytest.mark.parametrize("width", [2, 9])
+def test_nearest_by_leaves(spark, width):
+    import numpy as np
+
+    from ondelys.operators import neighbors
+
+    rng = np.random.default_rng(width)
+    points = np.round(rng.normal(size=(600, width)) * (1 if width > 2 else 4), 0 if width == 2 else 3)
+    ds = from_rows(spark, [(f"p{i}", p.tolist()) for i, p in enumerate(points)])
+    queries = from_rows(spark, [(f"q{i}", p.tolist()) for i, p in enumerate(points[:70] + 0.25)])
+    far = np.sqrt(((points[None] - (points[:70] + 0.25)[:, None]) ** 2).sum(axis=2))
+    for k, radius in ((4, 0.0), (5, 1.0), (0, 0.8)):
+        got = {}
+        for r in sorted(neighbors.nearest(ds, queries, k, radius, leaf=40).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query"], []).append(r["id"])
+        for q in range(70):
+            order = [i for i in np.lexsort((np.arange(600), far[q])) if not radius or far[q][i] < radius]
+            assert got.get(f"q{q}", []) == [f"p{i}" for i in (order[:k] if k else order)], (k, radius, q)
+
+
+def test_neighbour_widths_and_sparse_start(spark):
+    import numpy as np
+
+    from ondelys.operators import reduction
+
+    rng = np.random.default_rng(3)
+    rows = np.sort(rng.uniform(0.5, 3, (40, 10)), axis=1)
+    width = reduction.neighbour_widths(rows, 10)
+    assert np.allclose(np.exp(-(rows[:, 1:] - rows[:, :1]) / width[:, None]).sum(axis=1), np.log2(10), atol=1e-4)
+    # Two directed graphs, and a ring whose spectral start is a circle, dense and by iteration.
+    i, j, w = reduction.fuzzy_union(np.array([0, 1, 2]), np.array([1, 0, 0]), np.array([0.5, 0.4, 0.3]), 3)
+    assert {(a, b): round(c, 9) for a, b, c in zip(i.tolist(), j.tolist(), w.tolist(), strict=True)} == {(0, 1): 0.7, (1, 0): 0.7, (0, 2): 0.3, (2, 0): 0.3}
+    n = 1200
+    at = np.arange(n)
+    near = [(at + d) % n for d in (1, -1, *range(2, 60), *range(-59, -1))]
+    y = reduction.spectral_start(np.tile(at, len(near)), np.concatenate(near), np.ones(n * len(near)), n, 2, rounds=400)
+    assert np.ptp(np.linalg.norm(y, axis=1)) < 0.02 * np.linalg.norm(y, axis=1).mean()
+
+
+def test_catalog_and_corpus(spark):
+    from ondelys import catalog
+    from ondelys.operators import tables
+
+    held = catalog.Catalog()
+    held.put("one", from_rows(spark, [("a", [1.0]), ("b", [2.0])]))
+    held.put("two", from_rows(spark, [("b", [3.0]), ("c", [4.0])]))
+    assert held.call(tables.merge, "one", "two").count() == 3
+    with pytest.raises(DataError):
+        held.call(tables.merge, "one", "three")
+    corpus = catalog.corpus_add(catalog.corpus_entry(spark, [("x", "a", 2, 3)]), "y", "a", 0, 1)
+    corpus = catalog.corpus_update(corpus, "y", "a", 4, 2)
+    assert catalog.corpus_get(corpus, "y") == ("a", 4, 2) and catalog.corpus_delete(corpus, "x").count() == 1
+    frames = spark.range(6).selectExpr("'a' AS buffer_id", "0L AS chan", "id AS frame", "id * 1.0D AS value")
+    assert sorted((r["buffer_id"], r["frame"], r["value"]) for r in catalog.corpus_frames(corpus, frames).collect()) == [("x", 0, 2.0), ("x", 1, 3.0), ("x", 2, 4.0), ("y", 0, 4.0), ("y", 1, 5.0)]
+    with pytest.raises(DataError):
+        catalog.corpus_get(corpus, "z")
