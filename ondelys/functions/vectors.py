@@ -50,16 +50,17 @@ def _kl(x: Column, y: Column) -> Column:
 def _js(x: Column, y: Column) -> Column:
     """Square root of the Jensen-Shannon divergence of the floored, normalised vectors."""
     x, y = _floored(x), _floored(y)
-    sums = F.struct(total(x).alias("x"), total(y).alias("y"))
+    # Bound once: a plain expression would be worked out again for every element.
+    pair = F.array(F.struct(x.alias("x"), y.alias("y"), total(x).alias("a"), total(y).alias("b")))
 
-    def terms(s: Column) -> Column:
+    def divergence(s: Column) -> Column:
         def term(a: Column, b: Column) -> Column:
-            p, q = a / s["x"], b / s["y"]
+            p, q = a / s["a"], b / s["b"]
             return p * F.log(p / ((p + q) / 2)) + q * F.log(q / ((p + q) / 2))
 
-        return total(F.zip_with(x, y, term))
+        return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(s["x"], s["y"], term)) / 2))
 
-    return F.sqrt(F.greatest(F.lit(0.0), terms(sums) / 2))
+    return F.transform(pair, divergence)[0]
 
 
 #: The eight distances, in the order of their numbers.

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..params import clipped
 from ..schema import DataError, with_ranks
 from ..signal import decompose, descriptors, slicers, spectral
 from . import stats
@@ -32,7 +33,7 @@ def describe_frames(buffers: DataFrame, descriptor: str, select: tuple[str, ...]
 
     A sine feature has frequencies, then magnitudes; either is chosen by name.
     """
-    work = descriptors.DESCRIPTORS[descriptor]
+    work, settings = descriptors.DESCRIPTORS[descriptor], clipped(settings)
     if select is not None:
         names = ("frequency", "magnitude") if descriptor == "sine_feature" else OUTPUTS.get(descriptor)
         if names is None or not set(select) <= set(names):
@@ -81,7 +82,7 @@ def istft(spectra: DataFrame, length: int, sample_rate: float = 44100.0, **setti
 
 def slices(buffers: DataFrame, slicer: str, **settings) -> DataFrame:
     """(buffer_id, slice, onset, offset) of mono buffers by a slicer's name; none found is -1, only gates have offsets."""
-    work = slicers.SLICERS[slicer]
+    work, settings = slicers.SLICERS[slicer], clipped(settings)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +107,7 @@ def mono(buffers: DataFrame) -> DataFrame:
 
 def decomposed(buffers: DataFrame, how: str, **settings) -> DataFrame:
     """Packed buffers of the parts, named buffer/part."""
-    work = decompose.DECOMPOSITIONS[how]
+    work, settings = decompose.DECOMPOSITIONS[how], clipped(settings)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,17 +20,15 @@ def rank_of(p: float, n: Column) -> Column:
 
 
 def _plain(frames: DataFrame, low: float, middle: float, high: float) -> DataFrame:
-    key = Window.partitionBy(*KEYS)
-    moments = frames.withColumn("_m", F.avg("value").over(key)).withColumn("_sd", F.stddev_pop("value").over(key)).withColumn("_n", F.count("value").over(key))
-    z = (F.col("value") - F.col("_m")) / F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    ranked = moments.withColumn("_r", F.row_number().over(key.orderBy("value", "frame")) - 1).withColumn("_z", z)
-
-    def at(p: float) -> Column:
-        return F.max(F.when(F.col("_r") == rank_of(p / 100, F.col("_n")), F.col("value")))
-
-    return ranked.groupBy(*KEYS).agg(
-        F.first("_m").alias("mean"), F.first("_sd").alias("std"), F.avg(F.pow("_z", F.lit(3.0))).alias("skewness"), F.avg(F.pow("_z", F.lit(4.0))).alias("kurtosis"), at(low).alias("low"), at(middle).alias("mid"), at(high).alias("high")
+    """Moments by mergeable aggregates and percentiles by brackets: a buffer of any length is dealt over tasks."""
+    keyed = frames.select(F.struct(*KEYS).alias("key"), "value")
+    flat = F.stddev_pop("value") == 0
+    moments = keyed.groupBy("key").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.when(flat, 0.0).otherwise(F.skewness("value")).alias("skewness"), F.when(flat, 0.0).otherwise(F.kurtosis("value") + 3).alias("kurtosis")
     )
+    ranks = exact_ranks(keyed, sorted({low, middle, high})).groupBy(F.col("key").alias("of"))
+    ranks = ranks.agg(*[F.max(F.when(F.col("percent") == float(p), F.col("value"))).alias(n) for n, p in (("low", low), ("mid", middle), ("high", high))])
+    return moments.join(ranks, F.col("key") == F.col("of")).select("key.*", "mean", "std", "skewness", "kurtosis", "low", "mid", "high")
 
 
 def _weighted(frames: DataFrame, low: float, middle: float, high: float) -> DataFrame:
@@ -99,6 +97,7 @@ def buf_stats(frames: DataFrame, num_derivs: int = 0, low: float = 0, middle: fl
         if order:
             at = Window.partitionBy(*KEYS).orderBy("frame")
             now = now.withColumn("_p", F.lag("value").over(at)).where("_p is not null").withColumn("value", F.col("value") - F.col("_p")).drop("_p")
+            now = stage(now, "differences")
         found = (_plain if weights is None else _weighted)(now, low, middle, high)
         parts.append(found.select("buffer_id", "chan", F.lit(order).alias("order"), *STATS))
     table = reduce(DataFrame.unionByName, parts)
@@ -108,21 +107,36 @@ def buf_stats(frames: DataFrame, num_derivs: int = 0, low: float = 0, middle: fl
     return table.select("buffer_id", "chan", "order", *[s for s in STATS if s in chosen])
 
 
+#: Precision of the sketch that brackets a rank: a bracket holds about 6 / SKETCH of a key's values.
+SKETCH = 2000
+#: Keys up to which brackets are broadcast.
+FEW = 50_000
+
+
 def exact_ranks(values: DataFrame, percents: list[float]) -> DataFrame:
     """(key, percent, value) at nearest ranks of (key, value) rows, however many there are.
 
-    Values are dealt in ranges; only the ranges that hold a rank are sorted.
+    A sketch of each key brackets the ranks; then one pass counts the values
+    below each bracket and those inside it, by value and pre-aggregated, so the
+    values themselves are never shuffled.  A key of few values is its own
+    bracket, so ranks are exact in every case.
     """
-    dealt = stage(values.select("key", "value").repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("key", "part").count()
-    up_to = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("end", F.sum("count").over(up_to)).withColumn("n", F.sum("count").over(Window.partitionBy("key")))
-    wanted = counts.select("key", "part", (F.col("end") - F.col("count")).alias("begin"), "end", "n", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent"))
-    rank = F.rint(F.col("percent") / 100 * (F.col("n") - 1)).cast("long")
-    wanted = wanted.withColumn("rank", rank).where("rank >= begin AND rank < end").select(F.col("key").alias("k"), F.col("part").alias("p"), "percent", (F.col("rank") - F.col("begin")).alias("inside"))
-    held = dealt.join(wanted.select("k", "p").distinct(), (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")), "left_semi")
-    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy("value")) - 1)
-    return ranked.join(wanted, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("r") == F.col("inside"))).select("key", "percent", "value")
+    percents = [float(p) for p in percents]
+    ends = [x for p in percents for x in (max(0.0, p / 100 - 3 / SKETCH), min(1.0, p / 100 + 3 / SKETCH))]
+    found = F.percentile_approx("value", ends, SKETCH)
+    sketch = values.groupBy("key").agg(F.count("value").alias("n"), found.alias("ends"), F.min("value").alias("least"), F.max("value").alias("most"))
+    each = F.array(*[F.struct(F.lit(p).alias("percent"), F.col("ends")[2 * i].alias("low"), F.col("ends")[2 * i + 1].alias("high")) for i, p in enumerate(percents)])
+    wanted = stage(sketch.select(F.col("key").alias("k"), "n", "least", "most", F.explode(each).alias("w")), "brackets")
+    small = F.col("n") <= 4 * SKETCH
+    low, high = F.when(small | (F.col("w.percent") <= 0), F.col("least")).otherwise(F.col("w.low")), F.when(small | (F.col("w.percent") >= 100), F.col("most")).otherwise(F.col("w.high"))
+    rank = F.rint(F.col("w.percent") / 100 * (F.col("n") - 1)).cast("long")
+    wanted = wanted.select("k", F.col("w.percent").alias("percent"), low.alias("low"), high.alias("high"), rank.alias("rank"))
+    wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
+    met = values.select("key", "value").join(wanted, (F.col("key") == F.col("k")) & (F.col("value") <= F.col("high")))
+    counts = met.groupBy("key", "percent", "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).count()
+    up_to = Window.partitionBy("key", "percent").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("end", F.sum("count").over(up_to))
+    return ranked.where("value IS NOT NULL AND rank < end AND rank >= end - count").select("key", "percent", "value")
 
 
 def running_stats(frames: DataFrame, history: int = 2) -> DataFrame:

@@ -60,3 +60,49 @@ def settled(declared: dict[str, Param], given: dict) -> dict:
         if values[name] != was:
             warnings.warn(f"{name}: {was} was clipped to {values[name]}", stacklevel=2)
     return values
+
+
+def _fft(v: float, all_: dict) -> float:
+    return v if v < 0 else power_of_two(max(v, all_.get("win", 1024)), all_)
+
+
+def _hop(v: float, _: dict) -> float:
+    return v if v == -1 else max(v, 1)
+
+
+#: Limits of the settings that signal operators share; others are taken as they are.
+LIMITS: dict[str, tuple[Limit, ...]] = {
+    "win": (at_least(4),),
+    "hop": (_hop,),
+    "fft": (_fft,),
+    "bands": (at_least(2),),
+    "coefficients": (at_least(2),),
+    "filter_size": (at_least(0),),
+    "kernel": (at_least(3), odd),
+    "smoothing": (at_least(1),),
+    "harm_size": (at_least(3), odd),
+    "perc_size": (at_least(3), odd),
+    "components": (at_least(1),),
+    "iterations": (at_least(1),),
+    "min_length": (at_least(0),),
+    "fast_up": (at_least(1),),
+    "fast_down": (at_least(1),),
+    "slow_up": (at_least(1),),
+    "slow_down": (at_least(1),),
+}
+
+
+def clipped(settings: dict) -> dict:
+    """Settings of a signal operator within their limits, with a warning for each that wasn't."""
+    return settled({n: Param(v, LIMITS.get(n, ())) for n, v in settings.items()}, settings)
+
+
+class Changes:
+    """Whether structural parameters differ from those of the last call: a model that has to start anew."""
+
+    def __init__(self):
+        self.last: tuple | None = None
+
+    def changed(self, *values) -> bool:
+        before, self.last = self.last, values
+        return before != values

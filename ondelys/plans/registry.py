@@ -14,9 +14,11 @@ from ..operators import buffers, clustering, kdtree, labels, neighbors, networks
 from ..operators.query import DataSetQuery
 from ..schema import dataset, labelset, pack, series, to_wide, unpack
 from ..schema import width as schema_width
+from ..scratch import scratch_path
 from ..shipping import ship
 from ..signal import descriptors
 from ..sources import json_io
+from ..streaming import blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -685,6 +687,53 @@ def _(t):
     return first_feature(t, "amp_feature", fast_up=4, fast_down=8, slow_up=10, slow_down=50, high_pass=0)
 
 
+def _butterworth(share: float) -> tuple[float, float, float]:
+    """Gain and feedback of the second-order high-pass, for its SQL."""
+    c = np.tan(np.pi * share)
+    b0 = 1 / (1 + np.sqrt(2) * c + c * c)
+    return float(b0), float(2 * b0 * (c * c - 1)), float(b0 * (1 - np.sqrt(2) * c + c * c))
+
+
+_B0, _A1, _A2 = _butterworth(0.085)
+
+
+@query(
+    "envelope_high_pass",
+    f"""WITH RECURSIVE {EVENTS}, sm AS (SELECT buffer_id, frame, value::FLOAT::DOUBLE AS x FROM ev),
+    hp AS (SELECT buffer_id, frame, x AS x1, 0.0::DOUBLE AS x2, {_B0!r} * x AS y1, 0.0::DOUBLE AS y2, {_B0!r} * {_B0!r} * x AS z1, 0.0::DOUBLE AS z2 FROM sm WHERE frame = 0
+      UNION ALL SELECT buffer_id, frame, x, x1, y, y1, {_B0!r} * (y - 2 * y1 + y2) - {_A1!r} * z1 - {_A2!r} * z2, z1
+      FROM (SELECT sm.buffer_id, sm.frame, sm.x, x1, y1, y2, z1, z2, {_B0!r} * (sm.x - 2 * x1 + x2) - {_A1!r} * y1 - {_A2!r} * y2 AS y FROM hp JOIN sm ON sm.buffer_id = hp.buffer_id AND sm.frame = hp.frame + 1)),
+    lv AS (SELECT buffer_id, frame, CASE WHEN z1 = 0 THEN -144 ELSE greatest(20 * log10(abs(z1)), -144) END AS level FROM hp),
+    go AS (SELECT buffer_id, frame, level, -144 + (level + 144) / 4.0 AS fast, -144 + (level + 144) / 10.0 AS slow FROM lv WHERE frame = 0
+      UNION ALL SELECT lv.buffer_id, lv.frame, lv.level,
+        fast + (lv.level - fast) / CASE WHEN lv.level > fast THEN 4.0 ELSE 8.0 END, slow + (lv.level - slow) / CASE WHEN lv.level > slow THEN 10.0 ELSE 50.0 END
+      FROM go JOIN lv ON lv.buffer_id = go.buffer_id AND lv.frame = go.frame + 1)
+    SELECT buffer_id, frame, {S("fast - slow", 3)} AS value FROM go""",
+)
+def _(t):
+    found = signals.describe_frames(packed(t), "amp_feature", fast_up=4, fast_down=8, slow_up=10, slow_down=50, high_pass=85.0)
+    return found.select("buffer_id", "frame", R(F.col("features")[0], 3).alias("value"))
+
+
+_BASES = [[1.0] * 9, [float(i) for i in range(9, 0, -1)]]
+_UNIT = [[x / sum(y * y for y in b) ** 0.5 for x in b] for b in _BASES]
+_START = np.random.default_rng(42).uniform(0, 1, 2).tolist()
+_STEP = """h{n} AS (SELECT buffer_id, f, any_value(h0) * sum(v / greatest(h0 * w0 + h1 * w1, {eps}) * w0) / sum(w0) AS h0, any_value(h1) * sum(v / greatest(h0 * w0 + h1 * w1, {eps}) * w1) / sum(w1) AS h1
+FROM h{m} JOIN mv USING (buffer_id, f) GROUP BY ALL)"""
+
+
+@query(
+    "nmf_activations",
+    f"""WITH {SPECTRA}, wb(b, w0, w1) AS (VALUES {", ".join(f"({i}, {_UNIT[0][i]!r}, {_UNIT[1][i]!r})" for i in range(9))}),
+    mv AS (SELECT buffer_id, f, b, greatest(mag, {EPS}) AS v, w0, w1 FROM sp JOIN wb USING (b)), h0 AS (SELECT DISTINCT buffer_id, f, {_START[0]!r} AS h0, {_START[1]!r} AS h1 FROM sp),
+    {", ".join(_STEP.format(n=n, m=n - 1, eps=EPS) for n in range(1, 4))}
+    SELECT buffer_id, f AS frame, {S("h0", 4)} AS p0, {S("h1", 4)} AS p1 FROM h3""",
+)
+def _(t):
+    found = signals.activations(packed(t), _BASES, 3, 42, **SHORT)
+    return found.select("buffer_id", "frame", R(F.col("features")[0], 4).alias("p0"), R(F.col("features")[1], 4).alias("p1"))
+
+
 @query(
     "amp_slices",
     f"""WITH RECURSIVE {EVENTS}, lv AS (SELECT buffer_id, frame, greatest(20 * log10(abs(value::FLOAT::DOUBLE)), -144) AS level FROM ev),
@@ -1032,3 +1081,59 @@ def _(t):
     again = _again(kdtree.KNNRegressor.fit(points(t), dataset(t("embeddings"), "vec_id", "vec_id", ["label"]), 5))
     again.k = 5
     return again.predict(points(t)).select("id", R(F.col("target")[0]).alias("p0"))
+
+
+# ---------------------------------------------------------------- streams: a table read as one, to its end
+
+
+def streamed(t, name: str, work) -> DataFrame:
+    """What ``work`` makes of a table read as a stream, written to the shared folder and read again."""
+    table = t(name)
+    spark = table.sparkSession
+    # A stream is read from a folder, and a table may be one file.
+    files, out, state = (scratch_path(spark, n) for n in ("stream-files", "streamed", "stream-state"))
+    table.write.parquet(files)
+    made = work(spark.readStream.schema(table.schema).parquet(files))
+    made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+@query(
+    "stream_running_stats",
+    f"""WITH ev AS (SELECT user_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, value FROM events)
+    SELECT stream_id, frame, {S('avg(value) OVER w', 5)} AS mean, {S('coalesce(stddev_samp(value) OVER w, 0)', 5)} AS std FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+)
+def _(t):
+    found = streamed(t, "events", lambda e: blocks.running_stats(e.select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("block"), F.array("value").alias("samples")), 3))
+    return found.select("stream_id", "frame", R("mean", 5).alias("mean"), R("std", 5).alias("std"))
+
+
+def _triggered(t, predict) -> DataFrame:
+    asked = lambda e: e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("point"), F.lit(1).alias("trigger"))
+    return streamed(t, "embeddings", lambda e: blocks.triggered(asked(e), predict))
+
+
+@query("stream_tree_query", TREE)
+def _(t):
+    tree = kdtree.KDTree.fit(points(t))
+    found = _triggered(t, lambda p: tree.query(p, 10))
+    each = found.select(F.col("id").alias("query"), F.posexplode(F.arrays_zip("ids", "distances")).alias("rank", "n"))
+    return each.select("query", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.ids").alias("id"), R("n.distances").alias("distance"))
+
+
+@query("stream_knn_classify", ORACLES["knn_classify"])
+def _(t):
+    model = kdtree.KNNClassifier.fit(points(t), labelset(t("embeddings"), "vec_id", "vec_id", "label"), 5)
+    return _triggered(t, model.predict).select("id", "label")
+
+
+@query("stream_kmeans", ORACLES["kmeans_predict"])
+def _(t):
+    model = _four(t)
+    return _triggered(t, lambda p: model.predict(p.withColumn("pos", F.lit(0).cast("long")))).select("id", "cluster")
+
+
+@query("stream_spectral_flux", ORACLES["onset_metric_2"].replace("buffer_id, f AS frame", "buffer_id AS stream_id, f AS frame").replace("ORDER BY ts, event_id", "ORDER BY event_id"))
+def _(t):
+    made = lambda e: blocks.features(e.select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("block"), F.array(F.col("value").cast("float").cast("double")).alias("samples")), "onset_feature", 1000.0, 16, 8, metric=2, filter_size=0, fft=16)
+    return streamed(t, "events", made).select("stream_id", "frame", R(F.col("features")[0], 4).alias("value"))

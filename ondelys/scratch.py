@@ -15,11 +15,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session doesn't set it (tests on one machine) a folder of
-    our own is made and set.
+    Only where the session doesn't set it and runs in one process (tests) a
+    folder of our own is made and set; on a cluster executors couldn't see it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="ondelys-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -27,3 +27,51 @@ def test_params_are_clipped():
 def test_latency():
     assert latency("mfcc") == 1024 and latency("onset_slice") == 512 and latency("novelty_slice") == 512 * 4
     assert latency("hpss") == 16 * 512 + 1024 and latency("transients") == 364 and latency("amp_gate", min_above=440, look_back=24) == 464
+
+
+def test_settings_are_clipped():
+    from ondelys.params import Changes, clipped
+
+    with pytest.warns(UserWarning, match="clipped"):
+        assert clipped({"win": 2, "harm_size": 4, "fft": 3, "other": "x"}) == {"win": 4, "harm_size": 5, "fft": 4, "other": "x"}
+    assert clipped({"win": 64, "hop": -1, "fft": -1}) == {"win": 64, "hop": -1, "fft": -1}
+    changes = Changes()
+    assert [changes.changed(*v) for v in ((2, "a"), (2, "a"), (3, "a"), (2, "a"))] == [True, False, True, True]
+
+
+def test_progress_and_cancellation(spark):
+    import threading
+    import time
+
+    from ondelys.progress import task
+
+    with task(spark, "counting") as now:
+        assert now.progress() == 0.0
+        spark.range(1000).selectExpr("sum(id)").collect()
+        time.sleep(0.5)
+        assert now.progress() > 0.0
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    with task(spark, "endless") as now:
+        threading.Timer(3, now.cancel).start()
+        began = time.time()
+        with pytest.raises(Exception):  # noqa: B017 - the error that Spark raises for cancelled jobs
+            spark.range(10).mapInArrow(slow, "id long").collect()
+        assert now.cancelled and time.time() - began < 50
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from ondelys import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    there = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn"), conf=conf)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.scratch_root(there)
