@@ -184,6 +184,12 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, pa.Table, dict]:
     return WaveletMatrix(header["length"], header["zeros"], planes, ranks), docs, header
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI as Spark writes it: Hadoop's names of S3 are pyarrow's ``s3``."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode all documents in ascending ``doc_id`` order into shards in ``folder``.
 
@@ -205,7 +211,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         return partition, shard, len(tokens)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         partition, shard, done = TaskContext.get().partitionId(), 0, []
         ids, counts, parts, held = [], [], [], 0

@@ -110,16 +110,16 @@ def test_wavelet_matrix():
 
 
 def test_token_files(spark, tmp_path):
-    rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(3, "another text", "y"), (40, "word " * 3000, "z")]
+    rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(3, "another text", "y"), (40, "word " * 3000, "z"), (None, "no id", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     folder = f"file://{tmp_path}/tokens"
     found = wavelet.token_files(docs, BYTES, folder, shard_tokens=200).collect()
     at, want = 0, []
-    for i, t, _ in sorted(rows, key=lambda r: r[0]):
+    for i, t, _ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
         ids = [*tokens(BYTES, t), 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found)
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
     # The two rows with id 3 may come either way round.
     assert [g for g in got if g[0] != 3] == [w for w in want if w[0] != 3]
     assert sorted(g[3] for g in got if g[0] == 3) == sorted(w[3] for w in want if w[0] == 3)

@@ -310,6 +310,31 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["surrogate"] for r in got if r["kind"] != "phone"} & real and {len(r["surrogate"]) for r in got if r["kind"] == "phone"} == {2}
 
 
+def test_pii_on_the_given_documents(spark):
+    """Against plain patterns, entity by entity."""
+    import re
+
+    from conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text")
+    texts, new = ({r["doc_id"]: r["text"] or "" for r in f.collect()} for f in (docs, pii.replace_entities(docs)))
+    kinds = [r"[\w.]+@[\w.]+\.\w+", r"\+\d \(\d{3}\) \d{3}-\d{4}", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", r"AKIA[A-Z0-9]{16}", r'(?<=")[0-9a-f]{40}(?=")', r"(?<!\w)4\d{15}(?!\w)"]
+    made = collections.defaultdict(set)
+    for i, t in texts.items():
+        for kind in kinds:
+            old, now = re.findall(kind, t), re.findall(kind, new[i])
+            if kind == kinds[-1]:
+                old, now = ([x for x in f if luhn(x)] for f in (old, now))
+            assert len(old) == len(now) and not set(old) & set(now), (i, kind)
+            for a, b in zip(old, now, strict=True):
+                made[a.lower()].add(b.lower())
+        if not any(re.search(kind, t) for kind in kinds):
+            assert new[i] == t or any(re.search(p, t) for p in (r"\d{3}-\d{2}-\d{4}", r"(?i)token|secret|passw|key", r"\d{3}[-. ]\d{3,4}", r"[A-Z]{2}\d\d", r"3[47]\d{13}|[2456]\d{15}")), i
+    assert made and all(len(v) == 1 for v in made.values()) and len({min(v) for v in made.values()}) == len(made)
+
+
 def test_pii_names(spark):
     texts = [
         "John Smith came. Later Smith left, and so did John.",
@@ -393,6 +418,47 @@ def test_main_text_named_among_other_things():
     assert htmltext.extract("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "Where x=2 holds."
 
 
+def test_main_text_on_the_given_pages(spark):
+    """Against a plain reading of the article element, by another parser."""
+    from html.parser import HTMLParser
+
+    from conftest import DATA
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "h2", "h3", "ul", "li", "article", "blockquote"):
+                self.blocks.append([])
+            elif tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1", "h2", "h3", "ul", "li", "article", "blockquote"):
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(str(DATA / "pages.parquet")).select("page_id", "html", "url")
+    rows = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    right = total = 0
+    for r in pages.collect():
+        if r["html"] and "<article" in r["html"] and not any(f"<{t}" in r["html"].split("<article", 1)[1].split("</article")[0] for t in ("aside", "div", "form", "nav", "script", "section")):
+            plain = Article()
+            plain.feed(r["html"])
+            want = [" ".join("".join(b).split()) for b in plain.blocks]
+            right, total = right + (rows[r["page_id"]] == "\n\n".join(b for b in want if b)), total + 1
+    assert total > 10 and right == total
+
+
 @pytest.mark.parametrize("deep", ["<div>", "<b>", "<div><b>", "<ul><li>", "<div class='a b'>"])
 def test_main_text_of_deep_pages(deep):
     import time

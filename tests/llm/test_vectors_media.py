@@ -157,8 +157,11 @@ def test_copies_agree_and_others_do_not(how):
 
 def test_copies(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
-    images = media.render(vectors).unionByName(spark.createDataFrame([(90, None), (91, b"junk"), (92, b"junk")], "image_id long, image binary"))
-    rows = {r["image_id"]: (r["component_id"], r["links"]) for r in media.copies(images).collect()}
+    odd = spark.createDataFrame([(90, None), (91, b"junk"), (92, b"junk"), (None, bytearray(media.encode_png(media.scene(0)))), (None, None)], "image_id long, image binary")
+    images = media.render(vectors).unionByName(odd).selectExpr("*", "'x' AS key", "'y' AS hash", "1 AS part")
+    found = media.copies(images).collect()
+    assert len(found) == 45 and {r["component_id"] for r in found if r["image_id"] is None} == {0, None}
+    rows = {r["image_id"]: (r["component_id"], r["links"]) for r in found if r["image_id"] is not None}
     assert len(rows) == 43 and rows[90] == (90, 0) and rows[91] == rows[92] == (91, 0)
     right = [rows[i][0] == (i if i % 4 == 3 else i - i % 4) for i in range(40)]
     assert np.mean(right) >= 0.9 and all(rows[i][0] == i for i in range(3, 40, 4))
