@@ -13,9 +13,10 @@ joined already; only links that pass leave a task.
 A group of more than ``CROWD`` members or ``BLOCK`` bytes of shingle sets is
 settled in three passes, each exact in what it joins: its members in chunks,
 then one of each component found, then, only where more than one component is
-left, every member outside the largest component against all the others.  So a
-group of copies, however large, sends each set once or twice, and the work
-grows with the square of what doesn't join alone.
+left, every member outside the largest component against all others that are
+near enough in size.  So a group of copies, however large, sends each set once
+or twice, and the work grows with the square of what doesn't join and is alike
+in size alone.
 
 Equal word sequences are folded first, and rows are known by ``doc_id`` and
 text together; see :func:`keep_one` for nulls and repeats.
@@ -218,6 +219,10 @@ def _group_links(texts: DataFrame, members: DataFrame, width: int, similarity: f
     dealt = stage(_chunks(["root"], large.where("node = label"), block, crowd, "second"), "leaders")
     links = stage(links.unionByName(_settle(texts, dealt.withColumn("p", F.col("part")).withColumn("q", F.col("part")), width, similarity)), "links")
     large = _labelled(large, links)
+    # Sets of a similarity of 0.8 differ in size by a quarter at most, so they share one of two neighbouring
+    # classes of size; each two classes make a group of their own.
+    class_ = F.floor(F.log("size") / F.log(F.lit(1.01 / similarity))).cast("long")
+    large = large.withColumn("class", F.explode(F.array(class_, class_ + 1))).withColumn("root", F.xxhash64("root", "class")).drop("class")
     # What is left in several components: all outside the largest against all.
     shares = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
     shares = shares.where("labels > 1").select("of", F.col("most.label").alias("main"))
