@@ -85,9 +85,9 @@ def hz_to_mel(f: Column) -> Column:
     return 1127.01048 * F.log(f / 700.0 + 1)
 
 
-def hz_to_midi(f: Column) -> Column:
-    """MIDI pitch; 0 Hz is -999."""
-    return F.when(f == 0, F.lit(-999.0)).otherwise(69 + 12 * F.log2(f / 440.0))
+def hz_to_midi(f: Column, silent: float = -999.0) -> Column:
+    """MIDI pitch; 0 Hz is ``silent``: the plain formula's limit is minus infinity."""
+    return F.when(f == 0, F.lit(silent)).otherwise(69 + 12 * F.log2(f / 440.0))
 
 
 def amp_to_db(a: Column) -> Column:

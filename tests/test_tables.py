@@ -261,3 +261,10 @@ def test_catalog_and_corpus(spark):
     assert sorted((r["buffer_id"], r["frame"], r["value"]) for r in catalog.corpus_frames(corpus, frames).collect()) == [("x", 0, 2.0), ("x", 1, 3.0), ("x", 2, 4.0), ("y", 0, 4.0), ("y", 1, 5.0)]
     with pytest.raises(DataError):
         catalog.corpus_get(corpus, "z")
+
+
+def test_midi_of_silence_in_the_query(spark):
+    from ondelys.functions import vectors
+
+    row = spark.createDataFrame([(0.0,)], "v double").select(vectors.hz_to_midi(F.col("v")).alias("a"), F.round(vectors.hz_to_midi(F.col("v"), float("-inf")), 6).alias("b")).first()
+    assert row["a"] == -999 and row["b"] == float("-inf")
