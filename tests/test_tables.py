@@ -288,3 +288,41 @@ def test_a_json_file_is_read_by_lines(spark, tmp_path, monkeypatch):
     (tmp_path / "cut.json").write_text(text[:-2])
     with pytest.raises(DataError):
         json_io.read_json(spark, str(tmp_path / "cut.json"), label=True)
+
+
+def test_ties_of_a_tree_by_position_and_by_id(spark):
+    from ondelys.operators import kdtree, neighbors
+    from ondelys.sources import json_io
+
+    ds = from_rows(spark, [(f"p{(i * 7) % 40}", [float(i % 3), float(i % 2)]) for i in range(40)])
+    tree = json_io.load_model(json_io.dump_model(kdtree.KDTree.fit(ds))).placed(ds)
+    want = {(r["query"], r["rank"]): r["id"] for r in neighbors.nearest(ds, ds, 9).collect()}
+    for r in tree.query(ds, 9).collect():
+        assert r["ids"] == [want[r["id"], k] for k in range(1, 10)] == [n for n, _ in tree.near(r["point"], 9)]
+    by_id = tree.by_id().query(ds, 2).where("id = 'p5'").first()
+    same = sorted(r["id"] for r in ds.collect() if r["point"] == by_id["point"])
+    assert by_id["ids"] == same[:2]
+
+
+@pytest.mark.parametrize("k", [3, 0])
+def test_a_tree_compares_blocks_of_bounded_size(k):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ondelys.operators.kdtree import KDTree
+
+    points = np.random.default_rng(0).normal(size=(30_000, 4))
+    tree = KDTree([str(i) for i in range(30_000)], points)
+    asked = pa.RecordBatch.from_arrays([pa.array(points[:600].tolist())], ["point"])
+    tracemalloc.start()
+    rows = 0
+    for part, found in tree._found(asked, k, 0.0):
+        for (nodes, distance), i in zip(found, range(rows, rows + part.num_rows), strict=True):
+            assert nodes[0] == i and distance[0] == 0 and len(nodes) == (k or 30_000)
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All at once would be 144 MB a matrix, of which several are held.
+    assert rows == 600 and peak < (130 if k else 600) * 1e6
