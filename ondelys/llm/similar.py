@@ -13,10 +13,11 @@ joined already; only links that pass leave a task.
 A group of more than ``CROWD`` members or ``BLOCK`` bytes of shingle sets is
 settled in three passes, each exact in what it joins: its members in chunks,
 then one of each component found, then, only where more than one component is
-left, every member outside the largest component against all others that are
-near enough in size.  So a group of copies, however large, sends each set once
-or twice, and the work grows with the square of what doesn't join and is alike
-in size alone.
+left, every member outside the largest component against all others that share
+a minimum hash with it and are near enough in size and fingerprint.  The last
+is found out from fingerprints first, and only sets with such a partner travel
+once more.  So a group of copies, however large, sends each set once or twice,
+and more travels for what is alike and still doesn't join alone.
 
 Equal word sequences are folded first, and rows are known by ``doc_id`` and
 text together; see :func:`keep_one` for nulls and repeats.
@@ -48,6 +49,8 @@ RADIUS = 20
 BLOCK, CROWD = 1 << 24, 4096
 #: Fingerprints under one key that one task compares.
 SPLIT = 1 << 16
+#: Rows without sets, of a crowded group's third pass, that one task compares.
+PEERS = 1 << 14
 #: Odd multipliers make further minimum hashes of one hash.  They are unrelated to each other: under multiples of one
 #: another the same shingles tend to be the least, and documents that miss one key miss them all.
 MIX = [xxhash.xxh64_intdigest(f"key{k}", SEED) | 1 for k in range(KEYS)]
@@ -207,7 +210,7 @@ def _chunks(by: list[str], members: DataFrame, block: int, crowd: int, salt: str
     return members.join(counts.hint("merge"), condition).drop(*[f"of_{c}" for c in by]).withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("parts")))
 
 
-def _group_links(texts: DataFrame, members: DataFrame, width: int, similarity: float, block: int, crowd: int) -> DataFrame:
+def _group_links(texts: DataFrame, members: DataFrame, nodes: DataFrame, width: int, similarity: float, block: int, crowd: int) -> DataFrame:
     """Links (a, b) that join all near-duplicates among ``members`` (root, node, size, doc_id, same) of each root."""
     dealt = stage(_chunks(["root"], members.withColumn("label", F.col("node")), block, crowd, "first"), "groups")
     links = _settle(texts, dealt.withColumn("p", F.col("part")).withColumn("q", F.col("part")), width, similarity)
@@ -219,27 +222,88 @@ def _group_links(texts: DataFrame, members: DataFrame, width: int, similarity: f
     dealt = stage(_chunks(["root"], large.where("node = label"), block, crowd, "second"), "leaders")
     links = stage(links.unionByName(_settle(texts, dealt.withColumn("p", F.col("part")).withColumn("q", F.col("part")), width, similarity)), "links")
     large = _labelled(large, links)
-    # Sets of a similarity of 0.8 differ in size by a quarter at most, so they share one of two neighbouring
-    # classes of size; each two classes make a group of their own.
+    # Which of them can have a partner at all is told without their sets: a partner meets them under a minimum hash, as
+    # everywhere here, and sets of a similarity of 0.8 differ in size by a quarter at most, so they share one of two
+    # neighbouring classes of size.
     class_ = F.floor(F.log("size") / F.log(F.lit(1.01 / similarity))).cast("long")
-    large = large.withColumn("class", F.explode(F.array(class_, class_ + 1))).withColumn("root", F.xxhash64("root", "class")).drop("class")
-    # What is left in several components: all outside the largest against all.
-    shares = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
-    shares = shares.where("labels > 1").select("of", F.col("most.label").alias("main"))
-    left = stage(large.join(shares.hint("merge"), F.col("root") == F.col("of")).withColumn("other", F.col("label") != F.col("main")).drop("of", "main"), "left-groups")
+    light = large.join(nodes.select(F.col("node").alias("n"), "fp", "keys").hint("merge"), F.col("node") == F.col("n")).withColumn("class", class_)
+    light = light.select("root", "node", "label", "size", "fp", "keys", "class", F.posexplode("keys").alias("k", "key"))
+    light = light.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("root", F.xxhash64("root", "k", "key", "at"))
+    light = light.select("root", "node", "label", "size", "fp", "keys", F.col("k").cast("long").alias("k"), (F.col("class") < F.col("at")).alias("low"))
+    met = stage(light.join(_several(light).select(F.col("root").alias("of")).hint("merge"), F.col("root") == F.col("of"), "left_semi"), "meetings")
+    if met.isEmpty():
+        return links
+    dealt = _against(met, 1 << 62, PEERS, ["label", "size", "fp", "keys", "k", "low"])
+    asked = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(_partners_kernel(similarity), "root long, node long").distinct()
+    left = stage(asked.join(large.drop("root").withColumnRenamed("node", "n").hint("merge"), F.col("node") == F.col("n")).drop("n"), "left-groups")
     if left.isEmpty():
         return links
+    dealt = stage(_against(left, block, crowd, ["label", "doc_id", "same"]), "places")
+    return links.unionByName(_settle(texts, dealt, width, similarity))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(root, main) of the roots whose rows have several labels: the label of most."""
+    shares = rows.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    return shares.where("labels > 1").select("root", F.col("most.label").alias("main"))
+
+
+def _against(rows: DataFrame, block: int, crowd: int, columns: list[str]) -> DataFrame:
+    """(root, p, q, node, *columns): all rows of a root outside its largest label dealt to meet all others of it."""
+    mains = _several(rows).withColumnRenamed("root", "of")
+    left = rows.join(mains.hint("merge"), F.col("root") == F.col("of")).withColumn("other", F.col("label") != F.col("main")).drop("of", "main")
     dealt = _chunks(["root", "other"], left, block, crowd, "third")
-    counts = dealt.groupBy(F.col("root").alias("of")).agg(F.max(F.when(~F.col("other"), F.col("parts"))).alias("k"), F.max(F.when(F.col("other"), F.col("parts"))).alias("j"))
+    counts = dealt.groupBy(F.col("root").alias("of")).agg(F.max(F.when(~F.col("other"), F.col("parts"))).alias("parts_k"), F.max(F.when(F.col("other"), F.col("parts"))).alias("parts_j"))
     dealt = dealt.join(counts.hint("merge"), F.col("root") == F.col("of"))
-    # Parts of the largest are numbered from 0, the others' from k.
+    # Parts of the largest are numbered from 0, the others' from parts_k.  Where there is one of each, all meet in one task.
     places = F.expr(
-        "CASE WHEN other THEN concat(transform(sequence(0L, k - 1), i -> struct(i AS p, k + part AS q)),"
-        " transform(sequence(0L, j - 1), i -> struct(k + least(i, part) AS p, k + greatest(i, part) AS q)))"
-        " ELSE transform(sequence(0L, j - 1), i -> struct(part AS p, k + i AS q)) END"
+        "CASE WHEN parts_k = 1 AND parts_j = 1 THEN array(struct(0L AS p, 0L AS q))"
+        " WHEN other THEN concat(transform(sequence(0L, parts_k - 1), i -> struct(i AS p, parts_k + part AS q)),"
+        " transform(sequence(0L, parts_j - 1), i -> struct(parts_k + least(i, part) AS p, parts_k + greatest(i, part) AS q)))"
+        " ELSE transform(sequence(0L, parts_j - 1), i -> struct(part AS p, parts_k + i AS q)) END"
     )
-    dealt = stage(dealt.select("root", F.explode(places).alias("at"), "node", "label", "doc_id", "same").select("root", "at.p", "at.q", "node", "label", "doc_id", "same"), "places")
-    return links.unionByName(_settle(texts, dealt, width, similarity))
+    return dealt.select("root", F.explode(places).alias("place"), "node", *columns).select("root", "place.p", "place.q", "node", *columns)
+
+
+def _partners_kernel(similarity: float):
+    """(root, node) of the rows, sorted by (root, p, q), that have another label's row near enough in fingerprint and size.
+
+    Two rows that meet under several keys and classes count under the first of them.
+    """
+
+    def partners(root: int, node: np.ndarray, label: np.ndarray, size: np.ndarray, prints: np.ndarray, keys: np.ndarray, k: int, low: np.ndarray) -> pa.RecordBatch:
+        found, main = np.zeros(len(node), bool), np.unique(label, return_inverse=True)[1]
+        main = main == np.bincount(main).argmax()
+        for x in np.flatnonzero(~main).tolist():
+            near = (np.bitwise_count(prints ^ prints[x]) <= RADIUS) & (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x])) & (label != label[x])
+            near &= ~(low & low[x])
+            y = np.flatnonzero(near)
+            if len(y):
+                y = y[~(keys[y, :k] == keys[x, :k]).any(axis=1)]
+                found[y] = True
+                found[x] |= len(y) > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(found.sum()), root)), pa.array(node[found])], ["root", "node"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in released(batches):
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy() for c in ("root", "p", "q")], axis=1)
+            row = [batch.column(c).to_numpy() for c in ("node", "label", "size")] + [batch.column("fp").to_numpy().view(np.uint64)]
+            keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
+            k, low = batch.column("k").to_numpy(), batch.column("low").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1), True]).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                if tuple(place[a]) != now:
+                    if parts:
+                        yield partners(now[0], *(np.concatenate([x[i] for x in parts]) for i in range(5)), at, np.concatenate([x[5] for x in parts]))
+                    now, parts, at = tuple(place[a].tolist()), [], int(k[a])
+                parts.append((*(c[a:b] for c in row), keys[a:b], low[a:b]))
+        if parts:
+            yield partners(now[0], *(np.concatenate([x[i] for x in parts]) for i in range(5)), at, np.concatenate([x[5] for x in parts]))
+
+    return kernel
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, split: int = SPLIT) -> DataFrame:
@@ -273,7 +337,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     placed = stage(placed, "placed")
     several = placed.groupBy(F.col("root").alias("of")).count().where("count > 1")
     members = placed.join(several.hint("merge"), F.col("root") == F.col("of"), "left_semi")
-    roots = components(_group_links(texts, members, width, similarity, block, crowd)).select(F.col("node").alias("linked"), "root")
+    roots = components(_group_links(texts, members, nodes, width, similarity, block, crowd)).select(F.col("node").alias("linked"), "root")
     # The smallest id of a group stays, with its text.
     joined = nodes.join(roots.hint("merge"), F.col("node") == F.col("linked"), "left").groupBy(F.coalesce("root", "node").alias("group"))
     chosen = stage(joined.agg(F.min(F.struct("doc_id", "same")).alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.same").alias("of_text")), "kept-ids")

@@ -626,3 +626,30 @@ def test_rare_telling_words_are_kept(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert "vilex" in model.tokens
+
+
+def test_only_sets_with_a_possible_partner_travel_a_third_time(spark, monkeypatch):
+    random = np.random.default_rng(9)
+    frame = [f"f{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        # One frame with own words in it: fingerprints are near, similarities are about 0.55, so nothing joins but the last two.
+        words = list(frame)
+        for at in random.choice(300, 18, replace=False):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, rows[0][1] + " end"))
+    travelled = {}
+    stage = similar.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        travelled[name] = travelled.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similar, "stage", counted)
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), crowd=8, split=1 << 16)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60))
+    monkeypatch.undo()
+    # Sets sent a third time: before, each of the 60 met all parts (hundreds of rows); sizes are equal, so classes part none.
+    assert travelled["large-groups"] == 61 and travelled.get("places", 0) < 2 * travelled["meetings"]
