@@ -1,20 +1,30 @@
-"""Dimension reduction: PCA at any size, UMAP to a million points; MDS and grids on sets of a stated size at most."""
+"""Dimension reduction: PCA, MDS and grids at any size, UMAP to a million points.
+
+MDS compares all points with all, so its time grows with their square; above
+``MOST`` points the distances are made in blocks by the executors, again for
+each product, and the driver holds the points and a few vectors.
+"""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import DATASET, DataError
 from .assignment import assign
 from .neighbors import nearest
 
-#: Points that MDS takes: its state is quadratic.
-MOST = 5000
+#: Points up to which MDS holds their distances whole; beyond, rows and columns of a block of distances.
+MOST, ROWS, COLS = 5000, 1024, 2048
+#: Dimensions that the vectors start from, blocks of vectors kept between restarts, passes at most, and the residual
+#: asked for as a share of the largest eigenvalue.
+WIDE, KEPT, PASSES, RESIDUAL = 40, 3, 60, 1e-10
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -22,14 +32,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _gathered(ds: DataFrame, most: int = MOST) -> tuple[list[str], np.ndarray]:
-    """Ids and points in order, of a set that is checked to be small."""
-    rows = ds.orderBy("pos").limit(most + 1).collect()
-    if not rows:
+def _gathered(ds: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Ids and points in order."""
+    rows = ds.select("id", "pos", "point").orderBy("pos").toArrow()
+    if not rows.num_rows:
         raise DataError("the data set is empty")
-    if len(rows) > most:
-        raise DataError(f"more than {most} points")
-    return [r["id"] for r in rows], np.array([r["point"] for r in rows], float)
+    return rows.column("id").to_pylist(), np.concatenate([_matrix(c) for c in rows.column("point").chunks if len(c)]).astype(float)
 
 
 def _as_dataset(ds: DataFrame, ids: list[str], points: np.ndarray) -> DataFrame:
@@ -106,10 +114,11 @@ class PCA:
         return _map_points(ds, lambda y: y @ bases[: y.shape[1]] + mean)
 
 
-def _distances(x: np.ndarray, metric: str) -> np.ndarray:
+def _distances(x: np.ndarray, metric: str, first: int | None = None) -> np.ndarray:
+    """Distances of all points, or of the ``first``, to all."""
     eps = np.finfo(float).eps
-    out = np.empty((len(x), len(x)))
-    for i, a in enumerate(x):
+    out = np.empty((len(x[:first]), len(x)))
+    for i, a in enumerate(x[:first]):
         gap = np.abs(x - a)
         if metric in ("kl", "jensen_shannon"):
             p, q = np.maximum(a, eps), np.maximum(x, eps)
@@ -124,19 +133,119 @@ def _distances(x: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def mds(ds: DataFrame, dims: int = 2, metric: str = "euclidean", classical: bool = False) -> DataFrame:
-    """Coordinates from distances; ``classical`` squares them and scales by square roots."""
+def _between(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances (len(a), len(b)) as `_distances` has them, for sets of any size, a block at a time."""
+    if metric not in ("euclidean", "squared_euclidean"):
+        return np.stack([_distances(np.concatenate([row[None], b]), metric, 1)[0, 1:] for row in a])
+    own, other = (a**2).sum(axis=1)[:, None], (b**2).sum(axis=1)[None]
+    square = own + other - 2 * a @ b.T
+    # Of near points the product leaves rounding alone.
+    i, j = np.nonzero(square < 1e-5 * (own + other))
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        square[i[part], j[part]] = ((a[i[part]] - b[j[part]]) ** 2).sum(axis=1)
+    return square if metric == "squared_euclidean" else np.sqrt(square, out=square)
+
+
+def _times_distances(spark: SparkSession, held: Broadcast, q: np.ndarray, metric: str, power: int) -> np.ndarray:
+    """The matrix of all distances, raised to ``power``, times ``q``; the matrix itself is never held."""
+    sent = spark.sparkContext.broadcast(q)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = held.value, sent.value
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                rows = x[n * ROWS : (n + 1) * ROWS]
+                out = np.zeros((len(rows), y.shape[1]))
+                for at in range(0, len(x), COLS):
+                    out += _between(rows, x[at : at + COLS], metric) ** power @ y[at : at + COLS]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["n", "out"])
+
+    parts = -(-len(q) // ROWS)
+    found = spark.range(0, parts, 1, parts).mapInArrow(kernel, "n long, out binary").toArrow()
+    out = np.empty(q.shape)
+    for n, part in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        out[n * ROWS : (n + 1) * ROWS] = np.frombuffer(part.as_buffer(), float).reshape(-1, q.shape[1])
+    del found
+    sent.destroy()
+    return out
+
+
+def _largest(times, start: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``dims`` eigenvalues of largest size, and vectors, of a symmetric matrix known by its products: block Lanczos, restarted.
+
+    Every vector is made orthogonal to all kept ones, so the residuals follow
+    from the last block.
+    """
+    n, size = start.shape
+    q, _ = np.linalg.qr(start)
+    basis, inner, done = q, np.zeros((0, 0)), 0
+    while True:
+        image = times(q)
+        done += 1
+        if not np.isfinite(image).all():
+            raise DataError("a distance isn't finite")
+        part = basis.T @ image
+        inner = np.pad(inner, (0, size))
+        inner[:, -size:], inner[-size:] = part, part.T
+        image -= basis @ part
+        image -= basis @ (basis.T @ image)
+        q, last = np.linalg.qr(image)
+        # Where the image has fewer dimensions than columns, what is left is rounding and not yet orthogonal.
+        for _ in range(2):
+            q, more = np.linalg.qr(q - basis @ (basis.T @ q))
+            last = more @ last
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-np.abs(values), kind="stable")
+        values, turn = values[order], turn[:, order]
+        left = np.linalg.norm(last @ turn[-size:, :dims], axis=0).max()
+        if left <= RESIDUAL * abs(values[0]) or basis.shape[1] + size > n or done >= PASSES:
+            if left > RESIDUAL * abs(values[0]):
+                warnings.warn(f"MDS: a residual of {left / abs(values[0]):.1e} is left", stacklevel=2)
+            return values[:dims], basis @ turn[:, :dims]
+        if basis.shape[1] >= KEPT * size:
+            q, _ = np.linalg.qr(basis @ turn[:, :size])
+            basis, inner = q, np.zeros((0, 0))
+        else:
+            basis = np.concatenate([basis, q], axis=1)
+
+
+def mds(ds: DataFrame, dims: int = 2, metric: str = "euclidean", classical: bool = False, most: int = MOST) -> DataFrame:
+    """Coordinates from distances; ``classical`` squares them and scales by square roots.
+
+    Above ``most`` points the same singular vectors are found by products with
+    the distances, to a residual of ``RESIDUAL``.
+    """
     ids, x = _gathered(ds)
-    d = _distances(x, metric)
-    d = d**2 if classical else d
-    centre = np.eye(len(x)) - 1 / len(x)
-    u, s, _ = np.linalg.svd(-0.5 * centre @ d @ centre)
-    return _as_dataset(ds, ids, _signed(u[:, :dims]) * (np.sqrt(s[:dims]) if classical else s[:dims]))
+    if len(x) <= most:
+        d = _distances(x, metric)
+        d = d**2 if classical else d
+        centre = np.eye(len(x)) - 1 / len(x)
+        u, s, _ = np.linalg.svd(-0.5 * centre @ d @ centre)
+        u, s = u[:, :dims], s[:dims]
+    else:
+        near = metric in ("euclidean", "squared_euclidean")
+        spark = ds.sparkSession
+        held = spark.sparkContext.broadcast(x - x.mean(axis=0) if near else x)
+
+        def times(q: np.ndarray) -> np.ndarray:
+            out = _times_distances(spark, held, q - q.mean(axis=0), metric, 2 if classical else 1)
+            return -0.5 * (out - out.mean(axis=0))
+
+        random = np.random.default_rng(0).normal(size=(len(x), dims + 6))
+        start = np.concatenate([(x - x.mean(axis=0))[:, :WIDE], random - random.mean(axis=0)], axis=1)
+        del x
+        s, u = _largest(times, start, dims)
+        held.destroy()
+        s = np.abs(s)
+    return _as_dataset(ds, ids, _signed(u) * (np.sqrt(s) if classical else s))
 
 
 def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool = True) -> DataFrame:
     """Two-dimensional points moved to cells of a grid, by the least total distance."""
-    ids, x = _gathered(ds, 2000)
+    ids, x = _gathered(ds)
+    if len(x) > 2000:
+        raise DataError("more than 2000 points")
     if x.shape[1] != 2:
         raise DataError("a grid needs two dimensions")
     n = len(x) * oversample

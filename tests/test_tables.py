@@ -98,6 +98,16 @@ def test_pca_round_trip(spark):
         reduction.UMAP(k=40).fit_transform(ds)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_mds_by_blocks_of_distances(spark, metric):
+    x = np.random.default_rng(1).normal(size=(300, 5))
+    x[:40] = x[0]
+    ds = schema.from_rows(spark, [(str(i), p) for i, p in enumerate(x)])
+    whole = [r["point"] for r in reduction.mds(ds, 2, metric).orderBy("pos").collect()]
+    blocks = [r["point"] for r in reduction.mds(ds, 2, metric, most=100).orderBy("pos").collect()]
+    assert np.allclose(blocks, whole, atol=1e-8 * np.abs(whole).max())
+
+
 def test_buffers(spark):
     frames = schema.unpack(schema.buffer(spark, {"a": [[1, 2, 3], [4, 5, 6]]}))
     order = lambda df: [r["value"] for r in df.orderBy("chan", "frame").collect()]
