@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import DATASET, DataError
-from .assignment import assign
+from .assignment import assign, assign_cells
 from .neighbors import nearest
 
 #: Points up to which MDS holds their distances whole; beyond, rows and columns of a block of distances.
@@ -241,11 +241,13 @@ def mds(ds: DataFrame, dims: int = 2, metric: str = "euclidean", classical: bool
     return _as_dataset(ds, ids, _signed(u) * (np.sqrt(s) if classical else s))
 
 
-def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool = True) -> DataFrame:
-    """Two-dimensional points moved to cells of a grid, by the least total distance."""
+#: Points up to which a grid holds the cost of every cell.
+MOST_COSTS = 2000
+
+
+def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool = True, most: int = MOST_COSTS) -> DataFrame:
+    """Two-dimensional points moved to cells of a grid, by the least total distance; above ``most`` points without a matrix of costs."""
     ids, x = _gathered(ds)
-    if len(x) > 2000:
-        raise DataError("more than 2000 points")
     if x.shape[1] != 2:
         raise DataError("a grid needs two dimensions")
     n = len(x) * oversample
@@ -257,6 +259,8 @@ def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool =
     low, span = x.min(axis=0), np.maximum(np.ptp(x, axis=0), 1e-12)
     cells = np.array([(c, r) for r in range(down) for c in range(across)], float)
     placed = (x - low) / span * [max(across - 1, 0), max(down - 1, 0)]
+    if len(x) > most:
+        return _as_dataset(ds, ids, cells[assign_cells(placed, across, down)])
     cost = ((placed[:, None] - cells[None]) ** 2).sum(axis=2)
     return _as_dataset(ds, ids, cells[assign(cost)])
 

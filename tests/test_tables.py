@@ -108,6 +108,29 @@ def test_mds_by_blocks_of_distances(spark, metric):
     assert np.allclose(blocks, whole, atol=1e-8 * np.abs(whole).max())
 
 
+@pytest.mark.parametrize("oversample, extent", [(1, 0), (3, 0), (1, 50), (1, 7)])
+def test_grid_without_a_matrix_of_costs(spark, oversample, extent):
+    x = np.random.default_rng(2).normal(size=(150, 2))
+    x[:30] = x[0]
+    ds = schema.from_rows(spark, [(str(i), p) for i, p in enumerate(x)])
+
+    def total(most):
+        cells = np.array([r["point"] for r in reduction.grid(ds, oversample, extent, most=most).orderBy("pos").collect()])
+        assert len({tuple(c) for c in cells}) == 150
+        across = extent or int(np.ceil(np.sqrt(150 * oversample)))
+        down = -(-150 * oversample // across)
+        placed = (x - x.min(axis=0)) / np.ptp(x, axis=0) * [across - 1, down - 1]
+        return ((placed - cells) ** 2).sum()
+
+    assert np.isclose(total(10), total(2000), rtol=1e-12)
+
+
+def test_grid_above_the_former_limit(spark):
+    x = np.random.default_rng(3).normal(size=(2100, 2))
+    ds = schema.from_rows(spark, [(str(i), p) for i, p in enumerate(x)])
+    assert len({tuple(r["point"]) for r in reduction.grid(ds).collect()}) == 2100
+
+
 def test_buffers(spark):
     frames = schema.unpack(schema.buffer(spark, {"a": [[1, 2, 3], [4, 5, 6]]}))
     order = lambda df: [r["value"] for r in df.orderBy("chan", "frame").collect()]
