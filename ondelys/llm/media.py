@@ -2,19 +2,18 @@
 
 Corners are taken on several scales, one to about ``AREA`` pixels and
 ``CORNERS`` at least, turned upright by the direction of their brightness
-centroid and described by 256 binary brightness tests.  Descriptors meet in
-``TABLES`` tables keyed by sampled bits, of which there are more the more
-descriptors there are, so that unrelated ones seldom meet: with 22 bits a pair
-that differs in 10 of 256 meets with a chance of 0.95, in 20 with 0.63, and a
-copy has dozens of corners to be found by.  Within a bucket each descriptor is
-matched with the nearest leader of another image, if it is within ``NEAR``, and
-becomes one itself unless a leader is within ``LEAD``; so an unrelated image
-with a similar corner doesn't stand for a copy, and a bucket gives a match a
-member at most, never all pairs.
-A bucket above ``BUCKET`` is dealt over chunks, and the leaders of its chunks
-meet, each two chunks of them in one task.  Matches of two images are put to a
-vote: a link needs several distinct corners that agree on one shift, turn and
-scale.  Links join into components.
+centroid and described by 256 binary brightness tests.  Two corners of two
+pictures match if their descriptors differ in ``NEAR`` bits at most, and two
+pictures are linked if ``AGREE`` distinct corners of both agree, in either
+direction, on one shift, turn and scale among all matches.  Links join into
+components.
+
+Every link is found.  Pictures are dealt over blocks and each two blocks meet
+in one task, where all descriptors are compared, by products of signs; what
+can't reach ``AGREE`` is told from the matches by scale, turn and place, and the
+others are put to the vote.  A task gives the links of each picture as a number
+and the edges that join its pictures, so no list of all links is ever made.
+Time grows with the square of the pictures.
 
 Images are PNG (8 bits, not interlaced) or binary PGM/PPM in a binary column.
 
@@ -48,19 +47,22 @@ PATCHES = 512
 PIXELS_READ = 1 << 26
 RADIUS = 14
 BITS = 256
-TABLES, LEAST_BITS, MOST_BITS = 6, 16, 40
 #: Differing bits up to which descriptors match.
 NEAR = 40
-#: Differing bits to a leader up to which a descriptor isn't one itself; descriptors of a bucket that one task compares.
-LEAD, BUCKET = 20, 4096
+#: Blocks at least; pictures and corners of a block on average at most.
+BLOCKS, BUCKET, CORNERS_HELD = 8, 8192, 1 << 20
+#: Corners compared at a time (rows, columns), pairs of matches looked at at a time, and matches of two pictures that go straight to the vote.
+ROWS, COLUMNS, LOOKED, MANY = 2048, 4096, 1 << 21, 4096
 #: Corners that must agree, within so many pixels, so much turn and scale.
 AGREE, PIXELS, TURN, SCALE = 6, 2.5, 0.2, 0.25
 
 _random = np.random.default_rng(20)
 PAIRS = np.clip(_random.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS, RADIUS)
-SAMPLED = np.stack([_random.permutation(BITS)[:MOST_BITS] for _ in range(TABLES)])
 _grid = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_grid**2).sum(axis=0) <= RADIUS**2
+#: Ratios of scales fall into groups; only those of one group are within ``SCALE`` of each other.
+_ratios = np.unique(np.log(np.divide.outer(SCALES, SCALES)))
+GROUPS = ((_ratios[1:] + _ratios[:-1]) / 2)[np.diff(_ratios) > SCALE]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -211,20 +213,8 @@ def describe(grey: np.ndarray | None, corners: int = CORNERS) -> tuple[np.ndarra
     return place[best], code[best]
 
 
-def key_bits(descriptors: int) -> int:
-    """Sampled bits of a key: of two buckets one or none holds an unrelated descriptor."""
-    return min(MOST_BITS, max(LEAST_BITS, descriptors.bit_length() + 1))
-
-
-def table_keys(codes: np.ndarray, bits: int) -> np.ndarray:
-    """(descriptors, tables) keys by sampled bits."""
-    each = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
-    weight = np.int64(1) << np.arange(bits, dtype=np.int64)
-    return np.stack([each[:, s[:bits]].astype(np.int64) @ weight + (t << bits) for t, s in enumerate(SAMPLED)], axis=1)
-
-
-def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """Most distinct corners of both images that agree on one similarity.
+def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
+    """Most distinct corners of both images that agree on one similarity; some number from ``enough`` on, if that is given and reached.
 
     ``a``, ``b``: matched corners (n, 4), row by row.
     """
@@ -232,8 +222,9 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     cos, sin = scale * np.cos(turn), scale * np.sin(turn)
     shift = b[:, :2] - np.stack([cos * a[:, 0] - sin * a[:, 1], sin * a[:, 0] + cos * a[:, 1]], axis=1)
     best = 0
-    for at in range(0, len(a), PATCHES):
-        c, s, own, t, z = (x[at : at + PATCHES, None] for x in (cos, sin, shift[:, None], turn, scale))
+    step = max(1, min(PATCHES, LOOKED // max(1, len(a))))
+    for at in range(0, len(a), step):
+        c, s, own, t, z = (x[at : at + step, None] for x in (cos, sin, shift[:, None], turn, scale))
         moved = np.stack([c * a[None, :, 0] - s * a[None, :, 1], s * a[None, :, 0] + c * a[None, :, 1]], axis=2) + own[:, 0]
         near = ((moved - b[None, :, :2]) ** 2).sum(axis=2) <= (PIXELS * np.maximum(1, b[None, :, 2])) ** 2
         wrapped = np.abs((turn[None] - t + np.pi) % (2 * np.pi) - np.pi)
@@ -241,114 +232,170 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
         for row in near[near.sum(axis=1) >= AGREE]:
             first = len(np.unique(np.rint(a[row, :2]), axis=0))
             best = max(best, min(first, len(np.unique(np.rint(b[row, :2]), axis=0))))
+            if enough is not None and best >= enough:
+                return best
     return best
 
 
-class Leaders:
-    """Leaders of one bucket; the array grows by doubling."""
-
-    def __init__(self):
-        self.codes, self.size, self.held = np.zeros((16, 4), np.uint64), 0, []
-
-    def near(self, code: np.ndarray, image: int, part: int | None) -> tuple[int, int]:
-        """The nearest leader of another image (and of another part, if one is given), or -1, and the distance of the nearest of all."""
-        if not self.size:
-            return -1, BITS
-        far = np.bitwise_count(self.codes[: self.size] ^ code).sum(axis=1)
-        least = int(far.min())
-        for j in np.argsort(far, kind="stable").tolist() if least <= NEAR else ():
-            if far[j] > NEAR:
-                break
-            if self.held[j][0] != image and self.held[j][2] != part:
-                return j, least
-        return -1, least
-
-    def add(self, code: np.ndarray, image: int, place: bytes, part: int) -> None:
-        if self.size == len(self.codes):
-            self.codes = np.resize(self.codes, (2 * self.size, 4))
-        self.codes[self.size] = code
-        self.size += 1
-        self.held.append((image, place, part))
-
-
-def _matches_kernel(again: bool):
-    """Rows sorted by (key, sub, part, image): matches of each descriptor with the leaders near it, and the leaders of dealt buckets.
-
-    ``again``: leaders of two parts meet, and those of one part have met.
-    """
-    names = ["a", "b", "at", "key", "corner"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders = None, Leaders()
-        for batch in released(batches):
-            key, sub, part, image, dealt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "part", "image", "dealt"))
-            raw = batch.column("corner").to_pylist()
-            corner = np.frombuffer(b"".join(raw), CORNER)
-            code, place = np.ascontiguousarray(corner["code"]), corner["place"]
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), True]).tolist()
-            rows: list[tuple] = []
-            last = len(edges) - 2
-            for g, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
-                if (int(key[s]), int(sub[s])) != now:
-                    now, leaders = (int(key[s]), int(sub[s])), Leaders()
-                    if e - s == 1 and g != last and not dealt[s]:
-                        continue
-                for i in range(s, e):
-                    own, mine = int(image[i]), place[i].tobytes()
-                    j, least = leaders.near(code[i], own, int(part[i]) if again else None)
-                    if j >= 0:
-                        rows.append((leaders.held[j][0], own, leaders.held[j][1] + mine, None, None))
-                    if again or least > LEAD:
-                        leaders.add(code[i], own, mine, int(part[i]))
-                        if dealt[i] and not again:
-                            rows.append((own, None, None, int(key[i]), raw[i]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return kernel
-
-
-MATCHES = "a long, b long, at binary, key long, corner binary"
-
-
-def _matches(described: DataFrame, bits: int, bucket: int) -> DataFrame:
-    """(a, b, at): matched corners of two images, from (image, corner)."""
-
-    def keyed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            for at in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(at, 1 << 14)
-                keys = table_keys(np.ascontiguousarray(np.frombuffer(b"".join(part.column(1).to_pylist()), CORNER)["code"]), bits)
-                of = pa.array(np.repeat(np.arange(part.num_rows), TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(of), part.column(1).take(of)], ["key", "image", "corner"])
-
-    def met(rows: DataFrame, again: bool) -> DataFrame:
-        return rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "part", "image", "corner").mapInArrow(_matches_kernel(again), MATCHES)
-
-    keyed = described.select("image", "corner").mapInArrow(keyed_kernel, "key long, image long, corner binary")
-
-    def parts_of(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy(F.col("key").alias("k")).count().where(F.col("count") > bucket)
-        return stage(counts.select("k", F.ceil(F.col("count") / bucket).cast("int").alias("parts")), "hot-buckets")
-
-    zero = F.lit(0).cast("int")
-    plain = keyed.select("key", zero.alias("sub"), zero.alias("part"), "image", "corner", F.lit(False).alias("dealt"))
-    hot = parts_of(keyed.select("key"))
-    if hot.isEmpty():
-        return met(plain, False).select("a", "b", "at")
-    part = F.pmod(F.xxhash64("image"), F.col("parts")).cast("int")
-    chunked = keyed.join(hot, F.col("key") == F.col("k")).select("key", part.alias("sub"), part.alias("part"), "image", "corner", F.lit(True).alias("dealt"))
-    found = stage(met(chunked, False), "hot-matches")
-    others = met(plain.join(hot, F.col("key") == F.col("k"), "left_anti"), False).select("a", "b", "at")
-    # Leaders that have met in their chunk meet those of the other chunks, dealt anew; each two parts in one task.
-    leaders = found.where("key IS NOT NULL").select("key", F.col("a").alias("image"), "corner")
-    first = leaders.join(hot, F.col("key") == F.col("k")).withColumn("part", part).drop("k", "parts")
-    rest = leaders.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("n"))
-    group = F.pmod(F.xxhash64(F.lit("again"), "image"), F.col("n")).cast("int")
-    places = F.expr("transform(sequence(0, n - 1), j -> least(j, g) * n + greatest(j, g))")
-    again = first.join(rest, F.col("key") == F.col("k")).withColumn("g", group).select("key", F.explode(places).alias("sub"), "part", "image", "corner", F.lit(True).alias("dealt"))
-    return others.unionByName(found.where("at IS NOT NULL").select("a", "b", "at")).unionByName(met(again, True).select("a", "b", "at"))
+def agree(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether enough corners agree, in either direction."""
+    a, b = a.astype(float), b.astype(float)
+    return consensus(a, b, AGREE) >= AGREE or consensus(b, a, AGREE) >= AGREE
+
+
+class Pictures:
+    """Corners of several images, one after the other."""
+
+    def __init__(self, corners: list[bytes]):
+        corner = np.frombuffer(b"".join(corners), CORNER)
+        self.code, self.place = np.ascontiguousarray(corner["code"]), np.ascontiguousarray(corner["place"])
+        sizes = np.array([len(c) // CORNER.itemsize for c in corners], np.int64)
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.of = np.repeat(np.arange(len(corners)), sizes)
+
+    def runs(self, most: int) -> Iterator[tuple[int, int]]:
+        """Ranges of images of ``most`` corners at most, or of one image."""
+        first = 0
+        while first + 1 < len(self.starts):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, "right")) - 1)
+            yield first, last
+            first = last
+
+
+def _signs(code: np.ndarray) -> np.ndarray:
+    return np.unpackbits(code.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both descriptors that differ in ``NEAR`` bits at most."""
+    found = []
+    for at in range(0, len(a), ROWS):
+        own = _signs(a[at : at + ROWS])
+        for to in range(0, len(b), COLUMNS):
+            other = _signs(b[to : to + COLUMNS])
+            i, j = np.divmod(np.flatnonzero(own @ other.T >= BITS - 2 * NEAR), len(other))
+            found.append((i + at, j + to))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _may_agree(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Kinds among whose matches (rows of ``a`` and ``b``) one has ``AGREE``, itself included, that fit its turn, shift and scale; no other can win the vote."""
+    turn = (b[:, 3].astype(float) - a[:, 3]) % (2 * np.pi)
+    wide, whole = TURN + 1e-4, 2 * np.pi
+    low, high = np.flatnonzero(turn <= wide), np.flatnonzero(turn >= whole - wide)
+    key = np.concatenate([kind * 8 + turn, kind[low] * 8 + turn[low] + whole, kind[high] * 8 + turn[high] - whole])
+    order = np.argsort(key)
+    key, row = key[order], np.concatenate([np.arange(len(turn)), low, high])[order]
+    refs = order[order < len(turn)]
+    own = kind[refs] * 8 + turn[refs]
+    first = np.searchsorted(key, own - wide)
+    counts = np.searchsorted(key, own + wide, "right") - first
+    kept = counts >= AGREE
+    refs, first, counts = refs[kept], first[kept], counts[kept]
+    ends, passed, at = np.cumsum(counts), [], 0
+    while at < len(refs):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED, "right")))
+        n = counts[at:to]
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        other = row[np.repeat(first[at:to] - starts, n) + np.arange(n.sum())]
+        ref = refs[at:to]
+        scale = b[ref, 2] / a[ref, 2]
+        cos, sin = np.repeat(scale * np.cos(turn[ref]), n), np.repeat(scale * np.sin(turn[ref]), n)
+        ref = np.repeat(ref, n)
+        dx, dy = a[other, 0] - a[ref, 0], a[other, 1] - a[ref, 1]
+        far = np.hypot(b[other, 0] - b[ref, 0] - cos * dx + sin * dy, b[other, 1] - b[ref, 1] - sin * dx - cos * dy)
+        slack = PIXELS * 1.001 + 0.01
+        there = far <= slack * np.maximum(1, b[other, 2])
+        back = far <= slack * np.maximum(1, a[other, 2]) * np.repeat(scale, n)
+        enough = (np.add.reduceat(there, starts, dtype=np.int64) >= AGREE) | (np.add.reduceat(back, starts, dtype=np.int64) >= AGREE)
+        passed.append(kind[refs[at:to]][enough])
+        at = to
+    return np.unique(np.concatenate(passed)) if passed else np.zeros(0, np.int64)
+
+
+def linked(a: Pictures, b: Pictures | None) -> Iterator[tuple[int, int]]:
+    """Every two linked images, of ``a`` and of ``b``, or of ``a`` alone."""
+    other = a if b is None else b
+    for s, e in a.runs(ROWS):
+        for u, v in other.runs(COLUMNS):
+            if b is None and v <= s:
+                continue
+            i, j = _near(a.code[a.starts[s] : a.starts[e]], other.code[other.starts[u] : other.starts[v]])
+            i, j = i + a.starts[s], j + other.starts[u]
+            x, y = a.of[i], other.of[j]
+            if b is None:
+                up = x < y
+                i, j, x, y = i[up], j[up], x[up], y[up]
+            group = np.searchsorted(GROUPS, np.log(other.place[j, 2] / a.place[i, 2]))
+            kind = ((x - s) * (v - u) + y - u) * (len(GROUPS) + 1) + group
+            count = np.bincount(kind)
+            enough = count[kind] >= AGREE
+            order = np.flatnonzero(enough)[np.argsort(kind[enough], kind="stable")]
+            kind, first, second = kind[order], a.place[i[order]], other.place[j[order]]
+            many = count[kind] > MANY
+            maybe = np.union1d(np.unique(kind[many]), _may_agree(first[~many], second[~many], kind[~many]))
+            starts, ends = np.searchsorted(kind, maybe), np.searchsorted(kind, maybe, "right")
+            before = -1
+            for k, m, n in zip((maybe // (len(GROUPS) + 1)).tolist(), starts.tolist(), ends.tolist(), strict=True):
+                if k != before and agree(first[m:n], second[m:n]):
+                    before = k
+                    yield s + k // (v - u), u + k % (v - u)
+
+
+def _links_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sub, block, image): (image, null, its links) and edges (image, image, null) that join what the links do, of each ``sub``."""
+    held: tuple[list, list, list] = ([], [], [])
+
+    def found() -> pa.RecordBatch:
+        image, block, corners = held
+        cut = next((i for i, g in enumerate(block) if g != block[0]), len(block))
+        a, b = Pictures(corners[:cut]), Pictures(corners[cut:]) if cut < len(block) else None
+        links, root, edges = np.zeros(len(image), np.int64), list(range(len(image))), []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in linked(a, b):
+            y += 0 if b is None else cut
+            links[x] += 1
+            links[y] += 1
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                edges.append((image[x], image[y], None))
+        rows = [(n, None, k) for n, k in zip(image, links.tolist(), strict=True) if k] + edges
+        return pa.RecordBatch.from_pylist([dict(zip(("a", "b", "links"), r, strict=True)) for r in rows], LINKS)
+
+    now = None
+    for batch in released(batches):
+        for sub, *row in zip(*(batch.column(c).to_pylist() for c in ("sub", "block", "image", "corners")), strict=True):
+            if sub != now:
+                if held[0] and (now // SPREAD == now % SPREAD or held[1][0] != held[1][-1]):
+                    yield found()
+                now, held = sub, ([], [], [])
+            for column, value in zip(held, (row[1], row[0], row[2]), strict=True):
+                column.append(value)
+    if held[0] and (now // SPREAD == now % SPREAD or held[1][0] != held[1][-1]):
+        yield found()
+
+
+#: Number of two blocks: the lesser times this, and the greater.
+SPREAD = 1 << 20
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
+
+def _links(described: DataFrame, bucket: int) -> DataFrame:
+    """(a, b, links) as of ``_links_kernel``, from (image, corners)."""
+    described = described.where(F.length("corners") >= AGREE * CORNER.itemsize)
+    images, corners = described.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("corners")), F.lit(0))).first()
+    blocks = max(BLOCKS, -(-images // bucket), -(-corners // (CORNER.itemsize * CORNERS_HELD)))
+    block = F.pmod(F.xxhash64("image"), F.lit(blocks))
+    places = F.expr(f"transform(sequence(0L, {blocks - 1}L), j -> least(j, block) * {SPREAD}L + greatest(j, block))")
+    met = described.withColumn("block", block).select(F.explode(places).alias("sub"), "block", "image", "corners")
+    met = met.repartitionByRange(blocks * (blocks + 1) // 2, "sub").sortWithinPartitions("sub", "block", "image")
+    return stage(met.mapInArrow(_links_kernel, "a long, b long, links long"), "links")
 
 
 def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", bucket: int = BUCKET) -> DataFrame:
@@ -366,25 +413,12 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
                 if len(place):
                     packed = np.zeros(len(place), CORNER)
                     packed["code"], packed["place"] = code, place
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), n)), pa.array([c.tobytes() for c in packed], pa.binary())], ["image", "corner"])
+                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed.tobytes()], pa.binary())], ["image", "corners"])
 
-    described = stage(distinct.mapInArrow(describe_kernel, "image long, corner binary"), "descriptors")
-    matches = _matches(described, key_bits(described.count()), bucket)
-    # A pair's matches are bounded by the corners of its two images and the tables.
-    pairs = matches.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("at")).otherwise(F.concat(F.expr("substring(at, 17, 16)"), F.expr("substring(at, 1, 16)"))).alias("at"))
-    pairs = pairs.groupBy("a", "b").agg(F.collect_set("at").alias("at")).where(F.size("at") >= AGREE)
-
-    def vote_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            agree = []
-            for at in batch.column("at").to_pylist():
-                both = np.frombuffer(b"".join(sorted(at)), "<f4").reshape(-1, 8).astype(float)
-                agree.append(consensus(both[:, :4], both[:, 4:]) if len(both) >= AGREE else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], ["a", "b", "agree"])
-
-    linked = stage(pairs.mapInArrow(vote_kernel, "a long, b long, agree long").where(F.col("agree") >= AGREE), "links")
-    roots = components(linked.select("a", "b"))
-    degree = linked.select(F.col("a").alias("n")).union(linked.select("b")).groupBy("n").agg(F.count(F.lit(1)).alias("links"))
+    described = stage(distinct.mapInArrow(describe_kernel, "image long, corners binary"), "descriptors")
+    found = _links(described, bucket)
+    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    degree = found.where("links IS NOT NULL").groupBy(F.col("a").alias("n")).agg(F.sum("links").alias("links"))
     named = ids.withColumn("number", number).join(roots, F.col("number") == F.col("node"), "left").withColumn("root", F.coalesce("root", "number"))
     least = named.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("image_id").alias("component_id"))
     out = named.join(least, F.col("root") == F.col("of"), "left").join(degree, F.col("number") == F.col("n"), "left")

@@ -182,3 +182,45 @@ def test_copies_in_hot_buckets(spark, bucket):
     rows = {r["image_id"]: r["component_id"] for r in media.copies(images, bucket=bucket).collect()}
     assert np.mean([rows[i * 64 + 63] == 63 for i in range(200)]) >= 0.95
     assert np.mean([rows[2 * 10**6 + i] == 10**6 + i for i in range(30)]) >= 0.9
+
+
+@pytest.mark.parametrize("bucket", [media.BUCKET, 7])
+def test_every_link_is_found(spark, bucket):
+    # Families, 14 versions of one picture, pictures with a common part, a large one that holds four of them, and few corners.
+    ids = [*range(28), *range(63, 63 + 64 * 14, 64)]
+    pictures = {r["image_id"]: bytes(r["image"]) for r in media.render(spark.createDataFrame([(i, [float(i)]) for i in ids], "vec_id long, embedding array<float>")).collect()}
+    for i in range(8):
+        grey = media.scene(5000 + i)
+        grey[-40:, -44:] = media.scene(4999)[-40:, -44:]
+        pictures[2000 + i] = media.encode_png(grey)
+    pictures[3000] = media.encode_png(np.concatenate([np.concatenate([media.scene(8 * i + 4 * j) for i in range(2)]) for j in range(2)], axis=1))
+    pictures[3001] = media.encode_png(np.pad(np.full((12, 12), 200.0), 30))
+    corners = {n: media.describe(media.decode(data)) for n, data in pictures.items()}
+    links, component = dict.fromkeys(pictures, 0), {n: n for n in pictures}
+    names = sorted(pictures)
+    for x in names:
+        for y in (n for n in names if n > x):
+            (pa, ca), (pb, cb) = corners[x], corners[y]
+            i, j = np.nonzero(np.bitwise_count(ca[:, None] ^ cb[None]).sum(axis=2) <= media.NEAR)
+            pa, pb = (p[k].astype(np.float32).astype(float) for p, k in ((pa, i), (pb, j)))
+            if len(i) >= media.AGREE and max(media.consensus(pa, pb), media.consensus(pb, pa)) >= media.AGREE:
+                links[x], links[y] = links[x] + 1, links[y] + 1
+                least, other = sorted((component[x], component[y]))
+                component = {n: least if c == other else c for n, c in component.items()}
+    images = spark.createDataFrame([(n, bytearray(data)) for n, data in pictures.items()], "image_id long, image binary")
+    found = {r["image_id"]: (r["component_id"], r["links"]) for r in media.copies(images, bucket=bucket).collect()}
+    assert sum(links.values()) > 200 and found == {n: (component[n], links[n]) for n in names}
+
+
+def test_links_are_counted_where_they_are_found():
+    import pyarrow as pa
+
+    place, code = media.describe(media.scene(3))
+    corners = np.zeros(len(place), media.CORNER)
+    corners["code"], corners["place"] = code, place
+    n = 120
+    rows = {"sub": [1] * n, "block": [0] * 50 + [1] * 70, "image": list(range(n)), "corners": [corners.tobytes()] * n}
+    out = pa.Table.from_batches(media._links_kernel(iter([pa.RecordBatch.from_pydict(rows)]))).to_pylist()
+    # 3,500 links between the two blocks, but a count for each picture and a tree of edges.
+    assert {r["a"]: r["links"] for r in out if r["b"] is None} == {i: 70 if i < 50 else 50 for i in range(n)}
+    assert sum(r["b"] is not None for r in out) == n - 1
