@@ -51,8 +51,8 @@ BITS = 256
 NEAR = 40
 #: Blocks at least; pictures and corners of a block on average at most.
 BLOCKS, BUCKET, CORNERS_HELD = 8, 8192, 1 << 20
-#: Corners compared at a time (rows, columns), pairs of matches looked at at a time, and matches of two pictures that go straight to the vote.
-ROWS, COLUMNS, LOOKED, MANY = 2048, 4096, 1 << 21, 4096
+#: Corners compared at a time (rows, columns), and pairs of matches looked at at a time.
+ROWS, COLUMNS, LOOKED = 2048, 4096, 1 << 21
 #: Corners that must agree, within so many pixels, so much turn and scale.
 AGREE, PIXELS, TURN, SCALE = 6, 2.5, 0.2, 0.25
 
@@ -332,8 +332,7 @@ def linked(a: Pictures, b: Pictures | None) -> Iterator[tuple[int, int]]:
             enough = count[kind] >= AGREE
             order = np.flatnonzero(enough)[np.argsort(kind[enough], kind="stable")]
             kind, first, second = kind[order], a.place[i[order]], other.place[j[order]]
-            many = count[kind] > MANY
-            maybe = np.union1d(np.unique(kind[many]), _may_agree(first[~many], second[~many], kind[~many]))
+            maybe = _may_agree(first, second, kind)
             starts, ends = np.searchsorted(kind, maybe), np.searchsorted(kind, maybe, "right")
             before = -1
             for k, m, n in zip((maybe // (len(GROUPS) + 1)).tolist(), starts.tolist(), ends.tolist(), strict=True):
