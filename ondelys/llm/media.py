@@ -51,11 +51,18 @@ BITS = 256
 NEAR = 40
 #: Blocks at least; pictures and corners of a block on average at most.
 BLOCKS, BUCKET, CORNERS_HELD = 8, 8192, 1 << 20
-#: Corners compared at a time (rows, columns), and pairs of matches looked at at a time.
-ROWS, COLUMNS, LOOKED = 2048, 4096, 1 << 21
+#: Corners compared at a time (rows, columns), rows whose signs are kept, and pairs of matches looked at at a time.
+ROWS, COLUMNS, KEPT, LOOKED = 1536, 2048, 24576, 1 << 21
 #: Corners that must agree, within so many pixels, so much turn and scale.
 AGREE, PIXELS, TURN, SCALE = 6, 2.5, 0.2, 0.25
 
+#: Products are made of so many descriptors at once, each in a byte of a double, and nearness is the highest bit of it.
+FIELDS = 6
+FLAGS = np.array([128 << (8 * i) for i in range(FIELDS)], np.uint64)
+MASK = FLAGS.sum(dtype=np.uint64)
+#: Parts of a whole turn; matches within ``TURN`` of one lie in two neighbouring ones.
+TURNS = int(2 * np.pi / (2 * TURN + 0.01))
+
 _random = np.random.default_rng(20)
 PAIRS = np.clip(_random.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS, RADIUS)
 _grid = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -172,7 +179,7 @@ CORNER = np.dtype([("code", "<u8", 4), ("place", "<f4", 4)])
 
 def describe(grey: np.ndarray | None, corners: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
     """Corners (n, 4: x, y, scale, angle) and their descriptors (n, 4) of 64 bits each."""
-    places, codes, strengths = [], [], []
+    found, strengths = [], []
     if grey is None or min(grey.shape) < 8:
         return np.zeros((0, 4)), np.zeros((0, 4), np.uint64)
     corners = max(corners, grey.size // AREA)
@@ -190,11 +197,24 @@ def describe(grey: np.ndarray | None, corners: int = CORNERS) -> tuple[np.ndarra
         strength[:3] = strength[-3:] = strength[:, :3] = strength[:, -3:] = 0
         strongest = np.flatnonzero(strength)
         strongest = strongest[np.argsort(-strength.flat[strongest], kind="stable")[:corners]]
+        found.append((scale, image, strongest))
+        strengths.append(strength.flat[strongest] * scale)
+    if not found:
+        return np.zeros((0, 4)), np.zeros((0, 4), np.uint64)
+    # Only the strongest over all scales are described.
+    best = np.argsort(-np.concatenate(strengths), kind="stable")[:corners]
+    place, code = np.zeros((len(best), 4)), np.zeros((len(best), 4), np.uint64)
+    before = 0
+    for scale, image, strongest in found:
+        rows = np.flatnonzero((best >= before) & (best < before + len(strongest)))
+        chosen = strongest[best[rows] - before]
+        before += len(strongest)
+        width = image.shape[1]
         reach = 2 * RADIUS
         wide = np.pad(image, reach, mode="edge")
         smooth = box(wide, 1)
-        for first in range(0, len(strongest), PATCHES):
-            at = strongest[first : first + PATCHES]
+        for first in range(0, len(chosen), PATCHES):
+            at, row = chosen[first : first + PATCHES], rows[first : first + PATCHES]
             y, x = np.divmod(at, width)
             patch = wide[(y[:, None, None] + reach + _grid[0]), (x[:, None, None] + reach + _grid[1])] * DISC
             angle = np.arctan2((patch * _grid[0]).sum(axis=(1, 2)), (patch * _grid[1]).sum(axis=(1, 2)))
@@ -203,14 +223,9 @@ def describe(grey: np.ndarray | None, corners: int = CORNERS) -> tuple[np.ndarra
             dy = np.rint(PAIRS[None, :, :, 0] * sin + PAIRS[None, :, :, 1] * cos).astype(int)
             tested = smooth[y[:, None, None] + reach + dy, x[:, None, None] + reach + dx]
             bits = tested[:, :, 0] < tested[:, :, 1]
-            codes.append(np.packbits(bits, axis=1, bitorder="little").view("<u8"))
-            places.append(np.stack([(x + 0.5) / scale, (y + 0.5) / scale, np.full(len(x), 1 / scale), angle], axis=1))
-            strengths.append(strength.flat[at] * scale)
-    if not places:
-        return np.zeros((0, 4)), np.zeros((0, 4), np.uint64)
-    place, code, strength = np.concatenate(places), np.concatenate(codes), np.concatenate(strengths)
-    best = np.argsort(-strength, kind="stable")[:corners]
-    return place[best], code[best]
+            code[row] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+            place[row] = np.stack([(x + 0.5) / scale, (y + 0.5) / scale, np.full(len(x), 1 / scale), angle], axis=1)
+    return place, code
 
 
 def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
@@ -222,6 +237,7 @@ def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
     cos, sin = scale * np.cos(turn), scale * np.sin(turn)
     shift = b[:, :2] - np.stack([cos * a[:, 0] - sin * a[:, 1], sin * a[:, 0] + cos * a[:, 1]], axis=1)
     best = 0
+    first, second = (np.rint(x[:, 0]).astype(np.int64) * (2 * PIXELS_READ) + np.rint(x[:, 1]).astype(np.int64) for x in (a, b))
     step = max(1, min(PATCHES, LOOKED // max(1, len(a))))
     for at in range(0, len(a), step):
         c, s, own, t, z = (x[at : at + step, None] for x in (cos, sin, shift[:, None], turn, scale))
@@ -229,9 +245,10 @@ def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
         near = ((moved - b[None, :, :2]) ** 2).sum(axis=2) <= (PIXELS * np.maximum(1, b[None, :, 2])) ** 2
         wrapped = np.abs((turn[None] - t + np.pi) % (2 * np.pi) - np.pi)
         near &= (wrapped <= TURN) & (np.abs(np.log(scale[None] / z)) <= SCALE)
-        for row in near[near.sum(axis=1) >= AGREE]:
-            first = len(np.unique(np.rint(a[row, :2]), axis=0))
-            best = max(best, min(first, len(np.unique(np.rint(b[row, :2]), axis=0))))
+        count = near.sum(axis=1)
+        rows = np.flatnonzero(count >= max(AGREE, best + 1))
+        for row in near[rows[np.argsort(-count[rows], kind="stable")]]:
+            best = max(best, min(len(set(first[row].tolist())), len(set(second[row].tolist()))))
             if enough is not None and best >= enough:
                 return best
     return best
@@ -252,29 +269,64 @@ class Pictures:
         sizes = np.array([len(c) // CORNER.itemsize for c in corners], np.int64)
         self.starts = np.r_[0, np.cumsum(sizes)]
         self.of = np.repeat(np.arange(len(corners)), sizes)
-
-    def runs(self, most: int) -> Iterator[tuple[int, int]]:
-        """Ranges of images of ``most`` corners at most, or of one image."""
-        first = 0
-        while first + 1 < len(self.starts):
-            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, "right")) - 1)
+        self.scales, self.level = np.unique(self.place[:, 2], return_inverse=True)
+        self.turn = np.ascontiguousarray(self.place[:, 3])
+
+    def runs(self, most: int, first: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+        """Ranges of images (of those from ``first`` to ``end``) of ``most`` corners at most, or of one image."""
+        end = len(self.starts) - 1 if end is None else end
+        while first < end:
+            last = min(end, max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, "right")) - 1))
             yield first, last
             first = last
 
 
 def _signs(code: np.ndarray) -> np.ndarray:
-    return np.unpackbits(code.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-
-
-def _near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of both descriptors that differ in ``NEAR`` bits at most."""
+    """Bits of descriptors by columns, and three last rows for ``_near``."""
+    out = np.ones((BITS + 3, len(code)))
+    out[:BITS] = np.unpackbits(code.view(np.uint8), axis=1).T
+    ones = out[:BITS].sum(axis=0)
+    out[BITS + 1], out[BITS + 2] = -np.ceil(ones / 2), ones % 2
+    return out
+
+
+def _packed(code: np.ndarray) -> list[np.ndarray]:
+    """Bits of ``ROWS`` descriptors at a time, ``FIELDS`` of them in one row of numbers, a byte apart; three last columns for ``_near``."""
+    out, weight = [], 256.0 ** np.arange(FIELDS)
+    for at in range(0, len(code), ROWS):
+        part = np.unpackbits(code[at : at + ROWS].view(np.uint8), axis=1)
+        rows, ones = -(-len(part) // FIELDS), part.sum(axis=1)
+        # Columns of bits, what a field starts with, 1, and whether ones are odd; fields without a descriptor stay 0.
+        fields = np.zeros((FIELDS * rows, BITS + 3))
+        fields[: len(part), :BITS], fields[: len(part), BITS + 1] = part, 1
+        fields[: len(part), BITS], fields[: len(part), BITS + 2] = 128 + NEAR // 2 - np.ceil(ones / 2), ones % 2
+        row = np.tensordot(weight, fields.reshape(FIELDS, rows, BITS + 3), 1)
+        row[:, BITS] += 2.0**52
+        out.append(row)
+    return out
+
+
+def _near(packed: list[np.ndarray], code: np.ndarray, signs: np.ndarray | None, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both descriptors that differ in ``NEAR`` bits at most; ``signs``: of ``code``, if it is short; ``space`` is written over.
+
+    Half the differing bits, rounded up, are the halves of both numbers of ones,
+    rounded up, less the ones in common and less 1 if both numbers are odd.  A
+    field holds 128 and ``NEAR`` / 2 less that, from 20 to 148, so its highest
+    bit is set if, and only if, the two are near; sums stay whole and below 2^53.
+    """
     found = []
-    for at in range(0, len(a), ROWS):
-        own = _signs(a[at : at + ROWS])
-        for to in range(0, len(b), COLUMNS):
-            other = _signs(b[to : to + COLUMNS])
-            i, j = np.divmod(np.flatnonzero(own @ other.T >= BITS - 2 * NEAR), len(other))
-            found.append((i + at, j + to))
+    for to in range(0, len(code), COLUMNS):
+        other = _signs(code[to : to + COLUMNS]) if signs is None else signs
+        for n, own in enumerate(packed):
+            sums = space[: len(own) * other.shape[1]].reshape(len(own), -1)
+            bits = np.matmul(own, other, out=sums).view(np.uint64)
+            bits &= MASK
+            cell = np.flatnonzero(bits != 0)
+            bits = bits.ravel()[cell]
+            row, column = np.divmod(cell.astype(np.int32), np.int32(other.shape[1]))
+            for field in range(FIELDS):
+                here = np.flatnonzero(bits & FLAGS[field])
+                found.append((row[here] + np.int32(n * ROWS + field * len(own)), column[here] + np.int32(to)))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -316,29 +368,50 @@ def _may_agree(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
 def linked(a: Pictures, b: Pictures | None) -> Iterator[tuple[int, int]]:
     """Every two linked images, of ``a`` and of ``b``, or of ``a`` alone."""
     other = a if b is None else b
-    for s, e in a.runs(ROWS):
-        for u, v in other.runs(COLUMNS):
-            if b is None and v <= s:
+    groups, levels = len(GROUPS) + 1, len(a.scales) * len(other.scales)
+    group = np.searchsorted(GROUPS, np.log(other.scales[None] / a.scales[:, None])).ravel()
+    grouped = (group[:, None] == np.arange(groups)).astype(float)
+    columns = [(u, v, slice(other.starts[u], other.starts[v])) for u, v in other.runs(COLUMNS)]
+    space = np.empty(-(-ROWS // FIELDS) * COLUMNS)
+    for first, last in a.runs(KEPT):
+        rows = [(s, e, slice(a.starts[s], a.starts[e])) for s, e in a.runs(ROWS, first, last)]
+        packed = [_packed(a.code[p]) for _, _, p in rows]
+        for u, v, q in columns:
+            if b is None and v <= first:
                 continue
-            i, j = _near(a.code[a.starts[s] : a.starts[e]], other.code[other.starts[u] : other.starts[v]])
-            i, j = i + a.starts[s], j + other.starts[u]
-            x, y = a.of[i], other.of[j]
-            if b is None:
-                up = x < y
-                i, j, x, y = i[up], j[up], x[up], y[up]
-            group = np.searchsorted(GROUPS, np.log(other.place[j, 2] / a.place[i, 2]))
-            kind = ((x - s) * (v - u) + y - u) * (len(GROUPS) + 1) + group
-            count = np.bincount(kind)
-            enough = count[kind] >= AGREE
-            order = np.flatnonzero(enough)[np.argsort(kind[enough], kind="stable")]
-            kind, first, second = kind[order], a.place[i[order]], other.place[j[order]]
-            maybe = _may_agree(first, second, kind)
-            starts, ends = np.searchsorted(kind, maybe), np.searchsorted(kind, maybe, "right")
-            before = -1
-            for k, m, n in zip((maybe // (len(GROUPS) + 1)).tolist(), starts.tolist(), ends.tolist(), strict=True):
-                if k != before and agree(first[m:n], second[m:n]):
-                    before = k
-                    yield s + k // (v - u), u + k % (v - u)
+            signs = _signs(other.code[q]) if q.stop - q.start <= COLUMNS else None
+            turn, y = other.turn[q], (other.of[q] - u) * levels + other.level[q]
+            for (s, e, p), own in zip(rows, packed, strict=True):
+                if b is None and v <= s:
+                    continue
+                i, j = _near(own, other.code[q], signs, space)
+                # Two pictures need AGREE matches of one group of scales, and these of neighbouring turns.
+                key = ((a.of[p] - s) * ((v - u) * levels) + a.level[p] * len(other.scales))[i] + y[j]
+                count = np.bincount(key, minlength=(e - s) * (v - u) * levels).reshape(-1, levels)
+                many = count @ grouped >= AGREE
+                kept = np.flatnonzero(many[:, group].ravel()[key])
+                i, j, key = i[kept], j[kept], key[kept]
+                kind, many = key // levels * groups + group[key % levels], many.ravel()
+                part = ((turn[j] - a.turn[p][i]) * np.float32(TURNS / (2 * np.pi)) + np.float32(2 * TURNS)).astype(np.int32) % TURNS
+                cell = (np.cumsum(many) - 1)[kind] * TURNS + part
+                count = np.bincount(cell, minlength=TURNS * np.count_nonzero(many)).reshape(-1, TURNS)
+                two = count + np.roll(count, 1, axis=1) >= AGREE
+                kept = np.flatnonzero((two | np.roll(two, -1, axis=1)).ravel()[cell])
+                kept = kept[np.argsort(kind[kept], kind="stable")]
+                i, j, kind = i[kept] + p.start, j[kept] + q.start, kind[kept]
+                if b is None:
+                    up = a.of[i] < a.of[j]
+                    i, j, kind = i[up], j[up], kind[up]
+                if not len(kind):
+                    continue
+                near, far = a.place[i], other.place[j]
+                maybe = _may_agree(near, far, kind)
+                starts, ends = np.searchsorted(kind, maybe), np.searchsorted(kind, maybe, "right")
+                before = -1
+                for k, m, n in zip((maybe // groups).tolist(), starts.tolist(), ends.tolist(), strict=True):
+                    if k != before and agree(near[m:n], far[m:n]):
+                        before = k
+                        yield s + k // (v - u), u + k % (v - u)
 
 
 def _links_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stage
 from ..shipping import ship
 from . import crosspoly, htmltext, media, mixing, packing, pii, simhash, toxicity, urlfilter, wavelet
 
@@ -85,4 +86,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_media_copies")
 def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(media.render(table(spark, sf_dir, "embeddings")))
+    # Drawn once; ``copies`` reads its images twice.
+    return media.copies(stage(media.render(table(spark, sf_dir, "embeddings")), "images"))

@@ -224,3 +224,22 @@ def test_links_are_counted_where_they_are_found():
     # 3,500 links between the two blocks, but a count for each picture and a tree of edges.
     assert {r["a"]: r["links"] for r in out if r["b"] is None} == {i: 70 if i < 50 else 50 for i in range(n)}
     assert sum(r["b"] is not None for r in out) == n - 1
+
+
+def test_near_descriptors_in_packed_products():
+    # Six descriptors in a number: exact at the limit, for even and odd numbers of ones, all or none, and rows that don't fill a number.
+    random = np.random.default_rng(4)
+    bits = random.integers(0, 2, (media.ROWS + 700, media.BITS)).astype(np.uint8)
+    bits[0], bits[1], bits[2:200] = 0, 1, bits[2]
+    for i in range(2, 200):
+        bits[i, random.choice(media.BITS, i % 45, replace=False)] ^= 1
+    code = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    other = np.concatenate([code[:150], code[-1900:]])
+    differing = np.bitwise_count(code[:, None] ^ other[None]).sum(axis=2)
+    packed, space = media._packed(code), np.empty(-(-media.ROWS // media.FIELDS) * media.COLUMNS)
+    assert sum(map(len, packed)) == media.ROWS // 6 + -(-700 // 6)
+    i, j = media._near(packed, other, None, space)
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+    found = np.zeros(differing.shape, bool)
+    found[i, j] = True
+    assert (found == (differing <= media.NEAR)).all() and {39, 40, 41, 42} <= set(differing.ravel().tolist())
