@@ -9,7 +9,7 @@ direction, on one shift, turn and scale among all matches.  Links join into
 components.
 
 Every link is found.  Pictures are dealt over blocks and each two blocks meet
-in one task, where all descriptors are compared, by products of signs; what
+in one task, where all descriptors are compared, by products of bits; what
 can't reach ``AGREE`` is told from the matches by scale, turn and place, and the
 others are put to the vote.  A task gives the links of each picture as a number
 and the edges that join its pictures, so no list of all links is ever made.
@@ -51,8 +51,8 @@ BITS = 256
 NEAR = 40
 #: Blocks at least; pictures and corners of a block on average at most.
 BLOCKS, BUCKET, CORNERS_HELD = 8, 8192, 1 << 20
-#: Corners compared at a time (rows, columns), rows whose signs are kept, and pairs of matches looked at at a time.
-ROWS, COLUMNS, KEPT, LOOKED = 1536, 2048, 24576, 1 << 21
+#: Corners compared at a time (rows, columns), rows that are kept packed, and pairs of matches looked at at a time.
+ROWS, COLUMNS, KEPT, LOOKED = 3072, 2048, 24576, 1 << 21
 #: Corners that must agree, within so many pixels, so much turn and scale.
 AGREE, PIXELS, TURN, SCALE = 6, 2.5, 0.2, 0.25
 
@@ -281,7 +281,7 @@ class Pictures:
             first = last
 
 
-def _signs(code: np.ndarray) -> np.ndarray:
+def _bits(code: np.ndarray) -> np.ndarray:
     """Bits of descriptors by columns, and three last rows for ``_near``."""
     out = np.ones((BITS + 3, len(code)))
     out[:BITS] = np.unpackbits(code.view(np.uint8), axis=1).T
@@ -306,8 +306,8 @@ def _packed(code: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _near(packed: list[np.ndarray], code: np.ndarray, signs: np.ndarray | None, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of both descriptors that differ in ``NEAR`` bits at most; ``signs``: of ``code``, if it is short; ``space`` is written over.
+def _near(packed: list[np.ndarray], code: np.ndarray, columns: np.ndarray | None, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both descriptors that differ in ``NEAR`` bits at most; ``columns``: of ``code``, if it is short; ``space`` is written over.
 
     Half the differing bits, rounded up, are the halves of both numbers of ones,
     rounded up, less the ones in common and less 1 if both numbers are odd.  A
@@ -316,7 +316,7 @@ def _near(packed: list[np.ndarray], code: np.ndarray, signs: np.ndarray | None,
     """
     found = []
     for to in range(0, len(code), COLUMNS):
-        other = _signs(code[to : to + COLUMNS]) if signs is None else signs
+        other = _bits(code[to : to + COLUMNS]) if columns is None else columns
         for n, own in enumerate(packed):
             sums = space[: len(own) * other.shape[1]].reshape(len(own), -1)
             bits = np.matmul(own, other, out=sums).view(np.uint64)
@@ -379,12 +379,12 @@ def linked(a: Pictures, b: Pictures | None) -> Iterator[tuple[int, int]]:
         for u, v, q in columns:
             if b is None and v <= first:
                 continue
-            signs = _signs(other.code[q]) if q.stop - q.start <= COLUMNS else None
+            ready = _bits(other.code[q]) if q.stop - q.start <= COLUMNS else None
             turn, y = other.turn[q], (other.of[q] - u) * levels + other.level[q]
             for (s, e, p), own in zip(rows, packed, strict=True):
                 if b is None and v <= s:
                     continue
-                i, j = _near(own, other.code[q], signs, space)
+                i, j = _near(own, other.code[q], ready, space)
                 # Two pictures need AGREE matches of one group of scales, and these of neighbouring turns.
                 key = ((a.of[p] - s) * ((v - u) * levels) + a.level[p] * len(other.scales))[i] + y[j]
                 count = np.bincount(key, minlength=(e - s) * (v - u) * levels).reshape(-1, levels)
