@@ -81,13 +81,18 @@ def distance(name: str | int, x: Column, y: Column) -> Column:
     return (list(DISTANCES.values())[name] if isinstance(name, int) else DISTANCES[name])(x, y)
 
 
+def _whole(log: Callable[[Column], Column], x: Column) -> Column:
+    """A logarithm as floating-point numbers have it, where Spark's is null: minus infinity at 0, not a number below."""
+    return F.when(x > 0, log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def hz_to_mel(f: Column) -> Column:
-    return 1127.01048 * F.log(f / 700.0 + 1)
+    return 1127.01048 * _whole(F.log, f / 700.0 + 1)
 
 
 def hz_to_midi(f: Column, silent: float = -999.0) -> Column:
     """MIDI pitch; 0 Hz is ``silent``: the plain formula's limit is minus infinity."""
-    return F.when(f == 0, F.lit(silent)).otherwise(69 + 12 * F.log2(f / 440.0))
+    return F.when(f == 0, F.lit(silent)).otherwise(69 + 12 * _whole(F.log2, f / 440.0))
 
 
 def amp_to_db(a: Column) -> Column:

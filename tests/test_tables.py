@@ -359,3 +359,22 @@ def test_a_tree_compares_blocks_of_bounded_size(k):
     tracemalloc.stop()
     # All at once would be 144 MB a matrix, of which several are held.
     assert rows == (600 if k else 80) and peak < (130 if k else 600) * 1e6
+
+
+def test_scalar_functions_of_any_value(spark, tmp_path):
+    from ondelys.plans.registry import ORACLES, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    inf = float("inf")
+    values = [None, float("nan"), inf, -inf, 0.0, -0.0, 5e-324, -1.0, -699.5, -700.0, -701.0, 29.27, 440.0, 215571431.1127542]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+
+    def strict(rows):
+        # Not a number isn't null here; the two libraries' powers of ten may differ in their last digit.
+        return [[repr(x) for x in r[:4]] + [None if r[4] is None else f"{r[4]:.12g}"] for r in rows]
+
+    names = "event_id, mel, midi, db, amp"
+    got = QUERIES["scalar_functions"](spark, str(tmp_path)).select(*names.split(", ")).orderBy("event_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert strict(got) == strict(con.execute(f"SELECT {names} FROM ({ORACLES['scalar_functions']}) ORDER BY event_id").fetchall())
