@@ -260,7 +260,7 @@ def grid(ds: DataFrame, oversample: int = 1, extent: int = 0, horizontal: bool =
     cells = np.array([(c, r) for r in range(down) for c in range(across)], float)
     placed = (x - low) / span * [max(across - 1, 0), max(down - 1, 0)]
     if len(x) > most:
-        return _as_dataset(ds, ids, cells[assign_cells(placed, across, down)])
+        return _as_dataset(ds, ids, cells[assign_cells(ds.sparkSession, placed, across, down)])
     cost = ((placed[:, None] - cells[None]) ** 2).sum(axis=2)
     return _as_dataset(ds, ids, cells[assign(cost)])
 

@@ -378,3 +378,29 @@ def test_scalar_functions_of_any_value(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert strict(got) == strict(con.execute(f"SELECT {names} FROM ({ORACLES['scalar_functions']}) ORDER BY event_id").fetchall())
+
+
+@pytest.mark.parametrize("listed", [1, 5, 48])
+def test_least_cells_by_short_lists(spark, listed):
+    from ondelys.operators.assignment import assign, assign_cells
+
+    rng = np.random.default_rng(listed)
+    for n, across, down in ((1, 1, 1), (90, 10, 9), (100, 9, 12), (120, 20, 20)):
+        x = np.exp(2 * rng.normal(size=(n, 2)))
+        x[: n // 3] = x[0]
+        placed = (x - x.min(axis=0)) / np.maximum(np.ptp(x, axis=0), 1e-12) * [across - 1, down - 1]
+        cost = ((placed[:, None] - np.array([(c, r) for r in range(down) for c in range(across)])[None]) ** 2).sum(axis=2)
+        cells = assign_cells(spark, placed, across, down, listed)
+        assert len(set(cells.tolist())) == n
+        assert np.isclose(cost[np.arange(n), cells].sum(), cost[np.arange(n), assign(cost)].sum(), rtol=1e-12)
+
+
+def test_grid_of_many_equal_points_ends_soon(spark):
+    import time
+
+    x = np.random.default_rng(4).normal(size=(3000, 2))
+    x[:1500] = x[0]
+    ds = schema.from_rows(spark, [(str(i), p) for i, p in enumerate(x)])
+    began = time.time()
+    assert len({tuple(r["point"]) for r in reduction.grid(ds).collect()}) == 3000
+    assert time.time() - began < 60
